@@ -244,8 +244,8 @@ def encode(
     pattern: str,
     text_col: str = "text",
     *,
-    cache_docs: int = 100_000,
-    cache_words: int = 1_000_000,
+    cache_docs: int = 50_000,
+    cache_words: int = 250_000,
     long_word: int = 1024,
 ) -> DataFrame:
     """``df`` with ``ids``: the packed ids of ``text_col``.  See the module's docstring."""
