@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, minhash, sql
+from . import byte_bpe, minhash, sql, toxicity
 from .common import table
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -18,12 +18,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path(VOCAB), public_tokenizers.PATTERN)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op6_minhash": op6_minhash,
         "op7_byte_bpe": op7_byte_bpe,
     }
