@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, minhash, quality, sql, toxicity
+from . import byte_bpe, language, minhash, mixing, quality, sql, toxicity
 from .common import table
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,14 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.drop("text_digest", "lang")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).drop("text_digest")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -37,12 +45,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_fertility": op2_fertility,
+        "op4_language": op4_language,
         "op6_minhash": op6_minhash,
         "op7_byte_bpe": op7_byte_bpe,
+        "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_minhash": sql.OP6,
+        "op9_mixing": sql.OP9,
     }

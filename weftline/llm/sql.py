@@ -16,3 +16,30 @@ reach AS (SELECT doc_id, doc_id AS c FROM sets UNION SELECT reach.doc_id, links.
 least AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
 SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN least USING (doc_id)
 """
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws(':', doc_id::VARCHAR, '17')) AS draw
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+f AS (SELECT *, (2 * source_size)::DOUBLE / weight AS full_at FROM w),
+l AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE
+      - coalesce(sum(2 * source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+      / (sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM f),
+t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, (SELECT min_by(level, full_at) FROM l WHERE level <= full_at) * weight) AS target FROM l),
+g AS (
+  SELECT d.*, source_size, target, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(ceil(source_size::DOUBLE / 200000)::BIGINT, 1) AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (
+  SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY draw ROWS UNBOUNDED PRECEDING))::BIGINT AS stop,
+    (sum(size) OVER (PARTITION BY source, shard))::BIGINT AS shard_size
+  FROM g),
+q AS (SELECT *, least(floor(coalesce(target * shard_size / nullif(source_size, 0), 0) / 128 + 0.5)::BIGINT * 128, 2 * shard_size) AS words FROM p),
+r AS (SELECT *, coalesce(words // nullif(shard_size, 0), 0) AS passes FROM q)
+SELECT doc_id, size, source_size, target,
+  passes * size + greatest(0, least(stop, words - passes * shard_size) - (stop - size)) AS taken
+FROM r
+"""
