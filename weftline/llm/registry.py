@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, minhash, mixing, quality, sql, toxicity
+from . import byte_bpe, language, main_text, minhash, mixing, quality, sql, toxicity, warc
 from .common import table
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -37,6 +37,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("text_digest")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -48,12 +56,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op6_minhash": op6_minhash,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_warc": op8_warc,
         "op9_mixing": op9_mixing,
+        "op10_main_text": op10_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_minhash": sql.OP6,
+        "op8_warc": sql.OP8,
         "op9_mixing": sql.OP9,
     }
