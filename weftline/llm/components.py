@@ -20,29 +20,27 @@ def connected_components(links: DataFrame) -> DataFrame:
     An empty input gives an empty result.
     """
     shared_dir(links.sparkSession)
-    kept = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    edges = kept.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    nodes = None
-    while True:
-        before = _mark(edges)
+    kept = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    edges = kept.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    while not _all_stars(edges):
         edges = _small_star(_large_star(edges)).checkpoint()
-        if _mark(edges) == before:
-            break
     nodes = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Changes when the set of edges does."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, and none if it has a larger one."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.agg(F.coalesce(F.max(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)), 1).otherwise(0)), F.lit(0))).first()[0] == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least node that it sees, itself included."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -243,11 +243,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     sets = materialise(_sets(df, id_col, text_col, words, members.select("id").distinct()).distinct())
     links = materialise(_confirmed(_agreeing(pairs, classes.select("id", "sig"), percent), sets, percent))
-    components = connected_components(links).checkpoint()
-    more = _rest(members.where("n > 2").select("bucket", "id"), components, sets, percent)
-    links = links.unionByName(materialise(more)).unionByName(_shared_ids(full, classes))
-    components = connected_components(links)
+    components = materialise(connected_components(links))
+    more = _rest(members.where("n > 2").select("bucket", "id"), components, sets, percent).unionByName(_shared_ids(full, classes))
     of_class = classes.join(components, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
+    more = materialise(more)
+    if not more.isEmpty():
+        joined = more
+        for end in ("a", "b"):
+            joined = joined.join(components.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+        merged = connected_components(joined).select(F.col("id").alias("component_id"), F.col("component").alias("last"))
+        of_class = of_class.join(merged, "component_id", "left").select("key", F.coalesce("last", "component_id").alias("component_id"))
     linked = full.join(of_class, "key").select("id", "n_shingles", "component_id")
     alone = rows.where("key IS NULL OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
