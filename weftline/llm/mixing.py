@@ -79,3 +79,15 @@ def plan(
     rest = words - passes * F.col("shard_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("stop"), rest) - (F.col("stop") - F.col("size")))
     return placed.select(F.col("id").alias(id_col), "text_digest", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
+    """The rows of ``df``, each as many times as the mix takes its words, to the nearest whole time.
+
+    ``parameters`` are those of ``plan``.  Rows with equal id, text and source share what they take.
+    """
+    digest = F.xxhash64(F.col(f"`{text_col}`"))
+    taken = plan(df, id_col, text_col, source_col, **parameters).groupBy(id_col, "text_digest").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = taken.where("taken > 0").select(F.col(id_col).alias("__id"), F.col("text_digest").alias("__digest"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    joined = df.join(times.where("__times > 0"), df[id_col].eqNullSafe(F.col("__id")) & (digest == F.col("__digest")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).drop("__id", "__digest", "__times", "__copy")

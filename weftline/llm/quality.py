@@ -149,3 +149,12 @@ def rate(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str =
     """One row per row of ``df``: id_col, a digest of the text, lang_col, all measures, base_failed and kept."""
     columns = df.select(id_col, F.xxhash64(text_col).alias("text_digest"), lang_col, text_col)
     return judge(materialise(measure(columns, model_path, text_col).drop(text_col)), lang_col)
+
+
+def keep(df: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` that are kept.  The verdict depends on text and language only, so equal rows stay or go together."""
+    digest, lang = F.xxhash64(F.coalesce(text_col, F.lit(""))), F.coalesce(F.col(f"`{lang_col}`"), F.lit(""))
+    columns = df.select(digest.alias("__digest"), lang.alias("__of"), F.col(f"`{lang_col}`"), text_col)
+    judged = judge(materialise(measure(columns, model_path, text_col).drop(text_col)), lang_col)
+    gone = judged.where("NOT kept").select("__digest", "__of").distinct()
+    return df.join(gone, (digest == F.col("__digest")) & (lang == F.col("__of")), "left_anti")

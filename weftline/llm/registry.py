@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, main_text, minhash, mixing, quality, sql, toxicity, warc
+from . import byte_bpe, grid_join, language, licenses, main_text, minhash, mixing, quality, sql, toxicity, warc
 from .common import table
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -45,6 +45,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -53,7 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_fertility": op2_fertility,
+        "op3_licenses": op3_licenses,
         "op4_language": op4_language,
+        "op5_grid_join": op5_grid_join,
         "op6_minhash": op6_minhash,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_warc": op8_warc,
@@ -64,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_licenses": sql.op3(licenses.KNOWN, licenses.ALIKE, licenses.COPYRIGHT, licenses.NOT_WORD),
+        "op5_grid_join": sql.OP5,
         "op6_minhash": sql.OP6,
         "op8_warc": sql.OP8,
         "op9_mixing": sql.OP9,

@@ -52,3 +52,32 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 're
   CASE WHEN page_id < last THEN last END AS refers_to
 FROM m
 """
+
+
+def op3(known: dict[str, str], alike: list[tuple[str, str]], copyright: str, not_word: str) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def canonical(column: str) -> str:
+        out = f"regexp_replace(translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(copyright)}, chr(10), 'g')"
+        for other, usual in alike:
+            out = f"replace({out}, {quoted(other)}, {quoted(usual)})"
+        return f"sha256(trim(regexp_replace({out}, {quoted(not_word)}, ' ', 'g')))"
+
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in known.items())
+    return f"""
+    WITH known AS (SELECT {canonical("text")} AS d, min(license_id) AS license_id FROM (VALUES {rows}) t(license_id, text) GROUP BY 1),
+    docs AS (SELECT doc_id, {canonical("text")} AS license_digest FROM documents)
+    SELECT doc_id, license_digest, license_id FROM docs LEFT JOIN known ON d = license_digest
+    """
+
+
+OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.c = links.a),
+least AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM least LEFT JOIN counts ON a = vec_id
+"""
