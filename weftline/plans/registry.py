@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import lines, space
+from .base import Query
 
-def queries() -> dict:
-    return {}
+MODULES = (lines, space)
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: q for m in MODULES for k, q in m.plan.queries.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.plan.sql.items()}

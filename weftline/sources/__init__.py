@@ -1,0 +1 @@
+"""Bundles, volumes and shapes as tables."""
