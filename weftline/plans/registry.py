@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, space
+from . import history, lines, space, volumes
 from .base import Query
 
-MODULES = (lines, space)
+MODULES = (lines, space, volumes, history)
 
 
 def queries() -> dict[str, Query]:
