@@ -52,11 +52,13 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .common import shared_dir
+from .common import materialise, shared_dir
 
 SCHEMA = "warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, content_length long, payload binary"
 MANIFEST = "_manifest.json"
 BATCH_BYTES = 8 << 20
+#: Up to so many payloads with copies (about 60 bytes each) go to every task; more are joined by a shuffle.
+BROADCAST_COPIES = 100_000
 # fixed values of the format: header fields of the columns
 HEADERS = {
     "warc_type": "WARC-Type",
@@ -304,6 +306,9 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     rows = rows.withColumns({"payload_length": F.length("payload").cast("long"), "sha": F.sha1("payload")})
     large = F.col("payload_length") >= least_bytes
     copies = rows.where(large).groupBy(F.col("sha").alias("of")).agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    copies = materialise(copies)  # a row for each payload that occurs twice or more
+    if copies.count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
     joined = rows.join(copies, large & (F.col("sha") == F.col("of")), "left")
     again = F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("last")))
     joined.select(
