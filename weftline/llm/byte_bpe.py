@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -200,8 +201,8 @@ class _Cutter:
         return b"".join(got), [starts[i] + size for i, size, _ in rest], [w for _, _, w in rest]
 
 
-def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int], literal: Column, cache_docs: int, cache_words: int) -> dict[bytes, bytes]:
-    """Packed ids of the most frequent words of a bounded sample of documents."""
+def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int], literal: Column, cache_docs: int, cache_words: int) -> bytes:
+    """Ids of the most frequent words of a bounded sample of documents: (word, ids) in Arrow's format."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = regex.compile(pattern).findall, Counter()
@@ -232,10 +233,28 @@ def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int],
 
     pieces = top.select("word").repartition(F.xxhash64("word")).mapInArrow(split, "word binary, pieces array<long>")
     found = pieces.select("word", F.get(fold_words(F.array("pieces"), literal), 0).alias("ids")).toArrow()
-    ids = found.column("ids").combine_chunks()
-    packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    stops = (ids.offsets.to_numpy().astype("int64") - ids.offsets[0].as_py()) * 4
-    return {w: packed[a:b] for w, a, b in zip(found.column("word").to_pylist(), stops[:-1], stops[1:], strict=True)}
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    return sink.getvalue().to_pybytes()
+
+
+#: The last cache that this Python worker has unpacked, by its name.
+_UNPACKED: dict[str, dict[bytes, bytes]] = {}
+
+
+def _unpacked(name: str, cache: bytes, ranks: dict[bytes, int]) -> dict[bytes, bytes]:
+    """Packed ids of the cached words and of all tokens."""
+    if name not in _UNPACKED:
+        _UNPACKED.clear()
+        known = {w: i.to_bytes(4, "little") for w, i in ranks.items()}
+        for batch in pa.ipc.open_stream(cache):
+            ids = batch.column("ids")
+            packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            stops = ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4).tolist()
+            known.update({w: packed[a:b] for w, a, b in zip(batch.column("word").to_pylist(), stops[:-1], stops[1:], strict=True)})
+        _UNPACKED[name] = known
+    return _UNPACKED[name]
 
 
 def encode(
@@ -244,8 +263,8 @@ def encode(
     pattern: str,
     text_col: str = "text",
     *,
-    cache_docs: int = 50_000,
-    cache_words: int = 250_000,
+    cache_docs: int = 100_000,
+    cache_words: int = 1_000_000,
     long_word: int = 1024,
 ) -> DataFrame:
     """``df`` with ``ids``: the packed ids of ``text_col``.  See the module's docstring."""
@@ -253,31 +272,34 @@ def encode(
     literal = rank_literal(ranks)
     single = [ranks[bytes([b])] for b in range(256)]
     spark = df.sparkSession
-    known = _cache(df, text_col, pattern, ranks, literal, cache_docs, cache_words)
-    known = spark.sparkContext.broadcast(known | {w: i.to_bytes(4, "little") for w, i in ranks.items()})
+    cache, name = spark.sparkContext.broadcast(_cache(df, text_col, pattern, ranks, literal, cache_docs, cache_words)), uuid.uuid4().hex
     all_ranks = spark.sparkContext.broadcast(ranks)
-    extra = [T.StructField("__ids", T.BinaryType()), T.StructField("__at", T.ArrayType(T.IntegerType())), T.StructField("__rest", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__long", T.ArrayType(T.BinaryType()))]
+    extra = [T.StructField("__ids", T.BinaryType()), T.StructField("__at", T.ArrayType(T.IntegerType())), T.StructField("__which", T.ArrayType(T.IntegerType())), T.StructField("__rest", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__long", T.ArrayType(T.BinaryType()))]
     cut_schema = T.StructType(df.schema.fields + extra)
     position = df.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter(pattern, known.value)
+        cutter = _Cutter(pattern, _unpacked(name, cache.value, all_ranks.value))
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 rows = [cutter(x or "") for x in part.column(position).to_pylist()]
-                short = [[[single[b] for b in w] if len(w) <= long_word else [] for w in r[2]] for r in rows]
-                large = [[w for w in r[2] if len(w) > long_word] for r in rows]
-                made = zip(([r[0] for r in rows], [r[1] for r in rows], short, large), extra, strict=True)
+                once = [list(dict.fromkeys(r[2])) for r in rows]  # a word that a document repeats is folded once
+                which = [list(map({w: i for i, w in enumerate(o)}.__getitem__, r[2])) for r, o in zip(rows, once, strict=True)]
+                short = [[[single[b] for b in w] if len(w) <= long_word else [] for w in o] for o in once]
+                large = [[w for w in o if len(w) > long_word] for o in once]
+                made = zip(([r[0] for r in rows], [r[1] for r in rows], which, short, large), extra, strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, to_arrow_type(f.dataType)) for x, f in made)], cut_schema.names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, done = len(keep), []
-            for x, where, long_words, got in zip(*(batch.column(n + k).to_pylist() for k in range(4)), strict=True):
+            for x, where, which, long_words, got in zip(*(batch.column(n + k).to_pylist() for k in range(5)), strict=True):
                 if where:
-                    parts, last, large = [], 0, iter(long_words)
-                    for i, ids in zip(where, got, strict=True):
-                        parts += [x[last:i], np.array(ids or merge_long(next(large), all_ranks.value), "<u4").tobytes()]
+                    large = iter(long_words)
+                    new = [np.array(ids or merge_long(next(large), all_ranks.value), "<u4").tobytes() for ids in got]
+                    parts, last = [], 0
+                    for i, k in zip(where, which, strict=True):
+                        parts += [x[last:i], new[k]]
                         last = i
                     x = b"".join([*parts, x[last:]])
                 done.append(x)
@@ -286,7 +308,7 @@ def encode(
     out_schema = replaced(df.schema, T.StructField("ids", T.BinaryType()))
     keep = out_schema.names[:-1]
     first = df.mapInArrow(cut, cut_schema)
-    return first.select(*[F.col(f"`{c}`") for c in keep], "__ids", "__at", "__long", fold_words(F.col("__rest"), literal).alias("__new")).mapInArrow(place, out_schema)
+    return first.select(*[F.col(f"`{c}`") for c in keep], "__ids", "__at", "__which", "__long", fold_words(F.col("__rest"), literal).alias("__new")).mapInArrow(place, out_schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
