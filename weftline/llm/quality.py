@@ -35,6 +35,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 WIDTH, SLACK, MIN_GROUP = 3.0, {"chars_per_token": 0.4, "byte_share": 0.01, "entropy": 0.02}, 50
+#: Up to so many bands go to every task; more are joined by a shuffle.
+BROADCAST_BANDS = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FIELDS = [T.StructField(c, T.LongType()) for c in (*COUNTS, "n_tokens")] + [T.StructField(c, T.DoubleType()) for c in SLACK]
 
@@ -141,6 +143,9 @@ def judge(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
         low, high = F.get(f"__{c}", 0), F.get(f"__{c}", 1)
         reach = F.greatest(WIDTH * (high - low), F.lit(slack))
         inside &= F.coalesce(F.col(c).between(low - reach, high + reach), F.lit(True))
+    bands = materialise(bands)  # a row for each language and size class
+    if bands.count() <= BROADCAST_BANDS:
+        bands = F.broadcast(bands)
     out = rows.join(bands, ["__lang", "__size"], "left").withColumn("kept", ~F.col("base_failed") & inside)
     return out.drop("__lang", "__size", "__n", *(f"__{c}" for c in SLACK))
 
