@@ -177,7 +177,9 @@ class WarcReader(DataSourceReader):
             room -= info.size
         return out
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no files
+            return
         system, _ = _place(self.path)
         rows: list[dict[str, Any]] = []
         for path in partition.paths:
