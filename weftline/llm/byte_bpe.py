@@ -44,8 +44,8 @@ from .common import let, replaced
 
 #: Primes: sizes of the two arrays of the literal rank map.
 GROUPS, SLOTS = 99_991, 400_009
-#: Ids are below this; an entry that no pair's key meets.
-BASE, EMPTY = 1 << 17, 1 << 62
+#: Ids are below this; an id of no token; an entry that no pair's key meets.
+BASE, END, EMPTY = 1 << 17, (1 << 17) - 1, 1 << 62
 #: White_Space characters of Unicode: what \s of the pattern stands for.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
@@ -86,8 +86,9 @@ def fold_words(words: Column, ranks: Column) -> Column:
     """Ids of each word of ``words`` by ranked merges.
 
     A word is an array of the ids of its single bytes.  The fold's state holds
-    the pieces so far and the ranks of all adjacent pairs; each step merges
-    the leftmost pair of the least rank.
+    the pieces so far, between two END ids that merge with nothing, and the
+    ranks of all adjacent pairs; each step merges the leftmost pair of the
+    least rank.
     """
 
     def encode(table: Column) -> Column:
@@ -96,20 +97,25 @@ def fold_words(words: Column, ranks: Column) -> Column:
             slot = (key + F.get(table["d"], (key % GROUPS).cast("int"))) % SLOTS
             return F.get(table["e"], slot.cast("int")).bitwiseXOR(key * BASE)
 
-        def start(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: rank(F.get(p, i), x)).alias("r"))
+        def start(w: Column) -> Column:
+            end = F.array(F.lit(END).cast("bigint"))
+            return let(F.concat(end, w, end), lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.size(w) + 1), lambda x, i: rank(F.get(p, i), x)).alias("r")))
 
         def merge(p: Column, r: Column, at: Column) -> Column:
-            least, none = F.get(r, at - 1), F.slice(r, F.lit(1), F.lit(0))
-            before = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), least)))).otherwise(none)
-            after = F.when(at < F.size(r), F.concat(F.array(rank(least, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r)))).otherwise(none)
-            return F.struct(F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, F.size(p))).alias("p"), F.concat(before, after).alias("r"))
+            least = F.get(r, at - 1)
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, F.size(p))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), least), rank(least, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r))).alias("r"),
+            )
 
         def step(acc: Column, _: Column) -> Column:
             p, r = acc["p"], acc["r"]
             return let(F.array_position(r, F.array_min(r)).cast("int"), lambda at: F.when(F.get(r, at - 1) < BASE, merge(p, r, at)).otherwise(acc))
 
-        return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(w)), start(w), step, lambda acc: acc["p"])))
+        def word(w: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(2), F.size(w)), start(w), step, lambda acc: F.slice(acc["p"], F.lit(2), F.size(acc["p"]) - 2))
+
+        return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(word(w)))
 
     return let(ranks, encode)
 
@@ -263,8 +269,8 @@ def encode(
     pattern: str,
     text_col: str = "text",
     *,
-    cache_docs: int = 100_000,
-    cache_words: int = 1_000_000,
+    cache_docs: int = 50_000,
+    cache_words: int = 300_000,
     long_word: int = 1024,
 ) -> DataFrame:
     """``df`` with ``ids``: the packed ids of ``text_col``.  See the module's docstring."""
