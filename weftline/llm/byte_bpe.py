@@ -46,6 +46,8 @@ from .common import let, replaced
 GROUPS, SLOTS = 99_991, 400_009
 #: Ids are below this; an id of no token; an entry that no pair's key meets.
 BASE, END, EMPTY = 1 << 17, (1 << 17) - 1, 1 << 62
+#: Documents in an Arrow batch: three Python workers of a task hold one each, beside the engine's copies.
+BATCH_ROWS = 500
 #: White_Space characters of Unicode: what \s of the pattern stands for.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
@@ -162,7 +164,7 @@ def segments(text: str) -> list[str]:
 class _Cutter:
     """Cuts texts into words and resolves those whose ids are known."""
 
-    def __init__(self, pattern: str, known: dict[bytes, bytes], memo_size: int = 400_000):
+    def __init__(self, pattern: str, known: dict[bytes, bytes], memo_size: int = 100_000):
         self.find = regex.compile(pattern).findall
         self.known, self.memo, self.memo_size = known, {}, memo_size
 
@@ -270,12 +272,13 @@ def encode(
     text_col: str = "text",
     *,
     cache_docs: int = 50_000,
-    cache_words: int = 300_000,
+    cache_words: int = 200_000,
     long_word: int = 1024,
 ) -> DataFrame:
     """``df`` with ``ids``: the packed ids of ``text_col``.  See the module's docstring."""
     ranks = read_ranks(vocab_path)
     literal = rank_literal(ranks)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     single = [ranks[bytes([b])] for b in range(256)]
     spark = df.sparkSession
     cache, name = spark.sparkContext.broadcast(_cache(df, text_col, pattern, ranks, literal, cache_docs, cache_words)), uuid.uuid4().hex
@@ -287,7 +290,7 @@ def encode(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _Cutter(pattern, _unpacked(name, cache.value, all_ranks.value))
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in (batch.slice(i, BATCH_ROWS) for i in range(0, batch.num_rows, BATCH_ROWS)):
                 rows = [cutter(x or "") for x in part.column(position).to_pylist()]
                 once = [list(dict.fromkeys(r[2])) for r in rows]  # a word that a document repeats is folded once
                 which = [list(map({w: i for i, w in enumerate(o)}.__getitem__, r[2])) for r, o in zip(rows, once, strict=True)]
