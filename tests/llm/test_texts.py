@@ -163,14 +163,3 @@ def test_warc_pushdown_and_empty(spark, tmp_path):
     assert [bytes(r.payload) for r in seen.collect()] == [b"small"]
     assert warc.read_archives(spark, path, payload=False).where("payload IS NOT NULL").count() == 0
     assert warc.round_trip(df.limit(0)).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, DATA)
-        assert after.columns == docs.columns, name
-        docs = spark.createDataFrame(after.collect(), docs.schema)
-    assert corpus_pipeline.run(spark, DATA).count() == docs.count() > 0
