@@ -9,8 +9,9 @@ cross white space.
 ``judge`` derives a rejection band of each measure from all texts that pass the
 base rules, per language and size class (powers of two of the number of
 tokens): quartiles, widened by WIDTH times their distance and by at least
-SLACK.  A text outside a band goes; classes of fewer than MIN_GROUP texts have
-no bands.
+SLACK.  A text outside a band goes.  Copies and near copies (texts of the same
+least hash of WINDOW words) count once in a class, so that they don't narrow its bands;
+classes of fewer than MIN_GROUP such texts have no bands.
 
 Defined results: null counts as empty; a text without words fails the base
 rules; a null language is a language of its own; equal rows are judged alike,
@@ -38,28 +39,29 @@ WIDTH, SLACK, MIN_GROUP = 3.0, {"chars_per_token": 0.4, "byte_share": 0.01, "ent
 #: Up to so many bands go to every task; more are joined by a shuffle.
 BROADCAST_BANDS = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FIELDS = [T.StructField(c, T.LongType()) for c in (*COUNTS, "n_tokens")] + [T.StructField(c, T.DoubleType()) for c in SLACK]
+FIELDS = [T.StructField(c, T.LongType()) for c in (*COUNTS, "n_tokens")] + [T.StructField(c, T.DoubleType()) for c in SLACK] + [T.StructField("__family", T.LongType())]
 
 
-def repeated_words(words: list[bytes], hashes: dict[bytes, int], size: int = WINDOW) -> int:
-    """Words that lie in some window of ``size`` words which the text holds twice or more."""
+def repeated_words(words: list[bytes], hashes: dict[bytes, int], size: int = WINDOW) -> tuple[int, int]:
+    """Words that lie in some window of ``size`` words which the text holds twice or more, and the least hash of a window."""
     n = len(words) - size + 1
-    if n < 2:
-        return 0
+    if n < 1:
+        return 0, 0
     h = np.array(list(map(hashes.__getitem__, words)), np.uint64)
     with np.errstate(over="ignore"):
         windows = np.zeros(n, np.uint64)
         for i in range(size):
             windows = (windows ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             windows ^= windows >> np.uint64(31)
-    _, at, times = np.unique(windows, return_inverse=True, return_counts=True)
+    found, at, times = np.unique(windows, return_inverse=True, return_counts=True)
+    family = int(found[0].astype(np.int64))
     twice = np.flatnonzero(times[at] > 1)
     if not len(twice):
-        return 0
+        return 0, family
     edges = np.zeros(len(words) + 1, np.int64)
     np.add.at(edges, twice, 1)
     np.add.at(edges, twice + size, -1)
-    return int((np.cumsum(edges) > 0).sum())
+    return int((np.cumsum(edges) > 0).sum()), family
 
 
 def duplicate_lines(text: str) -> int:
@@ -111,23 +113,24 @@ def measure(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
             chars = len(text) - sum(map(text.count, SPACES))
             times = np.bincount(np.frombuffer(b"".join(map(pieces.__getitem__, text.split())), np.uint16), minlength=size)
             n, some = int(times.sum()), times[times > 0]
+            repeated, family = repeated_words(words, hashes)
             entropy = float(np.log2(n) - (some * np.log2(some)).sum() / n) if n else 0.0
             return (
-                len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words, hashes), n,
-                chars / n if n else 0.0, float(times[is_byte].sum() / n) if n else 0.0, entropy / np.log2(n) if n > 1 else 0.0,
+                len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated, n,
+                chars / n if n else 0.0, float(times[is_byte].sum() / n) if n else 0.0, entropy / np.log2(n) if n > 1 else 0.0, family,
             )
 
         for batch in batches:
             rows = [row(t or "") for t in batch.column(position).to_pylist()]
             made = zip(*rows, strict=True) if rows else [[] for _ in FIELDS]
-            types = [pa.int64()] * (len(COUNTS) + 1) + [pa.float64()] * len(SLACK)
+            types = [pa.int64()] * (len(COUNTS) + 1) + [pa.float64()] * len(SLACK) + [pa.int64()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(pa.array(x, t) for x, t in zip(made, types, strict=True))], schema.names)
 
     return df.mapInArrow(compute, schema)
 
 
-def judge(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """``measured`` with base_failed and kept.  It is read twice: pass a written table."""
+def judge(measured: DataFrame, lang_col: str = "lang", digest_col: str = "text_digest") -> DataFrame:
+    """``measured`` with base_failed and kept; ``digest_col`` tells texts apart.  It is read twice: pass a written table."""
     size = F.floor(F.log2(F.greatest("n_tokens", F.lit(1))))
     rows = measured.withColumns(
         {
@@ -137,7 +140,9 @@ def judge(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
         }
     )
     quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"__{c}") for c in SLACK]
-    bands = rows.where("NOT base_failed").groupBy("__lang", "__size").agg(F.count("*").alias("__n"), *quartiles).where(F.col("__n") >= MIN_GROUP)
+    # one text of each family stands for it
+    texts = rows.where("NOT base_failed").groupBy("__lang", "__size", "__family").agg(*[F.min_by(c, digest_col).alias(c) for c in SLACK])
+    bands = texts.groupBy("__lang", "__size").agg(F.count("*").alias("__n"), *quartiles).where(F.col("__n") >= MIN_GROUP)
     inside = F.lit(True)
     for c, slack in SLACK.items():
         low, high = F.get(f"__{c}", 0), F.get(f"__{c}", 1)
@@ -147,7 +152,7 @@ def judge(measured: DataFrame, lang_col: str = "lang") -> DataFrame:
     if bands.count() <= BROADCAST_BANDS:
         bands = F.broadcast(bands)
     out = rows.join(bands, ["__lang", "__size"], "left").withColumn("kept", ~F.col("base_failed") & inside)
-    return out.drop("__lang", "__size", "__n", *(f"__{c}" for c in SLACK))
+    return out.drop("__lang", "__size", "__family", "__n", *(f"__{c}" for c in SLACK))
 
 
 def rate(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -160,6 +165,6 @@ def keep(df: DataFrame, model_path: str, text_col: str = "text", lang_col: str =
     """The rows of ``df`` that are kept.  The verdict depends on text and language only, so equal rows stay or go together."""
     digest, lang = F.xxhash64(F.coalesce(text_col, F.lit(""))), F.coalesce(F.col(f"`{lang_col}`"), F.lit(""))
     columns = df.select(digest.alias("__digest"), lang.alias("__of"), F.col(f"`{lang_col}`"), text_col)
-    judged = judge(materialise(measure(columns, model_path, text_col).drop(text_col)), lang_col)
+    judged = judge(materialise(measure(columns, model_path, text_col).drop(text_col)), lang_col, "__digest")
     gone = judged.where("NOT kept").select("__digest", "__of").distinct()
     return df.join(gone, (digest == F.col("__digest")) & (lang == F.col("__of")), "left_anti")
