@@ -28,3 +28,17 @@ def test_copies_do_not_narrow_bands(spark, near):
     copies = [" ".join(copy[:k] + [WORDS[i % 14]] + copy[k + 1 :]) if near else " ".join(copy) for i in range(400) for k in [rng.randrange(50)]]
     got = kept(spark, [(t, "en") for t in copies + varied(100)])
     assert len(got & set(range(400, 500))) >= 98
+
+
+def test_small_classes_are_judged(spark):
+    rng = random.Random(3)
+    junk = " ".join("".join(chr(rng.randint(0x1200, 0x1250)) for _ in range(5)) for _ in range(40))
+    rare = [(t, "xx") for t in varied(9, seed=4)]
+    got = kept(spark, [(t, "en") for t in varied(200)] + rare + [(junk, "xx"), (junk, "yy")])
+    assert {209, 210}.isdisjoint(got)
+    assert len(got & set(range(200))) >= 198 and set(range(200, 209)) <= got
+
+
+def test_long_texts_of_a_rare_language_stay(spark):
+    rows = [(t, "en") for n in (60, 400, 3000) for t in varied(60, n, n)] + [(t, "xx") for n in (60, 400) for t in varied(30, n, n + 1)]
+    assert len(kept(spark, rows + [(varied(1, 3000, 9)[0], "xx")]) & {len(rows)}) == 1

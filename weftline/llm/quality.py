@@ -10,8 +10,12 @@ cross white space.
 base rules, per language and size class (powers of two of the number of
 tokens): quartiles, widened by WIDTH times their distance and by at least
 SLACK.  A text outside a band goes.  Copies and near copies (texts of the same
-least hash of WINDOW words) count once in a class, so that they don't narrow its bands;
-classes of fewer than MIN_GROUP such texts have no bands.
+least hash of WINDOW words) count once in a class, so that they don't narrow its bands.
+
+A class of fewer than MIN_GROUP such texts has wider bands: from the nearest
+sizes of its language that make up MIN_GROUP texts (or all sizes), and from the
+nearest sizes of all languages; what lies in either, or between the two, is
+inside.  A language of fewer than LEAST texts has those of all languages alone.
 
 Defined results: null counts as empty; a text without words fails the base
 rules; a null language is a language of its own; equal rows are judged alike,
@@ -26,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +40,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 WIDTH, SLACK, MIN_GROUP = 3.0, {"chars_per_token": 0.4, "byte_share": 0.01, "entropy": 0.02}, 50
+#: Quartiles of fewer texts say nothing of a language.
+LEAST = 4
 #: Up to so many bands go to every task; more are joined by a shuffle.
 BROADCAST_BANDS = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -141,18 +147,48 @@ def judge(measured: DataFrame, lang_col: str = "lang", digest_col: str = "text_d
     )
     quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"__{c}") for c in SLACK]
     # one text of each family stands for it
-    texts = rows.where("NOT base_failed").groupBy("__lang", "__size", "__family").agg(*[F.min_by(c, digest_col).alias(c) for c in SLACK])
-    bands = texts.groupBy("__lang", "__size").agg(F.count("*").alias("__n"), *quartiles).where(F.col("__n") >= MIN_GROUP)
+    texts = materialise(rows.where("NOT base_failed").groupBy("__lang", "__size", "__family").agg(*[F.min_by(c, digest_col).alias(c) for c in SLACK]))
+    classes = materialise(texts.groupBy("__lang", "__size").agg(F.count("*").alias("__n")))  # a row for each language and size class
+    few = classes.count() <= BROADCAST_BANDS
+    own = _bands(texts, classes, ["__lang"], few)
+    sizes = classes.groupBy("__size").agg(F.sum("__n").alias("__n"), F.min("__n").alias("__least"))
+    shared = _bands(texts, sizes.drop("__least"), [], few, sizes.where(F.col("__least") < MIN_GROUP).select("__size"))
+    sure, some = F.col("__n") >= MIN_GROUP, F.col("__own_of") >= LEAST
+    ends = [
+        F.when(sure, F.col(f"__own_{end}_{c}")).when(some, pick(f"__own_{end}_{c}", f"__all_{end}_{c}")).otherwise(F.col(f"__all_{end}_{c}")).alias(f"__{end}_{c}")
+        for c in SLACK
+        for end, pick in (("low", F.least), ("high", F.greatest))
+    ]
+    named = lambda df, name, keys: df.select(*keys, *[F.col(c).alias(f"__{name}_{c}") for c in df.columns if c not in keys])
+    bands = classes.join(named(own, "own", ["__lang", "__size"]), ["__lang", "__size"]).join(F.broadcast(named(shared, "all", ["__size"])), "__size", "left")
+    bands = materialise(bands.select("__lang", "__size", *ends))
     inside = F.lit(True)
+    for c in SLACK:
+        inside &= F.coalesce(F.col(c).between(F.col(f"__low_{c}"), F.col(f"__high_{c}")), F.lit(True))
+    out = rows.join(F.broadcast(bands) if few else bands, ["__lang", "__size"], "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return out.drop("__lang", "__size", "__family", *(f"__{end}_{c}" for end in ("low", "high") for c in SLACK))
+
+
+def _bands(texts: DataFrame, classes: DataFrame, within: list[str], few: bool, wanted: DataFrame | None = None) -> DataFrame:
+    """(*within, __size, of, low_c, high_c for each measure c) of ``classes`` (*within, __size, __n), or of the ``wanted`` sizes.
+
+    A class takes its own texts and, as long as they are fewer than MIN_GROUP,
+    those of the nearest other sizes; ``of`` is how many.
+    """
+    other = classes.select(*within, F.col("__size").alias("__near"), F.col("__n").alias("__m"))
+    asking = classes.drop("__n") if wanted is None else wanted
+    pairs = (asking.join(other, within) if within else asking.crossJoin(other)).withColumn("__far", F.abs(F.col("__size") - F.col("__near")))
+    nearer = Window.partitionBy(*within, "__size").orderBy("__far").rangeBetween(Window.unboundedPreceding, -1)
+    taken = pairs.withColumn("__nearer", F.coalesce(F.sum("__m").over(nearer), F.lit(0))).where(F.col("__nearer") < MIN_GROUP).select(*within, "__size", "__near")
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(c) for c in SLACK]
+    members = texts.withColumnRenamed("__size", "__near").join(F.broadcast(taken) if few else taken, [*within, "__near"])
+    found = members.groupBy(*within, "__size").agg(F.count("*").alias("of"), *quartiles)
+    ends = []
     for c, slack in SLACK.items():
-        low, high = F.get(f"__{c}", 0), F.get(f"__{c}", 1)
+        low, high = F.get(c, 0), F.get(c, 1)
         reach = F.greatest(WIDTH * (high - low), F.lit(slack))
-        inside &= F.coalesce(F.col(c).between(low - reach, high + reach), F.lit(True))
-    bands = materialise(bands)  # a row for each language and size class
-    if bands.count() <= BROADCAST_BANDS:
-        bands = F.broadcast(bands)
-    out = rows.join(bands, ["__lang", "__size"], "left").withColumn("kept", ~F.col("base_failed") & inside)
-    return out.drop("__lang", "__size", "__family", "__n", *(f"__{c}" for c in SLACK))
+        ends += [(low - reach).alias(f"low_{c}"), (high + reach).alias(f"high_{c}")]
+    return found.select(*within, "__size", "of", *ends)
 
 
 def rate(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
