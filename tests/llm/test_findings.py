@@ -5,7 +5,7 @@ import random
 import public_tokenizers as P
 import pytest
 
-from weftline.llm import quality
+from weftline.llm import quality, toxicity
 
 PIECES = P.path("piece_bpe_32k.model")
 WORDS = "the of and house river light water stone garden under over people little great".split()
@@ -42,3 +42,11 @@ def test_small_classes_are_judged(spark):
 def test_long_texts_of_a_rare_language_stay(spark):
     rows = [(t, "en") for n in (60, 400, 3000) for t in varied(60, n, n)] + [(t, "xx") for n in (60, 400) for t in varied(30, n, n + 1)]
     assert len(kept(spark, rows + [(varied(1, 3000, 9)[0], "xx")]) & {len(rows)}) == 1
+
+
+def test_one_misspelling_of_a_sure_term_is_toxic():
+    verdicts = toxicity._Verdicts(toxicity.Matcher(toxicity.Lexicon({"idiot": 0.95, "idiom": 0.3}, frozenset({"idiots"}))))
+    assert toxicity.score_text("you are an idi0t", verdicts) >= 0.7
+    assert toxicity.score_text("what an idi0t move", verdicts) >= 0.7
+    assert toxicity.score_text('they said "idi0t" once', verdicts) < 0.7 > toxicity.score_text("what an idiomx move", verdicts)
+    assert toxicity.score_text("what idiots", verdicts) == 0

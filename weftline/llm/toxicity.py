@@ -8,7 +8,8 @@ copies of one document don't count again), and hardly in other ones.
 ``score`` runs every word of every whole text through the product of a
 Levenshtein automaton of distance 1 and the trie of the lexicon.  The product
 is made deterministic as words ask for its states.  Words that the sample's
-clean documents hold are no misspellings.  Each hit counts by its distance,
+clean documents hold are no misspellings.  Each hit counts by its distance (one
+unquoted misspelling of a sure term is enough for a score of 0.7),
 by how surely the sample shows its term (n of n + clean + 2 documents) and by the WINDOW words on either side: less inside quotation marks or after a word
 of reporting, more beside other hits or a second-person pronoun.
 
@@ -32,7 +33,8 @@ from .common import replaced
 
 MIN_DOCUMENTS, MIN_SHARE, MIN_FUZZY = 5, 0.9, 5
 WINDOW = 6
-FUZZY, QUOTED, HEATED, STEEPNESS = 0.6, 0.5, 1.25, 1.6
+# FUZZY: a misspelling of a term of weight MIN_SHARE still scores 1 - exp(-STEEPNESS * 0.9 * 0.85) = 0.706
+FUZZY, QUOTED, HEATED, STEEPNESS = 0.85, 0.5, 1.25, 1.6
 QUOTES = "\"'“”‘’«»„`"
 EDGE = QUOTES + ".,;:!?()[]{}<>*#$%&|~^_-+=/\\…"
 # fixed values: words of reporting and second-person pronouns (English, German, French, Spanish)
@@ -46,25 +48,25 @@ class Lexicon(NamedTuple):
 
 
 class Matcher:
-    """How much a word counts: by its term if it is one, FUZZY at distance 1 of one, None further off."""
+    """How much a word counts: by its term if it is one, FUZZY times its surest term at distance 1, None further off."""
 
     def __init__(self, lexicon: Lexicon):
         self.terms, self.clean = lexicon.terms, lexicon.clean
         self.next: list[dict[str, int]] = [{}]  # the trie
-        self.final = [False]
+        self.final = [0.0]  # the weight of the term that ends here
         for term in sorted(lexicon.terms):
             node = 0
             for c in term:
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
                     self.next.append({})
-                    self.final.append(False)
+                    self.final.append(0.0)
                 node = self.next[node][c]
-            self.final[node] = True
+            self.final[node] = lexicon.terms[term]
         self.sets: list[frozenset[tuple[int, int]]] = []
         self.number: dict[frozenset[tuple[int, int]], int] = {}
         self.moves: list[dict[str, int]] = []
-        self.accepts: list[int | None] = []
+        self.accepts: list[tuple[int, float] | None] = []
         self.dead = self._state(frozenset())
         self.start = self._state(frozenset({(0, 0)} | {(m, 1) for m in self.next[0].values()}))
 
@@ -73,7 +75,7 @@ class Matcher:
             self.number[found] = len(self.sets)
             self.sets.append(found)
             self.moves.append({})
-            self.accepts.append(min((e for n, e in found if self.final[n]), default=None))
+            self.accepts.append(min(((e, -self.final[n]) for n, e in found if self.final[n]), default=None))
         return self.number[found]
 
     def _move(self, state: int, c: str) -> int:
@@ -97,9 +99,12 @@ class Matcher:
             if state == dead:
                 return None
         found = self.accepts[state]
-        if found == 0:
-            return self.terms[word]
-        return FUZZY if found and len(word) >= MIN_FUZZY and word not in self.clean else None
+        if found is None:
+            return None
+        edits, weight = found[0], -found[1]
+        if edits == 0:
+            return weight
+        return FUZZY * weight if len(word) >= MIN_FUZZY and word not in self.clean else None
 
 
 class _Verdicts(dict):
