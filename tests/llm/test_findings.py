@@ -50,3 +50,13 @@ def test_one_misspelling_of_a_sure_term_is_toxic():
     assert toxicity.score_text("what an idi0t move", verdicts) >= 0.7
     assert toxicity.score_text('they said "idi0t" once', verdicts) < 0.7 > toxicity.score_text("what an idiomx move", verdicts)
     assert toxicity.score_text("what idiots", verdicts) == 0
+
+
+def test_copies_do_not_remove_terms(spark):
+    rng = random.Random(5)
+    toxic = [f"{rng.choice(WORDS)} {rng.choice(WORDS)} moron {rng.choice(WORDS)} {i}" for i in range(100)]
+    texts = [(t, 1) for t in toxic + ["you moron of a copied text"] * 2000] + [(t, 0) for t in varied(100, 30)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id long, toxic int")
+    terms = toxicity.fit(docs, labels).terms
+    assert terms["moron"] == pytest.approx(101 / 103) and "copied" not in terms

@@ -1,9 +1,9 @@
 """Toxicity by a misspelling-tolerant lexicon and context windows (operator 1).
 
 ``fit`` learns a lexicon from a bounded sample of labelled rows
-(``max_documents``, smallest hash of the id first): words that occur in at
-least MIN_DOCUMENTS toxic documents, beside as many different neighbours (so
-copies of one document don't count again), and hardly in other ones.
+(``max_documents``, smallest hash of the id first) in which each text counts
+once a label: words that occur in at least MIN_DOCUMENTS toxic texts, beside as
+many different neighbours, and hardly in other ones.
 
 ``score`` runs every word of every whole text through the product of a
 Levenshtein automaton of distance 1 and the trie of the lexicon.  The product
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import replaced
+from .common import materialise, replaced
 
 MIN_DOCUMENTS, MIN_SHARE, MIN_FUZZY = 5, 0.9, 5
 WINDOW = 6
@@ -148,6 +148,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = labels.select(ids.alias("id"), F.col(f"`{label_col}`").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(max_documents)
     # the broadcast side holds at most max_documents rows of 12 bytes
     rows = df.select(ids.alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.withColumn("digest", F.xxhash64("text")).groupBy("label", "digest").agg(F.first("text").alias("text"))
+    rows = materialise(rows)  # read three times
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +160,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.string())], ["word", "beside"])
 
     toxic = rows.where("label = 1").select("text").mapInArrow(contexts, "word string, beside string")
-    found = toxic.groupBy("word").agg(F.count("*").alias("n"), F.approx_count_distinct("beside").alias("ways")).where(f"n >= {MIN_DOCUMENTS} AND ways >= {MIN_DOCUMENTS} AND ways >= 0.7 * n AND length(word) >= 4")
+    found = toxic.groupBy("word").agg(F.count("*").alias("n"), F.approx_count_distinct("beside").alias("ways")).where(f"n >= {MIN_DOCUMENTS} AND ways >= {MIN_DOCUMENTS} AND length(word) >= 4")
     candidates = dict(found.orderBy(F.desc("n"), "word").limit(100_000).select("word", "n").toArrow().to_pandas().itertuples(index=False))
 
     def counted(keep) -> DataFrame:
