@@ -39,15 +39,15 @@ def range_join(lines: DataFrame, boxes: DataFrame, *, cell: float = 16.0) -> Dat
 
     def dealt(df: DataFrame, low: str, high: str) -> DataFrame:
         for a, c in zip(AXES, cells(low, high), strict=True):
-            df = df.withColumn(f"c{a}", F.explode(c))
+            df = df.withColumn(f"__cell{a}", F.explode(c))
         return df
 
-    on = [f"c{a}" for a in AXES]
+    on = [f"__cell{a}" for a in AXES]  # spheres have columns cx, cy, cz
     pairs = dealt(lines, "min", "max").join(dealt(boxes, "low", "high"), on)
     test = F.lit(True)
     for a in AXES:
         test &= (F.col(f"max{a}") >= F.col(f"low{a}")) & (F.col(f"min{a}") <= F.col(f"high{a}"))
-        test &= F.col(f"c{a}") == F.floor(F.greatest(f"min{a}", f"low{a}") / cell)
+        test &= F.col(f"__cell{a}") == F.floor(F.greatest(f"min{a}", f"low{a}") / cell)
     return pairs.where(test).drop(*on)
 
 

@@ -56,6 +56,12 @@ def sphere_hits(spark, d):
     return _hits(spark, d)
 
 
+@plan()
+def sphere_hits_all(spark, d):
+    """Hits of every supplier's sphere; DuckDB's plain join is left out, a test holds it against brute force."""
+    return spatial.sphere_hits(_nested(spark, d), t.shapes(spark, d))
+
+
 @plan("SELECT DISTINCT sid FROM l WHERE x BETWEEN -5 AND 5 AND y BETWEEN 0 AND 10 AND z BETWEEN -10 AND 0")
 def select_in_box(spark, d):
     return spatial.select_in_box(layout.to_nested(t.lines_l(spark, d)), (-5, 0, -10), (5, 10, 0))
