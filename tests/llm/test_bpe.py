@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from weftline.llm import byte_bpe as B
 
@@ -61,6 +62,39 @@ def test_heap_is_the_plain_loop():
         assert B.merge_long(word, ranks) == [ranks[p] for p in parts]
 
 
-def test_segments_join_to_the_text():
-    for t in texts():
-        assert "".join(B.segments(t or "")) == (t or "")
+def test_parts_join_to_the_text():
+    for t in map(lambda t: t or "", texts()):
+        for irregular in (True, False):
+            first, *others = B.parts_of(t, irregular)
+            assert first + "".join(p if p[:1] == "\n" and not irregular else " " + p for p in others) == t
+
+
+def test_small_blocks_other_patterns_and_kept_columns(spark, encoding):
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit(1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    coded = B.encode(df, PATH, P.PATTERN + "|(?!)", keep=["doc_id"], decoded_col="bytes", cache_words=100, block_chars=500)
+    assert coded.columns == ["doc_id", "ids", "bytes"]
+    got = {r.doc_id: r for r in coded.collect()}
+    for i, t in rows:
+        assert np.frombuffer(bytes(got[i].ids), "<u4").tolist() == encoding.encode_ordinary(t or ""), t
+        assert bytes(got[i].bytes) == (t or "").encode()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_plan_is_short(spark):
+    df = spark.createDataFrame([(1, "Hello there")], "doc_id long, text string")
+    plan = B.digests(df, PATH, P.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and len(plan) < 4_000_000
+
+
+def test_every_merge_by_rank(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}
+    B.check_ranks(ranks)
+    for wrong in ({b"abc": 256, b"ab": 257}, {b"abc": 256}, {b"ab": 1 << 17}):
+        with pytest.raises(ValueError):
+            B.check_ranks({bytes([b]): b for b in range(256)} | wrong)
+    literal = B.rank_literal(ranks)
+    words = [list(w) for w in (b"", b"a", b"ab", b"abcab", b"cabc")]
+    got = spark.createDataFrame([(words,)], "w array<array<long>>").select(B.fold_words(F.col("w"), literal).alias("w")).first().w
+    assert got == [[], [97], [256], [257, 256], [99, 257]]

@@ -1,25 +1,34 @@
 r"""Byte-level BPE encoding and decoding (operator 7).
 
 ``encode`` adds ``ids``: the token ids as packed little-endian unsigned 32-bit
-integers.  ``decode`` turns such a column back into bytes by concatenating the
-binary pieces of the ids.
+integers, and where ``decoded_col`` is named also the bytes that they stand for.
+``decode`` turns a column of such ids into bytes by joining the pieces of the ids.
 
 Plan of ``encode`` (no shuffle of texts):
 
-1. A bounded sample of documents (``cache_docs``) gives the most frequent
-   words.  Their ids are computed by the same fold as all others; the at most
-   ``cache_words`` results of at most 64 bytes each are broadcast.  The cache
-   only saves work: any word outside it is folded in step 3.
+1. A bounded sample of documents (about ``cache_docs``) gives the most frequent
+   words.  Each is folded once; the at most ``cache_words`` results of at most
+   64 bytes each are broadcast.  The cache only saves work.
 2. An Arrow pass cuts each text into words by the pattern and resolves those
-   that are in the cache.  What is not goes on as a list per document.
+   that are in the cache.  The distinct others of a block of documents (about
+   ``block_chars`` characters) travel with its first row.
 3. A fold of ranked merges, written with Spark's higher-order functions over
-   arrays of bytes and a literal rank map, encodes the listed words.
-4. An Arrow pass puts the ids in place.  Words over ``long_word`` bytes, for
-   which the fold's time is quadratic, are merged there with a heap.
+   arrays of bytes and a literal rank map, encodes the distinct words of a block.
+4. An Arrow pass puts the ids in place and joins the pieces of all ids.  Words
+   over ``long_word`` bytes, for which the fold's time is quadratic, are merged
+   there with a heap.
+
+The texts enter only the first pass, unless ``keep`` names their column.
+
+Ranks must be those of trained merges: each token of several bytes arises from
+its bytes by merges of rising rank (``check_ranks``; ValueError otherwise).
+Then two pairs of one rank never overlap unless they are the same pair, so the
+least entry of a word is the merge to make.
 
 Defined results: a null or empty text has no ids and decodes to no bytes;
 repeated rows are encoded one by one; ties between equal ranks go to the
-leftmost pair; input columns named like an output column are replaced.
+leftmost pair; an empty table gives no rows; very long texts are one row each;
+input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -29,27 +38,26 @@ import heapq
 import json
 import uuid
 from collections import Counter
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import let, replaced
 
-#: Primes: sizes of the two arrays of the literal rank map.
-GROUPS, SLOTS = 99_991, 400_009
-#: Ids are below this; an id of no token; an entry that no pair's key meets.
-BASE, END, EMPTY = 1 << 17, (1 << 17) - 1, 1 << 62
-#: Documents in an Arrow batch: three Python workers of a task hold one each, beside the engine's copies.
-BATCH_ROWS = 500
+#: Ids are below 2 ** BITS; the rank of a pair that doesn't merge; the id beside a word's ends.
+BITS, NONE, END = 17, 1 << 17, (1 << 17) - 1
 #: White_Space characters of Unicode: what \s of the pattern stands for.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+#: Texts in which a run of white space may hold a word of several separators.
+IRREGULAR = f"[{WHITE}]{{3}}|[{WHITE}]{{2}}$"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,89 +66,114 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one constant: a map from a pair of ids to the id of both, hashed without clashes.
+def merge_long(word: bytes, ranks: dict[bytes, int], made: list[int] | None = None) -> list[int]:
+    """Ids of one word by ranked merges with a heap, in O(n log n); the ranks merged are added to ``made``."""
+    n = len(word)
+    end, left, right, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        merged, i, stop = heapq.heappop(heap)
+        j = right[i] if alive[i] else n
+        if j >= n or end[j] != stop:
+            continue
+        if made is not None:
+            made.append(merged)
+        alive[j], end[i], right[i] = False, stop, right[j]
+        if right[i] < n:
+            left[right[i]] = i
+            if (rank := ranks.get(word[i : end[right[i]]])) is not None:
+                heapq.heappush(heap, (rank, i, end[right[i]]))
+        if left[i] >= 0 and (rank := ranks.get(word[left[i] : stop])) is not None:
+            heapq.heappush(heap, (rank, left[i], stop))
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def check_ranks(ranks: dict[bytes, int]) -> None:
+    """ValueError unless all single bytes are tokens and each other token arises by merges of rising rank."""
+    if max(ranks.values(), default=0) >= END or any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("a vocabulary needs all 256 bytes and ids below 2 ** 17 - 1")
+    for token, rank in ranks.items():
+        made: list[int] = []
+        if merge_long(token, ranks, made) != [rank] or made != sorted(made):
+            raise ValueError(f"token {rank} doesn't arise by merges of rising rank")
+
+
+def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, int, int]:
+    """The ranks as one constant, a map from a pair of ids to the id of both, and the sizes of its two arrays.
 
-    In a vocabulary of ranked merges a token's id is its rank.  A pair's key is
-    left * 2**17 + right; ``e`` holds key * 2**17 + rank in slot
-    (key + d[key % size(d)]) % size(e).  So e XOR key * 2**17 is the rank of
-    a pair that merges, and 2**17 or more for any other pair.
+    A pair's key is left * 2**BITS + right.  Keys fall into groups by key % size(d);
+    ``e`` holds key * 2**BITS + rank in slot (key + d[group]) % size(e), where
+    d[group] is such that no two keys share a slot.  So e XOR key * 2**BITS is the
+    rank of a pair that merges; for any other it is null or not below 2**BITS.
     """
     pairs = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                pairs[(left << 17) + right] = rank
+                pairs[(left << BITS) + right] = rank
+    n_groups, n_slots = len(pairs) // 3 | 1, len(pairs) * 9 // 8 | 1
     groups: dict[int, list[int]] = {}
     for key in pairs:
-        groups.setdefault(key % GROUPS, []).append(key)
-    shift, entries = [0] * GROUPS, [EMPTY] * SLOTS
-    for g, keys in sorted(groups.items(), key=lambda x: -len(x[1])):
-        at = next(d for d in range(SLOTS) if len(slots := {(k + d) % SLOTS for k in keys}) == len(keys) and all(entries[i] == EMPTY for i in slots))
-        shift[g] = at
+        groups.setdefault(key % n_groups, []).append(key)
+    shift, entries = [0] * n_groups, [None] * n_slots
+    slot = 0
+    for group, keys in sorted(groups.items(), key=lambda x: -len(x[1])):
+        while True:
+            slot = (slot + 1) % n_slots
+            at = slot - keys[0]
+            if entries[slot] is None and len(slots := {(k + at) % n_slots for k in keys}) == len(keys) and all(entries[i] is None for i in slots):
+                break
+        shift[group] = at % n_slots
         for k in keys:
-            entries[(k + at) % SLOTS] = (k << 17) + pairs[k]
-    return F.from_json(F.lit(json.dumps({"d": shift, "e": entries}, separators=(",", ":"))), "struct<d:array<bigint>,e:array<bigint>>")
+            entries[(k + at) % n_slots] = (k << BITS) + pairs[k]
+    literal = F.from_json(F.lit(json.dumps({"d": shift, "e": entries}, separators=(",", ":"))), "struct<d:array<bigint>,e:array<bigint>>")
+    return literal, n_groups, n_slots
 
 
-def fold_words(words: Column, ranks: Column) -> Column:
+def fold_words(words: Column, ranks: tuple[Column, int, int]) -> Column:
     """Ids of each word of ``words`` by ranked merges.
 
-    A word is an array of the ids of its single bytes.  The fold's state holds
-    the pieces so far, between two END ids that merge with nothing, and the
-    ranks of all adjacent pairs; each step merges the leftmost pair of the
-    least rank.
+    A word is an array of the ids of its single bytes.  The fold's state is an
+    array with one number for each two neighbours (the word's ends are END): the
+    rank of their merge or NONE, then both ids.  Each step takes the least
+    number, which names the merge and both pieces, and puts in the two numbers
+    of the merged piece and its neighbours.
     """
+    literal, n_groups, n_slots = ranks
 
     def encode(table: Column) -> Column:
-        def rank(left: Column, right: Column) -> Column:
-            key = left * BASE + right
-            slot = (key + F.get(table["d"], (key % GROUPS).cast("int"))) % SLOTS
-            return F.get(table["e"], slot.cast("int")).bitwiseXOR(key * BASE)
-
-        def start(w: Column) -> Column:
-            end = F.array(F.lit(END).cast("bigint"))
-            return let(F.concat(end, w, end), lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.size(w) + 1), lambda x, i: rank(F.get(p, i), x)).alias("r")))
-
-        def merge(p: Column, r: Column, at: Column) -> Column:
-            least = F.get(r, at - 1)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(least), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), least), rank(least, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r))).alias("r"),
-            )
-
-        def step(acc: Column, _: Column) -> Column:
-            p, r = acc["p"], acc["r"]
-            return let(F.array_position(r, F.array_min(r)).cast("int"), lambda at: F.when(F.get(r, at - 1) < BASE, merge(p, r, at)).otherwise(acc))
+        def number(left: Column, right: Column) -> Column:
+            def of(key: Column) -> Column:
+                slot = (F.get(table["d"], (key % n_groups).cast("int")) + key) % n_slots
+                rank = F.get(table["e"], slot.cast("int")).bitwiseXOR(F.shiftleft(key, BITS))
+                return F.shiftleft(F.least(rank, F.lit(NONE).cast("long")), 2 * BITS) + key
 
-        def word(w: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(2), F.size(w)), start(w), step, lambda acc: F.slice(acc["p"], F.lit(2), F.size(acc["p"]) - 2))
+            return let(F.shiftleft(left, BITS) + right, of)
 
-        return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(word(w)))
+        def left(x: Column) -> Column:
+            return F.shiftright(x, BITS).bitwiseAND(F.lit(END).cast("long"))
 
-    return let(ranks, encode)
+        def merge(state: Column, piece: Column, at: Column) -> Column:
+            before, after = left(F.get(state, at - 2)), F.get(state, at).bitwiseAND(F.lit(END).cast("long"))
+            return F.concat(F.slice(state, F.lit(1), at - 2), F.array(number(before, piece), number(piece, after)), F.slice(state, at + 2, F.size(state)))
 
+        def step(state: Column, _: Column) -> Column:
+            def at_least(least: Column) -> Column:
+                at = F.array_position(state, least).cast("int")
+                return F.when(least < NONE << 2 * BITS, let(at, lambda at: merge(state, F.shiftright(least, 2 * BITS), at))).otherwise(state)
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word by ranked merges with a heap, in O(n log n)."""
-    n = len(word)
-    end, left, right, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = right[i] if alive[i] else n
-        if j >= n or end[j] != stop:
-            continue
-        alive[j], end[i], right[i] = False, stop, right[j]
-        if right[i] < n:
-            left[right[i]] = i
-            if (rank := ranks.get(word[i : end[right[i]]])) is not None:
-                heapq.heappush(heap, (rank, i, end[right[i]]))
-        if left[i] >= 0 and (rank := ranks.get(word[left[i] : stop])) is not None:
-            heapq.heappush(heap, (rank, left[i], stop))
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+            return let(F.array_min(state), at_least)
+
+        def word(w: Column) -> Column:
+            end = F.array(F.lit(END).cast("long"))
+            start = F.zip_with(F.concat(end, w), F.concat(w, end), number)
+            return F.aggregate(F.sequence(F.lit(2), F.size(w)), start, step, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state)), left))
+
+        return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(word(w)))
+
+    return let(literal, encode)
 
 
 def apart(left: str, right: str) -> bool:
@@ -148,96 +181,167 @@ def apart(left: str, right: str) -> bool:
     return bool(left and right) and left[-1] not in WHITE and right[0] not in WHITE
 
 
-def segments(text: str) -> list[str]:
-    """``text`` cut before each space that has other characters than white space on both sides."""
+def parts_of(text: str, irregular: bool) -> list[str]:
+    """``text`` in parts whose words don't depend on each other, for the pattern of ``public_tokenizers``.
+
+    The first part is as in the text.  Any other begins with a line feed, or stands
+    for a space and itself.  White space between two other characters is a word of
+    all but its last character, then either one more word or, where that is a
+    space, the beginning of the next word; so runs of at most two characters can be
+    cut before each space and line feed.  ``irregular`` texts are cut only at
+    single spaces between other characters.
+    """
+    if not irregular:
+        return text.replace("\n", " \n").split(" ")
     out: list[str] = []
     last = ""
     for part in text.split(" "):
         if out and not apart(last, part):
             out[-1] += " " + part
         else:
-            out.append(" " + part if out else part)
+            out.append(part)
         last = part
     return out
 
 
+def irregular_texts(texts: pa.Array) -> list[bool]:
+    return pc.fill_null(pc.match_substring_regex(texts, IRREGULAR), False).to_pylist()
+
+
 class _Cutter:
     """Cuts texts into words and resolves those whose ids are known."""
 
-    def __init__(self, pattern: str, known: dict[bytes, bytes], memo_size: int = 100_000):
-        self.find = regex.compile(pattern).findall
+    def __init__(self, pattern: str, known: dict[bytes, bytes], memo_size: int = 400_000):
+        self.find, self.plain = regex.compile(pattern).findall, pattern == PATTERN
         self.known, self.memo, self.memo_size = known, {}, memo_size
-
-    def __call__(self, text: str) -> tuple[bytes, list[int], list[bytes]]:
-        """Packed ids of known words; where the others go (in bytes of the former); the others."""
-        memo, parts = self.memo, text.split(" ")
+        self.start()
+
+    def start(self) -> None:
+        """A new block: no unknown words so far."""
+        self.rest: dict[bytes, int] = {}
+        self.partial: dict[str, tuple[bytes, list[tuple[int, int]]]] = {}
+
+    def _unit(self, unit: str) -> tuple[bytes, list[tuple[int, int]]]:
+        """Packed ids of the known words of ``unit``, and where (in bytes) which unknown words go."""
+        words = [w.encode("utf-8", "surrogatepass") for w in self.find(unit)]
+        ids, gaps, size = list(map(self.known.get, words)), [], 0
+        if None in ids:
+            for w, x in zip(words, ids, strict=True):
+                if x is None:
+                    gaps.append((size, self.rest.setdefault(w, len(self.rest))))
+                else:
+                    size += len(x)
+            ids = filter(None, ids)
+        return b"".join(ids), gaps
+
+    def __call__(self, text: str, irregular: bool) -> tuple[bytes, list[int], list[int]]:
+        if not text:
+            return b"", [], []
+        if not self.plain:
+            got, gaps = self._unit(text)
+            return got, [at for at, _ in gaps], [w for _, w in gaps]
+        memo, parts = self.memo, parts_of(text, irregular)
         got = list(map(memo.get, parts))
-        got[0] = None
-        rest: list[tuple[int, int, bytes]] = []
+        got[0], gaps = self._unit(parts[0])
+        found = [(0, gaps)] if gaps else []
         if None in got:
-            i = -1
-            while True:
-                try:
-                    i = first = got.index(None, i + 1)
-                except ValueError:
-                    break
-                while first and not apart(parts[first - 1], parts[first]):
-                    first -= 1
-                    got[first] = b""
-                got[i] = b""
-                while i + 1 < len(parts) and not apart(parts[i], parts[i + 1]):
-                    i += 1
-                    got[i] = b""
-                rest = [x for x in rest if x[0] < first]
-                whole = " " * (first > 0) + " ".join(parts[first : i + 1])
-                words = [w.encode("utf-8", "surrogatepass") for w in self.find(whole)]
-                ids = [self.known.get(w) for w in words]
-                if None in ids:
-                    size = 0
-                    for w, x in zip(words, ids, strict=True):
-                        if x is None:
-                            rest.append((i, size, w))
-                        size += len(x or b"")
-                    got[i] = b"".join(x for x in ids if x)
-                else:
-                    got[i] = b"".join(ids)
-                    if 0 < first == i and len(whole) <= 64:
-                        if len(memo) >= self.memo_size:
-                            memo.clear()
-                        memo[parts[i]] = got[i]
-        starts = [0, *accumulate(map(len, got))] if rest else []
-        return b"".join(got), [starts[i] + size for i, size, _ in rest], [w for _, _, w in rest]
-
-
-def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int], literal: Column, cache_docs: int, cache_words: int) -> bytes:
+            i, partial = 0, self.partial
+            try:
+                while True:
+                    i = got.index(None, i + 1)
+                    part = parts[i]
+                    if (known := partial.get(part)) is None:
+                        known = self._unit(part if part[:1] == "\n" else " " + part)
+                        if known[1]:
+                            partial[part] = known
+                        elif len(memo) < self.memo_size and len(part) <= 64:
+                            memo[part] = known[0]
+                    got[i] = known[0]
+                    if known[1]:
+                        found.append((i, known[1]))
+            except ValueError:
+                pass
+        if not found:
+            return b"".join(got), [], []
+        starts = list(accumulate(map(len, got), initial=0))
+        return b"".join(got), [starts[i] + at for i, gaps in found for at, _ in gaps], [w for _, gaps in found for _, w in gaps]
+
+
+def byte_lists(words: Sequence[bytes], single: np.ndarray) -> pa.Array:
+    """Each word as a list of the ids of its single bytes."""
+    offsets = np.fromiter(accumulate(map(len, words), initial=0), np.int32, len(words) + 1)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(single[np.frombuffer(b"".join(words), np.uint8)]))
+
+
+def packed_lists(ids: pa.Array, dtype: str) -> list[bytes]:
+    """Each list of ids as packed integers."""
+    values = ids.flatten().to_numpy(zero_copy_only=False).astype(dtype)
+    packed, stops = values.tobytes(), ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * values.itemsize).tolist()
+    return [packed[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+
+class _Pieces:
+    """Joins the binary pieces of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token
+        self.sizes = np.array([len(x) for x in pieces])
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes[:-1])))
+        self.pool = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        sizes = self.sizes[ids]
+        stops = np.cumsum(sizes)
+        return self.pool[np.repeat(self.starts[ids] - stops + sizes, sizes) + np.arange(stops[-1])].tobytes()
+
+
+def blocks(batches: Iterator[pa.RecordBatch], position: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batches``, each of about ``most`` bytes of the strings in column ``position``."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(position)), 0).to_numpy(zero_copy_only=False)
+        begun = np.concatenate(([0], np.cumsum(sizes)[:-1])) // most
+        cuts = [0, *(np.flatnonzero(np.diff(begun)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
+def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int], literal: tuple[Column, int, int], cache_docs: int, cache_words: int) -> bytes:
     """Ids of the most frequent words of a bounded sample of documents: (word, ids) in Arrow's format."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(s for s in segments(text or "") if len(s) <= 64)
+        find, plain, seen = regex.compile(pattern).findall, pattern == PATTERN, Counter()
         words: Counter[str] = Counter()
-        for s, n in seen.items():
-            for w in find(s):
-                words[w] += n
-        words = {w: n for w, n in words.items() if len(w) <= 32}
-        for i in range(0, len(words), 50_000):
-            part = list(words.items())[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
-
-    texts = df.select(F.col(text_col).alias("text"))
+        for batch in blocks(batches, 0, 1 << 22):
+            for text, irregular in zip(batch.column(0).to_pylist(), irregular_texts(batch.column(0)), strict=True):
+                if plain:
+                    first, *others = parts_of(text or "", irregular)
+                    words.update(find(first))
+                    seen.update(others)
+                else:
+                    words.update(find(text or ""))
+        for part, n in seen.items():
+            if len(part) <= 64:
+                for w in find(part if part[:1] == "\n" else " " + part):
+                    words[w] += n
+        kept = [(w.encode("utf-8", "surrogatepass"), n) for w, n in words.items() if len(w) <= 32]
+        for i in range(0, len(kept), 50_000):
+            part = kept[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
+
+    texts = df.select(F.col(f"`{text_col}`").alias("text"))
     total = texts.count()
     if total > cache_docs:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * cache_docs / total))
+        texts = texts.sample(cache_docs / total, 7)
     counts = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(cache_words)
-    single = [ranks[bytes([b])] for b in range(256)]
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(cache_words)
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word = batch.column(0)
-            yield pa.RecordBatch.from_arrays([word, pa.array([[single[b] for b in w] for w in word.to_pylist()], pa.list_(pa.int64()))], ["word", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), byte_lists(batch.column(0).to_pylist(), single)], ["word", "pieces"])
 
     pieces = top.select("word").repartition(F.xxhash64("word")).mapInArrow(split, "word binary, pieces array<long>")
     found = pieces.select("word", F.get(fold_words(F.array("pieces"), literal), 0).alias("ids")).toArrow()
@@ -247,21 +351,19 @@ def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int],
     return sink.getvalue().to_pybytes()
 
 
-#: The last cache that this Python worker has unpacked, by its name.
-_UNPACKED: dict[str, dict[bytes, bytes]] = {}
+#: What this Python worker has unpacked last, by its name.
+_UNPACKED: dict[str, _Cutter] = {}
 
 
-def _unpacked(name: str, cache: bytes, ranks: dict[bytes, int]) -> dict[bytes, bytes]:
-    """Packed ids of the cached words and of all tokens."""
+def _cutter(name: str, pattern: str, cache: bytes, ranks: dict[bytes, int], dtype: str) -> _Cutter:
+    """A cutter that knows the cached words and all tokens; a worker's tasks share what it has cut."""
     if name not in _UNPACKED:
         _UNPACKED.clear()
-        known = {w: i.to_bytes(4, "little") for w, i in ranks.items()}
+        size = np.dtype(dtype).itemsize
+        known = {w: i.to_bytes(size, "little") for w, i in ranks.items()}
         for batch in pa.ipc.open_stream(cache):
-            ids = batch.column("ids")
-            packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            stops = ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4).tolist()
-            known.update({w: packed[a:b] for w, a, b in zip(batch.column("word").to_pylist(), stops[:-1], stops[1:], strict=True)})
-        _UNPACKED[name] = known
+            known.update(zip(batch.column("word").to_pylist(), packed_lists(batch.column("ids"), dtype), strict=True))
+        _UNPACKED[name] = _Cutter(pattern, known)
     return _UNPACKED[name]
 
 
@@ -271,74 +373,91 @@ def encode(
     pattern: str,
     text_col: str = "text",
     *,
+    keep: Sequence[str] | None = None,
+    decoded_col: str | None = None,
     cache_docs: int = 50_000,
     cache_words: int = 200_000,
-    long_word: int = 1024,
+    block_chars: int = 1 << 22,
+    long_word: int = 256,
 ) -> DataFrame:
-    """``df`` with ``ids``: the packed ids of ``text_col``.  See the module's docstring."""
+    """The columns ``keep`` of ``df`` (all, if None) and ``ids``: the packed ids of ``text_col``.  See the module's docstring."""
     ranks = read_ranks(vocab_path)
+    check_ranks(ranks)
     literal = rank_literal(ranks)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    single = [ranks[bytes([b])] for b in range(256)]
-    spark = df.sparkSession
-    cache, name = spark.sparkContext.broadcast(_cache(df, text_col, pattern, ranks, literal, cache_docs, cache_words)), uuid.uuid4().hex
-    all_ranks = spark.sparkContext.broadcast(ranks)
-    extra = [T.StructField("__ids", T.BinaryType()), T.StructField("__at", T.ArrayType(T.IntegerType())), T.StructField("__which", T.ArrayType(T.IntegerType())), T.StructField("__rest", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__long", T.ArrayType(T.BinaryType()))]
-    cut_schema = T.StructType(df.schema.fields + extra)
-    position = df.columns.index(text_col)
+    dtype = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+    unit = np.dtype(dtype).itemsize
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    context, name = df.sparkSession.sparkContext, uuid.uuid4().hex
+    cache = context.broadcast(_cache(df, text_col, pattern, ranks, literal, cache_docs, cache_words))
+    all_ranks = context.broadcast(ranks)
+
+    out = {"ids", (decoded_col or "ids").lower()}
+    kept = [f for f in df.schema.fields if f.name.lower() not in out and (keep is None or f.name in keep)]
+    extra = [T.StructField(c, T.BinaryType()) for c in ("__ids", "__at", "__which")]
+    extra += [T.StructField("__rest", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__long", T.ArrayType(T.BinaryType()))]
+    cut_schema = T.StructType(kept + extra)
+    out_schema = T.StructType(kept + [T.StructField(c, T.BinaryType()) for c in ["ids", *([decoded_col] if decoded_col else [])]])
+    n = len(kept)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter(pattern, _unpacked(name, cache.value, all_ranks.value))
-        for batch in batches:
-            for part in (batch.slice(i, BATCH_ROWS) for i in range(0, batch.num_rows, BATCH_ROWS)):
-                rows = [cutter(x or "") for x in part.column(position).to_pylist()]
-                once = [list(dict.fromkeys(r[2])) for r in rows]  # a word that a document repeats is folded once
-                which = [list(map({w: i for i, w in enumerate(o)}.__getitem__, r[2])) for r, o in zip(rows, once, strict=True)]
-                short = [[[single[b] for b in w] if len(w) <= long_word else [] for w in o] for o in once]
-                large = [[w for w in o if len(w) > long_word] for o in once]
-                made = zip(([r[0] for r in rows], [r[1] for r in rows], which, short, large), extra, strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, to_arrow_type(f.dataType)) for x, f in made)], cut_schema.names)
+        cutter = _cutter(name, pattern, cache.value, all_ranks.value, dtype)
+        for block in blocks(batches, n, block_chars):
+            cutter.start()
+            rows = [cutter(x, i) for x, i in zip(block.column(n).to_pylist(), irregular_texts(block.column(n)), strict=True)]
+            words = list(cutter.rest)
+            short = byte_lists([w if len(w) <= long_word else b"" for w in words], single)
+            first = pa.array([0] + [None] * (len(rows) - 1), pa.int32())  # the block's words travel with its first row
+            columns = [
+                pa.array([r[0] for r in rows], pa.binary()),
+                *(pa.array([np.array(r[k], "<i4").tobytes() for r in rows], pa.binary()) for k in (1, 2)),
+                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), short).take(first),
+                pa.array([[w for w in words if len(w) > long_word]], pa.list_(pa.binary())).take(first),
+            ]
+            yield pa.RecordBatch.from_arrays([*block.columns[:n], *columns], cut_schema.names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, done = len(keep), []
-            for x, where, which, long_words, got in zip(*(batch.column(n + k).to_pylist() for k in range(5)), strict=True):
-                if where:
-                    large = iter(long_words)
-                    new = [np.array(ids or merge_long(next(large), all_ranks.value), "<u4").tobytes() for ids in got]
-                    parts, last = [], 0
-                    for i, k in zip(where, which, strict=True):
-                        parts += [x[last:i], new[k]]
-                        last = i
-                    x = b"".join([*parts, x[last:]])
-                done.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(done, pa.binary())], out_schema.names)
-
-    out_schema = replaced(df.schema, T.StructField("ids", T.BinaryType()))
-    keep = out_schema.names[:-1]
-    first = df.mapInArrow(cut, cut_schema)
-    return first.select(*[F.col(f"`{c}`") for c in keep], "__ids", "__at", "__which", "__long", fold_words(F.col("__rest"), literal).alias("__new")).mapInArrow(place, out_schema)
+        join, new = _Pieces(all_ranks.value) if decoded_col else None, []
+        for batch in blocks(batches, n, block_chars):
+            coded, decoded = [], []
+            lists, long_words = batch.column(n + 3), batch.column(n + 4)
+            for i, (x, at, which) in enumerate(zip(*(batch.column(n + k).to_pylist() for k in range(3)), strict=True)):
+                if lists[i].is_valid:
+                    new, large = packed_lists(lists[i].values, dtype), iter(long_words[i].as_py())
+                    new = [ids or np.array(merge_long(next(large), all_ranks.value), dtype).tobytes() for ids in new]
+                if at:
+                    stops = np.frombuffer(at, "<i4").tolist()
+                    known = [x[a:b] for a, b in zip([0, *stops], [*stops, len(x)], strict=True)]
+                    x = b"".join(chain.from_iterable(zip(known, [*map(new.__getitem__, np.frombuffer(which, "<i4").tolist()), b""], strict=True)))
+                ids = np.frombuffer(x, dtype)
+                coded.append(ids.astype("<u4").tobytes())
+                if join:
+                    decoded.append(join(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, pa.binary()) for c in ([coded, decoded] if join else [coded]))], out_schema.names)
+
+    columns = [F.col(f"`{f.name}`") for f in kept]
+    first = df.select(*columns, F.col(f"`{text_col}`").alias("__text")).mapInArrow(cut, cut_schema)
+    return first.select(*columns, "__ids", "__at", "__which", fold_words(F.col("__rest"), literal).alias("__rest"), "__long").mapInArrow(place, out_schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with ``out_col``: the bytes that the packed ids of ``ids_col`` stand for."""
-    pieces = df.sparkSession.sparkContext.broadcast({i: w for w, i in read_ranks(vocab_path).items()})
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocab_path))
     schema = replaced(df.schema, T.StructField(out_col, T.BinaryType()))
     names, position = df.columns, df.columns.index(ids_col)
     keep = [i for i, c in enumerate(names) if c in schema.names[:-1]]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value.__getitem__
-        for batch in batches:
-            done = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(position).to_pylist()]
+        pieces = _Pieces(ranks.value)
+        for batch in blocks(batches, position, 1 << 23):
+            done = [pieces(np.frombuffer(x or b"", "<u4")) for x in batch.column(position).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(done, pa.binary())], schema.names)
 
     return df.mapInArrow(join, schema)
 
 
 def digests(df: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
-    """The query's columns, from what ``encode`` and ``decode`` return."""
-    coded = decode(encode(df, vocab_path, pattern), vocab_path)
+    """The query's columns, from what ``encode`` returns."""
+    coded = encode(df, vocab_path, pattern, keep=["doc_id"], decoded_col="decoded")
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
