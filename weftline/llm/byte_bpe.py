@@ -211,7 +211,7 @@ def irregular_texts(texts: pa.Array) -> list[bool]:
 class _Cutter:
     """Cuts texts into words and resolves those whose ids are known."""
 
-    def __init__(self, pattern: str, known: dict[bytes, bytes], memo_size: int = 400_000):
+    def __init__(self, pattern: str, known: dict[bytes, bytes], memo_size: int = 150_000):
         self.find, self.plain = regex.compile(pattern).findall, pattern == PATTERN
         self.known, self.memo, self.memo_size = known, {}, memo_size
         self.start()
@@ -312,24 +312,25 @@ def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int],
     """Ids of the most frequent words of a bounded sample of documents: (word, ids) in Arrow's format."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, plain, seen = regex.compile(pattern).findall, pattern == PATTERN, Counter()
-        words: Counter[str] = Counter()
-        for batch in blocks(batches, 0, 1 << 22):
+        find, plain = regex.compile(pattern).findall, pattern == PATTERN
+        seen: Counter[str] = Counter()
+
+        def words() -> pa.RecordBatch:
+            found: Counter[bytes] = Counter()
+            for part, n in seen.items():
+                for w in find(part) if len(part) <= 64 else ():
+                    found[w.encode("utf-8", "surrogatepass")] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+        for batch in blocks(batches, 0, 1 << 20):
             for text, irregular in zip(batch.column(0).to_pylist(), irregular_texts(batch.column(0)), strict=True):
-                if plain:
-                    first, *others = parts_of(text or "", irregular)
-                    words.update(find(first))
-                    seen.update(others)
-                else:
-                    words.update(find(text or ""))
-        for part, n in seen.items():
-            if len(part) <= 64:
-                for w in find(part if part[:1] == "\n" else " " + part):
-                    words[w] += n
-        kept = [(w.encode("utf-8", "surrogatepass"), n) for w, n in words.items() if len(w) <= 32]
-        for i in range(0, len(kept), 50_000):
-            part = kept[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
+                first, *others = parts_of(text or "", irregular) if plain else find(text or "") or [""]
+                seen.update([first])
+                seen.update(part if part[:1] == "\n" or not plain else " " + part for part in others)
+            if len(seen) > 100_000:
+                yield words()
+        yield words()
 
     texts = df.select(F.col(f"`{text_col}`").alias("text"))
     total = texts.count()
@@ -377,7 +378,7 @@ def encode(
     decoded_col: str | None = None,
     cache_docs: int = 50_000,
     cache_words: int = 200_000,
-    block_chars: int = 1 << 22,
+    block_chars: int = 1 << 21,
     long_word: int = 256,
 ) -> DataFrame:
     """The columns ``keep`` of ``df`` (all, if None) and ``ids``: the packed ids of ``text_col``.  See the module's docstring."""
