@@ -20,29 +20,52 @@ PIECES, VOCAB = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator doesn't predict to be toxic."""
+    """Documents that the toxicity operator doesn't predict to be toxic.
+
+    Null and empty texts score 0 and stay; equal rows are judged alike, each by
+    itself; a score of just the cut is toxic; an empty table gives no rows; long
+    texts are read whole; columns named like an output aren't read.
+    """
     return toxicity.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the bands of tokeniser fertility."""
+    """Documents that pass the base rules and the bands of tokeniser fertility.
+
+    Null, empty and short texts fail the base rules and go; rows of equal text and
+    language stay or go together; an end of a band is inside it; an empty table
+    gives no rows; other columns are passed on.
+    """
     return quality.keep(docs, public_tokenizers.path(PIECES))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """The document of the least id of each group of near-duplicates.
+
+    Rows without an id link with nothing and stay; rows that share an id are one
+    document and stay or go together; null, empty and blank texts stay; an empty
+    table gives no rows; other columns are passed on.
+    """
+    gone = minhash.near_duplicates(docs, words=5, percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, to the nearest whole time."""
+    """Each document as many times as the mix takes it, to the nearest whole time.
+
+    Texts without words take nothing and go; a null source is a source; rows with
+    equal id and text share what they take; an empty table gives no rows.
+    """
     return mixing.apply(docs).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, packed, and their digests after a round trip."""
-    coded = byte_bpe.decode(byte_bpe.encode(docs, public_tokenizers.path(VOCAB), public_tokenizers.PATTERN), public_tokenizers.path(VOCAB))
+    """Token ids of each document, packed, and their digests after a round trip.
+
+    Null and empty texts have no ids; repeated rows are encoded one by one; an
+    empty table gives no rows; columns named ``ids`` or ``decoded`` are replaced.
+    """
+    coded = byte_bpe.encode(docs, public_tokenizers.path(VOCAB), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], decoded_col="decoded")
     return coded.select(
         "doc_id",
         "lang",
