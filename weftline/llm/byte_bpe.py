@@ -145,19 +145,17 @@ def fold_words(words: Column, ranks: tuple[Column, int, int]) -> Column:
 
     def encode(table: Column) -> Column:
         def number(left: Column, right: Column) -> Column:
-            def of(key: Column) -> Column:
-                slot = (F.get(table["d"], (key % n_groups).cast("int")) + key) % n_slots
-                rank = F.get(table["e"], slot.cast("int")).bitwiseXOR(F.shiftleft(key, BITS))
-                return F.shiftleft(F.least(rank, F.lit(NONE).cast("long")), 2 * BITS) + key
-
-            return let(F.shiftleft(left, BITS) + right, of)
+            key = F.shiftleft(left, BITS) + right
+            slot = (F.get(table["d"], (key % n_groups).cast("int")) + key) % n_slots
+            rank = F.get(table["e"], slot.cast("int")).bitwiseXOR(F.shiftleft(key, BITS))
+            return F.shiftleft(F.least(rank, F.lit(NONE).cast("long")), 2 * BITS) + key
 
         def left(x: Column) -> Column:
             return F.shiftright(x, BITS).bitwiseAND(F.lit(END).cast("long"))
 
         def merge(state: Column, piece: Column, at: Column) -> Column:
             before, after = left(F.get(state, at - 2)), F.get(state, at).bitwiseAND(F.lit(END).cast("long"))
-            return F.concat(F.slice(state, F.lit(1), at - 2), F.array(number(before, piece), number(piece, after)), F.slice(state, at + 2, F.size(state)))
+            return F.flatten(F.array(F.slice(state, F.lit(1), at - 2), F.array(number(before, piece), number(piece, after)), F.slice(state, at + 2, F.size(state))))
 
         def step(state: Column, _: Column) -> Column:
             def at_least(least: Column) -> Column:
@@ -377,7 +375,7 @@ def encode(
     keep: Sequence[str] | None = None,
     decoded_col: str | None = None,
     cache_docs: int = 50_000,
-    cache_words: int = 200_000,
+    cache_words: int = 500_000,
     block_chars: int = 1 << 21,
     long_word: int = 256,
 ) -> DataFrame:
