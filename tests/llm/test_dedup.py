@@ -130,3 +130,48 @@ def test_grid_join(spark, monkeypatch, leaf):
 def test_grid_join_of_nothing(spark):
     assert grid_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert [tuple(r) for r in grid_join.near_duplicates(spark.createDataFrame([(4, None)], "vec_id long, embedding array<float>")).collect()] == [(4, 0, 4, True)]
+
+
+def test_grid_join_of_one_class(spark):
+    """One vector, equal ones, and two lengths of one class each."""
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    for some, expected in (
+        (df.where("vec_id = 9"), {(9, 0, 9, True)}),
+        (df.where("vec_id IN (1, 3)"), {(1, 1, 1, True), (3, 1, 1, False)}),
+        (df, {(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (9, 0, 9, True), (None, 0, None, False)}),
+    ):
+        assert {tuple(r) for r in grid_join.near_duplicates(some).collect()} == expected
+
+
+def join_all(x, size=16):
+    """Links by intervals, and the share of pairs that reached the exact cosine."""
+    x = grid_join._unit(x)
+    _, _, axes = np.linalg.svd(np.cov(x.T))
+    p = x @ axes[: grid_join.DIMS].T
+    order = np.lexsort(np.floor(p[:, : grid_join.CELLS] / 0.08).T[::-1])
+    found = grid_join._Found(order.astype(np.int64), np.ones(len(x), np.int64))
+    grid_join._join(x[order], x[order], p[order], p[order], 0, 0, True, 0.95, float(np.sqrt(0.1)) + 1e-6, found)
+    brute = np.triu(x @ x.T >= 0.95, 1)
+    links = np.zeros(len(x), np.int64)
+    links[order] = found.links
+    assert links.tolist() == (brute.sum(axis=0) + brute.sum(axis=1)).tolist()
+    return found.full / (len(x) * (len(x) - 1) / 2)
+
+
+def test_grid_join_skips_distant_vectors(spark):
+    rng = np.random.default_rng(5)
+    assert join_all(rng.normal(size=(3000, 64))) < 0.01
+    centres = rng.normal(size=(40, 64))
+    assert join_all(np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 64)) * 0.3) < 0.05
+
+
+def test_grid_join_drops_distant_leaves(spark, monkeypatch):
+    monkeypatch.setattr(grid_join, "LEAF", 64)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(40, 24)), 50, axis=0) + rng.normal(size=(2000, 24)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, v array<double>, weight long")
+    epsilon = float(np.sqrt(0.1)) + 1e-6
+    axes = grid_join.directions(df, 24, 20_000)
+    leaves = grid_join.materialise(grid_join._numbered(grid_join.materialise(grid_join._leaves(df, axes, epsilon))))
+    n = leaves.count()
+    assert grid_join._leaf_pairs(leaves, epsilon).count() < 0.2 * n * (n + 1) / 2

@@ -21,7 +21,7 @@ def plain_score(text, lexicon, seen):
     hits = []
     for i, token in enumerate(tokens):
         w = token.strip(toxicity.EDGE)
-        if len(token) >= 64 or not w:
+        if not w:
             continue
         if w not in seen:
             d = min((distance(w, t) for t in lexicon.terms if abs(len(t) - len(w)) < 2), default=9)

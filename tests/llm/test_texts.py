@@ -1,6 +1,7 @@
 """Toxicity, quality, licences, language, mixing and the pipeline on small inputs."""
 
 import collections
+import gzip
 import random
 import re
 
@@ -163,3 +164,31 @@ def test_warc_pushdown_and_empty(spark, tmp_path):
     assert [bytes(r.payload) for r in seen.collect()] == [b"small"]
     assert warc.read_archives(spark, path, payload=False).where("payload IS NOT NULL").count() == 0
     assert warc.round_trip(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_writes_add_up(spark, tmp_path, compression):
+    rows = [(i, f"http://{i}", "p" * 1500) for i in range(4)]
+    df = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string").withColumns({"payload": F.lit(1), "ID": F.lit(2), "sha": F.lit("x")})
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(df, path, compression=compression)
+    warc.write_archives(df.where("page_id = 3"), path, compression=compression)
+    got = collections.Counter((r.record_id, r.warc_type) for r in warc.read_archives(spark, path).collect())
+    assert got == {("<urn:page:3>", "response"): 2, ("<urn:page:0>", "revisit"): 2, ("<urn:page:1>", "revisit"): 1, ("<urn:page:2>", "revisit"): 1}
+    assert warc.read_archives(spark, path, payload=False).where("content_length > 0").count() == 2
+
+
+def test_warc_of_others(spark, tmp_path):
+    records = [warc.record({"warc_type": t, "record_id": f"<{t}>", "payload": b"x" * 3000}, "2024-01-01T00:00:00Z") for t in ("warcinfo", "request", "response")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    (tmp_path / "notes.txt").write_text("no archive")
+    found = warc.read_archives(spark, f"file://{tmp_path}")
+    assert found.count() == 6 and [len(r.payload) for r in found.where("warc_type = 'response'").collect()] == [3000, 3000]
+    for name, cut in (("b.warc", lambda x: x[:-700]), ("a.warc.gz", lambda _: b"".join(map(gzip.compress, [*records[:2], records[2][:-700]])))):
+        whole = (tmp_path / name).read_bytes()
+        (tmp_path / name).write_bytes(cut(whole))
+        for payload in (True, False):
+            with pytest.raises(Exception, match="ends inside"):
+                warc.read_archives(spark, f"file://{tmp_path}", payload=payload).collect()
+        (tmp_path / name).write_bytes(whole)

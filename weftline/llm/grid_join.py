@@ -5,15 +5,17 @@ more lie within epsilon = sqrt(2 - 2c) of each other, in any projection too.
 
 1. Equal vectors are one class with a weight; its least id stands for it.
 2. The leading DIMS principal directions of a bounded sample (``max_sample``)
-   give a projection.  Classes are sorted by their grid cells there, dimension
-   by dimension, and the sequence is cut into intervals of LEAF vectors, each
-   packed in one row with its bounding box.
+   give a projection.  Classes are sorted by their grid cells on the first CELLS of
+   them, dimension by dimension, and the sequence is cut at wide gaps into intervals of
+   at most LEAF vectors, each packed in one row with its bounding box.
 3. A tree of intervals, FANOUT to a node, is descended from its root's pair with
    itself: pairs of nodes whose boxes are further apart than epsilon are
    dropped, the others are replaced by the pairs of their children.
-4. A task joins each remaining pair of leaves, halving further down to STEP
-   vectors and skipping distant halves again, by exact cosines in double
-   precision.  It returns the number of links of each class, and for the
+4. The remaining pairs of leaves are dealt to tiles of TILE by TILE leaves, so a leaf
+   is sent once for TILE partners.  A task halves each pair down to STEP vectors,
+   skipping distant halves again, then skips the vectors that are further apart
+   than epsilon in the projection, and compares the others by exact cosines in
+   double precision.  It returns the number of links of each class, and for the
    components no more links than it has classes.
 
 The sample only steers the order: every pair that isn't provably distant is
@@ -22,7 +24,7 @@ compared, whatever the projection.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 numbers link with nothing; vectors of different lengths don't link; a row with
 a null id links with nothing, its component is null and it isn't kept; repeated
-rows link with each other.  Other columns are ignored.
+rows link with each other; an empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,42 +41,47 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import connected_components
 
-DIMS, LEAF, STEP, FANOUT = 6, 4096, 512, 16
+DIMS, CELLS, LEAF, STEP, FANOUT, TILE = 16, 6, 1024, 256, 16, 8
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v, n): v an array<double> that can link, or null."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
+    """(id, v): v an array of floats (as in the table) or doubles that can link, or null."""
+    v = F.col(f"`{vector_col}`")
+    if dict(df.dtypes)[vector_col] != "array<float>":
+        v = v.cast("array<double>")
     fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(F.coalesce(fine, F.lit(False)) & F.col(f"`{id_col}`").isNotNull(), v).alias("v"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1, by their largest number first so that nothing over- or underflows."""
+    """Rows scaled to length 1 in double precision, by their largest number first so that nothing over- or underflows."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
 def directions(classes: DataFrame, size: int, max_sample: int) -> np.ndarray:
     """Leading principal directions (size x DIMS, orthonormal) of at most ``max_sample`` unit vectors."""
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("v").toArrow().column("v").combine_chunks()
     x = _unit(_matrix(sample, size))
+    if len(x) < 2:  # no direction leads
+        return np.eye(size)[:, :DIMS]
     _, _, axes = np.linalg.svd(np.cov((x - x.mean(axis=0)).T).reshape(size, size))
     return axes[:DIMS].T
 
 
 def _leaves(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
     """(part, place, low, high, ids, weights, vectors) of each interval of the sequence."""
-    dims = axes.shape[1]
+    dims, vectors = min(CELLS, axes.shape[1]), dict(classes.dtypes)["v"]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cells = np.floor(_unit(_matrix(batch.column("v"), axes.shape[0])) @ axes / epsilon * 4).astype(np.int32)
+                cells = np.floor(_unit(_matrix(batch.column("v"), axes.shape[0])) @ axes[:, :dims] / epsilon * 4).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cells[:, k]) for k in range(dims))], [*batch.schema.names, *(f"c{k}" for k in range(dims))])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +92,13 @@ def _leaves(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
                 rows += batch.num_rows
             while rows >= LEAF or (batch is None and rows):
                 table = pa.Table.from_batches(held)
-                leaf, rest = table.slice(0, LEAF).combine_chunks(), table.slice(LEAF)
+                x = _matrix(table.column("v").slice(0, LEAF).combine_chunks(), axes.shape[0])
+                p = _unit(x) @ axes
+                steps = (np.diff(p, axis=0) ** 2).sum(axis=1)
+                # an interval ends at the widest gap in its second half
+                n = len(x) if len(x) < LEAF else LEAF // 2 + int(np.argmax(steps[LEAF // 2 - 1 :])) if len(steps) else 1
+                x, p, leaf, rest = x[:n], p[:n], table.slice(0, n).combine_chunks(), table.slice(n)
                 held, rows = rest.to_batches(), rest.num_rows
-                x = _unit(_matrix(leaf.column("v").combine_chunks(), axes.shape[0]))
-                p = x @ axes
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part]),
@@ -102,7 +112,7 @@ def _leaves(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
                 place += 1
 
     cells = [f"c{k}" for k in range(dims)]
-    ordered = classes.select("id", "weight", "v").mapInArrow(project, f"id long, weight long, v array<double>, {', '.join(f'{c} int' for c in cells)}")
+    ordered = classes.select("id", "weight", "v").mapInArrow(project, f"id long, weight long, v {vectors}, {', '.join(f'{c} int' for c in cells)}")
     ordered = ordered.repartitionByRange(*cells, "id").sortWithinPartitions(*cells, "id")
     return ordered.select("id", "weight", "v").mapInArrow(pack, "part long, place long, low array<double>, high array<double>, ids binary, weights binary, vectors binary")
 
@@ -144,27 +154,27 @@ def _apart(p: np.ndarray, q: np.ndarray, epsilon: float) -> bool:
 
 
 class _Found:
-    """Links of one pair of leaves."""
+    """Links of one tile."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray):
         self.ids, self.weights = ids, weights
         self.links = np.zeros(len(ids), np.int64)
-        self.parent = list(range(len(ids)))
-        self.forest: list[tuple[int, int]] = []
-
-    def _root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
+        self.root = np.arange(len(ids))
+        self.full = 0  # pairs of vectors that reached the exact cosine
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Counts the links (i, j) and joins their trees, all at once: roots hook to smaller ones, then all point at their root."""
         np.add.at(self.links, i, self.weights[j])
         np.add.at(self.links, j, self.weights[i])
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = self._root(x), self._root(y)
-            if p != q:
-                self.parent[max(p, q)] = min(p, q)
-                self.forest.append((x, y))
+        while True:
+            p, q = self.root[i], self.root[j]
+            apart = p != q
+            if not apart.any():
+                return
+            i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+            np.minimum.at(self.root, np.maximum(p, q), np.minimum(p, q))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
 
 
 def _join(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, i: int, j: int, same: bool, cut: float, epsilon: float, found: _Found) -> None:
@@ -179,32 +189,52 @@ def _join(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, i: int,
             _join(x[h:], y[:k], px[h:], py[:k], i + h, j, False, cut, epsilon, found)
         _join(x[h:], y[k:], px[h:], py[k:], i + h, j + k, same, cut, epsilon, found)
         return
-    close = x @ y.T >= cut
+    # squared distances in the projection; 1e-9 is far above their rounding
+    near = (px * px).sum(axis=1)[:, None] + (py * py).sum(axis=1)[None, :] - 2 * (px @ py.T) <= epsilon * epsilon + 1e-9
     if same:
-        close = np.triu(close, 1)
-    at, to = np.nonzero(close)
-    if len(at):
-        found.add(at + i, to + j)
-
-
-def _compare(pairs: DataFrame, axes: np.ndarray, cut: float, epsilon: float) -> DataFrame:
+        near = np.triu(near, 1)
+    at, to = np.nonzero(near)
+    found.full += len(at)
+    if len(at) * 4 > near.size:
+        close = (x @ y.T)[at, to] >= cut
+    else:
+        close = np.einsum("ij,ij->i", x[at], y[to]) >= cut
+    if close.any():
+        found.add(at[close] + i, to[close] + j)
+
+
+def _tiles(pairs: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` and the leaves that they name, both with the numbers of their tile (i, j)."""
+    tile = [F.floor(F.col(c) / TILE).alias(t) for c, t in (("a", "i"), ("b", "j"))]
+    dealt = pairs.select(*tile, "a", "b")
+    needed = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    return dealt, needed.join(leaves.select("node", "ids", "weights", "vectors"), "node")
+
+
+def _compare(pairs: DataFrame, leaves: DataFrame, axes: np.ndarray, cut: float, epsilon: float, dtype: str) -> DataFrame:
     """Rows (id, n, other): n more links of a class, or a link (id, other) of a spanning forest."""
     size = axes.shape[0]
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                x, y = (np.frombuffer(v, np.float64).reshape(-1, size) for v in (r.x_vectors, r.y_vectors))
-                same = r.a == r.b
-                ids, weights = (np.frombuffer(u if same else u + v, np.int64) for u, v in ((r.x_ids, r.y_ids), (r.x_weights, r.y_weights)))
-                found = _Found(ids, weights)
-                _join(x, y, x @ axes, y @ axes, 0, 0 if same else len(x), same, cut, epsilon, found)
-                some = np.flatnonzero(found.links)
-                yield pd.DataFrame({"id": ids[some], "n": found.links[some], "other": pd.array([None] * len(some), "Int64")})
-                a, b = (ids[[p[k] for p in found.forest]] if found.forest else np.empty(0, np.int64) for k in (0, 1))
-                yield pd.DataFrame({"id": a, "n": np.zeros(len(a), np.int64), "other": pd.array(b, "Int64")})
-
-    return pairs.mapInPandas(compare, "id long, n long, other long")
+    def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("node")
+        start = dict(zip(held.node, np.cumsum([0, *(len(x) // 8 for x in held.ids[:-1])]), strict=True))
+        found = _Found(*(np.frombuffer(b"".join(held[c]), np.int64) for c in ("ids", "weights")))
+        units = {n: _unit(np.frombuffer(v, dtype).reshape(-1, size)) for n, v in zip(held.node, held.vectors, strict=True)}
+        shadows = {n: x @ axes for n, x in units.items()}
+        for a, b in zip(asked.a, asked.b, strict=True):
+            _join(units[a], units[b], shadows[a], shadows[b], start[a], start[b], a == b, cut, epsilon, found)
+        some, child = np.flatnonzero(found.links), np.flatnonzero(found.root != np.arange(len(found.root)))
+        return pd.DataFrame(
+            {
+                "id": np.concatenate([found.ids[some], found.ids[child]]),
+                "n": np.concatenate([found.links[some], np.zeros(len(child), np.int64)]),
+                "other": pd.array([None] * len(some) + found.ids[found.root[child]].tolist(), "Int64"),
+            }
+        )
+
+    asked, held = _tiles(pairs, leaves)
+    asked, held = asked.toDF("i", "j", "a", "b"), held.select("i", "j", "node", "ids", "weights", "vectors").toDF("k", "l", "node", "ids", "weights", "vectors")
+    return asked.groupBy("i", "j").cogroup(held.groupBy("k", "l")).applyInPandas(compare, "id long, n long, other long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, cosine: float = 0.95, max_sample: int = 20_000) -> DataFrame:
@@ -220,9 +250,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         axes = np.pad(axes, ((0, 0), (0, DIMS - axes.shape[1])))
         leaves = materialise(_numbered(materialise(_leaves(own, axes, epsilon))))
         pairs = _leaf_pairs(leaves, epsilon)
-        sides = [leaves.select(F.col("node").alias(n), *(F.col(c).alias(f"{s}_{c}") for c in ("ids", "weights", "vectors"))) for n, s in (("a", "x"), ("b", "y"))]
-        both = pairs.join(sides[0], "a").join(sides[1], "b").repartition(F.col("a"), F.col("b"))
-        found = materialise(_compare(both, axes, cosine, epsilon))
+        dtype = "<f4" if dict(own.dtypes)["v"] == "array<float>" else "<f8"
+        found = materialise(_compare(pairs, leaves, axes, cosine, epsilon, dtype))
         links = found if links is None else links.unionByName(found)
     if links is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))

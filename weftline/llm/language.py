@@ -3,8 +3,8 @@
 After Cavnar and Trenkle, "N-Gram-Based Text Categorization" (1994).  A text's
 profile is its TOP most frequent n-grams of 1 to 3 letters, words padded with
 a space, most frequent first.  ``fit`` adds up the n-grams of a bounded sample
-of the rows it is given (``max_documents`` a language, smallest hash of the
-text first).  ``predict`` takes the language whose profile has the least
+of the rows it is given (at most ``max_documents`` of each language, by a hash of
+the id).  Every language with a row is learned.  ``predict`` takes the language whose profile has the least
 out-of-place distance: the sum, over the document's n-grams, of how far each
 one's rank is from its rank in the profile, or TOP where the profile lacks it.
 
@@ -12,7 +12,9 @@ The score is how far the best distance is below the second, against the second.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and so is every text if nothing was learned; with one language learned its
-score is 1; ties between n-grams go by their code points and ties between
+score is 1; a null id isn't held out; a language of few texts is learned from
+those; long texts are read whole; repeated rows are predicted alike; an empty table
+gives no rows; ties between n-grams go by their code points and ties between
 languages by their names; other columns are passed on, those named like an
 output are replaced.
 """
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 from .common import replaced
 
 TOP = 400
+#: Parts of a language whose least hashes make up its sample.
+SPREAD = 16
 #: Code points take 21 bits; shorter n-grams have zeros in front.
 BITS = np.uint64(21)
 NOT_LETTERS = regex.compile(r"\P{L}+")
@@ -53,15 +57,27 @@ def ranked(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))[:TOP]]
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_documents: int = 4_000, max_languages: int = 500) -> dict[str, list[int]]:
-    """Profile (ranked n-gram codes) of each of the ``max_languages`` most frequent languages."""
-    rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = [tuple(r) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not sizes:
-        return {}
-    # rows are chosen by a hash of the text, in the share that gives about max_documents of each language
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, max_documents / n))) for lang, n in sizes], F.lit(0.0))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of each lang of ``rows`` (lang, key, text): those of the least keys' hashes, copies of a key by text.
+
+    Languages are dealt to SPREAD parts, so that none meets in one task whole; Spark
+    cuts each part to ``most`` before it is shuffled.
+    """
+    hashed = rows.select("lang", F.xxhash64("key").alias("h"), F.xxhash64("text").alias("t"), "text").withColumn("part", F.pmod("h", F.lit(SPREAD)))
+    order = [F.col("h"), F.col("t")]
+    part = Window.partitionBy("lang", "part").orderBy(*order)
+    few = hashed.withColumn("place", F.row_number().over(part)).where(F.col("place") <= max(1, most // SPREAD))
+    return few.select("lang", "text")
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_documents: int = 4_096) -> dict[str, list[int]]:
+    """Profile (ranked n-gram codes) of each language, from at most ``max_documents`` rows of it."""
+    names = {"lang": F.col(f"`{lang_col}`").cast("string"), "key": F.col(f"`{id_col}`").cast("string"), "text": F.col(f"`{text_col}`")}
+    rows = df.select(*[c.alias(n) for n, c in names.items()]).where("lang IS NOT NULL AND text IS NOT NULL")
+    # the share of a language's rows that gives twice as many as are taken: only those are sorted
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", 2.0 * max_documents / F.col("n"))
+    chosen = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    chosen = sample(chosen.select("lang", "key", "text"), max_documents)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +111,7 @@ class _Places:
     def __init__(self, profiles: dict[str, list[int]]):
         self.langs = sorted(profiles)
         self.codes = np.unique(np.array([c for x in self.langs for c in profiles[x]], np.uint64))
-        self.place = np.full((len(self.codes) + 1, len(self.langs)), -1)
+        self.place = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int16)
         for k, lang in enumerate(self.langs):
             self.place[np.searchsorted(self.codes, np.array(profiles[lang], np.uint64)), k] = np.arange(len(profiles[lang]))
 
@@ -136,5 +152,5 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text
 def identify(df: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the rows whose crc32 of the id's text isn't 0 modulo 5."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    profiles = fit(df.where(~held_out))
+    profiles = fit(df.where(~held_out), "doc_id")
     return predict(df.select("doc_id", "text"), profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -7,14 +7,18 @@ Only DataFrame functions, on a narrow table (id, source, size).
    source's size and the excess is shared again by weight; that ends at
    min(repeats * size, level * weight), and the level follows from one ordered
    pass over the sources.
-2. Each source is dealt by a seeded hash to shards of about ``shard_words``, so
-   that a large source is many groups.  A shard's votes are its part of the
-   target.  By highest quotients votes / (2k - 1), every quotient of at least
-   half a block wins one block of ``block_words``: votes / block, rounded half
-   up, is the Sainte-Laguë quota of each shard.
-3. Inside a shard documents are ordered by the seeded hash and their words cut
-   into blocks; the quota takes the blocks in that order, again from the start
-   when all are taken.  A document's taken words are those in taken blocks.
+2. Each source is dealt by a seeded hash to shards of about ``shard_words`` words
+   and ``shard_rows`` rows, so that a large source is many groups.  A shard's votes
+   are its part of the target.  The mix has a fixed number of blocks: its words over
+   those of a block (``block_words``, or fewer where the smallest target holds under
+   LEAST_BLOCKS of them, but SHORTEST at least).  They go to the shards of all
+   sources with the highest quotients votes / (2k - 1), ties by source and shard.
+   Two divisors bound what each shard wins for sure and at most; only the quotients
+   in between, about two a shard, are ranked.
+3. Inside a shard documents are ordered by the seeded hash and their words cut into
+   blocks.  A quota takes all blocks as often as it can, and the rest of it the
+   first blocks of a seeded permutation.  A document's taken words are those in
+   taken blocks; no block is taken more than ``repeats`` times.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source,
 the last; sources of size 0 have target 0; repeated rows are separate
@@ -24,12 +28,16 @@ no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, n_words
 
 WEIGHTS = (5, 2, 1)
+#: Blocks that the smallest target should hold, and the fewest words of a block.
+LEAST_BLOCKS, SHORTEST = 20, 8
+#: A prime above the number of any shard's blocks.
+STEP = 2_147_483_647
 
 
 def targets(sources: DataFrame, *, budget: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -47,6 +55,36 @@ def targets(sources: DataFrame, *, budget: float = 1.5, repeats: int = 2) -> Dat
     return levels.select("source", "source_size", target.alias("target"))
 
 
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of ``df`` in a total ``order``.  One row a range of it meets in one task, not the rows."""
+    ranged = materialise(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).where(F.col("__before") < n)
+    placed = ranged.join(starts, "__range").withColumn("__place", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return placed.where(F.col("__before") + F.col("__place") <= n).drop("__range", "__n", "__before", "__place")
+
+
+def quotas(shards: DataFrame, blocks: int) -> DataFrame:
+    """``shards`` (source, shard, votes, ...; read twice) with quota: its part of ``blocks`` by Sainte-Laguë's highest quotients.
+
+    For a divisor d the rounded votes / d of n shards sum to between total / d - n / 2
+    and total / d + n / 2.  So the divisor that hands out all blocks lies between total / (blocks + n / 2)
+    and total / (blocks - n / 2).
+    """
+    total, n = shards.agg(F.coalesce(F.sum("votes"), F.lit(0.0)), F.count("*")).first()
+    if not total or blocks < 1:
+        return shards.withColumn("quota", F.lit(0).cast("long"))
+    rounded = lambda share: F.floor(F.col("votes") * share / total + 0.5).cast("long")
+    bounds = shards.withColumns({"__sure": rounded(max(0.0, blocks - n / 2 - 1)), "__most": rounded(blocks + n / 2 + 1)})
+    contested = bounds.where("__most > __sure").select("source", "shard", "votes", F.explode(F.sequence(F.col("__sure") + 1, "__most")).alias("__k"))
+    contested = contested.select("source", "shard", (F.col("votes") / (2 * F.col("__k") - 1)).alias("quotient"))
+    left = blocks - (bounds.agg(F.sum("__sure")).first()[0] or 0)
+    won = first_rows(contested, [F.desc("quotient"), F.asc_nulls_last("source"), F.asc("shard")], left)
+    won = won.groupBy(F.col("source").alias("__source"), F.col("shard").alias("__shard")).agg(F.count("*").alias("__won"))
+    joined = bounds.join(won, bounds.source.eqNullSafe(F.col("__source")) & (bounds.shard == F.col("__shard")), "left")
+    return joined.withColumn("quota", F.col("__sure") + F.coalesce("__won", F.lit(0))).drop("__sure", "__most", "__source", "__shard", "__won")
+
+
 def plan(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -57,6 +95,7 @@ def plan(
     repeats: int = 2,
     block_words: int = 128,
     shard_words: int = 200_000,
+    shard_rows: int = 20_000,
     seed: int = 17,
 ) -> DataFrame:
     """(id_col, text_digest, size, source_size, target, taken) of each row of ``df``."""
@@ -64,20 +103,33 @@ def plan(
     draw = F.md5(F.concat_ws(":", F.col(f"`{id_col}`").cast("string"), F.lit(str(seed))).cast("binary"))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(text).alias("size"), draw.alias("draw"), F.xxhash64(text).alias("text_digest"))
     rows = materialise(rows)
-    shared = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), budget=budget, repeats=repeats)
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    n_shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("rows") / shard_rows))
+    shared = targets(sources, budget=budget, repeats=repeats).join(sources.select(F.col("source").alias("s"), n_shards.alias("n_shards")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     joined = rows.join(shared, rows.source.eqNullSafe(shared.source)).drop(shared.source)
-    shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1).cast("bigint"))
-    dealt = joined.withColumn("shard", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint"), shards))
-    inside = Window.partitionBy("source", "shard").orderBy("draw", "text_digest", "size")
-    stop = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    shard_size = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    placed = dealt.withColumns({"stop": stop, "shard_size": shard_size})
-    votes = F.coalesce(F.col("target") * F.col("shard_size") / F.nullif("source_size", F.lit(0)), F.lit(0.0))
-    quota = F.floor(votes / block_words + 0.5) * block_words
-    words = F.least(quota, repeats * F.col("shard_size"))
-    passes = F.coalesce(F.floor(words / F.nullif("shard_size", F.lit(0))), F.lit(0).cast("bigint"))
-    rest = words - passes * F.col("shard_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("stop"), rest) - (F.col("stop") - F.col("size")))
+    dealt = joined.withColumn("shard", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint"), F.col("n_shards")))
+    votes = F.col("target") * F.col("shard_size") / F.nullif("source_size", F.lit(0))
+    shards = dealt.groupBy("source", "shard", "source_size", "target").agg(F.sum("size").alias("shard_size"))
+    shards = materialise(shards.withColumn("votes", F.coalesce(votes, F.lit(0.0))))
+    words, smallest = shards.agg(F.coalesce(F.sum("shard_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0))).first()
+    block = max(min(SHORTEST, block_words), min(block_words, int(smallest // LEAST_BLOCKS)))
+    blocks = int(min(budget, repeats) * words / block + 0.5)
+    # a permutation of a shard's blocks: a prime above all their numbers as step, a seeded start
+    size = F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1).cast("bigint"))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("source").cast("string"), F.col("shard").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    won = quotas(shards, blocks).select("source", "shard", F.least("quota", repeats * size).alias("quota"), size.alias("n_blocks"), start.alias("start"))
+    placed = dealt.join(won, dealt.source.eqNullSafe(won.source) & (dealt.shard == won.shard)).drop(won.source, won.shard)
+    inside = Window.partitionBy("source", "shard").orderBy("draw", "text_digest", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("stop", F.sum("size").over(inside)).withColumn("begin", F.col("stop") - F.col("size"))
+    rest = F.pmod("quota", "n_blocks")
+    in_block = lambda j: F.least("stop", (j + 1) * block) - F.greatest("begin", j * block)
+    drawn = F.aggregate(
+        F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("stop") - 1) / block)),
+        F.lit(0).cast("bigint"),
+        lambda got, j: got + F.when((j * STEP + F.col("start")) % F.col("n_blocks") < rest, in_block(j)).otherwise(0),
+    )
+    drawn = F.when((F.col("size") > 0) & (rest > 0), drawn).otherwise(0)
+    taken = F.floor(F.col("quota") / F.col("n_blocks")) * F.col("size") + drawn
     return placed.select(F.col("id").alias(id_col), "text_digest", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 

@@ -21,7 +21,7 @@ OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws(':', doc_id::VARCHAR, '17')) AS draw
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
 f AS (SELECT *, (2 * source_size)::DOUBLE / weight AS full_at FROM w),
 l AS (
@@ -29,18 +29,36 @@ l AS (
       - coalesce(sum(2 * source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
       / (sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM f),
-t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, (SELECT min_by(level, full_at) FROM l WHERE level <= full_at) * weight) AS target FROM l),
+t AS (SELECT source, source_size, n_rows, least((2 * source_size)::DOUBLE, (SELECT min_by(level, full_at) FROM l WHERE level <= full_at) * weight) AS target FROM l),
+m AS (
+  SELECT block, floor(1.5::DOUBLE * words::DOUBLE / block + 0.5)::BIGINT AS blocks
+  FROM (SELECT greatest(8, least(128, floor(coalesce(min(target) FILTER (target > 0), 0) / 20)))::BIGINT AS block, sum(source_size)::BIGINT AS words FROM t)),
 g AS (
-  SELECT d.*, source_size, target, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(ceil(source_size::DOUBLE / 200000)::BIGINT, 1) AS shard
+  SELECT d.*, source_size, target,
+    ('0x' || substr(draw, 1, 8))::BIGINT % greatest(ceil(source_size::DOUBLE / 200000)::BIGINT, ceil(n_rows::DOUBLE / 20000)::BIGINT) AS shard
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (
-  SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY draw ROWS UNBOUNDED PRECEDING))::BIGINT AS stop,
-    (sum(size) OVER (PARTITION BY source, shard))::BIGINT AS shard_size
-  FROM g),
-q AS (SELECT *, least(floor(coalesce(target * shard_size / nullif(source_size, 0), 0) / 128 + 0.5)::BIGINT * 128, 2 * shard_size) AS words FROM p),
-r AS (SELECT *, coalesce(words // nullif(shard_size, 0), 0) AS passes FROM q)
+h AS (
+  SELECT source, shard, sum(size)::BIGINT AS shard_size, coalesce(any_value(target) * sum(size)::BIGINT / nullif(any_value(source_size), 0), 0) AS votes
+  FROM g GROUP BY source, shard),
+-- no shard wins more than its rounded share of all blocks and half a block for each shard
+k AS (
+  SELECT source, shard, votes / (2 * unnest(range(1, floor(votes * (blocks + n / 2.0 + 2) / total + 2)::BIGINT)) - 1) AS quotient
+  FROM h, m, (SELECT sum(votes) AS total, count(*)::DOUBLE AS n FROM h) WHERE votes > 0),
+z AS (
+  SELECT source, shard, count(*) AS quota
+  FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, shard) AS place FROM k) WHERE place <= (SELECT blocks FROM m)
+  GROUP BY source, shard),
+b AS (
+  SELECT h.source, h.shard, greatest(ceil(shard_size::DOUBLE / block)::BIGINT, 1) AS n_blocks, block,
+    least(coalesce(quota, 0), 2 * greatest(ceil(shard_size::DOUBLE / block)::BIGINT, 1)) AS quota,
+    ('0x' || substr(md5(concat_ws(':', h.source, h.shard::VARCHAR, '17')), 1, 8))::BIGINT AS start
+  FROM h CROSS JOIN m LEFT JOIN z ON h.source IS NOT DISTINCT FROM z.source AND h.shard = z.shard),
+p AS (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY draw ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM g),
+r AS (SELECT p.*, n_blocks, block, quota, start, stop - size AS begin FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source AND p.shard = b.shard)
 SELECT doc_id, size, source_size, target,
-  passes * size + greatest(0, least(stop, words - passes * shard_size) - (stop - size)) AS taken
+  ((quota // n_blocks) * size + coalesce(list_sum(
+    [CASE WHEN (j * 2147483647 + start) % n_blocks < quota % n_blocks THEN least(stop, (j + 1) * block) - greatest(begin, j * block) ELSE 0 END
+     FOR j IN range(begin // block, CASE WHEN size = 0 THEN begin // block ELSE (stop - 1) // block + 1 END)]), 0))::BIGINT AS taken
 FROM r
 """
 

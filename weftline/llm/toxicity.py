@@ -15,7 +15,9 @@ of reporting, more beside other hits or a second-person pronoun.
 
 Defined results: null, empty and blank texts score 0; an empty or one-sided
 sample gives an empty lexicon, so all scores are 0; repeated rows are scored
-alike; other columns are passed on, those named like an output are replaced.
+alike; a null id isn't held out and labels nothing; words of any length are looked
+up; the driver holds the words of the sample's toxic texts that may be terms, and
+the words of its clean texts that are near one; other columns are passed on, those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,8 @@ from pyspark.sql import types as T
 from .common import materialise, replaced
 
 MIN_DOCUMENTS, MIN_SHARE, MIN_FUZZY = 5, 0.9, 5
+#: Letters of the shortest term.
+SHORTEST = 4
 WINDOW = 6
 # FUZZY: a misspelling of a term of weight MIN_SHARE still scores 1 - exp(-STEEPNESS * 0.9 * 0.85) = 0.706
 FUZZY, QUOTED, HEATED, STEEPNESS = 0.85, 0.5, 1.25, 1.6
@@ -116,7 +121,9 @@ class _Verdicts(dict):
     def __missing__(self, token: str) -> float | None:
         if len(self) >= 500_000:
             self.clear()
-        self[token] = got = self.weight(token.strip(EDGE)) if len(token) < 64 else None
+        got = self.weight(token.strip(EDGE))
+        if len(token) < 64:
+            self[token] = got
         return got
 
 
@@ -155,13 +162,16 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 tokens = ["", *((text or "").lower().split()), ""]
-                seen = {t.strip(EDGE): tokens[i - 1] + " " + tokens[i + 1] for i, t in enumerate(tokens) if 4 <= len(t) < 64}
-                seen.pop("", None)
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.string())], ["word", "beside"])
+                seen = {t.strip(EDGE): xxhash.xxh3_64_intdigest(f"{tokens[i - 1]} {tokens[i + 1]}") - 2**63 for i, t in enumerate(tokens[1:-1], 1)}
+                seen = {w: beside for w, beside in seen.items() if len(w) >= SHORTEST}
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "beside"])
 
-    toxic = rows.where("label = 1").select("text").mapInArrow(contexts, "word string, beside string")
-    found = toxic.groupBy("word").agg(F.count("*").alias("n"), F.approx_count_distinct("beside").alias("ways")).where(f"n >= {MIN_DOCUMENTS} AND ways >= {MIN_DOCUMENTS} AND length(word) >= 4")
-    candidates = dict(found.orderBy(F.desc("n"), "word").limit(100_000).select("word", "n").toArrow().to_pandas().itertuples(index=False))
+    toxic = rows.where("label = 1").select("text").mapInArrow(contexts, "word string, beside long")
+    # a term occurs in MIN_DOCUMENTS toxic texts; in one of twenty, three at least, where they are few
+    least = max(3, min(MIN_DOCUMENTS, math.ceil(rows.where("label = 1").count() / 20)))
+    found = toxic.groupBy("word").agg(F.count("*").alias("n"), F.approx_count_distinct("beside").alias("ways")).where((F.col("n") >= least) & (F.col("ways") >= least))
+    # as many as the sample's toxic texts have words, at most
+    candidates = dict(found.select("word", "n").toArrow().to_pandas().itertuples(index=False))
 
     def counted(keep) -> DataFrame:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +191,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def near():
         matcher = Matcher(draft)
-        return lambda w: len(w) < 64 and matcher.weight(w) is not None and w not in terms
+        return lambda w: w not in terms and matcher.weight(w) is not None
 
-    clean = frozenset(r.word for r in counted(near).orderBy(F.desc("n"), "word").limit(100_000).collect())
+    clean = frozenset(r.word for r in counted(near).select("word").collect())
     return Lexicon(terms, clean)
 
 
@@ -210,5 +220,5 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def classify(df: DataFrame, labels: DataFrame, *, cut: float = 0.7) -> DataFrame:
     """``df`` with held_out, score and predicted (1 where score >= cut)."""
     scored = score(df, fit(df, training_labels(labels)))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return scored.withColumns({"held_out": held_out, "predicted": (F.col("score") >= cut).cast("int")})

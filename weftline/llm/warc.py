@@ -4,10 +4,13 @@
 
 Writing: each task streams its rows into files of at most ``max_bytes`` in the
 folder, named by the job and the task's attempt.  Only the files that the
-driver commits are listed in the folder's manifest, so a task that is run again
-after a lost executor leaves no double records.
+driver commits are listed in the job's manifest, so a task that is run again
+after a lost executor leaves no double records, and later writes add to the folder.
+Option ``compression`` = "gzip" makes each record a member of its own.
 
-Reading: files are packed into partitions of about ``split_bytes``.  Filters on
+Reading: the files of all manifests of the folder, or all ``*.warc`` and
+``*.warc.gz`` in it where nobody left one, are packed into partitions of about
+``split_bytes``.  Filters on
 ``warc_type``, ``record_id``, ``target_uri``, ``refers_to``, ``payload_digest`` and
 ``content_length`` are pushed down (with spark.sql.python.filterPushdown.enabled):
 a record's header block is parsed first, and the block of a record that no
@@ -17,12 +20,16 @@ filter wants is skipped by its Content-Length without reading it.  With option
 Paths are anything that pyarrow's file systems open by URI.
 
 Defined results: a null payload is written as an empty one, a null header field
-is left out and read as null, line ends in header values become spaces; a file
-that ends inside a record is an error.
+is left out and read as null, line ends in header values become spaces; repeated
+rows are a record each; rows of one page number in a group of equal payloads are
+all responses if it is the largest; an empty folder gives no rows; a file that ends
+inside a record is an error, also where its block is skipped; other columns of the
+pages aren't written.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
 from collections.abc import Iterator
@@ -55,7 +62,7 @@ from pyspark.sql.types import StructType
 from .common import materialise, shared_dir
 
 SCHEMA = "warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, content_length long, payload binary"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 BATCH_BYTES = 8 << 20
 #: Up to so many payloads with copies (about 60 bytes each) go to every task; more are joined by a shuffle.
 BROADCAST_COPIES = 100_000
@@ -165,11 +172,19 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, root = _place(self.path)
-        with system.open_input_stream(f"{root}/{MANIFEST}") as stream:
-            names = json.loads(stream.read())
+        found = sorted(system.get_file_info(fs.FileSelector(root)), key=lambda info: info.path)
+        lists = [info.path for info in found if info.base_name.startswith(MANIFEST)]
+        if lists:
+            names = {n for path in lists for n in json.loads(system.open_input_stream(path).read())}
+            missing = names - {info.base_name for info in found}
+            if missing:
+                raise ValueError(f"archives of a manifest are missing: {sorted(missing)[:3]}")
+            found = [info for info in found if info.base_name in names]
+        else:
+            found = [info for info in found if info.base_name.endswith((".warc", ".warc.gz"))]
         out: list[Files] = []
         room = 0
-        for info in system.get_file_info([f"{root}/{n}" for n in names]):
+        for info in found:
             if room < info.size or not out:
                 out.append(Files([]))
                 room = self.split_bytes
@@ -183,8 +198,12 @@ class WarcReader(DataSourceReader):
         system, _ = _place(self.path)
         rows: list[dict[str, Any]] = []
         for path in partition.paths:
-            with system.open_input_file(path) as stream:
-                yield from self._records(_Buffered(stream), rows)
+            if path.endswith(".gz"):
+                with system.open_input_stream(path, compression="gzip") as stream:
+                    yield from self._records(_Buffered(stream, None), rows)
+            else:
+                with system.open_input_file(path) as stream:
+                    yield from self._records(_Buffered(stream, stream.size()), rows)
         if rows:
             yield _batch(rows)
 
@@ -210,10 +229,10 @@ class WarcReader(DataSourceReader):
 
 
 class _Buffered:
-    """Lines, blocks and skips over a file that can seek."""
+    """Lines, blocks and skips over a file of ``length`` bytes that can seek, or a stream that can't (None)."""
 
-    def __init__(self, file: pa.NativeFile, size: int = 1 << 18):
-        self.file, self.size, self.data, self.at = file, size, b"", 0
+    def __init__(self, file: pa.NativeFile, length: int | None, size: int = 1 << 18):
+        self.file, self.length, self.size, self.data, self.at = file, length, size, b"", 0
 
     def _more(self) -> bool:
         new = self.file.read(self.size)
@@ -236,8 +255,16 @@ class _Buffered:
     def skip(self, size: int) -> None:
         have = min(size, len(self.data) - self.at)
         self.at += have
-        if have < size:
-            self.file.seek(self.file.tell() + size - have)
+        left = size - have
+        if self.length is not None and left:
+            if self.file.tell() + left > self.length:
+                raise ValueError("the file ends inside a block")
+            self.file.seek(self.file.tell() + left)
+        while self.length is None and left:
+            new = self.file.read(min(left, self.size))
+            if not new:
+                raise ValueError("the file ends inside a block")
+            left -= len(new)
 
 
 def _batch(rows: list[dict[str, Any]]) -> pa.RecordBatch:
@@ -250,6 +277,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path = options["path"]
         self.max_bytes = int(options.get("max_bytes", 64 << 20))
         self.date = options.get("date", "1970-01-01T00:00:00Z")
+        self.gzip = options.get("compression", "none").lower() == "gzip"
         self.job = uuid.uuid4().hex[:12]
         system, root = _place(self.path)
         system.create_dir(root, recursive=True)
@@ -266,9 +294,10 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is None or size > self.max_bytes:
                         if out is not None:
                             out.close()
-                        names.append(f"{stem}-{len(names)}.warc")
-                        out, size = system.open_output_stream(f"{root}/{names[-1]}"), 0
+                        names.append(f"{stem}-{len(names)}.warc{'.gz' if self.gzip else ''}")
+                        out, size = system.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                     data = record(row, self.date)
+                    data = gzip.compress(data, mtime=0) if self.gzip else data
                     out.write(data)
                     size += len(data)
         finally:
@@ -278,7 +307,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _place(self.path)
-        with system.open_output_stream(f"{root}/{MANIFEST}") as stream:
+        with system.open_output_stream(f"{root}/{MANIFEST}-{self.job}.json") as stream:
             stream.write(json.dumps([n for m in messages if m for n in m.paths]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -300,7 +329,7 @@ class WarcDataSource(DataSource):
         return WarcWriter(dict(self.options))
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> None:
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, compression: str = "none") -> None:
     """One record a row.  Of equal payloads of ``least_bytes`` or more the largest id's is a response, the others revisit it."""
     pages.sparkSession.dataSource.register(WarcDataSource)
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
@@ -322,7 +351,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         "payload_length",
         F.lit(None).cast("long").alias("content_length"),
         F.when(~again, F.col("payload")).alias("payload"),
-    ).write.format("warc").mode("append").save(path)
+    ).write.format("warc").option("compression", compression).mode("append").save(path)
 
 
 def read_archives(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
