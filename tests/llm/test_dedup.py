@@ -168,7 +168,7 @@ def test_grid_join_skips_distant_vectors(spark):
 def test_grid_join_drops_distant_leaves(spark, monkeypatch):
     monkeypatch.setattr(grid_join, "LEAF", 64)
     rng = np.random.default_rng(6)
-    x = np.repeat(rng.normal(size=(40, 24)), 50, axis=0) + rng.normal(size=(2000, 24)) * 0.05
+    x = np.repeat(rng.normal(size=(80, 24)), 50, axis=0) + rng.normal(size=(4000, 24)) * 0.05
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, v array<double>, weight long")
     epsilon = float(np.sqrt(0.1)) + 1e-6
     axes = grid_join.directions(df, 24, 20_000)

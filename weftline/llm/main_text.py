@@ -3,25 +3,31 @@
 A page's tags are read with Python's HTML parser into a tree of blocks; open
 paragraphs end as HTML says.  Elements that hold no article text (scripts,
 styles, forms, navigation, headers and footers of the page, asides, and those
-whose class or id names an advert, a notice, comments, sharing or a menu) are
+whose class, id or role names an advert, a notice, comments, sharing or a menu) are
 left out with all that is in them.
 
 Each paragraph gives points to its ancestors: one, one for each comma, one for
 each 100 characters up to MOST_BY_LENGTH; all to its parent, half to the parent
-of that, a third to the next, and so on.  A container's points are multiplied
-by the share of its text outside links.  The best container is kept, and
-siblings of it that score at least a fifth as much or are paragraphs of their
-own.  Its blocks, and those of the siblings, are the text in page order.
+of that, a quarter to the next, and so on.  A container's points are multiplied
+by the share of its text outside links.  The best container is kept, or the
+article or main element that it is in, and siblings of that which score at least
+a fifth as much or are unlinked blocks of their own (headings, paragraphs, lists
+and the like).  All blocks in these are the text, in page order.
+
+Sums go up and verdicts go down the tree once, so the time is linear in the page.
+Where class and id names leave no text at all, the page is read again without them.
 
 Defined results: a null or empty page, and one without a paragraph, has the
-text ''; ties between containers go to the one that ends first; white space is
-what Unicode calls so; other columns are passed on, those named like an output
-are replaced.  Text outside of any tag counts as a paragraph of the page.
+text ''; ties between containers go to the one that begins first; white space is
+what Unicode calls so; repeated rows are read alike, each by itself; an empty table
+gives no rows; other columns are passed on, those named like an output are replaced.
+Text outside of any tag counts as a paragraph of the page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -38,34 +44,51 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 ENDS_P = BLOCK - frozenset("body html caption dd dt li tbody td tfoot th thead tr".split())
-RAW = frozenset("script style noscript template iframe object svg canvas textarea select title head math video audio".split())
+RAW = frozenset("script style noscript template iframe object svg canvas textarea select title head video audio".split())
 DROPPED = RAW | frozenset("nav footer aside form button dialog menu input fieldset label".split())
-# what the class, id or role of an element may say that isn't the article
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|notice|popup|modal|newsletter|subscribe|subscription"
-    r"|comments?|respond|replies|disqus|share|sharing|social|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|related|recommend(?:ed|ations)?|footer|masthead|header|topbar|toolbar|pagination|pager|login|signup|search|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+LEAVES = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl pre blockquote figure table".split())
+# fixed values: parts of class, id and role names that aren't the article whatever stands beside them
+UNWANTED = frozenset(
+    "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent popup modal newsletter subscribe subscription comment comments respond replies disqus sharing menu nav navbar navigation breadcrumb breadcrumbs sidebar widget recommended recommendations footer masthead topbar toolbar pagination pager login signup complementary contentinfo".split()
 )
+# fixed values: parts that aren't the article alone or beside those of PLACES, and parts that say the opposite
+WEAK = frozenset("header social share related recommend side notice search".split())
+PLACES = frozenset("site page top main global box bar buttons links posts stories list area container wrapper block section icons form media news message".split())
+MODIFIERS = frozenset("with has no without not is".split())
+
+
+def unwanted(names: str) -> bool:
+    """Whether one of the names (class, id, role) of an element says that it isn't the article."""
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        if MODIFIERS.isdisjoint(parts) and (not UNWANTED.isdisjoint(parts) or (not WEAK.isdisjoint(parts) and all(x in WEAK or x in PLACES for x in parts))):
+            return True
+    return False
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "points", "chars", "linked", "text")
+    __slots__ = ("tag", "parent", "parts", "drop", "article", "own", "points", "chars", "linked", "keep")
 
     def __init__(self, tag: str, parent: _Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+        self.tag, self.parent, self.drop, self.keep = tag, parent, drop, False
+        self.article = tag == "article" or (parent is not None and parent.article)
         self.parts: list[_Node | str] = []
-        self.points = 0.0
+        self.own = self.points = 0.0  # as a paragraph, and from what is in it
         self.chars = self.linked = 0
-        self.text = ""
+
+    @property
+    def score(self) -> float:
+        return self.points * (1 - self.linked / self.chars) if self.chars else 0.0
 
 
 class _Reader(HTMLParser):
     """Builds the tree; character references are decoded by the parser."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool):
         super().__init__(convert_charrefs=True)
+        self.by_name, self.dropped_by_name = by_name, False
         self.root = self.at = _Node("html", None, False)
-        self.closed: list[_Node] = []
+        self.nodes, self.open = [self.root], Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
@@ -78,11 +101,14 @@ class _Reader(HTMLParser):
             self._end(tag, {"ul", "ol", "dl", "table", "menu"})
         if tag in VOID:
             return
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        drop = self.at.drop or tag in DROPPED or (tag == "header" and not self._inside("article")) or bool(named and UNWANTED.search(named) and tag not in ("article", "main"))
+        drop = self.at.drop or tag in DROPPED or (tag == "header" and not self.at.article)
         drop = drop or any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
+        if not drop and self.by_name and tag not in ("article", "main") and unwanted(" ".join(v for k, v in attrs if k in ("class", "id", "role") and v)):
+            drop = self.dropped_by_name = True
         node = _Node(tag, self.at, drop)
         self.at.parts.append(node)
+        self.nodes.append(node)
+        self.open[tag] += 1
         self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -95,19 +121,17 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.parts.append(data)
 
-    def _inside(self, tag: str) -> bool:
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        return node is not None
-
     def _end(self, tag: str, stop: frozenset[str] | set[str]) -> None:
         """Closes the nearest open ``tag``, and all in it, unless an element of ``stop`` is in between."""
+        if not self.open[tag]:
+            return
         node = self.at
-        while node.parent is not None and node.tag != tag and node.tag not in stop:
+        while node.tag != tag and node.tag not in stop:
             node = node.parent
-        if node.tag == tag and node.parent is not None:
-            self.at = node.parent
+        if node.tag == tag:
+            while self.at is not node.parent:
+                self.open[self.at.tag] -= 1
+                self.at = self.at.parent
 
 
 def _blocks(root: _Node) -> list[tuple[_Node, str]]:
@@ -149,51 +173,39 @@ def _blocks(root: _Node) -> list[tuple[_Node, str]]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    reader = _Reader()
+    text, again = _read(html, True)
+    return _read(html, False)[0] if again and not text else text
+
+
+def _read(html: str, by_name: bool) -> tuple[str, bool]:
+    """The main text, and whether names have dropped an element."""
+    reader = _Reader(by_name)
     reader.feed(html)
     reader.close()
-    blocks = _blocks(reader.root)
+    blocks, root = _blocks(reader.root), reader.root
     if not blocks:
-        return ""
-    total: dict[_Node, list[int]] = {}
-    own: dict[_Node, float] = {}
+        return "", reader.dropped_by_name
     for node, text in blocks:
-        own[node] = own.get(node, 0.0) + 1 + text.count(",") + min(MOST_BY_LENGTH, len(text) / 100)
-    for node in dict.fromkeys(n for n, _ in blocks):
-        up, depth = node.parent or node, 1
-        while up is not None:
-            up.points += own[node] / depth
-            up, depth = up.parent, depth + 1
-        up = node
-        while up is not None:
-            sums = total.setdefault(up, [0, 0])
-            sums[0] += node.chars
-            sums[1] += node.linked
-            up = up.parent
-
-    def score(node: _Node) -> float:
-        chars, linked = total.get(node, (0, 0))
-        return node.points * (1 - linked / chars) if chars else 0.0
-
-    parents = dict.fromkeys(x for n, _ in blocks for x in _ancestors(n))
-    best = max(parents, key=score)
-    kept = {best}
-    if best.parent is not None:
-        for node in best.parent.parts:
-            if isinstance(node, _Node) and node is not best and not node.drop and node in total:
-                chars, linked = total[node]
-                if score(node) >= max(score(best) / 5, 2) or (node.tag == "p" and chars > 80 and linked < chars / 4):
-                    kept.add(node)
-    return "\n\n".join(text for node, text in blocks if not kept.isdisjoint((node, *_ancestors(node))))
-
-
-def _ancestors(node: _Node) -> list[_Node]:
-    out = []
-    up = node.parent or node
-    while up is not None:
-        out.append(up)
-        up = up.parent
-    return out
+        node.own += 1 + text.count(",") + min(MOST_BY_LENGTH, len(text) / 100)
+    root.points = root.own
+    for node in reversed(reader.nodes[1:]):  # children come after their parents
+        up = node.parent
+        up.points += node.own + node.points / 2
+        up.chars += node.chars
+        up.linked += node.linked
+    best = max(reader.nodes, key=lambda n: n.score)
+    at = best
+    while at is not None and at.tag not in ("article", "main"):
+        at = at.parent
+    whole = at or best
+    whole.keep = True
+    for node in whole.parent.parts if whole.parent is not None else ():
+        if isinstance(node, _Node) and node.chars and not node.drop:
+            if node.score >= max(best.score / 5, 2) or (node.tag in LEAVES and node.linked < node.chars / 4):
+                node.keep = True
+    for node in reader.nodes[1:]:
+        node.keep = node.keep or node.parent.keep
+    return "\n\n".join(text for node, text in blocks if node.keep), reader.dropped_by_name
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -18,8 +18,9 @@ nearest sizes of all languages; what lies in either, or between the two, is
 inside.  A language of fewer than LEAST texts has those of all languages alone.
 
 Defined results: null counts as empty; a text without words fails the base
-rules; a null language is a language of its own; equal rows are judged alike,
-each by itself.
+rules; null and '' are one language of its own; equal rows are judged alike,
+each by itself; an end of a band is inside it; long texts are measured whole; an
+empty table gives no rows; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def rate(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str =
 
 def keep(df: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` that are kept.  The verdict depends on text and language only, so equal rows stay or go together."""
-    digest, lang = F.xxhash64(F.coalesce(text_col, F.lit(""))), F.coalesce(F.col(f"`{lang_col}`"), F.lit(""))
+    digest, lang = F.md5(F.coalesce(text_col, F.lit("")).cast("binary")), F.coalesce(F.col(f"`{lang_col}`"), F.lit(""))
     columns = df.select(digest.alias("__digest"), lang.alias("__of"), F.col(f"`{lang_col}`"), text_col)
     judged = judge(materialise(measure(columns, model_path, text_col).drop(text_col)), lang_col, "__digest")
     gone = judged.where("NOT kept").select("__digest", "__of").distinct()
