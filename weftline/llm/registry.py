@@ -74,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_licenses": sql.op3(licenses.KNOWN, licenses.ALIKE, licenses.COPYRIGHT, licenses.NOT_WORD),
+        "op3_licenses": sql.op3(licenses.KNOWN, licenses.ALIKE, licenses.TITLE, licenses.COPYRIGHT, licenses.NUMBER, licenses.NOT_WORD),
         "op5_grid_join": sql.OP5,
         "op6_minhash": sql.OP6,
         "op8_warc": sql.OP8,

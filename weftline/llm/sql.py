@@ -72,11 +72,12 @@ FROM m
 """
 
 
-def op3(known: dict[str, str], alike: list[tuple[str, str]], copyright: str, not_word: str) -> str:
+def op3(known: dict[str, str], alike: list[tuple[str, str]], title: str, copyright: str, number: str, not_word: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canonical(column: str) -> str:
-        out = f"regexp_replace(translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(copyright)}, chr(10), 'g')"
+        out = f"regexp_replace(translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(title)}, chr(10))"
+        out = f"regexp_replace(regexp_replace({out}, {quoted(copyright)}, chr(10), 'g'), {quoted(number)}, chr(10), 'g')"
         for other, usual in alike:
             out = f"replace({out}, {quoted(other)}, {quoted(usual)})"
         return f"sha256(trim(regexp_replace({out}, {quoted(not_word)}, ' ', 'g')))"
