@@ -36,7 +36,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -380,17 +379,6 @@ def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int],
     return _Known.packed(known)
 
 
-#: The last cutter of this Python worker, by its name; its tasks share what it has cut.
-_UNPACKED: dict[str, _Cutter] = {}
-
-
-def _cutter(name: str, pattern: str, cache: tuple[bytes, ...]) -> _Cutter:
-    if name not in _UNPACKED:
-        _UNPACKED.clear()
-        _UNPACKED[name] = _Cutter(pattern, _Known(cache))
-    return _UNPACKED[name]
-
-
 def encode(
     df: DataFrame,
     vocab_path: str,
@@ -410,7 +398,7 @@ def encode(
     literal = rank_literal(ranks)
     dtype = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    context, name = df.sparkSession.sparkContext, uuid.uuid4().hex
+    context = df.sparkSession.sparkContext
     cache = context.broadcast(_cache(df, text_col, pattern, ranks, literal, cache_docs, cache_words, dtype))
     all_ranks = context.broadcast(ranks)
 
@@ -423,7 +411,7 @@ def encode(
     n = len(kept)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _cutter(name, pattern, cache.value)
+        cutter = _Cutter(pattern, _Known(cache.value))
         for block in blocks(batches, n, block_chars):
             cutter.start()
             rows = [cutter(x, i) for x, i in zip(block.column(n).to_pylist(), irregular_texts(block.column(n)), strict=True)]
@@ -437,6 +425,8 @@ def encode(
                 pa.array([[w for w in words if len(w) > long_word]], pa.list_(pa.binary())).take(first),
             ]
             yield pa.RecordBatch.from_arrays([*block.columns[:n], *columns], cut_schema.names)
+            del rows, words, short, columns
+        pa.default_memory_pool().release_unused()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join, new = _Pieces(all_ranks.value) if decoded_col else None, []
@@ -456,6 +446,7 @@ def encode(
                 if join:
                     decoded.append(join(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, pa.binary()) for c in ([coded, decoded] if join else [coded]))], out_schema.names)
+        pa.default_memory_pool().release_unused()
 
     columns = [F.col(f"`{f.name}`") for f in kept]
     first = df.select(*columns, F.col(f"`{text_col}`").alias("__text")).mapInArrow(cut, cut_schema)

@@ -44,7 +44,7 @@ class _Words(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got

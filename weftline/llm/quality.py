@@ -79,7 +79,7 @@ def duplicate_lines(text: str) -> int:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got
@@ -94,7 +94,7 @@ class _Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         got = np.array(self.encode(word), np.uint16).tobytes()
         if len(word) <= 40:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = got
         return got

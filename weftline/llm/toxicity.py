@@ -119,7 +119,7 @@ class _Verdicts(dict):
         self.weight = matcher.weight
 
     def __missing__(self, token: str) -> float | None:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self.weight(token.strip(EDGE))
         if len(token) < 64:
