@@ -129,8 +129,13 @@ def occupied_bounds(voxels: DataFrame) -> DataFrame:
 
 
 def crop_to_bounds(voxels: DataFrame, dims: Sequence[int], margin: int = 1) -> tuple[DataFrame, tuple[int, ...]]:
-    """Voxels near the occupied ones, counted from the crop's corner, and that corner.  Six numbers go to the driver."""
+    """Voxels near the occupied ones, counted from the crop's corner, and that corner.  Six numbers go to the driver.
+
+    Without occupied voxels there is nothing to crop: no rows and the corner of the grid.
+    """
     row = occupied_bounds(voxels).first()
+    if row.min_i is None:
+        return voxels.limit(0), (0, 0, 0)
     low = tuple(max(0, row[f"min_{c}"] - margin) for c in INDEX)
     high = [min(n - 1, row[f"max_{c}"] + margin) for c, n in zip(INDEX, dims, strict=True)]
     test = reduce(lambda a, b: a & b, [F.col(c).between(lo, hi) for c, lo, hi in zip(INDEX, low, high, strict=True)])

@@ -105,7 +105,7 @@ def _lut_lines(spark, d):
     return t.read(spark, d, "part").select(F.when(p % 5 == 0, F.concat(F.lit("# "), line)).when(p % 7 == 0, F.concat(F.lit("x"), line)).otherwise(line).alias("value"))
 
 
-@plan("""WITH lt AS (SELECT p_partkey AS label, replace(p_name, ' ', '-') AS name FROM part WHERE p_partkey < 200 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0)
+@plan("""WITH lt AS (SELECT p_partkey AS label, replace(p_name, ' ', '-') AS name FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0)
 SELECT label, coalesce(name, 'Region_' || label) AS name FROM (SELECT DISTINCT label FROM parc) LEFT JOIN lt USING (label)""")
 def label_lut(spark, d):
     return labels.named(t.parcels(spark, d).select("label").distinct(), labels.parse_lut(_lut_lines(spark, d)))
@@ -203,11 +203,11 @@ def export_region_mask(spark, d):
 
 
 @plan("""WITH p AS (SELECT label AS roi_id, round(avg(i)*4 - 48, 6) AS gx, round(avg(j)*4 - 48, 6) AS gy, round(avg(k)*4 - 48, 6) AS gz, round((max(i) - min(i) + max(j) - min(j) + max(k) - min(k))/6.0::DOUBLE, 6) AS gr FROM parc WHERE label > 0 GROUP BY label),
-q AS (SELECT * FROM shapes WHERE roi_id < 50)
+q AS (SELECT * FROM shapes)
 SELECT coalesce(p.roi_id, q.roi_id) AS roi_id, coalesce(cx, gx) AS cx, coalesce(cy, gy) AS cy, coalesce(cz, gz) AS cz, coalesce(r, gr) AS r FROM p FULL JOIN q ON p.roi_id = q.roi_id""")
 def export_roi_summary(spark, d):
     rois = t.parcels(spark, d).where("label > 0").select(F.col("label").alias("roi_id"), "i", "j", "k", F.lit(1).alias("value"))
-    out = export.roi_summary(rois, t.shapes(spark, d).where("roi_id < 50"), t.GRID)
+    out = export.roi_summary(rois, t.shapes(spark, d), t.GRID)
     return out.select("roi_id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "r")])
 
 

@@ -74,7 +74,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").where("p_partkey < 40").select(F.col("p_partkey").cast("int").alias("label"), F.col("p_name").alias("name"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("label"), F.col("p_name").alias("name"))
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,15 +136,15 @@ WITH = {
     "img": f"SELECT i, j, k, count(*)::DOUBLE AS value FROM (SELECT {_VOX} FROM (SELECT l_quantity - 25 AS x, l_extendedprice / 2000 - 26 AS y, 500 * l_discount - 25 AS z FROM lineitem))"
     " WHERE i BETWEEN 0 AND 24 AND j BETWEEN 0 AND 24 AND k BETWEEN 0 AND 24 GROUP BY i, j, k",
     "parc": "SELECT i, j, k, (CASE WHEN (i+j+k)%7 = 0 THEN 0 ELSE 1 + i//5 + 5*(j//5) + 25*(k//5) END)::INT AS label FROM img",
-    "lut": "SELECT p_partkey::INT AS label, p_name AS name FROM part WHERE p_partkey < 40",
+    "lut": "SELECT p_partkey::INT AS label, p_name AS name FROM part",
     "shapes": "SELECT s_suppkey AS roi_id, ((7*s_suppkey)%40-20)::DOUBLE AS cx, ((11*s_suppkey)%40-20)::DOUBLE AS cy, ((13*s_suppkey)%40-20)::DOUBLE AS cz, (3+s_suppkey%5)::DOUBLE AS r FROM supplier",
-    "modes": "SELECT s_suppkey AS roi_id, CASE WHEN s_suppkey IN (2, 8) THEN 'include' WHEN s_suppkey = 1 THEN 'exclude' WHEN s_suppkey = 3 THEN 'select' ELSE 'none' END AS mode FROM supplier WHERE s_suppkey < 10",
+    "modes": "SELECT s_suppkey AS roi_id, CASE WHEN s_suppkey IN (2, 8) THEN 'include' WHEN s_suppkey = 1 THEN 'exclude' WHEN s_suppkey = 3 THEN 'select' ELSE 'none' END AS mode FROM supplier",
     "coef": "SELECT (vec_id % 25)::INT AS i, ((vec_id // 25) % 25)::INT AS j, (12 + vec_id // 625)::INT AS k, embedding[1:15]::DOUBLE[] AS coeffs FROM embeddings",
     "ends": "SELECT sid, count(*) AS n_points, arg_min(x, pid) AS x0, arg_min(y, pid) AS y0, arg_min(z, pid) AS z0, arg_max(x, pid) AS x1, arg_max(y, pid) AS y1, arg_max(z, pid) AS z1 FROM e GROUP BY sid",
     "voxends": "SELECT *, " + ", ".join(f"round_even(({a}{e} + 48.0::DOUBLE) / 4.0::DOUBLE, 0)::INT AS {c}{e}" for e in "01" for a, c in zip("xyz", "ijk", strict=True)) + " FROM ends",
     "lab": "SELECT sid, coalesce(p.label, 0) AS label_a, coalesce(q.label, 0) AS label_b FROM voxends v LEFT JOIN parc p ON p.i = i0 AND p.j = j0 AND p.k = k0 LEFT JOIN parc q ON q.i = i1 AND q.j = j1 AND q.k = k1",
-    "hits": "SELECT DISTINCT roi_id, sid FROM shapes JOIN (SELECT e.*, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM e WINDOW w AS (PARTITION BY sid ORDER BY pid)) g ON roi_id < 10"
-    " AND ((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz) < r*r OR (x2 IS NOT NULL AND (x2-x)*(x2-x) + (y2-y)*(y2-y) + (z2-z)*(z2-z) > 0 AND {seg} < r*r))",
+    "hits": "SELECT DISTINCT roi_id, sid FROM shapes JOIN (SELECT e.*, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM e WINDOW w AS (PARTITION BY sid ORDER BY pid)) g ON"
+    " ((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz) < r*r OR (x2 IS NOT NULL AND (x2-x)*(x2-x) + (y2-y)*(y2-y) + (z2-z)*(z2-z) > 0 AND {seg} < r*r))",
     "res": "SELECT sid, k, x, y, z FROM ({resample})",
 }
 # squared distance of a sphere's centre to the nearest point of a segment
