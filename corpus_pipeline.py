@@ -65,7 +65,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; repeated rows are encoded one by one; an
     empty table gives no rows; columns named ``ids`` or ``decoded`` are replaced.
     """
-    coded = byte_bpe.encode(docs, public_tokenizers.path(VOCAB), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], decoded_col="decoded")
+    coded = byte_bpe.encode(docs, public_tokenizers.path(VOCAB), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], decoded_col="decoded", cache_words=150_000, block_chars=1 << 20)
     return coded.select(
         "doc_id",
         "lang",
