@@ -24,9 +24,9 @@ def plain_score(text, lexicon, seen):
         if not w:
             continue
         if w not in seen:
-            d = min((distance(w, t) for t in lexicon.terms if abs(len(t) - len(w)) < 2), default=9)
-            fuzzy = d == 1 and len(w) >= toxicity.MIN_FUZZY and w not in lexicon.clean
-            seen[w] = lexicon.terms[w] if d == 0 else toxicity.FUZZY if fuzzy else None
+            near = [weight for t, weight in lexicon.terms.items() if abs(len(t) - len(w)) < 2 and distance(w, t) < 2]
+            fuzzy = near and len(w) >= toxicity.MIN_FUZZY and w not in lexicon.clean
+            seen[w] = lexicon.terms[w] if w in lexicon.terms else toxicity.FUZZY * max(near) if fuzzy else None
         if seen[w] is not None:
             hits.append((i, seen[w]))
     return 1 - np.exp(-toxicity.STEEPNESS * toxicity.evidence(tokens, hits))
