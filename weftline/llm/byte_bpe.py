@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, replaced
+from .common import blocks, let, replaced
 
 #: Ids are below 2 ** BITS; the rank of a pair that doesn't merge; the id beside a word's ends.
 BITS, NONE, END = 17, 1 << 17, (1 << 17) - 1
@@ -326,15 +326,6 @@ class _Pieces:
         return self.pool[np.repeat(self.starts[ids] - stops + sizes, sizes) + np.arange(stops[-1])].tobytes()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], position: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batches``, each of about ``most`` bytes of the strings in column ``position``."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(position)), 0).to_numpy(zero_copy_only=False)
-        begun = np.concatenate(([0], np.cumsum(sizes)[:-1])) // most
-        cuts = [0, *(np.flatnonzero(np.diff(begun)) + 1).tolist(), batch.num_rows]
-        yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
-
-
 def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int], literal: tuple[Column, int, int], cache_docs: int, cache_words: int, dtype: str) -> tuple[bytes, ...]:
     """Packed ids of all tokens and of the most frequent words of a bounded sample of documents, as ``_Known`` takes them."""
 

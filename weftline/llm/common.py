@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A word is a run of characters other than these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: About how many bytes of text a Python worker turns into objects at once, and how many words it remembers.
+BLOCK_BYTES, MEMO = 1 << 20, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +62,12 @@ def replaced(schema: T.StructType, *fields: T.StructField) -> T.StructType:
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def blocks(batches: Iterator[pa.RecordBatch], position: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batches``, each of about ``most`` bytes of the strings in column ``position``."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(position)), 0).to_numpy(zero_copy_only=False)
+        begun = np.concatenate(([0], np.cumsum(sizes)[:-1])) // most
+        cuts = [0, *(np.flatnonzero(np.diff(begun)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)

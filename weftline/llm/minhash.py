@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import MEMO, blocks, materialise
 from .components import connected_components
 
 #: Minima in a band, and the chance that a pair at the threshold shares no band.
@@ -44,7 +44,7 @@ class _Words(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= MEMO:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got
@@ -88,7 +88,7 @@ def features(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in blocks(batches, 1):
             sets = [shingles(t, n, words) for t in batch.column(1).to_pylist()]
             sigs = [minima(s, bands * ROWS) if len(s) else None for s in sets]
             keys = [None if m is None else [xxhash.xxh3_64_intdigest(m[i * ROWS : i * ROWS + ROWS].tobytes(), i) - 2**63 for i in range(bands)] for m in sigs]
@@ -112,7 +112,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, n: int, ids: DataFrame) ->
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in blocks(batches, 1):
             sets = [shingles(t, n, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, replaced
+from .common import MEMO, blocks, materialise, replaced
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -79,7 +79,7 @@ def duplicate_lines(text: str) -> int:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= MEMO:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got
@@ -94,7 +94,7 @@ class _Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         got = np.array(self.encode(word), np.uint16).tobytes()
         if len(word) <= 40:
-            if len(self) >= 200_000:
+            if len(self) >= MEMO:
                 self.clear()
             self[word] = got
         return got
@@ -127,7 +127,7 @@ def measure(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame
                 chars / n if n else 0.0, float(times[is_byte].sum() / n) if n else 0.0, entropy / np.log2(n) if n > 1 else 0.0, family,
             )
 
-        for batch in batches:
+        for batch in blocks(batches, position):
             rows = [row(t or "") for t in batch.column(position).to_pylist()]
             made = zip(*rows, strict=True) if rows else [[] for _ in FIELDS]
             types = [pa.int64()] * (len(COUNTS) + 1) + [pa.float64()] * len(SLACK) + [pa.int64()]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, replaced
+from .common import MEMO, blocks, materialise, replaced
 
 MIN_DOCUMENTS, MIN_SHARE, MIN_FUZZY = 5, 0.9, 5
 #: Letters of the shortest term.
@@ -119,7 +119,7 @@ class _Verdicts(dict):
         self.weight = matcher.weight
 
     def __missing__(self, token: str) -> float | None:
-        if len(self) >= 200_000:
+        if len(self) >= MEMO:
             self.clear()
         got = self.weight(token.strip(EDGE))
         if len(token) < 64:
@@ -205,7 +205,7 @@ def score(df: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: str
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verdicts = _Verdicts(Matcher(lexicon))
-        for batch in batches:
+        for batch in blocks(batches, position):
             scores = [score_text(t, verdicts) for t in batch.column(position).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores, pa.float64())], schema.names)
 
