@@ -196,6 +196,50 @@ def test_undo_keeps_twenty(spark):
     assert not s.redo
 
 
+def test_one_stack_for_deletions_and_regions():
+    s = edits.History()
+    s.apply("modify", None, 1, 10)
+    s.apply("add", 5)
+    s.apply("delete")
+    s.apply("modify", None, 1, 11)
+    assert s.end() == [(False, 5, None, None), (None, None, 1, 11)]
+    s.apply("undo")
+    assert s.end() == [(False, 5, None, None), (None, None, 1, 10)]
+    s.apply("undo")
+    assert s.end() == [(None, None, 1, 10)]
+    s.apply("undo")
+    assert s.end() == []
+    for _ in range(3):
+        s.apply("redo")
+    assert s.end() == [(False, 5, None, None), (None, None, 1, 11)]
+    s.apply("undo")
+    s.apply("add", 6)
+    s.apply("delete")
+    assert not s.redo and s.end() == [(False, 5, None, None), (False, 6, None, None), (None, None, 1, 10)]
+
+
+def test_selection_after_inversion():
+    s = edits.Session()
+    s.apply("add", 1)
+    s.apply("invert")
+    s.apply("add", 1)
+    s.apply("remove", 2)
+    assert s.selected == (True, {2}) and s.keeper is None
+
+
+def test_export_of_lines_left_with_one_point(spark):
+    df = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 1.0, 0.0, 0.0), (1, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 0.0), (1, 2, 2.0, 0.0, 0.0), (2, 0, 1.0, 1.0, 1.0)], POINTS)
+    sample = sampling.export_sample(df, 10)
+    assert got(sample, "sid", "pid", "r", "g", "b") == [(0, 0, 200, 200, 200), (1, 0, 255, 0, 0), (1, 2, 255, 0, 0)]
+    assert got(sampling.sample_counts(df, sample), "num_streamlines", "total_streamlines") == [(2, 3)]
+
+
+def test_small_grids_are_not_downsampled(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1.0)], "i int, j int, k int, value double")
+    assert volume.downsample(df, affine.IDENTITY, (9, 9, 9)) == (df, affine.IDENTITY, (9, 9, 9))
+    assert volume.shifted_affine(affine.diagonal((2, 2, 2), (1, 1, 1)), (1, 2, 3))[3::4] == (3.0, 5.0, 7.0, 1.0)
+
+
 def test_inversion_toggles(spark):
     s = edits.Session()
     s.apply("add", 1)

@@ -8,15 +8,15 @@ set is (all_but, ids): the ids, or all but them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Set
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 DEPTH = 20
-Ids = tuple[bool, frozenset[int]]
+Ids = tuple[bool, Set[int]]
 NONE: Ids = (False, frozenset())
 
 
@@ -40,9 +40,13 @@ def without(a: Ids, b: Ids) -> Ids:
 
 @dataclass
 class Session:
-    """Selection, deletions and the two stacks of one session."""
+    """Selection, deletions and the two stacks of one session.
 
-    selected: Ids = NONE
+    The selection's set is this object's own and changes in place; a deletion
+    hands it to the stack and begins another.
+    """
+
+    selected: Ids = field(default_factory=lambda: (False, set()))
     deleted: Ids = NONE
     keeper: Ids | None = None  # what an inversion would restore
     undo: list[Ids] = field(default_factory=list)
@@ -50,30 +54,37 @@ class Session:
 
     def apply(self, op: str, sid: int | None = None) -> None:
         """One edit; unknown ones do nothing."""
-        if op == "add":
-            self.selected, self.keeper = union(self.selected, (False, frozenset([sid]))), None
-        elif op == "remove":
-            self.selected, self.keeper = without(self.selected, (False, frozenset([sid]))), None
+        if op in ("add", "remove"):
+            all_but, ids = self.selected
+            (ids.add if (op == "add") != all_but else ids.discard)(sid)
+            self.keeper = None
         elif op == "clear":
-            self.selected, self.keeper = NONE, None
+            self.selected, self.keeper = (False, set()), None
         elif op == "invert":
             if self.keeper is not None:
                 self.selected, self.keeper = self.keeper, None
             elif self.selected != NONE:
-                self.selected, self.keeper = without((True, frozenset()), union(self.deleted, self.selected)), self.selected
+                all_but, ids = without((True, frozenset()), union(self.deleted, self.selected))
+                self.selected, self.keeper = (all_but, set(ids)), self.selected
         elif op == "delete" and self.selected != NONE:
             _push(self.undo, self.selected)
             self.redo.clear()
             self.deleted = union(self.deleted, self.selected)
-            self.selected, self.keeper = NONE, None
+            self.selected, self.keeper = (False, set()), None
         elif op == "undo" and self.undo:
             last = self.undo.pop()
             _push(self.redo, last)
-            self.deleted = without(self.deleted, last)
+            self._take_back(last)
         elif op == "redo" and self.redo:
             last = self.redo.pop()
             _push(self.undo, last)
-            self.deleted = union(self.deleted, last)
+            self._repeat(last)
+
+    def _take_back(self, last: Ids) -> None:
+        self.deleted = without(self.deleted, last)
+
+    def _repeat(self, last: Ids) -> None:
+        self.deleted = union(self.deleted, last)
 
 
 def _push(stack: list, item: Any) -> None:
@@ -111,6 +122,42 @@ class RoiSession:
             self.current[roi_id] = version
 
 
+class RegionEdit(NamedTuple):
+    roi_id: int
+    before: int | None
+    after: int
+
+
+@dataclass
+class History(Session):
+    """Deletions and region edits of one session on one stack: undo takes back the last of either kind."""
+
+    regions: RoiSession = field(default_factory=RoiSession)
+
+    def apply(self, op: str, sid: int | None = None, roi_id: int | None = None, version: int | None = None) -> None:
+        if op != "modify":
+            return super().apply(op, sid)
+        _push(self.undo, RegionEdit(roi_id, self.regions.current.get(roi_id), version))
+        self.redo.clear()
+        self.regions.current[roi_id] = version
+
+    def _take_back(self, last: Ids | RegionEdit) -> None:
+        if isinstance(last, RegionEdit):
+            self.regions._set(last.roi_id, last.before)
+        else:
+            super()._take_back(last)
+
+    def _repeat(self, last: Ids | RegionEdit) -> None:
+        if isinstance(last, RegionEdit):
+            self.regions._set(last.roi_id, last.after)
+        else:
+            super()._repeat(last)
+
+    def end(self) -> list[tuple[bool | None, int | None, int | None, int | None]]:
+        """(all_but, sid, roi_id, version) rows: what is deleted, then the regions' versions."""
+        return [(a, s, None, None) for a, s in id_rows(self.deleted)] + [(None, None, r, v) for r, v in sorted(self.regions.current.items())]
+
+
 def id_rows(ids: Ids) -> list[tuple[bool, int | None]]:
     """(all_but, sid) rows of a set; one row with a null for 'all'."""
     if not ids[1]:
@@ -121,6 +168,9 @@ def id_rows(ids: Ids) -> list[tuple[bool, int | None]]:
 def _fold(log: DataFrame, columns: list[str], start: Callable[[], Any], rows: Callable[[Any], Iterable[tuple]], schema: str, names: list[str]) -> DataFrame:
     """Applies ``columns`` of each session's rows in order of seq to a state, and returns ``rows`` of its end."""
 
+    def frame(done: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series([r[k] for r in done], dtype="boolean" if n == "all_but" else "Int64") for k, n in enumerate(names)})
+
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, state = None, None
         done: list[tuple] = []
@@ -132,11 +182,11 @@ def _fold(log: DataFrame, columns: list[str], start: Callable[[], Any], rows: Ca
                     session, state = s, start()
                 state.apply(*edit)
             if len(done) > 10_000:
-                yield pd.DataFrame(done, columns=names)
+                yield frame(done)
                 done = []
         if state is not None:
             done += [(session, *r) for r in rows(state)]
-        yield pd.DataFrame({n: pd.Series([r[k] for r in done], dtype="boolean" if n == "all_but" else "Int64") for k, n in enumerate(names)})
+        yield frame(done)
 
     ordered = log.repartition("session").sortWithinPartitions("session", "seq")
     return ordered.select("session", *columns).mapInPandas(replay, schema)
@@ -157,6 +207,16 @@ def replay_roi_edits(log: DataFrame) -> DataFrame:
     return _fold(log, ["op", "roi_id", "version"], RoiSession, lambda s: sorted(s.current.items()), "session long, roi_id long, version long", ["session", "roi_id", "version"])
 
 
+def replay_history(log: DataFrame) -> DataFrame:
+    """(session, all_but, sid, roi_id, version): deletions and region versions that ``log`` (session, seq, op, sid, roi_id, version) ends with.
+
+    Both kinds of edits share one stack of each session.  A row names either a
+    deletion or a region.
+    """
+    names = ["session", "all_but", "sid", "roi_id", "version"]
+    return _fold(log, ["op", "sid", "roi_id", "version"], History, History.end, "session long, all_but boolean, sid long, roi_id long, version long", names)
+
+
 def current_voxels(versions: DataFrame, current: DataFrame) -> DataFrame:
     """Rows of ``versions`` (roi_id, version, ...) that are current."""
     return versions.join(current, ["roi_id", "version"])

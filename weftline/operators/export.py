@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.affine import INDEX, Affine, transformed
 
 
-def wide_matrix(matrix: DataFrame, most: int = 5_000) -> DataFrame:
-    """A row for each label, a column for each label.  The axis (at most ``most`` labels) goes to the driver, as columns must have names."""
-    axis = [r[0] for r in matrix.select("label_a").distinct().orderBy("label_a").limit(most + 1).collect()]
-    if len(axis) > most:
+def axis_names(matrix: DataFrame, names: DataFrame | None, most: int = 5_000) -> list[tuple[int, str]]:
+    """(label, name) of the matrix's axis, in order.  It goes to the driver, as columns must have names; over ``most`` labels are an error.
+
+    A label without a name is Region_<label>; a name of several labels is followed by _<label>.
+    """
+    axis = matrix.select(F.col("label_a").alias("label")).distinct()
+    axis = axis.join(names, "label", "left") if names is not None else axis.withColumn("name", F.lit(None).cast("string"))
+    found = axis.select("label", F.coalesce("name", F.concat(F.lit("Region_"), F.col("label").cast("string")))).orderBy("label").limit(most + 1).collect()
+    if len(found) > most:
         raise ValueError(f"more than {most} labels for a wide table")
-    wide = matrix.groupBy("label_a").pivot("label_b", axis).agg(F.first("n"))
-    return wide.select(F.col("label_a").alias("label"), *[F.coalesce(F.col(f"`{a}`"), F.lit(0)).alias(f"Region_{a}") for a in axis])
+    uses = Counter(name for _, name in found)
+    return [(label, name if uses[name] == 1 else f"{name}_{label}") for label, name in found]
+
+
+def wide_matrix(matrix: DataFrame, axis: list[tuple[int, str]]) -> DataFrame:
+    """A row for each label of ``axis``, with its name, and a column for each, by name."""
+    wide = matrix.groupBy("label_a").pivot("label_b", [label for label, _ in axis]).agg(F.first("n"))
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in axis for x in pair]), F.col("label_a")) if axis else F.lit(None).cast("string")
+    return wide.select(F.col("label_a").alias("label"), name.alias("name"), *[F.coalesce(F.col(f"`{label}`"), F.lit(0)).alias(n) for label, n in axis])
+
 
+def export_connectivity_csv(matrix: DataFrame, path: str, names: DataFrame | None = None) -> None:
+    """The matrix at ``path`` as CSV with names as its first row and column, and its axis (label, name, n_regions) at ``path``_labels as JSON.
 
-def export_connectivity_csv(matrix: DataFrame, path: str) -> None:
-    wide_matrix(matrix).orderBy("label").write.option("header", True).csv(path)
+    ``names`` (label, name): one row a label.
+    """
+    axis = axis_names(matrix, names)
+    wide_matrix(matrix, axis).orderBy("label").drop("label").write.option("header", True).csv(path)
+    table = matrix.sparkSession.createDataFrame([(*x, len(axis)) for x in axis], "label long, name string, n_regions long")
+    table.coalesce(1).write.json(f"{path}_labels")
 
 
 def region_mask(parcels: DataFrame, label: int) -> DataFrame:

@@ -17,6 +17,11 @@ def parse_numeric_tuple(text: Column, kind: str, length: int) -> Column:
     return F.when(good, typed)
 
 
+def unparsed(text: Column, kind: str, length: int) -> Column:
+    """``text`` as it is where it hasn't ``length`` numbers, else null: what ``parse_numeric_tuple`` leaves."""
+    return F.when(parse_numeric_tuple(text, kind, length).isNull(), text)
+
+
 def voxel_order_from_affine(affine: Column) -> Column:
     """Three letters: for each voxel axis the world axis that it runs along most, and its direction."""
     letters = []

@@ -10,11 +10,16 @@ LEFT = ("left-", "ctx-lh-", "-lh-", "lh-", "lh_")
 RIGHT = ("right-", "ctx-rh-", "-rh-", "rh-", "rh_")
 
 
-def parse_lut(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(label, name) of lines 'id name ...'; comments, blank lines and bad ids are skipped, the last line of an id counts by name order."""
+def parse_lut(lines: DataFrame, column: str = "value", order: str | None = None) -> DataFrame:
+    """(label, name) of lines 'id name ...'; comments, blank lines and bad ids are skipped.
+
+    Of lines with one id the last by the column ``order`` counts; without such a
+    column, the last by name.
+    """
     parts = F.split(F.trim(column), r"\s+")
-    rows = lines.where(~F.trim(column).startswith("#")).select(F.get(parts, 0).try_cast("int").alias("label"), F.get(parts, 1).alias("name"))
-    return rows.where("label IS NOT NULL AND name IS NOT NULL").groupBy("label").agg(F.max("name").alias("name"))
+    place = F.col(order) if order else F.get(parts, 1)
+    rows = lines.where(~F.trim(column).startswith("#")).select(F.get(parts, 0).try_cast("int").alias("label"), F.get(parts, 1).alias("name"), place.alias("__place"))
+    return rows.where("label IS NOT NULL AND name IS NOT NULL").groupBy("label").agg(F.max_by("name", "__place").alias("name"))
 
 
 def named(labels: DataFrame, lut: DataFrame) -> DataFrame:

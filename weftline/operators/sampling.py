@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET, PRE_STRIDE_ABOVE = 20_000, 150_000
+#: Colour of a line without a direction.
+GREY = 200
 
 
 def prefix_sums(df: DataFrame, key: str, value: Column, out: str, *, buckets: int = 512) -> DataFrame:
@@ -69,10 +71,18 @@ def step_points(points: DataFrame, step: int) -> DataFrame:
 
 
 def export_sample(points: DataFrame, most: int, step: int = 2) -> DataFrame:
-    """Sampled lines, sampled points and the colour of each line as integers of 0..255."""
+    """Sampled lines, sampled points and the colour of each line as integers of 0..255; lines left with one point are grey."""
     from .geometry import orientation_rgb
 
     chosen = linspace_sample(points.select("sid").distinct(), most)
     stepped = step_points(points.join(chosen, "sid", "left_semi"), step)
-    colours = orientation_rgb(stepped).select("sid", *[(F.col(c) * 255).cast("int").alias(c) for c in ("r", "g", "b")])
+    left = stepped.groupBy("sid").agg(F.count("*").alias("__left"))
+    colours = orientation_rgb(stepped).join(left, "sid")
+    colours = colours.select("sid", *[F.when(F.col("__left") > 1, (F.col(c) * 255).cast("int")).otherwise(GREY).alias(c) for c in ("r", "g", "b")])
     return stepped.join(colours, "sid")
+
+
+def sample_counts(points: DataFrame, sample: DataFrame) -> DataFrame:
+    """One row: how many lines ``sample`` shows and how many there are."""
+    both = points.select("sid", F.lit(0).alias("shown")).unionAll(sample.select("sid", F.lit(1).alias("shown")))
+    return both.groupBy("sid").agg(F.max("shown").alias("shown")).agg(F.coalesce(F.sum("shown"), F.lit(0)).alias("num_streamlines"), F.count("*").alias("total_streamlines"))

@@ -63,6 +63,15 @@ def scaled_affine(affine: Affine, step: int) -> Affine:
     return tuple(a.ravel().tolist())
 
 
+def downsample(voxels: DataFrame, affine: Affine, dims: Sequence[int], most: int = MOST_VOXELS, sigma: float = 0.8) -> tuple[DataFrame, Affine, tuple[int, ...]]:
+    """Every step-th voxel of a grid of over ``most`` voxels, smoothed, with its affine and dims; a smaller grid is returned as it is."""
+    step = downsample_step(dims, most)
+    if step == 1:
+        return voxels, affine, tuple(dims)
+    small = tuple(-(-n // step) for n in dims)
+    return gaussian_smooth(downsample_stride(voxels, step), small, sigma), scaled_affine(affine, step), small
+
+
 def kernel_rows(n: int, sigma: float) -> list[tuple[int, int, float]]:
     """(source, target, weight) along an axis of n voxels: a Gaussian cut at 4 sigma, edges repeated."""
     reach = int(4.0 * sigma + 0.5)
@@ -142,6 +151,13 @@ def crop_to_bounds(voxels: DataFrame, dims: Sequence[int], margin: int = 1) -> t
     return voxels.where(test).withColumns({c: F.col(c) - lo for c, lo in zip(INDEX, low, strict=True)}), low
 
 
+def shifted_affine(affine: Affine, corner: Sequence[int]) -> Affine:
+    """The affine of voxels counted from ``corner``."""
+    a = np.array(affine, float).reshape(4, 4)
+    a[:3, 3] += a[:3, :3] @ np.array(corner, float)
+    return tuple(a.ravel().tolist())
+
+
 def roi_world_aabb(rois: DataFrame, affine: Affine, pad: float = PAD) -> DataFrame:
     """(roi_id, minx..maxz): world box of the eight corners of each region's occupied voxels, padded."""
     ends = rois.where("value > 0").groupBy("roi_id").agg(*[F.min(c).alias(f"lo_{c}") for c in INDEX], *[(F.max(c) + 1).alias(f"hi_{c}") for c in INDEX])

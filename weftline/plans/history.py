@@ -14,7 +14,42 @@ from .base import Plans
 plan = Plans()
 
 
-@plan()
+def _replay_sql(log: str, result: str) -> str:
+    """Replays ``log`` (session, seq, op, sid, roi, version) an edit at a time in every session; ``result`` selects from ``session_end``."""
+    last, again = "u[len(u)]", "r[len(r)]"
+    current = ", ".join(
+        f"CASE WHEN op = 'modify' AND roi = {k} THEN version WHEN op = 'undo' AND {last}.roi = {k} THEN {last}.a WHEN op = 'redo' AND {again}.roi = {k} THEN {again}.b ELSE cur[{k + 1}] END" for k in range(5)
+    )
+    item = "STRUCT(ids BIGINT[], roi BIGINT, a BIGINT, b BIGINT)"
+    return f"""WITH RECURSIVE edit_log AS ({log}), edit AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS n FROM edit_log),
+replayed AS (SELECT DISTINCT session, 0::BIGINT AS n, []::BIGINT[] AS sel, []::BIGINT[] AS del, [NULL, NULL, NULL, NULL, NULL]::BIGINT[] AS cur, []::{item}[] AS u, []::{item}[] AS r FROM edit_log
+UNION ALL SELECT replayed.session, edit.n,
+CASE WHEN op = 'add' THEN list_distinct(list_append(sel, sid)) WHEN op = 'remove' THEN list_filter(sel, lambda q: q <> sid) WHEN op = 'delete' THEN []::BIGINT[] ELSE sel END,
+CASE WHEN op = 'delete' THEN list_distinct(list_concat(del, sel)) WHEN op = 'undo' AND len(u) > 0 AND {last}.roi IS NULL THEN list_filter(del, lambda q: NOT list_contains({last}.ids, q))
+WHEN op = 'redo' AND len(r) > 0 AND {again}.roi IS NULL THEN list_distinct(list_concat(del, {again}.ids)) ELSE del END,
+[{current}],
+CASE WHEN op = 'modify' THEN list_append(u, {{'ids': []::BIGINT[], 'roi': roi, 'a': cur[roi + 1], 'b': version}}::{item})[-20:] WHEN op = 'delete' AND len(sel) > 0 THEN list_append(u, {{'ids': sel, 'roi': NULL, 'a': NULL, 'b': NULL}}::{item})[-20:]
+WHEN op = 'undo' THEN u[1:greatest(0, len(u) - 1)] WHEN op = 'redo' AND len(r) > 0 THEN list_append(u, {again})[-20:] ELSE u END,
+CASE WHEN op = 'modify' OR op = 'delete' AND len(sel) > 0 THEN []::{item}[] WHEN op = 'undo' AND len(u) > 0 THEN list_append(r, {last})[-20:] WHEN op = 'redo' THEN r[1:greatest(0, len(r) - 1)] ELSE r END
+FROM replayed JOIN edit ON edit.session = replayed.session AND edit.n = replayed.n + 1),
+session_end AS (SELECT * FROM replayed QUALIFY n = max(n) OVER (PARTITION BY session)) {result}"""
+
+
+_EDITS = _replay_sql(
+    "SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'remove' WHEN 'signup' THEN 'redo' WHEN 'error' THEN 'undo' WHEN 'purchase' THEN 'delete' END AS op, event_id % 500 AS sid, NULL::BIGINT AS roi, NULL::BIGINT AS version FROM events",
+    "SELECT session, false AS all_but, unnest(del) AS sid FROM session_end",
+)
+_REGION_EDITS = _replay_sql(
+    "SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'modify' WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'none' END AS op, NULL::BIGINT AS sid, event_id % 5 AS roi, event_id AS version FROM events",
+    ", current_region AS (SELECT session, unnest(cur) AS version FROM session_end) SELECT session, version % 5 AS roi_id, version, (version % 25)::INT AS i, (version // 25 % 25)::INT AS j, (version // 625 % 25)::INT AS k FROM current_region WHERE version IS NOT NULL",
+)
+_BOTH_EDITS = _replay_sql(
+    "SELECT user_id AS session, event_id AS seq, CASE WHEN event_type = 'click' THEN 'add' WHEN event_type = 'view' THEN 'remove' WHEN event_type = 'signup' THEN 'redo' WHEN event_type = 'error' THEN 'undo' WHEN event_id % 2 = 0 THEN 'delete' ELSE 'modify' END AS op, event_id % 500 AS sid, event_id % 5 AS roi, event_id AS version FROM events",
+    ", current_region AS (SELECT session, unnest(cur) AS version FROM session_end) SELECT session, false AS all_but, unnest(del) AS sid, NULL::BIGINT AS roi_id, NULL::BIGINT AS version FROM session_end UNION ALL SELECT session, NULL, NULL, version % 5, version FROM current_region WHERE version IS NOT NULL",
+)
+
+
+@plan(_EDITS)
 def replay_edits(spark, d):
     return edits.replay_edits(t.edits(spark, d))
 
@@ -26,7 +61,15 @@ def clear_selection(spark, d):
     return edits.replay_selection(log)
 
 
-@plan()
+@plan(_BOTH_EDITS)
+def replay_history(spark, d):
+    """Deletions and region edits on one stack: each second purchase draws a region's new version."""
+    e = F.col("seq")
+    log = t.edits(spark, d).withColumn("op", F.when((F.col("op") == "delete") & (e % 2 != 0), "modify").otherwise(F.col("op")))
+    return edits.replay_history(log.select("session", "seq", "op", "sid", (e % 5).alias("roi_id"), e.alias("version")))
+
+
+@plan(_REGION_EDITS)
 def replay_roi_edits(spark, d):
     """Current voxels: each purchase draws one voxel of a new version of a region."""
     e = F.col("event_id")
@@ -44,7 +87,7 @@ def _in_files(spark, df, name: str, key: str, n: int = 4) -> tuple[str, object]:
     return path, df.schema
 
 
-@plan()
+@plan(_EDITS)
 def stream_replay_edits(spark, d):
     path, schema = _in_files(spark, t.edits(spark, d), "edit-log", "seq")
     return jobs.stream_replay_edits(jobs.files_as_stream(spark, f"{path}/*.parquet", schema, per_batch=4))

@@ -205,3 +205,8 @@ def export_sample(spark, d):
     return sampling.export_sample(t.lines_e(spark, d).drop("bundle_id"), 50)
 
 
+@plan("""WITH c AS (SELECT sid, count(*) AS m FROM l GROUP BY sid), r AS (SELECT *, row_number() OVER (ORDER BY sid) - 1 AS rank, count(*) OVER () AS total FROM c)
+SELECT count(*) FILTER (WHERE m > 1 AND rank IN (SELECT k*(total - 1) // 99 FROM range(100) t(k))) AS num_streamlines, max(total) AS total_streamlines FROM r""")
+def sample_counts(spark, d):
+    points = t.lines_l(spark, d)
+    return sampling.sample_counts(points, sampling.export_sample(points, 100))

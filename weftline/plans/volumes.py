@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.affine import AXES
+from ..functions.affine import AXES, INDEX, transformed
 from ..operators import aggregate, export, labels, raster, spatial, volume
 from ..operators import headers as h
 from ..sources import tables as t
@@ -51,6 +51,18 @@ def gaussian_smooth(spark, d):
     return volume.gaussian_smooth(t.image(spark, d), t.DIMS).withColumn("value", F.round("value", 6))
 
 
+@plan(f"""WITH {_KERNEL.replace("24", "8").replace("25", "9")}, d AS (SELECT i//3 AS i, j//3 AS j, k//3 AS k, value FROM img WHERE i%3 = 0 AND j%3 = 0 AND k%3 = 0),
+a AS (SELECT t AS i, j, k, sum(value*w) AS v FROM d JOIN kr ON s = i GROUP BY 1, 2, 3), b AS (SELECT i, t AS j, k, sum(v*w) AS v FROM a JOIN kr ON s = j GROUP BY 1, 2, 3)
+SELECT i, j, t AS k, i*12.0::DOUBLE - 48 AS x, j*12.0::DOUBLE - 48 AS y, t*12.0::DOUBLE - 48 AS z, round(sum(v*w), 6) AS value FROM b JOIN kr ON s = k GROUP BY 1, 2, 3""")
+def downsample(spark, d):
+    small, affine, _ = volume.downsample(t.image(spark, d), t.GRID, t.DIMS, 13**3)
+    return small.select("i", "j", "k", *_world(affine), F.round("value", 6).alias("value"))
+
+
+def _world(affine):
+    return [c.alias(a) for c, a in zip(transformed(affine, [F.col(c) for c in INDEX]), AXES, strict=True)]
+
+
 @plan("SELECT j AS i, 24 - i AS j, k, value FROM img")
 def canonical_orientation(spark, d):
     # voxel axis i runs along -y, j along +x
@@ -86,9 +98,10 @@ def top_regions(spark, d):
 
 
 @plan("""WITH o AS (SELECT * FROM img WHERE value > 8), b AS (SELECT greatest(0, min(i) - 1) AS a, greatest(0, min(j) - 1) AS b, greatest(0, min(k) - 1) AS c, least(24, max(i) + 1) AS p, least(24, max(j) + 1) AS q, least(24, max(k) + 1) AS r FROM o)
-SELECT i - a AS i, j - b AS j, k - c AS k, value - 8 AS value FROM img, b WHERE i BETWEEN a AND p AND j BETWEEN b AND q AND k BETWEEN c AND r""")
+SELECT i - a AS i, j - b AS j, k - c AS k, i*4.0::DOUBLE - 48 AS x, j*4.0::DOUBLE - 48 AS y, k*4.0::DOUBLE - 48 AS z, value - 8 AS value FROM img, b WHERE i BETWEEN a AND p AND j BETWEEN b AND q AND k BETWEEN c AND r""")
 def occupied_bounds(spark, d):
-    return volume.crop_to_bounds(t.image(spark, d).withColumn("value", F.col("value") - 8), t.DIMS)[0]
+    crop, corner = volume.crop_to_bounds(t.image(spark, d).withColumn("value", F.col("value") - 8), t.DIMS)
+    return crop.select("i", "j", "k", *_world(volume.shifted_affine(t.GRID, corner)), "value")
 
 
 @plan("""SELECT label AS roi_id, min(i)*4.0::DOUBLE - 50 AS minx, min(j)*4.0::DOUBLE - 50 AS miny, min(k)*4.0::DOUBLE - 50 AS minz, (max(i) + 1)*4.0::DOUBLE - 46 AS maxx, (max(j) + 1)*4.0::DOUBLE - 46 AS maxy, (max(k) + 1)*4.0::DOUBLE - 46 AS maxz
@@ -99,16 +112,19 @@ def roi_world_aabb(spark, d):
 
 
 def _lut_lines(spark, d):
-    """Lines of a label file: every fifth one a comment, every seventh with a bad id."""
+    """Lines of a label file: every fifth one a comment, every seventh with a bad id, every third id named again further down."""
     p = F.col("p_partkey")
     line = F.concat(p.cast("string"), F.lit("  "), F.translate("p_name", " ", "-"), F.lit(" 10 20 30 0"))
-    return t.read(spark, d, "part").select(F.when(p % 5 == 0, F.concat(F.lit("# "), line)).when(p % 7 == 0, F.concat(F.lit("x"), line)).otherwise(line).alias("value"))
+    part = t.read(spark, d, "part")
+    first = part.select(F.when(p % 5 == 0, F.concat(F.lit("# "), line)).when(p % 7 == 0, F.concat(F.lit("x"), line)).otherwise(line).alias("value"), p.alias("line"))
+    again = F.concat(p.cast("string"), F.lit(" Again-"), p.cast("string"))
+    return first.unionAll(part.where(p % 3 == 0).select(again, p + 1_000_000_000_000))
 
 
-@plan("""WITH lt AS (SELECT p_partkey AS label, replace(p_name, ' ', '-') AS name FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0)
+@plan("""WITH lt AS (SELECT p_partkey AS label, CASE WHEN p_partkey % 3 = 0 THEN 'Again-' || p_partkey ELSE replace(p_name, ' ', '-') END AS name FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 <> 0 AND p_partkey % 7 <> 0)
 SELECT label, coalesce(name, 'Region_' || label) AS name FROM (SELECT DISTINCT label FROM parc) LEFT JOIN lt USING (label)""")
 def label_lut(spark, d):
-    return labels.named(t.parcels(spark, d).select("label").distinct(), labels.parse_lut(_lut_lines(spark, d)))
+    return labels.named(t.parcels(spark, d).select("label").distinct(), labels.parse_lut(_lut_lines(spark, d), order="line"))
 
 
 def _region_names(spark, d):
@@ -146,9 +162,11 @@ def _flat_sql(name: str, expr: str) -> str:
     return ", ".join(f"({expr})[{k + 1}] AS {name}_{k}" for k in range(3))
 
 
-@plan(f"WITH {_N} SELECT n AS bundle_id, {_flat_sql('sizes', _SIZES)}, {_flat_sql('dims', _DIMS)} FROM hn")
+@plan(f"WITH {_N} SELECT n AS bundle_id, {_flat_sql('sizes', _SIZES)}, {_flat_sql('dims', _DIMS)}, CASE WHEN n % 5 = 3 THEN 'bad value' END AS sizes_text, CASE WHEN n % 5 = 2 THEN '1,2' END AS dims_text FROM hn")
 def parse_numeric_tuple(spark, d):
-    rows = t.headers(spark, d).select("bundle_id", h.parse_numeric_tuple(F.col("voxel_sizes"), "float", 3).alias("sizes"), h.parse_numeric_tuple(F.col("dimensions"), "int", 3).alias("dims"))
+    fields = [("sizes", F.col("voxel_sizes"), "float"), ("dims", F.col("dimensions"), "int")]
+    parsed = [h.parse_numeric_tuple(text, kind, 3).alias(name) for name, text, kind in fields]
+    rows = t.headers(spark, d).select("bundle_id", *parsed, *[h.unparsed(text, kind, 3).alias(f"{name}_text") for name, text, kind in fields])
     return _flat(rows, "sizes", "dims")
 
 
@@ -188,13 +206,16 @@ def _labelled(spark, d):
 
 
 @plan("""WITH ed AS (SELECT least(label_a, label_b) AS a, greatest(label_a, label_b) AS b, count(*) AS n FROM lab WHERE label_a > 0 AND label_b > 0 GROUP BY 1, 2),
-ax AS (SELECT label_a AS label FROM lab WHERE label_a > 0 UNION SELECT label_b FROM lab WHERE label_b > 0)
-SELECT p.label::INT AS label, 'Region_' || q.label AS region, coalesce(n, 0) AS n FROM ax p CROSS JOIN ax q LEFT JOIN ed ON a = least(p.label, q.label) AND b = greatest(p.label, q.label)""")
+ax AS (SELECT label_a AS label FROM lab WHERE label_a > 0 UNION SELECT label_b FROM lab WHERE label_b > 0),
+an AS (SELECT label, CASE WHEN p_partkey % 2 = 0 THEN 'Part, ' || p_partkey ELSE 'Region_' || label END AS name FROM ax LEFT JOIN part ON p_partkey = label)
+SELECT p.label, p.name, q.name AS region, (SELECT count(*) FROM an) AS n_regions, coalesce(n, 0) AS n FROM an p CROSS JOIN an q LEFT JOIN ed ON a = least(p.label, q.label) AND b = greatest(p.label, q.label)""")
 def export_connectivity_csv(spark, d):
-    path = scratch(spark, "matrix")
-    export.export_connectivity_csv(aggregate.connectivity_matrix(_labelled(spark, d)), path)
+    path, p = scratch(spark, "matrix"), F.col("p_partkey")
+    names = t.read(spark, d, "part").where(p % 2 == 0).select(p.alias("label"), F.concat(F.lit("Part, "), p.cast("string")).alias("name"))
+    export.export_connectivity_csv(aggregate.connectivity_matrix(_labelled(spark, d)), path, names)
     wide = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return wide.unpivot(["label"], [c for c in wide.columns if c != "label"], "region", "n").withColumn("n", F.col("n").cast("long"))
+    cells = wide.unpivot(["name"], [f"`{c}`" for c in wide.columns if c != "name"], "region", "n").withColumn("n", F.col("n").cast("long"))
+    return cells.join(spark.read.schema("label long, name string, n_regions long").json(f"{path}_labels"), "name")
 
 
 @plan("SELECT i, j, k, 1 AS value FROM parc WHERE label = 63")
