@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.affine import AXES
@@ -117,14 +117,20 @@ def medoid_sampled(lines: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def centroid(resampled: DataFrame) -> DataFrame:
-    """(k, x, y, z): mean of the lines (sid, k, x, y, z), each turned if that brings it strictly nearer to the line of the least id."""
-    first = resampled.agg(F.min("sid")).first()[0]
-    last = resampled.agg(F.max("k")).first()[0]
-    # one line: as many rows as it has points
-    model = resampled.where(F.col("sid") == F.lit(first)).select("k", *[F.col(a).alias(f"m{a}") for a in AXES])
-    away = lambda: F.sqrt(sum(((F.col(a) - F.col(f"m{a}")) ** 2 for a in AXES), F.lit(0.0)))
-    both = resampled.join(F.broadcast(model), "k").select("sid", away().alias("d"), F.lit(0.0).alias("t"))
-    turned = resampled.withColumn("k", F.lit(last) - F.col("k")).join(F.broadcast(model), "k").select("sid", F.lit(0.0).alias("d"), away().alias("t"))
-    flips = both.unionByName(turned).groupBy("sid").agg((F.sum("t") < F.sum("d")).alias("flip"))
-    placed = resampled.join(flips, "sid").withColumn("k", F.when(F.col("flip"), F.lit(last) - F.col("k")).otherwise(F.col("k")))
-    return placed.groupBy("k").agg(*[F.avg(a).alias(a) for a in AXES])
+    """(k, x, y, z): mean of the lines (sid, k, x, y, z), each turned if that brings it strictly nearer to the line of the least id.
+
+    Lines have equally many points.  The line of the least id goes to the driver.
+    """
+    lines = resampled.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("k", *AXES))).alias("points"))
+    model = lines.agg(F.min_by("points", "sid")).first()[0]
+    if model is None:
+        return resampled.select("k", *AXES).limit(0)
+    fixed = F.array(*[F.struct(*[F.lit(p[a]).alias(a) for a in AXES]) for p in model])
+
+    def away(points: Column) -> Column:
+        each = F.zip_with(points, fixed, lambda p, m: F.sqrt(sum(((p[a] - m[a]) * (p[a] - m[a]) for a in AXES), F.lit(0.0))))
+        return F.aggregate(each, F.lit(0.0), lambda x, y: x + y)
+
+    direct, turned = F.col("points"), F.reverse("points")
+    placed = lines.select(F.posexplode(F.when(away(turned) < away(direct), turned).otherwise(direct)).alias("k", "p"))
+    return placed.groupBy("k").agg(*[F.avg(f"p.{a}").alias(a) for a in AXES])
