@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.affine import AXES
+
 TARGET, PRE_STRIDE_ABOVE = 20_000, 150_000
 #: Colour of a line without a direction.
 GREY = 200
@@ -72,13 +74,12 @@ def step_points(points: DataFrame, step: int) -> DataFrame:
 
 def export_sample(points: DataFrame, most: int, step: int = 2) -> DataFrame:
     """Sampled lines, sampled points and the colour of each line as integers of 0..255; lines left with one point are grey."""
-    from .geometry import orientation_rgb
-
     chosen = linspace_sample(points.select("sid").distinct(), most)
     stepped = step_points(points.join(chosen, "sid", "left_semi"), step)
-    left = stepped.groupBy("sid").agg(F.count("*").alias("__left"))
-    colours = orientation_rgb(stepped).join(left, "sid")
-    colours = colours.select("sid", *[F.when(F.col("__left") > 1, (F.col(c) * 255).cast("int")).otherwise(GREY).alias(c) for c in ("r", "g", "b")])
+    steps = stepped.groupBy("sid").agg(*[(F.max_by(a, "pid") - F.min_by(a, "pid")).alias(f"d{a}") for a in AXES], F.count("*").alias("__left"))
+    norm = F.sqrt(sum((F.col(f"d{a}") * F.col(f"d{a}") for a in AXES), F.lit(0.0)))
+    shade = {c: F.when(norm > 1e-8, F.abs(F.col(f"d{a}") / norm) * 255).otherwise(0.0).cast("int") for c, a in zip("rgb", AXES, strict=True)}
+    colours = steps.select("sid", *[F.when(F.col("__left") > 1, value).otherwise(GREY).alias(c) for c, value in shade.items()])
     return stepped.join(colours, "sid")
 
 
