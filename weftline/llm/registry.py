@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, grid_join, language, licenses, main_text, minhash, mixing, quality, sql, toxicity, warc
+from . import byte_bpe, conversations, grid_join, language, licenses, main_text, minhash, mixing, quality, sql, toxicity, warc
 from .common import table
 
 VOCAB = "byte_bpe_50k.tiktoken"
@@ -57,6 +57,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_mixing": op9_mixing,
         "op10_main_text": op10_main_text,
+        "op13_conversations": op13_conversations,
     }
 
 
