@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, conversations, grid_join, language, licenses, main_text, minhash, mixing, quality, sql, toxicity, warc
+from . import byte_bpe, conversations, grid_join, language, licenses, main_text, minhash, mixing, quality, search, sql, token_shards, toxicity, warc
 from .common import table
 
 VOCAB = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+WORDS = "word_bpe_49k.json"
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=1)
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -73,6 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_mixing": op9_mixing,
         "op10_main_text": op10_main_text,
+        "op11_search": op11_search,
+        "op12_token_shards": op12_token_shards,
         "op13_conversations": op13_conversations,
     }
 
