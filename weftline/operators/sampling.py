@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.affine import AXES
 
 TARGET, PRE_STRIDE_ABOVE = 20_000, 150_000
+#: Ranges of a global rank.
+BUCKETS = 512
 #: Colour of a line without a direction.
 GREY = 200
 
 
-def prefix_sums(df: DataFrame, key: str, value: Column, out: str, *, buckets: int = 512) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over all rows of a smaller ``key`` (a number).
+def ranged(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with ``__bucket``: ranges of ``key`` (a number) of about equally many rows, in order, wherever the keys lie.
+
+    The ends of the ranges are percentiles from mergeable sketches (at most ``buckets`` numbers go to the driver).
+    """
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    found = df.agg(F.percentile_approx(F.col(key).cast("double"), shares, 20 * buckets).alias("ends")).first()[0]
+    ends = sorted(set(found or []))
+    if not ends:
+        return df.withColumn("__bucket", F.lit(0.0))
+    bucketed = Bucketizer(splits=[-math.inf, *ends, math.inf], inputCol="__key", outputCol="__bucket")
+    return bucketed.transform(df.withColumn("__key", F.col(key).cast("double"))).drop("__key")
+
+
+def prefix_sums(df: DataFrame, key: str, value: Column, out: str, *, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over all rows of a smaller ``key`` (a number, unique).
 
-    Keys are cut into ``buckets`` equal ranges (two numbers go to the driver).
-    Only bucket totals, at most ``buckets`` rows, are summed in one task; the rows are
-    summed within their bucket.
+    Keys are cut into at most ``buckets`` ranges of about equally many rows.  Only the ranges'
+    totals are summed in one task; the rows are summed within their range.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    width = max(1, -(-(int(high) - int(low) + 1) // buckets))
-    rows = df.withColumn("__bucket", F.floor((F.col(key) - F.lit(low)) / width)).withColumn("__value", value.cast("long"))
+    rows = ranged(df, key, buckets).withColumn("__value", value.cast("long"))
     totals = rows.groupBy("__bucket").agg(F.sum("__value").alias("__total"))
     before = F.coalesce(F.sum("__total").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = totals.select("__bucket", before.alias("__before"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +15,12 @@ from ..functions.affine import AXES, INDEX, Affine, nearest
 from .geometry import endpoints, nearest_voxel
 
 DEFAULT_RADIUS, LEAST_RADIUS = 3.5, 0.5
-#: A table of shapes of up to this many rows is broadcast; more are joined by grid cells.
-BROADCAST_SHAPES = 1_000
+#: A table of shapes of up to this many rows goes to every task; more are joined by grid cells.
+BROADCAST_SHAPES = 100_000
+#: Segments of a run, spheres of a group (and groups of a group), and how much is tested at once.
+RUN, FAN, RUNS_AT_ONCE, PAIRS_AT_ONCE, LINES_AT_ONCE = 4, 8, 4_096, 8_192, 4_096
+#: Boxes smaller than cells of 2 ** FINEST lie on that level.
+FINEST = -10
 
 
 def box_meets(low: Sequence, high: Sequence) -> Column:
@@ -27,28 +35,43 @@ def bbox_overlap(lines: DataFrame, low: Sequence[float], high: Sequence[float])
     return lines.where(box_meets(low, high))
 
 
-def range_join(lines: DataFrame, boxes: DataFrame, *, cell: float = 16.0) -> DataFrame:
-    """Pairs of lines and ``boxes`` (roi_id, lowx..highz) that meet, each once.
+def _level(df: DataFrame, low: str, high: str) -> Column:
+    """The level of a box: cells of it are at least as wide as the box, so it touches two of them along an axis at most."""
+    extent = F.greatest(*[F.col(f"{high}{a}") - F.col(f"{low}{a}") for a in AXES])
+    return F.greatest(F.lit(FINEST), F.ceil(F.log2(F.greatest(extent, F.lit(2.0**FINEST))))).cast("int")
 
-    Both sides are dealt to the grid cells that they touch and joined on the
-    cell; a pair counts in the cell of the greater of its lower corners only.
-    """
 
-    def cells(low: str, high: str) -> list[Column]:
-        return [F.sequence(F.floor(F.col(f"{low}{a}") / cell), F.floor(F.col(f"{high}{a}") / cell)) for a in AXES]
+def range_join(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Pairs of lines and ``boxes`` (roi_id, lowx..highz) that meet, each once.
 
-    def dealt(df: DataFrame, low: str, high: str) -> DataFrame:
-        for a, c in zip(AXES, cells(low, high), strict=True):
-            df = df.withColumn(f"__cell{a}", F.explode(c))
+    A hierarchy of grids: each box lies on the level of its own extent, where it touches at
+    most eight cells, and is dealt also to the coarser levels that the other side has.  A pair
+    is joined on the coarser of its two levels only, and counts in the cell of the greater of
+    its lower corners only.  So a row is copied at most eight times for each level of the other side,
+    however large it is.  The levels in use (a few numbers) go to the driver.
+    """
+    sides = []
+    for df, low, high, own in ((lines, "min", "max", "__la"), (boxes, "low", "high", "__lb")):
+        known = reduce(lambda a, b: a & b, [F.col(f"{m}{a}").isNotNull() for m in (low, high) for a in AXES])
+        sides.append((df.where(known).withColumn(own, _level(df, low, high)), low, high, own))
+    levels = [sorted(r[0] for r in df.select(own).distinct().collect()) for df, _, _, own in sides]
+
+    def dealt(side: int) -> DataFrame:
+        df, low, high, own = sides[side]
+        coarser = F.filter(F.array(*[F.lit(v) for v in levels[1 - side]]).cast("array<int>"), lambda v: v > F.col(own))
+        df = df.withColumn("__level", F.explode(F.concat(F.array(own), coarser)))
+        size = F.pow(F.lit(2.0), F.col("__level"))
+        for a in AXES:
+            df = df.withColumn(f"__cell{a}", F.explode(F.sequence(F.floor(F.col(f"{low}{a}") / size), F.floor(F.col(f"{high}{a}") / size))))
         return df
 
-    on = [f"__cell{a}" for a in AXES]  # spheres have columns cx, cy, cz
-    pairs = dealt(lines, "min", "max").join(dealt(boxes, "low", "high"), on)
-    test = F.lit(True)
+    on = ["__level", *[f"__cell{a}" for a in AXES]]
+    pairs = dealt(0).join(dealt(1), on)
+    test = F.col("__level") == F.greatest("__la", "__lb")
     for a in AXES:
         test &= (F.col(f"max{a}") >= F.col(f"low{a}")) & (F.col(f"min{a}") <= F.col(f"high{a}"))
-        test &= F.col(f"__cell{a}") == F.floor(F.greatest(f"min{a}", f"low{a}") / cell)
-    return pairs.where(test).drop(*on)
+        test &= F.col(f"__cell{a}") == F.floor(F.greatest(f"min{a}", f"low{a}") / F.pow(F.lit(2.0), F.col("__level")))
+    return pairs.where(test).drop(*on, "__la", "__lb")
 
 
 def in_sphere(points: Column, centre: Sequence, r2) -> Column:
@@ -74,18 +97,147 @@ def select_in_sphere(lines: DataFrame, centre: Sequence[float], radius: float =
     return near.where(in_sphere(F.col("points"), [F.lit(float(c)) for c in centre], F.lit(r * r))).select("sid")
 
 
+class SphereTree:
+    """Spheres in Morton order under levels of boxes of FAN each; descended level by level with boxes of runs of segments."""
+
+    def __init__(self, centres: np.ndarray, radii: np.ndarray):
+        low = centres.min(axis=0, initial=0.0)
+        width = max(float((centres - low).max(initial=0.0)), 1e-300)
+        cells = ((centres - low) / width * 1023).astype(np.int64)
+        code = np.zeros(len(centres), np.int64)
+        for bit in range(10):
+            for axis in range(3):
+                code |= ((cells[:, axis] >> bit) & 1) << (3 * bit + axis)
+        self.order = np.argsort(code, kind="stable")
+        n = -(-max(1, len(centres)) // FAN) * FAN
+        self.centres, self.radii = np.full((n, 3), np.inf), np.full(n, -np.inf)  # spheres that fill up the last group meet nothing
+        self.centres[: len(centres)], self.radii[: len(radii)] = centres[self.order], radii[self.order]
+        reach = np.abs(radii)[self.order][:, None]
+        boxes = np.tile([[np.inf] * 3, [-np.inf] * 3], (n, 1, 1))
+        boxes[: len(centres)] = np.stack([centres[self.order] - reach, centres[self.order] + reach], axis=1)
+        self.levels = []
+        while True:
+            boxes = np.concatenate([boxes, np.tile([[[np.inf] * 3, [-np.inf] * 3]], (-len(boxes) % FAN, 1, 1))]).reshape(-1, FAN, 2, 3)
+            boxes = np.stack([boxes[:, :, 0].min(axis=1), boxes[:, :, 1].max(axis=1)], axis=1)
+            self.levels.append(boxes)
+            if len(boxes) == 1:
+                break
+
+    def candidates(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a run's box and a lowest group of FAN spheres that meet."""
+        run, node = np.arange(len(low)), np.zeros(len(low), np.int64)
+        for depth, boxes in enumerate(reversed(self.levels)):
+            if depth:
+                run, node = np.repeat(run, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
+                real = node < len(boxes)
+                run, node = run[real], node[real]
+            meets = ((high[run] >= boxes[node, 0]) & (low[run] <= boxes[node, 1])).all(axis=1)
+            run, node = run[meets], node[meets]
+        return run, node
+
+
+def line_hits(points: np.ndarray, sizes: np.ndarray, tree: SphereTree) -> tuple[np.ndarray, np.ndarray]:
+    """(line, sphere) numbers that hit, each once, of lines of ``sizes`` points that stand one behind the other in ``points``.
+
+    A hit is a vertex, or a point of a segment of positive length, nearer than r.  Blocks of
+    runs of RUN segments are tested against groups of spheres that their boxes meet.
+    """
+    n = len(points)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    after = np.minimum(np.arange(n) + 1, max(n - 1, 0))
+    ends = np.where((line[after] == line)[:, None], points[after], points)  # the last vertex is a segment of no length
+    # runs: RUN segments of one line, the last one filled up with its last segment
+    first = np.cumsum(sizes) - sizes
+    runs = -(-sizes // RUN)
+    start = np.repeat(first, runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)) * RUN
+    owner = np.repeat(np.arange(len(sizes)), runs)
+    segment = np.minimum(start[:, None] + np.arange(RUN), (first + sizes - 1)[owner][:, None])
+    a, b = points[segment], ends[segment]
+    low, high = np.minimum(a, b).min(axis=1), np.maximum(a, b).max(axis=1)
+    found = []
+    for part in range(0, len(owner), RUNS_AT_ONCE):
+        run, group = tree.candidates(low[part : part + RUNS_AT_ONCE], high[part : part + RUNS_AT_ONCE])
+        for k in range(0, len(run), PAIRS_AT_ONCE):
+            r, g = run[k : k + PAIRS_AT_ONCE] + part, group[k : k + PAIRS_AT_ONCE]
+            sphere = g[:, None] * FAN + np.arange(FAN)
+            hit = _touches(a[r][:, :, None], b[r][:, :, None], tree.centres[sphere][:, None], tree.radii[sphere][:, None]).any(axis=1)
+            pair, which = np.nonzero(hit)
+            found.append(np.unique(owner[r[pair]] * np.int64(len(tree.radii)) + sphere[pair, which]))
+    every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return every // len(tree.radii), tree.order[every % len(tree.radii)]
+
+
+def _touches(p: np.ndarray, q: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Whether a sphere holds p or, for p <> q, a point of the segment from p to q, nearer than r.  The last axis is x, y, z."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d, from_p = q - p, p - c
+        length = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+        along = -(from_p[..., 0] * d[..., 0] + from_p[..., 1] * d[..., 1] + from_p[..., 2] * d[..., 2])
+        t = np.clip(along / length, 0.0, 1.0)
+        r2 = np.where(r >= 0, r * r, -1.0)
+        vertex = from_p[..., 0] * from_p[..., 0] + from_p[..., 1] * from_p[..., 1] + from_p[..., 2] * from_p[..., 2] < r2
+        x, y, z = (p[..., k] + t * d[..., k] - c[..., k] for k in range(3))
+        return vertex | ((length > 0) & (x * x + y * y + z * z < r2))
+
+
+def _xyz(points: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and sizes of lines."""
+    flat = points.flatten()
+    return np.stack([flat.field(a).to_numpy(zero_copy_only=False) for a in AXES], axis=1).astype(float).reshape(-1, 3), np.asarray(pc.fill_null(pc.list_value_length(points), 0)).astype(np.int64)
+
+
+def _spheres(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([table.column(f"c{a}").to_numpy() for a in AXES], axis=1).astype(float), table.column("r").to_numpy().astype(float)
+
+
 def sphere_hits(lines: DataFrame, spheres: DataFrame) -> DataFrame:
-    """(roi_id, sid) for ``spheres`` (roi_id, cx, cy, cz, r).
+    """(roi_id, sid) for ``spheres`` (roi_id, cx, cy, cz, r) and nested ``lines``; spheres with a null meet nothing.
 
-    Up to BROADCAST_SHAPES spheres are counted and sent to every task; more are
-    joined by grid cells.
+    Lines are dealt to tasks and tested in blocks against a tree of all spheres, up to
+    BROADCAST_SHAPES of them (counted first; 40 bytes each).  Of more spheres, runs of
+    segments are joined by their boxes to the spheres' boxes, and the pairs tested in blocks.
     """
-    boxes = spheres.select("*", *[(F.col(f"c{a}") - F.col("r")).alias(f"low{a}") for a in AXES], *[(F.col(f"c{a}") + F.col("r")).alias(f"high{a}") for a in AXES])
-    if spheres.limit(BROADCAST_SHAPES + 1).count() <= BROADCAST_SHAPES:
-        pairs = lines.join(F.broadcast(boxes), box_meets([F.col(f"low{a}") for a in AXES], [F.col(f"high{a}") for a in AXES]))
-    else:
-        pairs = range_join(lines, boxes)
-    return pairs.where(in_sphere(F.col("points"), [F.col(f"c{a}") for a in AXES], F.col("r") * F.col("r"))).select("roi_id", "sid")
+    spark, known = lines.sparkSession, spheres.select("roi_id", *[F.col(f"c{a}").cast("double") for a in AXES], F.col("r").cast("double")).dropna()
+    kinds = f"roi_id {spheres.schema['roi_id'].dataType.simpleString()}, sid {lines.schema['sid'].dataType.simpleString()}"
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if known.limit(BROADCAST_SHAPES + 1).count() > BROADCAST_SHAPES:
+        return _joined_hits(lines, known, kinds)
+    table = known.toArrow()
+    shared = spark.sparkContext.broadcast((table.column("roi_id").combine_chunks(), *_spheres(table)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roi_ids, centres, radii = shared.value
+        tree = SphereTree(centres, radii)
+        for batch in batches:
+            for k in range(0, batch.num_rows, LINES_AT_ONCE):
+                some = batch.slice(k, LINES_AT_ONCE)
+                line, sphere = line_hits(*_xyz(some.column(1)), tree)
+                yield pa.RecordBatch.from_arrays([roi_ids.take(pa.array(sphere)), some.column(0).take(pa.array(line))], ["roi_id", "sid"])
+
+    return lines.select("sid", "points").repartition(tasks, "sid").mapInArrow(run, kinds)
+
+
+def _joined_hits(lines: DataFrame, spheres: DataFrame, kinds: str) -> DataFrame:
+    """Hits of any number of spheres, by the boxes of runs of segments."""
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("points") - 1), F.lit(RUN))
+    runs = lines.where(F.size("points") > 0).select("sid", F.explode(F.transform(begins, lambda k: F.slice("points", k, F.lit(RUN + 1)))).alias("points"))
+    for a in AXES:
+        values = F.col(f"points.{a}")
+        runs = runs.withColumns({f"min{a}": F.array_min(values), f"max{a}": F.array_max(values)})
+    boxes = spheres.select("*", *[(F.col(f"c{a}") - F.abs("r")).alias(f"low{a}") for a in AXES], *[(F.col(f"c{a}") + F.abs("r")).alias(f"high{a}") for a in AXES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, sizes = _xyz(batch.column("points"))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            after = np.minimum(np.arange(len(points)) + 1, max(len(points) - 1, 0))
+            ends = np.where((row[after] == row)[:, None], points[after], points)
+            centres, radii = _spheres(pa.Table.from_batches([batch]))
+            hit = np.unique(row[_touches(points, ends, centres[row], radii[row])])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit)) for c in ("roi_id", "sid")], ["roi_id", "sid"])
+
+    pairs = range_join(runs, boxes).select("roi_id", "sid", "points", *[f"c{a}" for a in AXES], "r")
+    return pairs.mapInArrow(run, kinds).distinct()
 
 
 def select_in_box(lines: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
@@ -123,6 +275,11 @@ def visible_candidates(candidates: DataFrame, visible: DataFrame) -> DataFrame:
     return candidates.join(visible.select("sid"), "sid", "left_semi")
 
 
-def stale_region_refresh(points: DataFrame, visible: DataFrame, parcels: DataFrame, affine: Affine) -> DataFrame:
-    """Endpoint labels of the lines visible now."""
-    return label_endpoints(visible_candidates(points, visible), parcels, affine)
+def stale_region_refresh(points: DataFrame, visible: DataFrame, parcels: DataFrame, affine: Affine, modes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Endpoint labels of the lines visible now, and ``modes`` (kind, roi_id, mode) with the filters of all regions reset.
+
+    Hits of a region come from the labels, so a filter that was set on older ones no longer holds;
+    modes of other kinds stay.
+    """
+    reset = F.when(F.col("kind") == "region", "none").otherwise(F.col("mode"))
+    return label_endpoints(visible_candidates(points, visible), parcels, affine), modes.withColumn("mode", reset)

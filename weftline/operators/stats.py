@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.affine import AXES
+from ..sources.files import materialise
 
 BLOCK = 256
 HASH, MODULUS = 2654435761, 4294967296
@@ -35,54 +37,174 @@ def _cube(xyz: pd.Series) -> np.ndarray:
     return np.stack(xyz.to_list()).reshape(len(xyz), -1, 3)
 
 
-def _block_pairs(lines: DataFrame, blocks: int) -> DataFrame:
-    """Each line once for every pair of blocks (p <= q) that its block is in."""
-    own = lines.withColumn("block", F.pmod(F.xxhash64("sid"), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    return own.withColumn("other", other).select("sid", "xyz", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return rows[rows.side == 0].sort_values("sid"), rows[rows.side == 1].sort_values("sid")
 
 
-def _blocks(lines: DataFrame) -> int:
-    return max(1, -(-lines.count() // BLOCK))
+def _dealt(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (cell, sid, xyz) of two sides, each once for every pair of blocks (p of the left, q of the right side of a cell) that its block is in.
 
+    A block holds about BLOCK lines, so a full cell is many tasks.
+    """
 
-def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    p, q = rows.p.iloc[0], rows.q.iloc[0]
-    return rows[rows.block == p].sort_values("sid"), rows[rows.block == q].sort_values("sid")
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    sizes = blocks(left, "ps").join(blocks(right, "qs"), "cell")
+    parts = []
+    for side, df, own, other in ((0, left, "p", "q"), (1, right, "q", "p")):
+        block = F.pmod(F.xxhash64("sid"), F.col(f"{own}s")).cast("int").alias(own)
+        copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other)
+        parts.append(df.join(sizes, "cell").select("cell", "sid", "xyz", block, "ps", "qs").withColumn(other, copies).select("cell", "p", "q", F.lit(side).alias("side"), "sid", "xyz"))
+    return parts[0].unionByName(parts[1])
+
+
+def _means(cube: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean points (lines, runs, 3) of quarters of each line, and the share of each run; a turned line has the same runs turned."""
+    n = cube.shape[1]
+    cuts = sorted({0, n // 4, *([n // 2] if n % 2 == 0 else []), n - n // 4, n})
+    shares = np.diff(cuts) / n
+    return np.stack([cube[:, a:b].mean(axis=1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], axis=1), shares
+
+
+def _at_least(x: np.ndarray, y: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Lower bounds of the distances of lines by their mean points: a mean distance of points isn't below that of their means."""
+    direct, turned = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+    for k, w in enumerate(shares):
+        direct += w * np.sqrt(((x[:, None, k] - y[None, :, k]) ** 2).sum(axis=2))
+        turned += w * np.sqrt(((x[:, None, k] - y[None, :, len(shares) - 1 - k]) ** 2).sum(axis=2))
+    return np.minimum(direct, turned)
+
+
+def _near(x: pd.DataFrame, y: pd.DataFrame, limit: float, ordered: bool) -> tuple[pd.DataFrame, int]:
+    """Pairs of two blocks nearer than ``limit``, and how many were compared point by point."""
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": [], "mdf": []}), 0
+    p, q, sid, other = _cube(x.xyz), _cube(y.xyz), x.sid.to_numpy(), y.sid.to_numpy()
+    (mp, shares), (mq, _) = _means(p), _means(q)
+    left, right = np.nonzero((_at_least(mp, mq, shares) < limit * (1 + 1e-9)) & ((sid[:, None] < other[None]) | (not ordered)))
+    d = np.empty(len(left))
+    for k in range(0, len(left), 4_096):
+        a, b = p[left[k : k + 4_096]], q[right[k : k + 4_096]]
+        d[k : k + 4_096] = np.minimum(np.sqrt(((a - b) ** 2).sum(axis=2)).mean(axis=1), np.sqrt(((a - b[:, ::-1]) ** 2).sum(axis=2)).mean(axis=1))
+    keep = d < limit
+    a, b = sid[left[keep]], other[right[keep]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "mdf": d[keep]}), len(left)
+
+
+def _in_cells(lines: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """``lines`` in cells of ``limit`` of their mean point, and once more in those of its forward neighbours too.; of two lines in neighbouring cells one visits the other.
+    """
+    n = F.size("xyz") / 3
+    total = lambda axis: F.aggregate(F.filter("xyz", lambda _, k: k % 3 == axis), F.lit(0.0), lambda s, v: s + v)
+    mean = [total(axis) / n for axis in range(3)]
+    placed = lines.select("sid", "xyz", *[F.floor(m / limit).alias(f"c{k}") for k, m in enumerate(mean)])
+    steps = [(0, 0, 0), *(s for s in product((-1, 0, 1), repeat=3) if s > (0, 0, 0))]
+    cell = F.struct("c0", "c1", "c2").alias("cell")
+    near = F.explode(F.array(*[F.struct(*[(F.col(f"c{k}") + d).alias(f"c{k}") for k, d in enumerate(s)]) for s in steps])).alias("cell")
+    own = placed.select(cell, "sid", "xyz")
+    return own, placed.select(near, "sid", "xyz", F.struct("c0", "c1", "c2").alias("from"))
 
 
 def mdf_pairs(lines: DataFrame, limit: float | None = None) -> DataFrame:
-    """(a, b, mdf), a < b: distances of all pairs, or of those nearer than ``limit``.  ``lines`` is (sid, xyz)."""
+    """(a, b, mdf), a < b: distances of all pairs, or of those nearer than ``limit``.  ``lines`` is (sid, xyz).
+
+    With a limit, lines meet only in a grid of cells of ``limit`` on their mean points: the distance of two
+    lines isn't below that of their mean points.  Pairs that meet are compared point by point only if the
+    mean points of quarters of the lines are near enough.  A full cell is cut into blocks.
+    """
+    return mdf_compared(lines, limit).select("a", "b", "mdf")
+
+
+def mdf_compared(lines: DataFrame, limit: float | None = None) -> DataFrame:
+    """As ``mdf_pairs``, with ``compared``: how many pairs its task compared point by point, on one row a task (a = b = null)."""
+    if limit is None:
+        every = lines.select(F.lit(0).alias("cell"), "sid", "xyz")
+        rows = _dealt(every, every).withColumn("same", F.lit(True))
+    else:
+        own, near = _in_cells(lines, limit)
+        inside, visits = near.where("cell = from").drop("from"), near.where("cell <> from").drop("from")
+        rows = _dealt(own, inside).withColumn("same", F.lit(True)).unionByName(_dealt(own, visits).withColumn("same", F.lit(False)))
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = _sides(rows)
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "mdf": []})
-        d = _distances(_cube(x.xyz), _cube(y.xyz))
-        a, b = np.broadcast_arrays(x.sid.to_numpy()[:, None], y.sid.to_numpy()[None, :])
-        keep = (a < b) if rows.p.iloc[0] == rows.q.iloc[0] else np.ones_like(d, bool)
-        keep = keep if limit is None else keep & (d < limit)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "mdf": d[keep]})
+        found, n = _near(*_sides(rows), np.inf if limit is None else limit, bool(rows["same"].iloc[0]))
+        return pd.concat([found.assign(compared=0), pd.DataFrame({"a": [None], "b": [None], "mdf": [None], "compared": [n]})]).astype({"a": "Int64", "b": "Int64", "mdf": float, "compared": "int64"})
 
-    return _block_pairs(lines, _blocks(lines)).groupBy("p", "q").applyInPandas(pairs, "a long, b long, mdf double")
+    out = rows.groupBy("cell", "same", "p", "q").applyInPandas(pairs, "a long, b long, mdf double, compared long")
+    return out.where("a IS NOT NULL") if limit is None else out
 
 
-def medoid_exact(lines: DataFrame) -> DataFrame:
-    """(sid, total) of the line of least total distance, ties to the least id.  Pairs of blocks return sums only."""
+def _bounds(to_pivots: DataFrame, bins: int = 1_024) -> tuple[DataFrame, dict[int, float]]:
+    """(sid, least): a lower bound of each line's total, and the totals of the pivots.
 
-    def sums(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = _sides(rows)
-        if not len(x) or not len(y):
-            return pd.DataFrame({"sid": [], "total": []})
-        d = _distances(_cube(x.xyz), _cube(y.xyz))
-        parts = [pd.DataFrame({"sid": x.sid, "total": d.sum(axis=1)})]
-        if rows.p.iloc[0] != rows.q.iloc[0]:
-            parts.append(pd.DataFrame({"sid": y.sid, "total": d.sum(axis=0)}))
-        return pd.concat(parts)
+    By the triangle inequality d(i, j) >= |d(i, p) - d(j, p)|.  The sum of the right side over all j is taken from
+    counts and sums of d(j, p) in ``bins`` ranges for each pivot, which go to the driver; in a line's own range it is bounded by the range's sum.
+    """
+    ends = to_pivots.groupBy("sample").agg(F.min("mdf").alias("low"), F.max("mdf").alias("high"), F.sum("mdf").alias("total")).toPandas().set_index("sample")
+    limits = F.broadcast(to_pivots.sparkSession.createDataFrame([(int(k), float(r.low), float(max(r.high - r.low, 1e-300))) for k, r in ends.iterrows()], "sample long, low double, width double"))
+    at = F.least(F.lit(bins - 1), F.floor((F.col("mdf") - F.col("low")) / F.col("width") * bins)).cast("int")
+    binned = to_pivots.join(limits, "sample").withColumn("bin", at)
+    rows = binned.groupBy("sample", "bin").agg(F.count("*").alias("n"), F.sum("mdf").alias("s")).toPandas()
+    tables = {}
+    for pivot, part in rows.groupby("sample"):
+        n, s = np.zeros(bins), np.zeros(bins)
+        n[part.bin], s[part.bin] = part.n, part.s
+        tables[int(pivot)] = (np.cumsum(n) - n, np.cumsum(s) - s, n, s)
+    shared = to_pivots.sparkSession.sparkContext.broadcast(tables)
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = np.zeros(len(batch))
+            for pivot, (n0, s0, n, s) in shared.value.items():
+                k = np.flatnonzero(batch["sample"] == pivot)
+                x, b = batch.mdf.to_numpy()[k], batch["bin"].to_numpy()[k]
+                above_n, above_s = n0[-1] + n[-1] - n0[b] - n[b], s0[-1] + s[-1] - s0[b] - s[b]
+                out[k] = x * n0[b] - s0[b] + above_s - x * above_n + np.abs(x * n[b] - s[b])
+            yield pd.DataFrame({"sid": batch.sid, "least": out})
+
+    every = binned.select("sid", "sample", "mdf", "bin").mapInPandas(least, "sid long, least double")
+    return every.groupBy("sid").agg(F.max("least").alias("least")), {int(k): float(v) for k, v in ends.total.items()}
+
+
+def medoid_search(lines: DataFrame, pivots: int = 16, first: int = 64, most: int = 2_000) -> tuple[DataFrame, int]:
+    """(sid, total) of the line of least total distance, ties to the least id, and how many lines were summed.
 
-    partial = _block_pairs(lines, _blocks(lines)).groupBy("p", "q").applyInPandas(sums, "sid long, total double")
-    totals = partial.groupBy("sid").agg(F.round(F.sum("total"), 6).alias("total"))
-    return totals.orderBy("total", "sid").limit(1)
+    The distance is a metric, so distances to a few pivots bound each line's total from
+    below.  Totals are summed for the lines of the least bounds first, ``first`` lines, then twice as
+    many at a time (``most`` at most), until every line left is bounded above the least total found.
+    """
+    chosen = hash_sample(lines, pivots)
+    if not chosen.count():
+        return lines.sparkSession.createDataFrame([], "sid long, total double"), 0
+    to_pivots = materialise(mdf_to_samples(lines, chosen))
+    least, totals = _bounds(to_pivots)
+    least = materialise(least)
+    best = min(((round(v, 6), k) for k, v in totals.items()), default=None)
+    summed, at = set(totals), first
+    last: tuple[float, int] | None = None
+    while best is not None:
+        slack = 1e-6 + 1e-9 * best[0]
+        left = least.where(F.col("least") <= best[0] + slack)
+        if last is not None:  # bounds rise from round to round, so a round goes on behind the last one
+            left = left.where((F.col("least") > last[0]) | ((F.col("least") == last[0]) & (F.col("sid") > last[1])))
+        some = left.orderBy("least", "sid").limit(at).collect()
+        if not some:
+            break
+        last = (some[-1].least, some[-1].sid)
+        new = [r.sid for r in some if r.sid not in summed]
+        if new:
+            wanted = lines.join(F.broadcast(lines.sparkSession.createDataFrame([(k,) for k in new], "sid long")), "sid", "left_semi")
+            sums = mdf_to_samples(lines, wanted).groupBy("sample").agg(F.round(F.sum("mdf"), 6).alias("total")).collect()
+            best = min([best, *((r.total, r["sample"]) for r in sums)])
+            summed |= set(new)
+        at = min(most, 2 * at)
+    found = [] if best is None else [(best[1], best[0])]
+    return lines.sparkSession.createDataFrame(found, "sid long, total double"), len(summed)
+
+
+def medoid_exact(lines: DataFrame) -> DataFrame:
+    """(sid, total) of the line of least total distance, ties to the least id; see ``medoid_search``."""
+    return medoid_search(lines)[0]
 
 
 def hash_sample(lines: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -95,7 +217,7 @@ def mdf_to_samples(lines: DataFrame, samples: DataFrame, *, most: int = 2_000) -
     rows = samples.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} sample lines")
-    ids, cube = np.array([r.sid for r in rows], np.int64), np.array([r.xyz for r in rows], float).reshape(len(rows), -1, 3)
+    ids, cube = np.array([r.sid for r in rows], np.int64), _cube(pd.Series([r.xyz for r in rows])) if rows else np.zeros((0, 0, 3))
     shared = lines.sparkSession.sparkContext.broadcast((ids, cube))
 
     def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

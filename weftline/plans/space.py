@@ -56,12 +56,6 @@ def sphere_hits(spark, d):
     return _hits(spark, d)
 
 
-@plan("SELECT roi_id, sid FROM hits")
-def sphere_hits_all(spark, d):
-    """Hits of every supplier's sphere."""
-    return spatial.sphere_hits(_nested(spark, d), t.shapes(spark, d))
-
-
 @plan("SELECT DISTINCT sid FROM l WHERE x BETWEEN -5 AND 5 AND y BETWEEN 0 AND 10 AND z BETWEEN -10 AND 0")
 def select_in_box(spark, d):
     return spatial.select_in_box(layout.to_nested(t.lines_l(spark, d)), (-5, 0, -10), (5, 10, 0))
@@ -95,7 +89,25 @@ def visible_candidates(spark, d):
 
 @plan("SELECT sid, label_a, label_b FROM lab WHERE sid % 2 = 0")
 def stale_region_refresh(spark, d):
-    return spatial.stale_region_refresh(t.lines_e(spark, d), _sids(spark, d).where("sid % 2 = 0"), t.parcels(spark, d), t.GRID)
+    return _refreshed(spark, d)[0]
+
+
+def _refreshed(spark, d):
+    """The refresh with lines of even ids visible and, beside the regions' own modes, one region excluded."""
+    kinds = t.modes(spark, d).select(F.lit("shape").alias("kind"), "roi_id", "mode", "seq")
+    region = kinds.limit(1).select(F.lit("region").alias("kind"), F.lit(63).alias("roi_id"), F.lit("exclude").alias("mode"), "seq")
+    return spatial.stale_region_refresh(t.lines_e(spark, d), _sids(spark, d).where("sid % 2 = 0"), t.parcels(spark, d), t.GRID, kinds.unionByName(region))
+
+
+@plan("""SELECT vec_id AS sid FROM embeddings WHERE vec_id IN (SELECT sid FROM hits WHERE roi_id = 2) AND vec_id IN (SELECT sid FROM hits WHERE roi_id = 8)
+AND vec_id NOT IN (SELECT sid FROM hits WHERE roi_id = 1)""")
+def stale_region_filters(spark, d):
+    """Lines that the filters leave after a refresh: those of shapes hold, those of regions are reset."""
+    labels, modes = _refreshed(spark, d)
+    regions = labels.select(F.explode(F.array_distinct(F.array("label_a", "label_b"))).alias("label"), "sid")
+    shapes = filters.set_logic_mode(modes.where("kind = 'shape'").drop("kind"))
+    region_modes = filters.set_logic_mode(modes.where("kind = 'region'").drop("kind")).select(F.col("roi_id").alias("label"), "mode")
+    return filters.apply_logic_filters(_sids(spark, d), _hits(spark, d), shapes, regions, region_modes)
 
 
 @plan("""SELECT vec_id AS sid FROM embeddings WHERE vec_id IN (SELECT sid FROM hits WHERE roi_id = 2) AND vec_id IN (SELECT sid FROM hits WHERE roi_id = 8)
