@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import raster, sampling, spatial, stats, volume
+from weftline.operators import aggregate, labels, raster, sampling, spatial, stats, volume
 from weftline.streaming import jobs
 
 BOX = "roi_id long, " + ", ".join(f"{e}{a} double" for e in ("low", "high") for a in "xyz")
@@ -99,3 +99,91 @@ def test_ranks_of_one_far_id_are_dealt_evenly(spark):
     assert {r.sid: r["rank"] for r in ranked.collect()} == {s: k for k, s in enumerate([*range(0, 120_000, 3), 10**15])}
     sizes = [r["count"] for r in sampling.ranged(ids, "sid", 64).groupBy("__bucket").count().collect()]
     assert max(sizes) < 2 * 40_001 / 64 and sampling.global_rank(ids.limit(0)).count() == 0
+
+
+def test_polygons_by_scan_lines(spark):
+    rng = random.Random(8)
+    polygons = {k: [(rng.choice([rng.uniform(-3, 14), float(rng.randrange(0, 10))]), rng.choice([rng.uniform(-3, 14), float(rng.randrange(0, 10))])) for _ in range(rng.randrange(2, 9))] for k in range(40)}
+    rows = [(k, n, x, y, 4.4) for k, p in polygons.items() for n, (x, y) in enumerate(p)]
+    df = spark.createDataFrame(rows, "roi_id long, pid int, x double, y double, z double")
+    got = [(r.roi_id, r.i, r.j, r.k) for r in raster.fill_polygon(df, (10, 11, 6)).collect()]
+    want = set()
+    for k, p in polygons.items():
+        if len(p) < 3:
+            continue
+        for i, j in itertools.product(range(10), range(11)):
+            inside = False
+            for n, (xi, yi) in enumerate(p):
+                xj, yj = p[n - 1]
+                if (yi > j) != (yj > j) and i < (xj - xi) * (j - yi) / (yj - yi + 1e-10) + xi:
+                    inside = not inside
+            if inside and math.floor(min(x for x, _ in p)) <= i <= math.ceil(max(x for x, _ in p)):
+                want.add((k, i, j, 4))
+    assert len(got) == len(set(got)) and set(got) == want and want
+    tall = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 9e5, 2.0, 0.0), (1, 2, 9e5, 3.0, 0.0)], "roi_id long, pid int, x double, y double, z double")
+    assert raster.fill_polygon(tall, (10**6, 10**6, 1)).groupBy("j").count().count() == 2  # rows 1 and 2; no row a cell of its box
+
+
+def test_exact_quantiles_in_passes(spark):
+    rng = random.Random(6)
+    values = [rng.choice([rng.gauss(0, 1), 7.0, 10 ** rng.uniform(-200, 200), -3.5]) for _ in range(3_000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+    ordered, ranks = sorted(values), [0, 1, 149, 1500, 2969, 2999]
+    assert volume.order_statistics(df, "v", ranks, bins=4, few=5) == [ordered[r] for r in ranks]
+    assert volume.quantiles(df, "v", (0.05, 0.99)) == pytest.approx(np.quantile(values, [0.05, 0.99]).tolist())
+    assert volume.quantiles(df.limit(0), "v", (0.5,)) == [None]
+
+
+@pytest.mark.parametrize("tile", [32, 3, 5])
+def test_smoothing_by_tiles(spark, tile):
+    rng = np.random.default_rng(2)
+    dims, sigma = (7, 9, 4), 0.8
+    voxels = [(i, j, k, float(rng.normal())) for i in range(7) for j in range(9) for k in range(4) if rng.random() < 0.15]
+    block, there = np.zeros(dims), np.zeros(dims)
+    for i, j, k, v in voxels:
+        block[i, j, k], there[i, j, k] = v, 1
+    w = volume.kernel(sigma)
+    for axis, n in enumerate(dims):
+        taken = [np.clip(np.arange(n) + o - len(w) // 2, 0, n - 1) for o in range(len(w))]
+        block, there = (sum(x * np.take(b, t, axis=axis) for x, t in zip(w, taken)) for b in (block, there))
+    df = spark.createDataFrame(voxels, "i int, j int, k int, value double")
+    got = {(r.i, r.j, r.k): r.value for r in volume.gaussian_smooth(df, dims, sigma, tile=tile).collect()}
+    assert got.keys() == set(zip(*np.nonzero(there))) and all(math.isclose(v, block[p], abs_tol=1e-12) for p, v in got.items())
+
+
+def test_running_density_writes_touched_cells(spark, tmp_path):
+    first, then = [(float(k), 0.0, 0.0) for k in range(20)], [(3.0, 0.0, 0.0), (3.0, 0.0, 0.0), (25.0, 0.0, 0.0)]
+    for n, rows in enumerate((first, then)):
+        spark.createDataFrame(rows, "x double, y double, z double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"f={n}"))
+    stream = jobs.files_as_stream(spark, str(tmp_path / "in" / "*" / "*.parquet"), spark.read.parquet(str(tmp_path / "in" / "f=0")).schema)
+    from weftline.functions.affine import IDENTITY
+    from weftline.operators.aggregate import density_map
+
+    counts = density_map(stream, IDENTITY, (40, 2, 2))
+    out = jobs._run(counts, "update", "density", jobs._changed)
+    written = sorted(r["count"] for r in spark.read.parquet(out).groupBy("batch").count().collect())
+    assert written == [2, 20]
+    table = jobs.upserted(spark, out, counts.schema, ["i", "j", "k"])
+    want = {k: 1 for k in range(20)} | {3: 3, 25: 1}
+    assert {r.i: r.n for r in table.collect()} == want
+    last = spark.createDataFrame(spark.read.parquet(out).where("batch = 1").drop("batch").collect(), counts.schema)
+    jobs._changed(last, 1, out)  # a batch that is run again
+    assert {r.i: r.n for r in jobs.upserted(spark, out, counts.schema, ["i", "j", "k"]).collect()} == want
+
+
+def test_label_file_or_given_table(spark, tmp_path):
+    builtin = spark.createDataFrame([(1, "Usual", 0)], "label int, name string, extra int")
+    (tmp_path / "lut.txt").write_text("# comment\n\n2 Left-Two 1 2 3 0\nx3 bad\n2 Again 0 0 0 0\n")
+    (tmp_path / "none.txt").write_text("# only a comment\n")
+    found = lambda p: {r.label: r["name"] for r in labels.lut_or_builtin(spark, p, builtin).collect()}
+    assert found(str(tmp_path / "lut.txt")) == {2: "Again"}
+    assert found(str(tmp_path / "none.txt")) == found(str(tmp_path / "missing.txt")) == found(None) == {1: "Usual"}
+
+
+def test_matrix_of_too_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(aggregate, "BROADCAST_LABELS", 2)
+    ends = spark.createDataFrame([(0, 1, 2), (1, 2, 2)], "sid long, label_a int, label_b int")
+    assert {(r.label_a, r.label_b): r.n for r in aggregate.connectivity_matrix(ends).collect()} == {(1, 1): 0, (1, 2): 1, (2, 1): 1, (2, 2): 1}
+    assert aggregate.connectivity_matrix(ends.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="connectivity_edges"):
+        aggregate.connectivity_matrix(ends.unionByName(spark.createDataFrame([(2, 3, 3)], ends.schema)))

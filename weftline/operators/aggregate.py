@@ -8,11 +8,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.affine import AXES, INDEX, Affine, diagonal
 from .geometry import nearest_voxel
 
 PADDING = 5.0
+#: Most labels of a dense matrix, and most rows of a basis that go to every task.
+BROADCAST_LABELS, BROADCAST_BASIS = 5_000, 200_000
 
 
 def density_map(points: DataFrame, affine: Affine, dims: Sequence[int]) -> DataFrame:
@@ -58,12 +61,16 @@ def connected_labels(labelled: DataFrame) -> DataFrame:
 def connectivity_matrix(labelled: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(label_a, label_b, n) for all pairs of connected labels, with zeros; names beside them if given.
 
-    The result is the square of the labels by what it is: each label is paired
-    with the list of all, a table of labels that is small beside the lines.
+    The result is the square of the labels by what it is.  The labels are counted first and then
+    go to every task; more than BROADCAST_LABELS are an error, as their square is no table to export
+    (``connectivity_edges`` has the pairs that occur).
     """
-    axis = connected_labels(labelled)
-    every = axis.agg(F.sort_array(F.collect_set("label")).alias("all"))
-    rows = axis.join(F.broadcast(every)).select(F.col("label").alias("label_a"), F.explode("all").alias("label_b"))
+    axis = [r.label for r in connected_labels(labelled).limit(BROADCAST_LABELS + 1).collect()]
+    if len(axis) > BROADCAST_LABELS:
+        raise ValueError(f"a matrix of more than {BROADCAST_LABELS} labels; take connectivity_edges")
+    kind = labelled.schema["label_a"].dataType
+    labels = labelled.sparkSession.createDataFrame([(x,) for x in sorted(axis)], T.StructType([T.StructField("label", kind)]))
+    rows = labels.select(F.col("label").alias("label_a"), F.explode(F.array(*[F.lit(x) for x in sorted(axis)]) if axis else F.array().cast(T.ArrayType(kind))).alias("label_b"))
     dense = rows.join(connectivity_edges(labelled), ["label_a", "label_b"], "left").select("label_a", "label_b", F.coalesce("n", F.lit(0)).alias("n"))
     if names is None:
         return dense
@@ -138,8 +145,9 @@ def _harmonic(degree: int, m: int):
 
 def masked_odf_amplitudes(coefficients: DataFrame, mask: DataFrame, basis: DataFrame) -> DataFrame:
     """(i, j, k, vertex, amplitude) at masked voxels, from ``coefficients`` (i, j, k, coeffs) and a ``basis`` (vertex, idx, b) of vertices times coefficients rows."""
+    few = F.broadcast(basis) if basis.limit(BROADCAST_BASIS + 1).count() <= BROADCAST_BASIS else basis
     terms = coefficients.join(mask, list(INDEX), "left_semi").select(*INDEX, F.posexplode("coeffs").alias("idx", "c"))
-    return terms.join(F.broadcast(basis), "idx").groupBy(*INDEX, "vertex").agg(F.sum(F.col("c") * F.col("b")).alias("amplitude"))
+    return terms.join(few, "idx").groupBy(*INDEX, "vertex").agg(F.sum(F.col("c") * F.col("b")).alias("amplitude"))
 
 
 def top_regions(histogram: DataFrame, connected: DataFrame, *, most: int = 20, least_voxels: int = 50) -> DataFrame:

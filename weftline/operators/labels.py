@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: what the names of left and right regions hold
@@ -22,6 +23,18 @@ def parse_lut(lines: DataFrame, column: str = "value", order: str | None = None)
     return rows.where("label IS NOT NULL AND name IS NOT NULL").groupBy("label").agg(F.max_by("name", "__place").alias("name"))
 
 
+def lut_or_builtin(spark: SparkSession, path: str | None, builtin: DataFrame) -> DataFrame:
+    """(label, name) of the label file at ``path``, its last line of an id counting; ``builtin`` (label, name), a table of usual names, where there is no such file or no label in it."""
+    if path is None:
+        return builtin.select("label", "name")
+    try:
+        lines = spark.read.option("wholetext", False).text(path)
+    except AnalysisException:  # there is no such path
+        return builtin.select("label", "name")
+    found = parse_lut(lines.withColumn("line", F.monotonically_increasing_id()), order="line")
+    return builtin.select("label", "name") if found.isEmpty() else found
+
+
 def named(labels: DataFrame, lut: DataFrame) -> DataFrame:
     return labels.join(lut, "label", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("Region_"), F.col("label").cast("string"))))
 

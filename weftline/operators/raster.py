@@ -91,28 +91,33 @@ def expand_brush(voxels: DataFrame, dims: Sequence[int], view: str, size: int) -
 
 
 def fill_polygon(corners: DataFrame, dims: Sequence[int], view: str = "axial") -> DataFrame:
-    """(roi_id, i, j, k) inside each polygon (roi_id, pid, x, y, z in voxels) on the slice of its mean, by even-odd crossings."""
+    """(roi_id, i, j, k) inside each polygon (roi_id, pid, x, y, z in voxels) on the slice of its mean, by even-odd crossings.
+
+    Scan lines: each edge gives its crossing with each row that it passes, the crossings of a row are
+    sorted, and the cells between the first and second, third and fourth, .. are filled.  So the cost is that of
+    the edges' rows and the filled cells.  A cell on a crossing is inside if it begins a stretch.
+    """
     flat = FLAT[view]
     u, v = [a for n, a in enumerate(AXES) if n != flat]
-    iu, iv = [c for n, c in enumerate(INDEX) if n != flat]
+    (iu, nu), (iv, nv) = [(c, dims[n]) for n, c in enumerate(INDEX) if n != flat]
     order = Window.partitionBy("roi_id").orderBy("pid")
-    whole = Window.partitionBy("roi_id")
-    # the edge into each corner comes from the corner before it, the first one's from the last
-    last = [F.last(a).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for a in (u, v)]
-    edges = corners.select("roi_id", F.col(u).alias("ui"), F.col(v).alias("vi"), *[F.coalesce(F.lag(a).over(order), w).alias(n) for a, w, n in zip((u, v), last, ("uj", "vj"), strict=True)], F.count("*").over(whole).alias("n"))
     boxes = corners.groupBy("roi_id").agg(
-        F.count("*").alias("n"), F.rint(F.avg(AXES[flat])).cast("int").alias("slice"), *[f(a).alias(f"{m}_{a}") for a in (u, v) for m, f in (("lo", F.min), ("hi", F.max))]
+        F.count("*").alias("n"), F.rint(F.avg(AXES[flat])).cast("int").alias(INDEX[flat]), *[f(a).alias(f"{m}_{a}") for a in (u, v) for m, f in (("lo", F.min), ("hi", F.max))], *[F.max_by(a, "pid").alias(f"last_{a}") for a in (u, v)]
     )
-    boxes = boxes.where((F.col("n") >= 3) & F.col("slice").between(0, dims[flat] - 1))
-    low, high, size = [None] * 3, [None] * 3, list(dims)
-    for name, a in ((iu, u), (iv, v)):
-        at = INDEX.index(name)
-        low[at], high[at] = F.floor(F.col(f"lo_{a}")).cast("int"), F.ceil(F.col(f"hi_{a}")).cast("int")
-    low[flat] = high[flat] = F.col("slice")
-    cells = _grid(boxes, low, high, size).select("roi_id", *INDEX)
-    crosses = ((F.col("vi") > F.col(iv)) != (F.col("vj") > F.col(iv))) & (F.col(iu) < (F.col("uj") - F.col("ui")) * (F.col(iv) - F.col("vi")) / (F.col("vj") - F.col("vi") + 1e-10) + F.col("ui"))
-    hits = cells.join(edges.select("roi_id", "ui", "vi", "uj", "vj"), "roi_id").groupBy("roi_id", *INDEX).agg(F.sum(crosses.cast("int")).alias("crossings"))
-    return hits.where("crossings % 2 = 1").select("roi_id", *INDEX)
+    boxes = boxes.where((F.col("n") >= 3) & F.col(INDEX[flat]).between(0, dims[flat] - 1))
+    # the edge into each corner comes from the corner before it, the first one's from the last
+    edges = corners.select("roi_id", F.col(u).alias("ui"), F.col(v).alias("vi"), F.lag(u).over(order).alias("uj"), F.lag(v).over(order).alias("vj")).join(boxes, "roi_id")
+    edges = edges.withColumns({"uj": F.coalesce("uj", f"last_{u}"), "vj": F.coalesce("vj", f"last_{v}")})
+    first = F.greatest(F.lit(0), F.ceil(F.least("vi", "vj"))).cast("int")
+    last = F.least(F.lit(nv - 1), F.ceil(F.greatest("vi", "vj")) - 1).cast("int")
+    rows = edges.withColumns({"__first": first, "__last": last}).where("__first <= __last").withColumn(iv, F.explode(F.sequence("__first", "__last")))
+    at = (F.col("uj") - F.col("ui")) * (F.col(iv) - F.col("vi")) / (F.col("vj") - F.col("vi") + 1e-10) + F.col("ui")
+    crossings = rows.select("roi_id", iv, INDEX[flat], f"lo_{u}", f"hi_{u}", at.alias("at"))
+    along = Window.partitionBy("roi_id", iv).orderBy("at")
+    pairs = crossings.withColumns({"number": F.row_number().over(along), "to": F.lead("at").over(along)}).where("number % 2 = 1 AND to IS NOT NULL")
+    begin = F.greatest(F.lit(0), F.floor(f"lo_{u}"), F.ceil("at")).cast("int")
+    end = F.least(F.lit(nu - 1), F.ceil(f"hi_{u}"), F.ceil("to") - 1).cast("int")
+    return pairs.withColumns({"__begin": begin, "__end": end}).where("__begin <= __end").withColumn(iu, F.explode(F.sequence("__begin", "__end"))).select("roi_id", *INDEX)
 
 
 def erase_voxels(roi: DataFrame, strokes: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def mdf_pairs(lines: DataFrame, limit: float | None = None) -> DataFrame:
     lines isn't below that of their mean points.  Pairs that meet are compared point by point only if the
     mean points of quarters of the lines are near enough.  A full cell is cut into blocks.
     """
-    return mdf_compared(lines, limit).select("a", "b", "mdf")
+    return mdf_compared(lines, limit).where("a IS NOT NULL").select("a", "b", "mdf")
 
 
 def mdf_compared(lines: DataFrame, limit: float | None = None) -> DataFrame:
@@ -130,8 +130,7 @@ def mdf_compared(lines: DataFrame, limit: float | None = None) -> DataFrame:
         found, n = _near(*_sides(rows), np.inf if limit is None else limit, bool(rows["same"].iloc[0]))
         return pd.concat([found.assign(compared=0), pd.DataFrame({"a": [None], "b": [None], "mdf": [None], "compared": [n]})]).astype({"a": "Int64", "b": "Int64", "mdf": float, "compared": "int64"})
 
-    out = rows.groupBy("cell", "same", "p", "q").applyInPandas(pairs, "a long, b long, mdf double, compared long")
-    return out.where("a IS NOT NULL") if limit is None else out
+    return rows.groupBy("cell", "same", "p", "q").applyInPandas(pairs, "a long, b long, mdf double, compared long")
 
 
 def _bounds(to_pivots: DataFrame, bins: int = 1_024) -> tuple[DataFrame, dict[int, float]]:

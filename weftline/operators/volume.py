@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.affine import AXES, INDEX, Affine, transformed
 
-MOST_VOXELS, PAD = 512**3, 2.0
+MOST_VOXELS, PAD, TILE = 512**3, 2.0, 32
 
 
 def slice_volume(voxels: DataFrame, axis: str, index: int, dims: Sequence[int]) -> DataFrame:
@@ -41,11 +43,53 @@ def value_range_sampled(voxels: DataFrame, dims: Sequence[int]) -> DataFrame:
     return voxels.where(planes).agg(F.min(_finite()).alias("low"), F.max(_finite()).alias("high"))
 
 
+def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], *, bins: int = 256, few: int = 10_000) -> list[float]:
+    """The values of ``column`` (without nulls) at ``ranks`` from 0 in ascending order, exactly.
+
+    Repeated histograms: each pass cuts the range that holds a rank at ``bins`` percentiles of a mergeable
+    sketch, counts the rows below, at and between them, and goes on with the one stretch that holds the rank, until
+    ``few`` rows are left in it, which are sorted on the driver.  So only counts leave the tasks, whatever the number of distinct values.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    return [_order_statistic(values, rank, bins, few) for rank in ranks]
+
+
+def _order_statistic(left: DataFrame, rank: int, bins: int, few: int) -> float:
+    n = left.count()
+    while n > few:
+        shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
+        cuts = sorted(set(left.agg(F.percentile_approx("v", shares, 20 * bins)).first()[0]))
+        starts = [-math.inf, *cuts]
+        binned = Bucketizer(splits=[*starts, math.inf], inputCol="v", outputCol="bin").transform(left).withColumn("bin", F.col("bin").cast("int"))
+        at_start = F.sum((F.col("v") == F.get(F.array(*map(F.lit, starts)), "bin")).cast("long"))
+        counts = {r.bin: (r.equal, r.n) for r in binned.groupBy("bin").agg(at_start.alias("equal"), F.count("*").alias("n")).collect()}
+        for k, start in enumerate(starts):
+            equal, every = counts.get(k, (0, 0))
+            if rank < every:
+                break
+            rank -= every
+        if rank < equal:
+            return start
+        rank, n = rank - equal, every - equal
+        left = left.where((F.col("v") > start) & (F.col("v") < (cuts[k] if k < len(cuts) else math.inf)))
+    return sorted(r.v for r in left.collect())[rank]
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of ``column``, between neighbouring values in proportion; None of no values."""
+    n = df.where(F.col(column).isNotNull()).count()
+    if not n:
+        return [None] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    ranks = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
+    found = dict(zip(ranks, order_statistics(df, column, ranks), strict=True))
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def intensity_window(voxels: DataFrame) -> DataFrame:
     """5th and 99th percentile of the finite values, the upper one widened by a fifth of their distance."""
-    p = voxels.agg(F.percentile(_finite(), F.array(F.lit(0.05), F.lit(0.99))).alias("p"))
-    low, high = F.get("p", 0), F.get("p", 1)
-    return p.select(low.alias("low"), (high + 0.2 * (high - low)).alias("high"))
+    low, high = quantiles(voxels.select(_finite().cast("double").alias("value")), "value", (0.05, 0.99))
+    return voxels.sparkSession.createDataFrame([(low, None if high is None else high + 0.2 * (high - low))], "low double, high double")
 
 
 def downsample_step(dims: Sequence[int], most: int = MOST_VOXELS) -> int:
@@ -72,27 +116,50 @@ def downsample(voxels: DataFrame, affine: Affine, dims: Sequence[int], most: int
     return gaussian_smooth(downsample_stride(voxels, step), small, sigma), scaled_affine(affine, step), small
 
 
-def kernel_rows(n: int, sigma: float) -> list[tuple[int, int, float]]:
-    """(source, target, weight) along an axis of n voxels: a Gaussian cut at 4 sigma, edges repeated."""
+def kernel(sigma: float) -> np.ndarray:
+    """Weights of a Gaussian cut at 4 sigma."""
     reach = int(4.0 * sigma + 0.5)
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    weights /= weights.sum()
-    rows: dict[tuple[int, int], float] = {}
-    for target in range(n):
-        for offset, w in zip(range(-reach, reach + 1), weights.tolist(), strict=True):
-            key = (min(n - 1, max(0, target + offset)), target)
-            rows[key] = rows.get(key, 0.0) + w
-    return [(s, t, w) for (s, t), w in rows.items()]
-
-
-def gaussian_smooth(voxels: DataFrame, dims: Sequence[int], sigma: float = 0.8) -> DataFrame:
-    """Separable smoothing, an axis at a time; voxels that aren't there are 0.  The kernel has a few rows for each index of the axis."""
-    for axis, n in zip(INDEX, dims, strict=True):
-        kernel = voxels.sparkSession.createDataFrame(kernel_rows(n, sigma), f"{axis} int, target int, weight double")
-        others = [c for c in INDEX if c != axis]
-        moved = voxels.join(F.broadcast(kernel), axis).select(*others, F.col("target").alias(axis), (F.col("value") * F.col("weight")).alias("value"))
-        voxels = moved.groupBy(*INDEX).agg(F.sum("value").alias("value"))
-    return voxels
+    return weights / weights.sum()
+
+
+def _smoothed(block: np.ndarray, weights: np.ndarray, sources: list[np.ndarray]) -> np.ndarray:
+    """``block`` filtered along its first three axes; ``sources`` are, for each axis, the places of the block that stand for targets and halo."""
+    size = len(weights)
+    for axis, at in enumerate(sources):
+        wide = np.take(block, at, axis=axis)
+        n = len(at) - size + 1
+        block = sum(w * np.take(wide, range(k, k + n), axis=axis) for k, w in enumerate(weights))
+    return block
+
+
+def gaussian_smooth(voxels: DataFrame, dims: Sequence[int], sigma: float = 0.8, *, tile: int = TILE) -> DataFrame:
+    """Smoothing with repeated edges; voxels that aren't there are 0, and a result has the voxels that one in reach of it is in.
+
+    The volume is cut into tiles of ``tile`` voxels a side.  A voxel goes to its tile and to those whose halo it
+    lies in, so one shuffle brings each tile together, and each is filtered as an array, an axis at a time.
+    """
+    weights = kernel(sigma)
+    reach = len(weights) // 2
+    rows = voxels.select(*INDEX, F.col("value").cast("double").alias("value"))
+    for c, n in zip(INDEX, dims, strict=True):
+        low, high = F.greatest(F.lit(0), F.floor((F.col(c) - reach) / tile)).cast("int"), F.least(F.lit((n - 1) // tile), F.floor((F.col(c) + reach) / tile)).cast("int")
+        rows = rows.withColumn(f"t{c}", F.explode(F.sequence(low, high)))
+
+    def smooth(table: pa.Table) -> pa.Table:
+        first = [table.column(f"t{c}")[0].as_py() * tile for c in INDEX]
+        stop = [min(n, a + tile) for a, n in zip(first, dims, strict=True)]
+        begin, end = [max(0, a - reach) for a in first], [min(n, b + reach) for b, n in zip(stop, dims, strict=True)]
+        block = np.zeros([*(b - a for a, b in zip(begin, end, strict=True)), 2])  # values, and whether there are any
+        at = tuple(table.column(c).to_numpy() - a for c, a in zip(INDEX, begin, strict=True))
+        np.add.at(block[..., 0], at, table.column("value").to_numpy())
+        block[(*at, 1)] = 1.0
+        sources = [np.clip(np.arange(a - reach, b + reach), 0, n - 1) - lo for a, b, n, lo in zip(first, stop, dims, begin, strict=True)]
+        out = _smoothed(block, weights, sources)
+        there = np.nonzero(out[..., 1] > 0)
+        return pa.table({**{c: pa.array((x + a).astype(np.int32)) for c, x, a in zip(INDEX, there, first, strict=True)}, "value": out[(*there, 0)]})
+
+    return rows.groupBy(*[f"t{c}" for c in INDEX]).applyInArrow(smooth, "i int, j int, k int, value double")
 
 
 def canonical_axes(affine: Affine) -> tuple[list[int], list[int]]:

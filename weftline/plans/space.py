@@ -267,22 +267,21 @@ def _vertices(spark, d):
     return t.shapes(spark, d).where("cx <> 0 OR cy <> 0 OR cz <> 0").select(F.col("roi_id").alias("vertex"), *[F.col(f"c{a}").alias(a) for a in AXES])
 
 
-@plan("""WITH vx AS (SELECT roi_id AS vertex, cx/sqrt(cx*cx+cy*cy+cz*cz) AS x, cy/sqrt(cx*cx+cy*cy+cz*cz) AS y, cz/sqrt(cx*cx+cy*cy+cz*cz) AS z FROM shapes WHERE cx <> 0 OR cy <> 0 OR cz <> 0),
+_BASIS = """vx AS (SELECT roi_id AS vertex, cx/sqrt(cx*cx+cy*cy+cz*cz) AS x, cy/sqrt(cx*cx+cy*cy+cz*cz) AS y, cz/sqrt(cx*cx+cy*cy+cz*cz) AS z FROM shapes WHERE cx <> 0 OR cy <> 0 OR cz <> 0),
 b AS (SELECT vertex, unnest([sqrt(1/(4*pi())), -sqrt(15/(4*pi()))*x*y, -sqrt(15/(4*pi()))*y*z, sqrt(5/(16*pi()))*(3*z*z - 1), -sqrt(15/(4*pi()))*x*z, sqrt(15/(16*pi()))*(x*x - y*y),
 -0.75::DOUBLE*sqrt(35/pi())*x*y*(x*x - y*y), -0.75::DOUBLE*sqrt(35/(2*pi()))*y*z*(3*x*x - y*y), -0.75::DOUBLE*sqrt(5/pi())*x*y*(7*z*z - 1), -0.75::DOUBLE*sqrt(5/(2*pi()))*y*z*(7*z*z - 3),
 3/16.0::DOUBLE*sqrt(1/pi())*(35*z*z*z*z - 30*z*z + 3),
--0.75::DOUBLE*sqrt(5/(2*pi()))*x*z*(7*z*z - 3), 0.375::DOUBLE*sqrt(5/pi())*(x*x - y*y)*(7*z*z - 1), -0.75::DOUBLE*sqrt(35/(2*pi()))*x*z*(x*x - 3*y*y), 3/16.0::DOUBLE*sqrt(35/pi())*(x*x*(x*x - 3*y*y) - y*y*(3*x*x - y*y))]) AS b, unnest(range(15))::INT AS idx FROM vx)
-SELECT vertex, idx, CASE WHEN abs(b) < 1e-9 THEN 0 ELSE round(b, 6) END::DOUBLE AS b FROM b""")
+-0.75::DOUBLE*sqrt(5/(2*pi()))*x*z*(7*z*z - 3), 0.375::DOUBLE*sqrt(5/pi())*(x*x - y*y)*(7*z*z - 1), -0.75::DOUBLE*sqrt(35/(2*pi()))*x*z*(x*x - 3*y*y), 3/16.0::DOUBLE*sqrt(35/pi())*(x*x*(x*x - 3*y*y) - y*y*(3*x*x - y*y))]) AS b, unnest(range(15))::INT AS idx FROM vx)"""
+
+
+@plan(f"WITH {_BASIS} SELECT vertex, idx, CASE WHEN abs(b) < 1e-9 THEN 0 ELSE round(b, 6) END::DOUBLE AS b FROM b")
 def sh_basis(spark, d):
     return aggregate.sh_basis(_vertices(spark, d), 4).withColumn("b", F.when(F.abs("b") < 1e-9, 0.0).otherwise(F.round("b", 6)))
 
 
-@plan("""WITH vx AS (SELECT roi_id AS vertex, cx/sqrt(cx*cx+cy*cy+cz*cz) AS x, cy/sqrt(cx*cx+cy*cy+cz*cz) AS y, cz/sqrt(cx*cx+cy*cy+cz*cz) AS z FROM shapes WHERE cx <> 0 OR cy <> 0 OR cz <> 0),
-b AS (SELECT vertex, sqrt(1/(4*pi())) AS b0, -sqrt(15/(4*pi()))*x*y AS b1, -sqrt(15/(4*pi()))*y*z AS b2, sqrt(5/(16*pi()))*(3*z*z - 1) AS b3, -sqrt(15/(4*pi()))*x*z AS b4, sqrt(15/(16*pi()))*(x*x - y*y) AS b5 FROM vx),
-m AS (SELECT DISTINCT i, j, k FROM ev)
-SELECT i, j, k, vertex, round(sum(coeffs[1]*b0 + coeffs[2]*b1 + coeffs[3]*b2 + coeffs[4]*b3 + coeffs[5]*b4 + coeffs[6]*b5), 6) AS amplitude FROM coef JOIN m USING (i, j, k), b GROUP BY i, j, k, vertex""")
+@plan(f"""WITH {_BASIS}, m AS (SELECT DISTINCT i, j, k FROM ev)
+SELECT i, j, k, vertex, round(sum(coeffs[idx + 1] * b), 6) AS amplitude FROM coef JOIN m USING (i, j, k), b GROUP BY i, j, k, vertex""")
 def masked_odf_amplitudes(spark, d):
-    coefficients = t.coefficients(spark, d).withColumn("coeffs", F.slice("coeffs", 1, 6))
     mask = aggregate.tunnel_mask(t.lines_e(spark, d), t.GRID, t.DIMS, 0)
-    out = aggregate.masked_odf_amplitudes(coefficients, mask, aggregate.sh_basis(_vertices(spark, d), 2))
+    out = aggregate.masked_odf_amplitudes(t.coefficients(spark, d), mask, aggregate.sh_basis(_vertices(spark, d), 4))
     return out.withColumn("amplitude", F.round("amplitude", 6))

@@ -127,6 +127,12 @@ def label_lut(spark, d):
     return labels.named(t.parcels(spark, d).select("label").distinct(), labels.parse_lut(_lut_lines(spark, d), order="line"))
 
 
+@plan("SELECT label, coalesce(name, 'Region_' || label) AS name FROM (SELECT DISTINCT label FROM parc) LEFT JOIN lut USING (label)")
+def label_lut_builtin(spark, d):
+    """Without a label file the names come from a given table."""
+    return labels.named(t.parcels(spark, d).select("label").distinct(), labels.lut_or_builtin(spark, f"{d}/no-such-labels.txt", t.names(spark, d)))
+
+
 def _region_names(spark, d):
     """Part names behind a side's prefix."""
     p = F.col("p_partkey")

@@ -1,25 +1,23 @@
 """Live versions of edit replay, density and connectivity.
 
 Each job reads files as a stream, a few to a micro-batch, and keeps its result
-as Parquet in the shared folder; a micro-batch that is run again replaces its
+as Parquet in the shared folder: each micro-batch writes only what it changed, and one that is run again replaces its
 own output.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.affine import AXES, INDEX, Affine, nearest
 from ..operators.aggregate import density_map
-from ..operators.edits import Session, id_rows
+from ..operators.edits import DEPTH, Ids, union, without
 from ..sources.files import scratch
 
 
@@ -37,21 +35,27 @@ def _run(stream: DataFrame, mode: str, name: str, keep: Callable[[DataFrame, int
     return out
 
 
-def _latest(batch: DataFrame, k: int, out: str) -> None:
+def _changed(batch: DataFrame, k: int, out: str) -> None:
+    """The rows of a micro-batch, in a folder of its number: one that is run again replaces its own."""
     batch.write.mode("overwrite").parquet(f"{out}/batch={k}")
 
 
-def _last_batch(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
-    """Rows of the last micro-batch of a job that writes its whole result each time."""
-    rows = spark.read.schema(schema.add("batch", "long")).parquet(out)
-    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+def upserted(spark: SparkSession, out: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """The newest row of each key among the changes that micro-batches left in ``out``."""
+    rest = [f.name for f in schema if f.name not in keys]
+    rows = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(out)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("new"))
+    return newest.select(*[f"new.{f.name}" if f.name in rest else f.name for f in schema])
+
+
+def _upserts(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """A running aggregate in update mode: each micro-batch writes the keys that it touched, and no others."""
+    return upserted(stream.sparkSession, _run(stream, "update", name, _changed), stream.schema, keys)
 
 
 def stream_density(points: DataFrame, affine: Affine, dims) -> DataFrame:
     """Density of all points of a stream (x, y, z)."""
-    counts = density_map(points, affine, dims)
-    schema = StructType(counts.schema.fields)
-    return _last_batch(points.sparkSession, _run(counts, "complete", "density", _latest), schema)
+    return _upserts(density_map(points, affine, dims), "density", list(INDEX))
 
 
 def stream_connectivity(ends: DataFrame, parcels: DataFrame, affine: Affine) -> DataFrame:
@@ -59,9 +63,8 @@ def stream_connectivity(ends: DataFrame, parcels: DataFrame, affine: Affine) ->
     labelled = ends
     for e, label in (("0", "label_a"), ("1", "label_b")):
         labelled = _nearest_label(labelled, parcels, affine, e, label)
-    both = labelled.where("label_a > 0 AND label_b > 0").groupBy(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).agg(F.count("*").alias("n"))
-    schema = StructType(both.schema.fields)
-    return _last_batch(ends.sparkSession, _run(both, "complete", "connectivity", _latest), schema)
+    pairs = labelled.where("label_a > 0 AND label_b > 0").groupBy(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b"))
+    return _upserts(pairs.agg(F.count("*").alias("n")), "connectivity", ["a", "b"])
 
 
 def _nearest_label(ends: DataFrame, parcels: DataFrame, affine: Affine, end: str, name: str) -> DataFrame:
@@ -69,31 +72,161 @@ def _nearest_label(ends: DataFrame, parcels: DataFrame, affine: Affine, end: str
     return ends.select("*", *at).join(parcels.select(*INDEX, F.col("label").alias(name)), list(INDEX), "left").drop(*INDEX).fillna(0, [name])
 
 
-def _replay(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Edits of one session in one micro-batch, in order of seq, applied to the state that is kept; what is deleted comes out."""
-    session, last = pickle.loads(state.get[0]) if state.exists else (Session(), None)
-    rows = pd.concat(list(frames)).sort_values("seq")
-    late = bool(last is not None and len(rows) and rows.seq.iloc[0] <= last)
-    for op, sid in zip(rows.op, rows.sid, strict=True):
-        session.apply(op, sid)
-    last = int(rows.seq.iloc[-1]) if last is None else max(last, int(rows.seq.iloc[-1]))
-    state.update((pickle.dumps((session, last)),))
-    out: list[tuple[Any, ...]] = [(key[0], last, late, a, s) for a, s in id_rows(session.deleted)] or [(key[0], last, late, None, None)]
-    columns = ["session", "last_seq", "late", "all_but", "sid"]
-    frame = pd.DataFrame(out, columns=columns)
-    yield frame.astype({"session": "int64", "last_seq": "int64", "late": "bool", "all_but": "boolean", "sid": "Int64"})
+#: What an edit leaves behind: (session, step, kind, place, all_but, sid); see ``EditProcessor``.
+CHANGES = "session long, step long, kind string, flag boolean, sid long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_replay_edits(log: DataFrame) -> DataFrame:
-    """(session, all_but, sid) deleted at the end of a stream (session, seq, op, sid).
+class EditProcessor(StatefulProcessor):
+    """Undo and redo of one session in map and value states.
+
+    ``selected`` and ``deleted`` map ids to true, beside a flag that turns the set round ("all but"); each
+    deletion on the undo or redo stack is a map entry (its number, its ids), and ``head`` keeps the flags, the
+    last seq and the numbers on the two stacks (20 at most).  So an edit reads and writes the entries of the ids that it
+    names, and adding or removing an id writes one entry and ``head``, however many ids the session holds.
 
-    Sessions are expected in order of seq; an edit that comes after a later one
-    is applied when it comes, and marks its session as late in what is kept.
+    Rows come out for what changed: (step, kind, flag, sid) with kind "turned" (flag: whether the deletions are now all but the
+    ids listed), "deleted" (flag: whether sid is listed now), and the errors "gap" and "late" (sid: the seq that came, step: where).
+    A gap is a seq that isn't the one after the last, where ``dense``; late is one that isn't above the last: both are applied when they come.
     """
-    schema = "session long, last_seq long, late boolean, all_but boolean, sid long"
-    live = log.groupBy("session").applyInPandasWithState(_replay, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
-    out = _run(live, "append", "edits", _latest)
-    rows = log.sparkSession.read.schema(schema + ", batch long").parquet(out)
-    newest = rows.groupBy("session").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["session", "batch"]).where("all_but IS NOT NULL").select("session", "all_but", "sid")
 
+    def __init__(self, dense: bool):
+        self.dense = dense
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        head = "seq long, step long, turned boolean, inverted boolean, keeper boolean, next long, undo array<long>, redo array<long>"
+        self.head = handle.getValueState("head", head)
+        self.selected = handle.getMapState("selected", "sid long", "listed boolean")
+        self.kept = handle.getMapState("kept", "sid long", "listed boolean")
+        self.deleted = handle.getMapState("deleted", "sid long", "listed boolean")
+        self.stack = handle.getMapState("stack", "number long", "flag boolean, ids array<long>")
+
+    @staticmethod
+    def _ids(state) -> set[int]:
+        return {k[0] for k in state.keys()}
+
+    @staticmethod
+    def _put(state, old: set[int], new: set[int]) -> None:
+        for k in old - new:
+            state.removeKey((k,))
+        for k in new - old:
+            state.updateValue((k,), (True,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        log = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        seq, step, turned, inverted, keeper, number, undo, redo = self.head.get() if self.head.exists() else (None, 0, False, False, None, 0, [], [])
+        undo, redo, out = list(undo), list(redo), []
+        self.turned = turned
+        for op, sid, at in zip(log.op, log.sid, log.seq, strict=True):
+            step, at = step + 1, int(at)
+            if seq is not None and at <= seq:
+                out.append((step, "late", None, at))
+            elif self.dense and seq is not None and at > seq + 1:
+                out.append((step, "gap", None, at))
+            seq = at if seq is None else max(seq, at)
+            if op in ("add", "remove"):
+                if (op == "add") != inverted:
+                    self.selected.updateValue((int(sid),), (True,))
+                elif self.selected.containsKey((int(sid),)):
+                    self.selected.removeKey((int(sid),))
+                keeper = None
+            elif op == "clear":
+                self.selected.clear()
+                inverted, keeper = False, None
+            elif op == "invert":
+                inverted, keeper = self._invert(inverted, keeper)
+            elif op == "delete" and (inverted or next(iter(self.selected.keys()), None) is not None):
+                ids = self._ids(self.selected)
+                self.stack.updateValue((number,), (inverted, sorted(ids)))
+                for gone in redo:
+                    self.stack.removeKey((gone,))
+                undo, redo, number = self._pushed(undo, number), [], number + 1
+                self._change((inverted, ids), union, step, out)
+                self.selected.clear()
+                inverted, keeper = False, None
+            elif op == "undo" and undo:
+                last = undo.pop()
+                redo = self._pushed(redo, last)
+                self._change(self._item(last), without, step, out)
+            elif op == "redo" and redo:
+                last = redo.pop()
+                undo = self._pushed(undo, last)
+                self._change(self._item(last), union, step, out)
+        self.head.update((seq, step, self.turned, inverted, keeper, number, undo, redo))
+        yield pd.DataFrame(
+            {"session": pd.Series([key[0]] * len(out), dtype="int64"), "step": pd.Series([o[0] for o in out], dtype="int64"), "kind": pd.Series([o[1] for o in out], dtype="object"), "flag": pd.Series([o[2] for o in out], dtype="boolean"), "sid": pd.Series([o[3] for o in out], dtype="Int64")}
+        )
+
+    def _item(self, number: int) -> Ids:
+        flag, ids = self.stack.getValue((number,))
+        return flag, {int(i) for i in ids}
+
+    def _pushed(self, stack: list[int], number: int) -> list[int]:
+        if len(stack) == DEPTH:
+            self.stack.removeKey((stack[0],))
+        return [*stack[-(DEPTH - 1) :], number]
+
+    def _change(self, item: Ids, how, step: int, out: list) -> None:
+        """Takes ``item`` to or from the deletions.  Where neither is turned round, only its own ids are read and written."""
+        if not self.turned and not item[0]:
+            for i in sorted(item[1]):
+                listed = self.deleted.containsKey((i,))
+                if how is union and not listed:
+                    self.deleted.updateValue((i,), (True,))
+                elif how is without and listed:
+                    self.deleted.removeKey((i,))
+                if listed != (how is union):
+                    out.append((step, "deleted", how is union, i))
+            return
+        old = self._ids(self.deleted)
+        turned, new = how((self.turned, old), item)
+        if turned != self.turned:
+            out.append((step, "turned", turned, None))
+        out += [(step, "deleted", False, i) for i in sorted(old - new)] + [(step, "deleted", True, i) for i in sorted(new - old)]
+        self._put(self.deleted, old, set(new))
+        self.turned = turned
+
+    def _invert(self, inverted: bool, keeper: bool | None) -> tuple[bool, bool | None]:
+        ids = self._ids(self.selected)
+        if keeper is not None:  # what was kept comes back
+            self._put(self.selected, ids, self._ids(self.kept))
+            return keeper, None
+        if not ids and not inverted:
+            return inverted, keeper
+        turned, new = without((True, frozenset()), union((self.turned, self._ids(self.deleted)), (inverted, ids)))
+        self.kept.clear()
+        self._put(self.kept, set(), ids)
+        self._put(self.selected, ids, set(new))
+        return turned, inverted
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
+
+
+def stream_edit_changes(log: DataFrame, *, dense: bool = False) -> DataFrame:
+    """CHANGES of all sessions of a stream (session, seq, op, sid), with its micro-batches: what each edit changed, and error rows."""
+    spark = log.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        schema = StructType.fromDDL(CHANGES)
+        live = log.select("session", "seq", "op", "sid").groupBy("session").transformWithStateInPandas(EditProcessor(dense), schema, "append", "none")
+        out = _run(live, "append", "edits", _changed)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(out)
+
+
+def stream_replay_edits(log: DataFrame, *, dense: bool = False) -> DataFrame:
+    """(session, all_but, sid) deleted at the end of a stream (session, seq, op, sid).
+
+    Sessions are expected in order of seq; an edit that comes after a later one is applied
+    when it comes (``stream_edit_changes`` reports it).
+    """
+    changes = stream_edit_changes(log, dense=dense)
+    turned = changes.where("kind = 'turned'").groupBy("session").agg(F.max_by("flag", "step").alias("all_but"))
+    listed = changes.where("kind = 'deleted'").groupBy("session", "sid").agg(F.max_by("flag", "step").alias("flag")).where("flag").select("session", "sid")
+    rows = listed.join(turned, "session", "left").select("session", F.coalesce("all_but", F.lit(False)).alias("all_but"), "sid")
+    everything = turned.where("all_but").join(listed.select("session").distinct(), "session", "left_anti").select("session", "all_but", F.lit(None).cast("long").alias("sid"))
+    return rows.unionByName(everything)
