@@ -45,6 +45,45 @@ def test_small_sources_come_near_their_targets(spark):
     assert len({r.taken for r in made.where("size > 100").collect()} | {1, 2, 3}) > 2
 
 
+def shared_again(sizes, weights, budget, repeats):
+    """Targets by sharing the excess of full sources again until none is above."""
+    left, full = budget * sum(sizes), set()
+    while True:
+        open_ = [i for i in range(len(sizes)) if i not in full]
+        level = left / sum(weights[i] for i in open_) if open_ else 0
+        over = [i for i in open_ if level * weights[i] > repeats * sizes[i]]
+        if not over:
+            return [repeats * s if i in full else level * weights[i] for i, s in enumerate(sizes)]
+        full |= set(over)
+        left -= sum(repeats * sizes[i] for i in over)
+
+
+@pytest.mark.parametrize("sizes", [[1] * 1000, [7, 7, 7, 7], [0, 5, 5, 100, 1, 1, 1, 40], [3] * 5 + [90] * 4, [0, 0], [10**6, 1, 1]])
+def test_targets_of_equal_sources(spark, sizes):
+    df = spark.createDataFrame([(f"s{i:04}", s) for i, s in enumerate(sizes)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = shared_again(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], 1.5, 2)
+    assert [got[f"s{i:04}"] for i in range(len(sizes))] == pytest.approx(want)
+    assert sum(want) == pytest.approx(1.5 * sum(sizes))
+
+
+def test_small_sources_of_a_word(spark):
+    rows = [(i, "w", f"s{i:04}") for i in range(1000)]
+    made = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert abs(sum(r.taken for r in made) - 1500) <= 15 and all(r.taken <= 2 for r in made)
+    beside = mixing.plan(spark.createDataFrame([*((i, "a b c " * 100, "big") for i in range(60)), (99, "v", "tiny")], "doc_id long, text string, source string")).collect()
+    assert {r.taken for r in beside if r["size"] == 1} == {2}  # its target is 2
+
+
+def test_equal_rows_and_null_ids_are_dealt_evenly(spark):
+    rows = [(None, "a b", "s")] * 300 + [(None, f"c {k}", "s") for k in range(300)] + [(7, f"d {k}", "s") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    made = mixing.plan(df, shard_rows=50)
+    assert made.count() == 900 and sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, mixing.plan(df.repartition(3), shard_rows=50).collect()), key=str)
+    sizes = mixing.dealt(df, shard_rows=50).groupBy("shard").count().collect()
+    assert len(sizes) == 18 and max(r["count"] for r in sizes) < 100
+
+
 def test_empty_mix(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.taken, r.target) for r in mixing.plan(df).collect()] == [(0, 0.0)] * 2

@@ -19,20 +19,19 @@ SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM
 
 OP9 = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(concat_ws(':', doc_id::VARCHAR, '17')) AS draw
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws(':', doc_id::VARCHAR, md5(text), (row_number() OVER (PARTITION BY doc_id, source, text) - 1)::VARCHAR, '17')) AS draw
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
 f AS (SELECT *, (2 * source_size)::DOUBLE / weight AS full_at FROM w),
 l AS (
-  SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE
+  SELECT *, row_number() OVER (ORDER BY full_at, source NULLS LAST) AS place, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE
       - coalesce(sum(2 * source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
       / (sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM f),
-t AS (SELECT source, source_size, n_rows, least((2 * source_size)::DOUBLE, (SELECT min_by(level, full_at) FROM l WHERE level <= full_at) * weight) AS target FROM l),
-m AS (
-  SELECT block, floor(1.5::DOUBLE * words::DOUBLE / block + 0.5)::BIGINT AS blocks
-  FROM (SELECT greatest(8, least(128, floor(coalesce(min(target) FILTER (target > 0), 0) / 20)))::BIGINT AS block, sum(source_size)::BIGINT AS words FROM t)),
+t AS (SELECT source, source_size, n_rows, least((2 * source_size)::DOUBLE, (SELECT min_by(level, place) FROM l WHERE level <= full_at) * weight) AS target FROM l),
+m AS (SELECT floor(1.5::DOUBLE * sum(source_size)::DOUBLE + 0.5)::BIGINT AS blocks FROM t),
 g AS (
   SELECT d.*, source_size, target,
     ('0x' || substr(draw, 1, 8))::BIGINT % greatest(ceil(source_size::DOUBLE / 200000)::BIGINT, ceil(n_rows::DOUBLE / 20000)::BIGINT) AS shard
@@ -49,17 +48,21 @@ z AS (
   FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, shard) AS place FROM k) WHERE place <= (SELECT blocks FROM m)
   GROUP BY source, shard),
 b AS (
-  SELECT h.source, h.shard, greatest(ceil(shard_size::DOUBLE / block)::BIGINT, 1) AS n_blocks, block,
-    least(coalesce(quota, 0), 2 * greatest(ceil(shard_size::DOUBLE / block)::BIGINT, 1)) AS quota,
-    ('0x' || substr(md5(concat_ws(':', h.source, h.shard::VARCHAR, '17')), 1, 8))::BIGINT AS start
-  FROM h CROSS JOIN m LEFT JOIN z ON h.source IS NOT DISTINCT FROM z.source AND h.shard = z.shard),
+  SELECT *, greatest(ceil(shard_size::DOUBLE / block)::BIGINT, 1) AS n_blocks, quota % greatest(shard_size, 1) AS rest, quota // greatest(shard_size, 1) AS times
+  FROM (
+    SELECT h.source, h.shard, shard_size, greatest(1, least(128, shard_size // 64)) AS block, least(coalesce(quota, 0), 2 * shard_size) AS quota,
+      ('0x' || substr(md5(concat_ws(':', h.source, h.shard::VARCHAR, '17')), 1, 8))::BIGINT AS start
+    FROM h LEFT JOIN z ON h.source IS NOT DISTINCT FROM z.source AND h.shard = z.shard)),
 p AS (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY draw ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM g),
-r AS (SELECT p.*, n_blocks, block, quota, start, stop - size AS begin FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source AND p.shard = b.shard)
-SELECT doc_id, size, source_size, target,
-  ((quota // n_blocks) * size + coalesce(list_sum(
-    [CASE WHEN (j * 2147483647 + start) % n_blocks < quota % n_blocks THEN least(stop, (j + 1) * block) - greatest(begin, j * block) ELSE 0 END
-     FOR j IN range(begin // block, CASE WHEN size = 0 THEN begin // block ELSE (stop - 1) // block + 1 END)]), 0))::BIGINT AS taken
-FROM r
+r AS (SELECT p.*, n_blocks, block, rest, times, start, stop - size AS begin FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source AND p.shard = b.shard),
+-- a row for each stretch of a document's words: its place in the permutation, and how many of its words count
+q AS (
+  SELECT *, (j * 2147483647 + start) % n_blocks AS place
+  FROM (SELECT *, unnest(range(begin // block, CASE WHEN size = 0 THEN begin // block ELSE (stop - 1) // block + 1 END)) AS j FROM r)),
+w2 AS (
+  SELECT draw, sum(greatest(0, least(stop, j * block + CASE WHEN place < rest // block THEN block WHEN place = rest // block THEN rest % block ELSE 0 END) - greatest(begin, j * block))) AS words
+  FROM q GROUP BY draw)
+SELECT doc_id, size, source_size, target, (times * size + coalesce(words, 0))::BIGINT AS taken FROM r LEFT JOIN w2 USING (draw)
 """
 
 OP8 = """
