@@ -175,3 +175,11 @@ def test_grid_join_drops_distant_leaves(spark, monkeypatch):
     leaves = grid_join.materialise(grid_join._numbered(grid_join.materialise(grid_join._leaves(df, axes, epsilon))))
     n = leaves.count()
     assert grid_join._leaf_pairs(leaves, epsilon).count() < 0.2 * n * (n + 1) / 2
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (0, [-1.0, 0.0])]
+    made = grid_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in made.collect()) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    apart = grid_join.near_duplicates(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id, r.n_links) for r in apart.collect()) == [(1, 0), (1, 1), (2, 1)]

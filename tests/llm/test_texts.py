@@ -178,6 +178,15 @@ def test_warc_writes_add_up(spark, tmp_path, compression):
     assert warc.read_archives(spark, path, payload=False).where("content_length > 0").count() == 2
 
 
+def test_warc_beside_archives_of_others(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    (tmp_path / "theirs.warc").write_bytes(warc.record({"warc_type": "response", "record_id": "<r>", "payload": b"x"}, "2024-01-01T00:00:00Z"))
+    (tmp_path / "part-0123456789ab-0-7-0.warc").write_bytes(b"left by a task that wasn't committed")
+    assert warc.read_archives(spark, path).count() == 1
+    warc.write_archives(spark.createDataFrame([(1, "http://a", "y")], "page_id long, url string, html string"), path)
+    assert sorted(r.record_id for r in warc.read_archives(spark, path).collect()) == ["<r>", "<urn:page:1>"]
+
+
 def test_warc_of_others(spark, tmp_path):
     records = [warc.record({"warc_type": t, "record_id": f"<{t}>", "payload": b"x" * 3000}, "2024-01-01T00:00:00Z") for t in ("warcinfo", "request", "response")]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))

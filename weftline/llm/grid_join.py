@@ -24,7 +24,8 @@ compared, whatever the projection.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 numbers link with nothing; vectors of different lengths don't link; a row with
 a null id links with nothing, its component is null and it isn't kept; repeated
-rows link with each other; an empty table gives no rows.  Other columns are ignored.
+rows link with each other; rows that share an id but not the vector are linked each by its own
+vector (their ids alone link nothing); an empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from .common import materialise
 from .components import connected_components
 
 DIMS, CELLS, LEAF, STEP, FANOUT, TILE = 16, 6, 1024, 256, 16, 8
+#: A leaf of long vectors has fewer, so that its numbers in double precision stay at about LEAF_BYTES.
+LEAF_BYTES, LEAST_LEAF = 4 << 20, 64
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -77,6 +80,7 @@ def directions(classes: DataFrame, size: int, max_sample: int) -> np.ndarray:
 def _leaves(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
     """(part, place, low, high, ids, weights, vectors) of each interval of the sequence."""
     dims, vectors = min(CELLS, axes.shape[1]), dict(classes.dtypes)["v"]
+    most = min(LEAF, max(LEAST_LEAF, LEAF_BYTES // (8 * axes.shape[0])))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,13 +94,13 @@ def _leaves(classes: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
             if batch is not None:
                 held.append(batch)
                 rows += batch.num_rows
-            while rows >= LEAF or (batch is None and rows):
+            while rows >= most or (batch is None and rows):
                 table = pa.Table.from_batches(held)
-                x = _matrix(table.column("v").slice(0, LEAF).combine_chunks(), axes.shape[0])
+                x = _matrix(table.column("v").slice(0, most).combine_chunks(), axes.shape[0])
                 p = _unit(x) @ axes
                 steps = (np.diff(p, axis=0) ** 2).sum(axis=1)
                 # an interval ends at the widest gap in its second half
-                n = len(x) if len(x) < LEAF else LEAF // 2 + int(np.argmax(steps[LEAF // 2 - 1 :])) if len(steps) else 1
+                n = len(x) if len(x) < most else most // 2 + int(np.argmax(steps[most // 2 - 1 :])) if len(steps) else 1
                 x, p, leaf, rest = x[:n], p[:n], table.slice(0, n).combine_chunks(), table.slice(n)
                 held, rows = rest.to_batches(), rest.num_rows
                 yield pa.RecordBatch.from_arrays(
@@ -242,10 +246,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
     rows = materialise(_usable(df, id_col, vector_col).withColumn("key", F.sha2(F.to_json("v").cast("binary"), 256)))
     fine = rows.where("v IS NOT NULL")
-    classes = materialise(fine.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v")))
+    classes = materialise(fine.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v")).withColumn("class", F.monotonically_increasing_id()))
     links = None
     for size in [r[0] for r in classes.select(F.size("v")).distinct().orderBy("size(v)").collect()]:
-        own = classes.where(F.size("v") == size)
+        own = classes.where(F.size("v") == size).select(F.col("class").alias("id"), "key", "weight", "v")
         axes = directions(own, size, max_sample)
         axes = np.pad(axes, ((0, 0), (0, DIMS - axes.shape[1])))
         leaves = materialise(_numbered(materialise(_leaves(own, axes, epsilon))))
@@ -256,9 +260,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     if links is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     components = connected_components(links.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    counts = links.groupBy("id").agg(F.sum("n").alias("n"))
-    known = classes.select("key", "id", "weight").join(counts, "id", "left").join(components, "id", "left")
-    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    counts = links.groupBy(F.col("id").alias("class")).agg(F.sum("n").alias("n"))
+    # a component's id is the least id of its classes' rows
+    joined = components.select(F.col("id").alias("class"), "component").join(classes.select("class", "id"), "class")
+    named = joined.groupBy("component").agg(F.min("id").alias("least"))
+    known = classes.select("key", "class", "id", "weight").join(counts, "class", "left").join(joined.select("class", "component").join(named, "component").select("class", "least"), "class", "left")
+    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     linked = fine.join(known, "key").select("id", "n_links", "component_id")
     alone = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)

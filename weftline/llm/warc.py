@@ -8,9 +8,8 @@ driver commits are listed in the job's manifest, so a task that is run again
 after a lost executor leaves no double records, and later writes add to the folder.
 Option ``compression`` = "gzip" makes each record a member of its own.
 
-Reading: the files of all manifests of the folder, or all ``*.warc`` and
-``*.warc.gz`` in it where nobody left one, are packed into partitions of about
-``split_bytes``.  Filters on
+Reading: the files of all manifests of the folder, and all ``*.warc`` and ``*.warc.gz`` of
+others in it, are packed into partitions of about ``split_bytes``.  Filters on
 ``warc_type``, ``record_id``, ``target_uri``, ``refers_to``, ``payload_digest`` and
 ``content_length`` are pushed down (with spark.sql.python.filterPushdown.enabled):
 a record's header block is parsed first, and the block of a record that no
@@ -31,6 +30,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,6 +63,8 @@ from .common import materialise, shared_dir
 
 SCHEMA = "warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, content_length long, payload binary"
 MANIFEST = "_manifest"
+#: Names of files that this writer makes.
+OWN = re.compile(r"part-[0-9a-f]{12}-\d+-\d+-\d+\.warc(\.gz)?")
 BATCH_BYTES = 8 << 20
 #: Up to so many payloads with copies (about 60 bytes each) go to every task; more are joined by a shuffle.
 BROADCAST_COPIES = 100_000
@@ -174,14 +176,12 @@ class WarcReader(DataSourceReader):
         system, root = _place(self.path)
         found = sorted(system.get_file_info(fs.FileSelector(root)), key=lambda info: info.path)
         lists = [info.path for info in found if info.base_name.startswith(MANIFEST)]
-        if lists:
-            names = {n for path in lists for n in json.loads(system.open_input_stream(path).read())}
-            missing = names - {info.base_name for info in found}
-            if missing:
-                raise ValueError(f"archives of a manifest are missing: {sorted(missing)[:3]}")
-            found = [info for info in found if info.base_name in names]
-        else:
-            found = [info for info in found if info.base_name.endswith((".warc", ".warc.gz"))]
+        names = {n for path in lists for n in json.loads(system.open_input_stream(path).read())}
+        missing = names - {info.base_name for info in found}
+        if missing:
+            raise ValueError(f"archives of a manifest are missing: {sorted(missing)[:3]}")
+        # a file named as ours counts once a manifest lists it, one of others as it is
+        found = [info for info in found if info.base_name in names or (info.base_name.endswith((".warc", ".warc.gz")) and not OWN.fullmatch(info.base_name))]
         out: list[Files] = []
         room = 0
         for info in found:
@@ -285,7 +285,7 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = _place(self.path)
         task = TaskContext.get()
-        stem = f"{self.job}-{task.partitionId() if task else 0}-{task.taskAttemptId() if task else 0}"
+        stem = f"part-{self.job}-{task.partitionId() if task else 0}-{task.taskAttemptId() if task else 0}"
         names: list[str] = []
         out, size = None, 0
         try:
