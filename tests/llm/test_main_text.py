@@ -21,6 +21,14 @@ LONG = "A paragraph, with commas, of some length, that goes on, and on, for the
         (f"<div id='sidebar'><p>{LONG}</p></div>", [LONG.strip()]),
         (f"<div><h2>T</h2><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>a<li>b</ul><ul><li><a href=x>link one</a></ul></div>", ["T", LONG.strip(), LONG.strip(), "a", "b"]),
         (f"<main><p>{LONG} <math><mi>x</mi></math></p></main><div class='site-header'><p>{LONG}</p></div>", [LONG.strip() + " x"]),
+        (f"<div class='ad-hoc-report'>{f'<p>{LONG}</p>' * 3}</div><p>Tiny.</p>", [*[LONG.strip()] * 3, "Tiny."]),
+        (f"<div id='comment-on-policy'>{f'<p>{LONG}</p>' * 3}</div><p>Tiny.</p>", [*[LONG.strip()] * 3, "Tiny."]),
+        (f"<article><p>Tiny.</p></article><div class='comments'>{f'<p>{LONG}</p>' * 3}</div>", ["Tiny."]),
+        (f"<form id=aspnet><nav>Menu</nav><div>{f'<p>{LONG}</p>' * 3}<label>Name</label><input></div></form>", [LONG.strip()] * 3),
+        (f"<div><p>{LONG}</p></div><form><p>Write to us.</p><label>Name</label></form>", [LONG.strip()]),
+        (f"<article><p>{LONG}</p><label>Figure label</label></article>", [LONG.strip(), "Figure label"]),
+        (f"<div><section>{f'<p>{LONG}</p>' * 10}</section><section><p>brief</p></section><section><a href=x>links only</a></section></div>", [*[LONG.strip()] * 10, "brief"]),
+        (f"<div><div class=title><h1>HEAD</h1></div><div class=body>{f'<p>{LONG}</p>' * 3}</div><div><a href=x>more</a></div></div>", ["HEAD", *[LONG.strip()] * 3]),
         (f"<article><p>{LONG}</p><div class='post-comments'><p>{LONG}</p></div></article>", [LONG.strip()]),
     ],
 )

@@ -11,11 +11,14 @@ each 100 characters up to MOST_BY_LENGTH; all to its parent, half to the parent
 of that, a quarter to the next, and so on.  A container's points are multiplied
 by the share of its text outside links.  The best container is kept, or the
 article or main element that it is in, and siblings of that which score at least
-a fifth as much or are unlinked blocks of their own (headings, paragraphs, lists
-and the like).  All blocks in these are the text, in page order.
+a fifth as much, or are unlinked blocks of their own (headings, also in a wrapper, paragraphs, lists
+and the like; sections beside a section).  All blocks in these are the text, in page order.
 
 Sums go up and verdicts go down the tree once, so the time is linear in the page.
-Where class and id names leave no text at all, the page is read again without them.
+Where a form hides HIDDEN_TIMES the text that is left, it is read again as a container (its
+controls and labels stay out).  Where class and id names leave no text, or little on a page without article and main
+elements and HIDDEN_TIMES as much hidden by them, the page is read again without them, and the
+reading of the better container counts.
 
 Defined results: a null or empty page, and one without a paragraph, has the
 text ''; ties between containers go to the one that begins first; white space is
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import replaced
+from .common import blocks, replaced
 
 MOST_BY_LENGTH = 3
 # fixed values of HTML: elements without content, elements that end an open paragraph, and block elements
@@ -45,7 +48,12 @@ BLOCK = frozenset(
 )
 ENDS_P = BLOCK - frozenset("body html caption dd dt li tbody td tfoot th thead tr".split())
 RAW = frozenset("script style noscript template iframe object svg canvas textarea select title head video audio".split())
-DROPPED = RAW | frozenset("nav footer aside form button dialog menu input fieldset label".split())
+DROPPED = RAW | frozenset("nav footer aside button dialog menu input".split())
+#: Left out with their form; a form itself is left out where it isn't read as a container.
+OF_FORMS = frozenset("fieldset label".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A page is read again where what was hidden has so many times the text that is left, and so many characters.
+HIDDEN_TIMES, HIDDEN_CHARS, LITTLE = 4, 400, 200
 LEAVES = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl pre blockquote figure table".split())
 # fixed values: parts of class, id and role names that aren't the article whatever stands beside them
 UNWANTED = frozenset(
@@ -67,14 +75,15 @@ def unwanted(names: str) -> bool:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "article", "own", "points", "chars", "linked", "keep")
+    __slots__ = ("tag", "parent", "parts", "drop", "why", "article", "own", "points", "chars", "linked", "heads", "keep")
 
     def __init__(self, tag: str, parent: _Node | None, drop: bool):
         self.tag, self.parent, self.drop, self.keep = tag, parent, drop, False
         self.article = tag == "article" or (parent is not None and parent.article)
         self.parts: list[_Node | str] = []
         self.own = self.points = 0.0  # as a paragraph, and from what is in it
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.heads = 0
+        self.why = parent.why if parent is not None and drop else ""  # what hides it: a form, a name, or something else
 
     @property
     def score(self) -> float:
@@ -84,9 +93,10 @@ class _Node:
 class _Reader(HTMLParser):
     """Builds the tree; character references are decoded by the parser."""
 
-    def __init__(self, by_name: bool):
+    def __init__(self, by_name: bool, forms: bool = True):
         super().__init__(convert_charrefs=True)
-        self.by_name, self.dropped_by_name = by_name, False
+        self.by_name, self.forms, self.found_article = by_name, forms, False
+        self.hidden = Counter()  # characters of text, by what hides them
         self.root = self.at = _Node("html", None, False)
         self.nodes, self.open = [self.root], Counter()
 
@@ -101,11 +111,17 @@ class _Reader(HTMLParser):
             self._end(tag, {"ul", "ol", "dl", "table", "menu"})
         if tag in VOID:
             return
-        drop = self.at.drop or tag in DROPPED or (tag == "header" and not self.at.article)
+        drop = self.at.drop or tag in DROPPED or (tag == "header" and not self.at.article) or (tag in OF_FORMS and bool(self.open["form"]))
         drop = drop or any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
-        if not drop and self.by_name and tag not in ("article", "main") and unwanted(" ".join(v for k, v in attrs if k in ("class", "id", "role") and v)):
-            drop = self.dropped_by_name = True
-        node = _Node(tag, self.at, drop)
+        why = "" if drop else "form" if tag == "form" and self.forms else ""
+        if not drop and not why and self.by_name and tag not in ("article", "main") and unwanted(" ".join(v for k, v in attrs if k in ("class", "id", "role") and v)):
+            why = "name"
+        node = _Node(tag, self.at, drop or bool(why))
+        if why:
+            node.why = why
+        elif drop and not self.at.drop or tag in DROPPED:
+            node.why = "other"
+        self.found_article |= tag in ("article", "main") and not node.drop
         self.at.parts.append(node)
         self.nodes.append(node)
         self.open[tag] += 1
@@ -120,6 +136,8 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.at.parts.append(data)
+        if self.at.drop:
+            self.hidden[self.at.why] += len(data.strip())
 
     def _end(self, tag: str, stop: frozenset[str] | set[str]) -> None:
         """Closes the nearest open ``tag``, and all in it, unless an element of ``stop`` is in between."""
@@ -173,19 +191,27 @@ def _blocks(root: _Node) -> list[tuple[_Node, str]]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    text, again = _read(html, True)
-    return _read(html, False)[0] if again and not text else text
-
-
-def _read(html: str, by_name: bool) -> tuple[str, bool]:
-    """The main text, and whether names have dropped an element."""
-    reader = _Reader(by_name)
+    text, reader = _read(html, True, True)
+    if reader.hidden["form"] > max(HIDDEN_CHARS, HIDDEN_TIMES * len(text)):  # a form around the page
+        text, reader = _read(html, True, False)
+    little = len(text) < LITTLE and not reader.found_article and reader.hidden["name"] > max(HIDDEN_CHARS, HIDDEN_TIMES * len(text))
+    if reader.hidden["name"] and (not text or little):  # a name that holds the article
+        again, other = _read(html, False, reader.forms)
+        text = again if not text or other.best > HIDDEN_TIMES * reader.best else text
+    return text
+
+
+def _read(html: str, by_name: bool, forms: bool) -> tuple[str, _Reader]:
+    """The main text, and the reader with what it hid and the best score."""
+    reader = _Reader(by_name, forms)
     reader.feed(html)
     reader.close()
     blocks, root = _blocks(reader.root), reader.root
+    reader.best = 0.0
     if not blocks:
-        return "", reader.dropped_by_name
+        return "", reader
     for node, text in blocks:
+        node.heads += len(text) if node.tag in HEADS else 0
         node.own += 1 + text.count(",") + min(MOST_BY_LENGTH, len(text) / 100)
     root.points = root.own
     for node in reversed(reader.nodes[1:]):  # children come after their parents
@@ -193,7 +219,9 @@ def _read(html: str, by_name: bool) -> tuple[str, bool]:
         up.points += node.own + node.points / 2
         up.chars += node.chars
         up.linked += node.linked
+        up.heads += node.heads
     best = max(reader.nodes, key=lambda n: n.score)
+    reader.best = best.score
     at = best
     while at is not None and at.tag not in ("article", "main"):
         at = at.parent
@@ -201,11 +229,12 @@ def _read(html: str, by_name: bool) -> tuple[str, bool]:
     whole.keep = True
     for node in whole.parent.parts if whole.parent is not None else ():
         if isinstance(node, _Node) and node.chars and not node.drop:
-            if node.score >= max(best.score / 5, 2) or (node.tag in LEAVES and node.linked < node.chars / 4):
+            own = node.tag in LEAVES or node.heads == node.chars or node.tag == whole.tag == "section"
+            if node.score >= max(best.score / 5, 2) or (own and node.linked < node.chars / 4):
                 node.keep = True
     for node in reader.nodes[1:]:
         node.keep = node.keep or node.parent.keep
-    return "\n\n".join(text for node, text in blocks if node.keep), reader.dropped_by_name
+    return "\n\n".join(text for node, text in blocks if node.keep), reader
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
@@ -216,7 +245,7 @@ def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
     keep = [i for i, c in enumerate(df.columns) if c in schema.names[:-2] and i != position]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, position):
             texts = [main_text(x) for x in batch.column(position).to_pylist()]
             made = [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], schema.names)
