@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -46,10 +47,18 @@ def test_pieces_as_whole_texts(memo):
     rng = random.Random(1)
     texts = [*ODD, *(" ".join(rng.choices([t for t in ODD if t], k=6)) for _ in range(40))]
     for a in range(0, len(texts), 7):
-        found = encoder.encode([None if t is None else t.encode() for t in texts[a : a + 7]])
+        found = encoder.encode(pa.array(texts[a : a + 7], pa.string()))
         assert [np.frombuffer(f, "<u4").tolist() for f in found] == [whole(t)[:-1] for t in texts[a : a + 7]]
 
 
+def test_texts_over_a_block(monkeypatch):
+    monkeypatch.setattr(ts, "BLOCK", 40)
+    texts = ["short", None, "Many words, more than a block. " * 5, "a", "", "x" * 90 + " y", " \n" * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got = [i for _, ids in ts._encoded_rows(iter([batch]), 0, ts.Encoder(VOCABULARY), b"\1\0\0\0") for i in ids]
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == [whole(t) for t in texts]
+
+
 def test_shards_odd_rows_and_fetch(spark, tmp_path):
     rows = [(k * 3, t) for k, t in enumerate(ODD)] + [(None, "no id."), (6, ODD[2]), (6, ODD[2])] + [(1000, "Long text. " * 40_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "'x' AS hash", "2 AS ids")

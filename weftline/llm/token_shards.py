@@ -17,8 +17,8 @@ A frame can be read alone: manifest, footer and index lead to it by binary searc
 the header's hash is checked against the dictionary first.
 
 Encoding: a text is cut at ASCII white space, which no token and no step of the vocabulary
-crosses; distinct pieces are encoded by the tokenizers library and remembered (at most MEMO
-of them a task).
+crosses; the words and marks of distinct pieces are encoded by the tokenizers library, and remembered (twice REMEMBERED
+of them at most in each Python worker).
 
 Defined results: a null or empty text has only the end id; null ids come first; equal ids
 stand in order of their text's hash; repeated rows are a document each; a long text is one frame;
@@ -28,18 +28,20 @@ an empty table gives a manifest of no shards and no rows; other columns aren't r
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import json
 import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any, BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -48,60 +50,121 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from .common import MEMO, blocks, shared_dir
+from .common import blocks, shared_dir
 
 MAGIC, MANIFEST = b"TOKSHRD1", "manifest.json"
 FOOTER = struct.Struct("<QQQ8s")
 NO_ID = -(1 << 63)
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 2_000, 8_192, 64 << 10, 3
 SHARD_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+#: Bytes of texts that are encoded at once: the more, the fewer distinct pieces a text.
+BLOCK, WHITE = 8 << 20, re.compile("[\x20\x09-\x0D]")
 SHARD_ROW = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("name", pa.string()), *((c, pa.int64()) for c in ("first_id", "last_id", "documents", "tokens"))])
+#: What the vocabulary writes for the bytes of a text (a fixed rule: printable ones stand for themselves, the others follow 255).
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+#: Words that are remembered, twice at most.
+REMEMBERED = 250_000
 #: A run of Latin letters and the marks behind it; cut there, the vocabulary's pattern finds the same matches.
-WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
+WORD_AND_MARKS = "^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<marks>[.,;:!?]*)$"
+
+
+class _Memo:
+    """What was found lately: once ``most`` entries are new, they become the older half."""
+
+    def __init__(self, most: int, find: Callable[[list[str]], Iterable[bytes]]):
+        self.most, self.find, self.new, self.old = most, find, {"": b""}, {}
+
+    def of(self, keys: list[str]) -> list[bytes]:
+        """What belongs to ``keys`` (distinct); those that aren't remembered are found together."""
+        out = list(map(self.new.get, keys))
+        places = [k for k, v in enumerate(out) if v is None]
+        if len(self.new) + len(places) > self.most:
+            self.new, self.old = {"": b""}, self.new
+        again = list(map(self.old.get, [keys[k] for k in places]))
+        fresh = self.find([keys[k] for k, v in zip(places, again, strict=True) if v is None])
+        for k, v in zip(places, again, strict=True):
+            out[k] = self.new[keys[k]] = next(fresh) if v is None else v
+        return out
 
 
 class Encoder:
-    """Ids of texts as bytes, by the tokenizers library, remembered piece by piece."""
+    """Ids of texts as bytes, by the tokenizers library, for the distinct pieces of many texts at once."""
 
-    def __init__(self, vocabulary: str, memo: int = MEMO):
+    def __init__(self, vocabulary: str, memo: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.memo, self.pieces, self.parts = memo, {}, {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.pieces) + len(new) > self.memo:
-            self.pieces = {}
-        cut: dict[bytes, list[str]] = {}
-        for piece in new:
-            text = piece.decode()
-            m = WORD_AND_MARKS.fullmatch(text)
-            cut[piece] = [m[1].lower(), m[2]] if m and m[2] else [m[1].lower()] if m else [text]
-        wanted = list({p for parts in cut.values() for p in parts} - self.parts.keys())
-        if len(self.parts) + len(wanted) > self.memo:
-            self.parts = {}
-            wanted = list({p for parts in cut.values() for p in parts})
-        for part, found in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(found.ids, "<u4").tobytes()
-        for piece, parts in cut.items():
-            self.pieces[piece] = b"".join([self.parts[p] for p in parts])
-
-    def encode(self, texts: list[bytes | None], end: bytes = b"") -> list[bytes]:
-        cut = [(t or b"").split() for t in texts]
-        every = set().union(*cut) if cut else set()
-        if len(every) > self.memo:  # one long text of very many words: its pieces are encoded a share at a time
-            return [self._in_shares(words) + end for words in cut]
-        new = every - self.pieces.keys()
-        if len(self.pieces) + len(new) > self.memo:
-            self.pieces, new = {}, every
-        self._learn(list(new))
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, words)) + end for words in cut]
-
-    def _in_shares(self, words: list[bytes]) -> bytes:
-        step = max(1, self.memo // 2)
-        return b"".join(self.encode([b" ".join(words[k : k + step])])[0] for k in range(0, len(words), step))
+        self.words, self.rest = _Memo(memo, self._words), _Memo(memo // 4, self._rest)
+
+    def _words(self, new: list[str]) -> Iterator[bytes]:
+        """Runs of Latin letters are a word each, so they go straight to the library's model, byte by byte as it wants them."""
+        tokenize = self.tokenizer.model.tokenize
+        for word in new:
+            ids = [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN))]
+            yield PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _rest(self, new: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
+            yield struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """Ids of each of ``texts`` (strings of about BLOCK bytes in all), and ``end``."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        pieces = cut.flatten().dictionary_encode()
+        if not len(pieces):
+            return [end] * len(texts)
+        # a piece is a word and the marks behind it, or else all rest
+        parts = pc.extract_regex(pieces.dictionary, pattern=WORD_AND_MARKS)
+        word = pc.utf8_lower(pc.fill_null(pc.struct_field(parts, "word"), "")).dictionary_encode()
+        rest = pc.if_else(pc.is_valid(parts), pc.struct_field(parts, "marks"), pieces.dictionary).dictionary_encode()
+        words = self.words.of(word.dictionary.to_pylist())
+        found = words + self.rest.of(rest.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        index = np.stack([word.indices.to_numpy(), rest.indices.to_numpy() + len(words)], axis=1)[pieces.indices.to_numpy()].ravel()
+        starts, counts = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        stops = np.cumsum(counts)
+        ids = flat[np.repeat(starts - (stops - counts), counts) + np.arange(counts.sum())].tobytes()
+        after = 4 * np.concatenate(([0], stops))[2 * np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))]
+        return [ids[a:b] + end for a, b in zip(after[:-1].tolist(), after[1:].tolist(), strict=True)]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of a Python worker, kept from task to task."""
+    return Encoder(vocabulary)
+
+
+def _segments(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Blocks of about BLOCK bytes of text, each as its batch and its texts; a longer text comes alone, cut at white space into texts of its own."""
+    for batch in blocks(batches, column, BLOCK):
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        for part in np.split(np.arange(batch.num_rows), sorted({x for k in np.flatnonzero(sizes > BLOCK).tolist() for x in (k, k + 1)})):
+            if len(part):
+                some = batch.slice(int(part[0]), len(part))
+                yield some, pa.array(_cut(some.column(column)[0].as_py())) if sizes[part[0]] > BLOCK else some.column(column)
+
+
+def _cut(text: str) -> list[str]:
+    out, at = [], 0
+    while at < len(text):
+        space = WHITE.search(text, at + BLOCK // 4)
+        stop = space.end() if space else len(text)
+        out.append(text[at:stop])
+        at = stop
+    return out
+
+
+def _encoded_rows(batches: Iterator[pa.RecordBatch], column: int, own: Encoder, end: bytes) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch, texts in _segments(batches, column):
+        if batch.num_rows == len(texts):
+            yield batch, own.encode(texts, end)
+        else:
+            yield batch, [b"".join(x for k in range(len(texts)) for x in own.encode(texts.slice(k, 1))) + end]
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -177,7 +240,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, *, text_col:
     """A dictionary from SAMPLE_DOCS documents at most, chosen by a hash of their text; b'' where there is too little to learn from."""
     n = docs.count()
     share = max(1, n // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(share)) == 0).select(F.substring(text_col, 1, SAMPLE_CHARS).cast("binary").alias("text")).limit(SAMPLE_DOCS)
+    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(share)) == 0).select(F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS)
     encoded = _encoded(sample, vocabulary, end_id)
     found = sorted(bytes(r.ids) for r in encoded.collect())
     try:
@@ -187,12 +250,12 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, *, text_col:
 
 
 def _encoded(texts: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(ids) of (text as binary)."""
+    """(ids) of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), struct.pack("<I", end_id)
-        for batch in blocks(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array(encoder.encode(batch.column(0).to_pylist(), end), pa.binary())], ["ids"])
+        own, end = encoder(vocabulary), struct.pack("<I", end_id)
+        for _, ids in _encoded_rows(batches, 0, own, end):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     return texts.mapInArrow(run, "ids binary")
 
@@ -208,7 +271,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, id
     job = uuid.uuid4().hex[:12]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), struct.pack("<I", end_id)
+        own, end = encoder(vocabulary), struct.pack("<I", end_id)
         target, top = _place(path)
         task = TaskContext.get()
         part = task.partitionId()
@@ -222,8 +285,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, id
             return pa.RecordBatch.from_pylist([{"part": part, "number": number, "name": file, "first_id": ids[0][0], "last_id": ids[-1][0], "documents": len(ids), "tokens": shard.tokens}], SHARD_ROW)
 
         try:
-            for batch in blocks(batches, 1):
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist(), end), strict=True):
+            for batch, encoded in _encoded_rows(batches, 1, own, end):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                     if shard is not None and shard.size > max_bytes:
                         yield closed()
                         number, shard = number + 1, None
@@ -238,7 +301,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, id
             if stream is not None and not stream.closed:
                 stream.close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("hash"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     ranged = rows.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash").select("id", "text")
     shards = ranged.mapInArrow(run, "part int, number int, name string, first_id long, last_id long, documents long, tokens long").collect()  # a row a shard
     listed = [{k: r[k] for k in ("name", "first_id", "last_id", "documents", "tokens")} for r in sorted(shards, key=lambda r: (r.part, r.number))]
