@@ -23,12 +23,22 @@ def test_against_sql(spark, duck, name):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits of one letter and swaps of two neighbours."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        row, last = [i], row
+        row, last = [i], rows[-1]
         for j, y in enumerate(b, 1):
             row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
-    return row[-1]
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[-1] = min(row[-1], rows[i - 2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_swapped_letters_are_one_edit():
+    m = toxicity.Matcher(toxicity.Lexicon({"idiot": 1.0, "idler": 0.9}, frozenset({"dilot"})))
+    found = {w: m.weight(w) for w in ("idiot", "idoit", "diiot", "idito", "ildier", "iidot", "odiit", "idlre")}
+    assert found == {"idiot": 1.0, **dict.fromkeys(("idoit", "diiot", "idito", "iidot"), toxicity.FUZZY), "ildier": None, "odiit": None, "idlre": toxicity.FUZZY * 0.9}
 
 
 def test_automaton_is_edit_distance():

@@ -6,7 +6,7 @@ once a label: words that occur in at least MIN_DOCUMENTS toxic texts, beside as
 many different neighbours, and hardly in other ones.
 
 ``score`` runs every word of every whole text through the product of a
-Levenshtein automaton of distance 1 and the trie of the lexicon.  The product
+Levenshtein automaton of distance 1 (a swap of two neighbours is one edit) and the trie of the lexicon.  The product
 is made deterministic as words ask for its states.  Words that the sample's
 clean documents hold are no misspellings.  Each hit counts by its distance (one
 unquoted misspelling of a sure term is enough for a score of 0.7),
@@ -47,6 +47,10 @@ REPORTING = frozenset("said says say called calls wrote writes quote quoted quot
 SECOND = frozenset("you your you're youre yourself u du dich dir dein ihr tu te toi vous votre tú ti usted ustedes".split())
 
 
+#: A node of the trie, the edits so far, and the letter that must come next where two have changed places.
+Item = tuple[int, int, str]
+
+
 class Lexicon(NamedTuple):
     terms: dict[str, float]  # and how much an exact hit counts
     clean: frozenset[str]  # near a term, but in clean documents
@@ -68,31 +72,38 @@ class Matcher:
                     self.final.append(0.0)
                 node = self.next[node][c]
             self.final[node] = lexicon.terms[term]
-        self.sets: list[frozenset[tuple[int, int]]] = []
-        self.number: dict[frozenset[tuple[int, int]], int] = {}
+        self.sets: list[frozenset[Item]] = []
+        self.number: dict[frozenset[Item], int] = {}
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, float] | None] = []
         self.dead = self._state(frozenset())
-        self.start = self._state(frozenset({(0, 0)} | {(m, 1) for m in self.next[0].values()}))
+        self.start = self._state(frozenset({(0, 0, "")} | {(m, 1, "") for m in self.next[0].values()}))
 
-    def _state(self, found: frozenset[tuple[int, int]]) -> int:
+    def _state(self, found: frozenset[Item]) -> int:
         if found not in self.number:
             self.number[found] = len(self.sets)
             self.sets.append(found)
             self.moves.append({})
-            self.accepts.append(min(((e, -self.final[n]) for n, e in found if self.final[n]), default=None))
+            self.accepts.append(min(((e, -self.final[n]) for n, e, wanted in found if self.final[n] and not wanted), default=None))
         return self.number[found]
 
     def _move(self, state: int, c: str) -> int:
-        """Items (trie node, edits) after one more letter; a term's letter missing in the word is an edit too."""
-        after: set[tuple[int, int]] = set()
-        for node, edits in self.sets[state]:
+        """Items after one more letter; a term's letter missing in the word is an edit too, and so are two that change places."""
+        after: set[Item] = set()
+        for node, edits, wanted in self.sets[state]:
+            if wanted:
+                if c == wanted:
+                    after.add((node, edits, ""))
+                continue
             if c in self.next[node]:
-                after.add((self.next[node][c], edits))
+                after.add((self.next[node][c], edits, ""))
             if edits == 0:
-                after.add((node, 1))
-                after.update((m, 1) for m in self.next[node].values())
-        after |= {(m, 1) for node, edits in after if edits == 0 for m in self.next[node].values()}
+                after.add((node, 1, ""))
+                for x, m in self.next[node].items():
+                    after.add((m, 1, ""))
+                    if x != c and c in self.next[m]:
+                        after.add((self.next[m][c], 1, x))
+        after |= {(m, 1, "") for node, edits, _ in after if edits == 0 for m in self.next[node].values()}
         self.moves[state][c] = to = self._state(frozenset(after))
         return to
 
