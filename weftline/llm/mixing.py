@@ -112,7 +112,7 @@ def dealt(
     """(id, source, size, text_digest, draw, source_size, target, shard) of each row of ``df``, by a seeded hash of id, text and number."""
     text = F.col(f"`{text_col}`")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("text_digest"), F.md5(text.cast("binary")).alias("key"))
-    rows = _numbered(rows).withColumn("draw", _md5(F.col("id").cast("string"), F.col("key"), F.col("copy").cast("string"), F.lit(str(seed)))).drop("key", "copy")
+    rows = _numbered(materialise(rows)).withColumn("draw", _md5(F.col("id").cast("string"), F.col("key"), F.col("copy").cast("string"), F.lit(str(seed)))).drop("key", "copy")
     rows = materialise(rows)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     n_shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("rows") / shard_rows))
