@@ -95,4 +95,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash": sql.OP6,
         "op8_warc": sql.OP8,
         "op9_mixing": sql.OP9,
+        "op11_search": sql.OP11,
+        "op13_conversations": sql.op13(),
     }

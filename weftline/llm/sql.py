@@ -103,3 +103,81 @@ least AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM least LEFT JOIN counts ON a = vec_id
 """
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), c AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM c),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM c) GROUP BY doc_id, n, term),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, term, count(*)::BIGINT AS k FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+x AS (SELECT item_id, term, k * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM q JOIN df USING (term), g),
+s AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM x JOIN tf USING (term), g GROUP BY item_id, doc_id)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+
+def op13() -> str:
+    """Rows are repaired from the last to the first; each state holds its least (cost, audit) and the text behind it."""
+    step = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    into = {0: 2, 1: 2, 2: 3, 3: 2}
+    role = {2: "user", 3: "assistant"}
+    never = "{'cost': 1000000000000::BIGINT, 'audit': '', 'text': NULL::VARCHAR}"
+
+    def then(after: str, cost: str, letter: str, line: str | None) -> str:
+        text = f"{after}.text" if line is None else f"{line} || coalesce(chr(10) || {after}.text, '')"
+        return f"{{'cost': ({after}.cost + {cost})::BIGINT, 'audit': '{letter}' || {after}.audit, 'text': {text}}}"
+
+    own = "role || ':' || text"
+
+    def taken(s: int) -> str:
+        keep = " ".join(f"WHEN init = '{c}' THEN {then(f'a[{t + 1}]', 'cut', 'K', own)}" for c, t in step[s].items())
+        t = into[s]
+        rerole = then(f"a[{t + 1}]", "2 + cut", "R", f"'{role[t]}:' || text")
+        return f"list_min([{then(f'a[{s + 1}]', '3', 'D', None)}, CASE WHEN must THEN {never} {keep} ELSE {never} END, CASE WHEN must THEN {never} ELSE {rerole} END])"
+
+    def put_in(s: int, after: str) -> str:
+        return then(f"{after}[{into[s] + 1}]", "2", "I", f"'{role[into[s]]}:'")
+
+    # inserts before a row: first into the two states that lead on, then into the others
+    first = f"[b[1], b[2], list_min([b[3], {put_in(2, 'b')}]), list_min([b[4], {put_in(3, 'b')}])]"
+    closed = f"[list_min([i[1], {put_in(0, 'i')}]), list_min([i[2], {put_in(1, 'i')}]), i[3], i[4]]"
+    nothing = "{'cost': 0::BIGINT, 'audit': '', 'text': NULL::VARCHAR}"
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+bits AS (
+  SELECT key, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT key FROM k)
+  UNION ALL SELECT key, i + 1, xor(x // 2, 3988292384::BIGINT * (x % 2))
+  FROM (SELECT key, i, CASE WHEN i % 8 = 0 THEN xor(c, unicode(substr(key, i // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM bits WHERE i < 8 * length(key))),
+h AS (SELECT key, xor(c, 4294967295::BIGINT) % 20 AS harm FROM bits WHERE i = 8 * length(key)),
+r AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k JOIN h USING (key)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, NOT regexp_matches(text, '[^ 	-]') AS blank
+  FROM r),
+f AS (
+  SELECT conv_id, turn, role, text, p, blank, NOT blank AND nth > 1 AS again, blank OR nth > 1 AS must, left(role, 1) AS init,
+    (NOT blank AND nth = 1 AND regexp_matches(text, '[^.!? 	-][ 	-]*$'))::INT AS cut
+  FROM o),
+n AS (SELECT conv_id, coalesce(max(p), 0) AS n FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN f USING (conv_id) GROUP BY conv_id),
+ends AS (SELECT conv_id, n + 1 AS p, {first.replace('b[1]', nothing).replace('b[2]', never).replace('b[3]', never).replace('b[4]', nothing)} AS i FROM n),
+g AS (
+  SELECT conv_id, p, {closed} AS a FROM ends
+  UNION ALL SELECT conv_id, p, {closed}
+  FROM (SELECT conv_id, p, {first} AS i FROM (SELECT g.conv_id, f.p, [{', '.join(map(taken, range(4)))}] AS b FROM g JOIN f ON f.conv_id = g.conv_id AND f.p = g.p - 1))),
+e AS (SELECT conv_id, a[1] AS best FROM g WHERE p = 1),
+pairs AS (SELECT conv_id, count(*) FILTER (WHERE before || init NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, init, lag(init) OVER (PARTITION BY conv_id ORDER BY p) AS before FROM f) GROUP BY conv_id),
+faults AS (
+  SELECT conv_id, (coalesce(max(turn) - min(turn) + 1, 0) - count(DISTINCT turn))::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate, sum(cut)::BIGINT AS truncated
+  FROM f GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, best.cost AS cost, best.audit AS audit, sha256(coalesce(best.text, '')) AS repaired_sha256
+FROM e LEFT JOIN faults USING (conv_id) LEFT JOIN pairs USING (conv_id)
+"""
