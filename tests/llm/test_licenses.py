@@ -52,3 +52,11 @@ def test_table_of_licences_and_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.license_id or "") for r in got) == [(0, "a"), (1, "a"), (1, "a"), (2, ""), (3, ""), (4, ""), (5, "")]
     assert [r.license_digest for r in got if r.doc_id == 2] == [None]
     assert L.scan(df.limit(0), known).isEmpty() and L.scan(df, known.limit(0)).where("license_id IS NOT NULL").isEmpty()
+
+
+def test_licences_from_files(spark, tmp_path):
+    (tmp_path / "Long-2.0.txt").write_text("Long License\nVersion 2.0\n\n" + "1. Definitions, of many terms.\n" * 300)
+    (tmp_path / "Other-1.0.md").write_text("Copyright (c) 2020 Somebody\nUse it as you like.")
+    known = L.texts_of_files(spark, f"file://{tmp_path}")
+    docs = spark.createDataFrame([(1, "LONG LICENSE\nversion 2.0\n" + "1) definitions of many terms\n" * 300), (2, "Use it, as you like!"), (3, "Use it.")], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in L.scan(docs, known).collect()} == {1: "Long-2.0", 2: "Other-1.0", 3: None}

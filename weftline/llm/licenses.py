@@ -4,7 +4,8 @@ A text is made canonical (case, title and copyright lines, list numbers, spellin
 that licences use alike, punctuation, white space) with DataFrame functions, then
 hashed, and the digest of the entire text is joined to the digests of known
 licences.  These come as a table (license_id, text); ``known_texts`` makes one of
-KNOWN, the short licences that are kept here.
+KNOWN, the short licences that are kept here, and ``texts_of_files`` one of a folder of
+whole texts, such as long licences.
 
 Defined results: a null text has a null digest and no licence; a text without a
 letter or digit has the digest of '' and no licence; long texts are read whole;
@@ -129,6 +130,12 @@ def known_texts(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame
     return spark.createDataFrame(list(texts.items()), "license_id string, text string")
 
 
+def texts_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """(license_id, text) of a folder or pattern of text files, each a whole licence named by its id ('Apache-2.0.txt')."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[A-Za-z]+$", "").alias("license_id"), F.col("value").alias("text"))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
