@@ -28,7 +28,7 @@ def lut_or_builtin(spark: SparkSession, path: str | None, builtin: DataFrame) ->
     if path is None:
         return builtin.select("label", "name")
     try:
-        lines = spark.read.option("wholetext", False).text(path)
+        lines = spark.read.text(path)
     except AnalysisException:  # there is no such path
         return builtin.select("label", "name")
     found = parse_lut(lines.withColumn("line", F.monotonically_increasing_id()), order="line")
