@@ -40,6 +40,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import accumulate, chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -212,7 +213,7 @@ class _Known:
 
     def __init__(self, arrays: tuple[bytes, ...]):
         hashes, stops, words, id_stops, ids = arrays
-        self.hashes = memoryview(hashes).cast("Q")
+        self.hashes, self.order = memoryview(hashes).cast("Q"), np.frombuffer(hashes, np.uint64)
         self.stops, self.words = memoryview(stops).cast("I"), words
         self.id_stops, self.ids = memoryview(id_stops).cast("I"), ids
 
@@ -225,6 +226,18 @@ class _Known:
         stops = [np.fromiter(accumulate(map(len, x), initial=0), np.uint32, len(x) + 1).tobytes() for x in (words, ids)]
         return hashes[order].tobytes(), stops[0], b"".join(words), stops[1], b"".join(ids)
 
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """As ``get`` for many words at once."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        places = np.minimum(np.searchsorted(self.order, hashes), max(0, len(self.order) - 1))
+        there = (self.order[places] == hashes).tolist() if len(self.order) else [False] * len(words)
+        stops, text, id_stops, ids = self.stops, self.words, self.id_stops, self.ids
+        out: list[bytes | None] = [None] * len(words)
+        for k, (i, hit) in enumerate(zip(places.tolist(), there, strict=True)):
+            if hit:
+                out[k] = ids[id_stops[i] : id_stops[i + 1]] if text[stops[i] : stops[i + 1]] == words[k] else self.get(words[k])
+        return out
+
     def get(self, word: bytes) -> bytes | None:
         h = xxhash.xxh3_64_intdigest(word)
         i = bisect_left(self.hashes, h)
@@ -248,10 +261,25 @@ class _Cutter:
         self.rest: dict[bytes, int] = {}
         self.partial: dict[str, tuple[bytes, list[tuple[int, int]]]] = {}
 
-    def _unit(self, unit: str) -> tuple[bytes, list[tuple[int, int]]]:
+    def units(self, parts: list[str]) -> list[tuple[bytes, Sequence[tuple[int, int]]]]:
+        """As ``unit`` for distinct ``parts`` behind the first of a text, looked up together; those of known words alone are remembered."""
+        out: list[tuple[bytes, Sequence[tuple[int, int]]]] = [(x, ()) for x in map(self.memo.get, parts)]
+        new = [k for k, (x, _) in enumerate(out) if x is None]
+        words = [[w.encode("utf-8", "surrogatepass") for w in self.find(parts[k] if parts[k][:1] == "\n" else " " + parts[k])] for k in new]
+        known = iter(self.known.get_all([w for some in words for w in some]))
+        for k, some in zip(new, words, strict=True):
+            found = out[k] = self._placed(some, [next(known) for _ in some])
+            if not found[1] and len(self.memo) < self.memo_size and len(parts[k]) <= 64:
+                self.memo[parts[k]] = found[0]
+        return out
+
+    def unit(self, unit: str) -> tuple[bytes, list[tuple[int, int]]]:
         """Packed ids of the known words of ``unit``, and where (in bytes) which unknown words go."""
         words = [w.encode("utf-8", "surrogatepass") for w in self.find(unit)]
-        ids, gaps, size = list(map(self.known.get, words)), [], 0
+        return self._placed(words, list(map(self.known.get, words)))
+
+    def _placed(self, words: list[bytes], ids: list[bytes | None]) -> tuple[bytes, list[tuple[int, int]]]:
+        gaps, size = [], 0
         if None in ids:
             for w, x in zip(words, ids, strict=True):
                 if x is None:
@@ -265,11 +293,11 @@ class _Cutter:
         if not text:
             return b"", [], []
         if not self.plain:
-            got, gaps = self._unit(text)
+            got, gaps = self.unit(text)
             return got, [at for at, _ in gaps], [w for _, w in gaps]
         memo, parts = self.memo, parts_of(text, irregular)
         got = list(map(memo.get, parts))
-        got[0], gaps = self._unit(parts[0])
+        got[0], gaps = self.unit(parts[0])
         found = [(0, gaps)] if gaps else []
         if None in got:
             i, partial = 0, self.partial
@@ -278,7 +306,7 @@ class _Cutter:
                     i = got.index(None, i + 1)
                     part = parts[i]
                     if (known := partial.get(part)) is None:
-                        known = self._unit(part if part[:1] == "\n" else " " + part)
+                        known = self.unit(part if part[:1] == "\n" else " " + part)
                         if known[1]:
                             partial[part] = known
                         elif len(memo) < self.memo_size and len(part) <= 64:
@@ -294,6 +322,51 @@ class _Cutter:
         return b"".join(got), [starts[i] + at for i, gaps in found for at, _ in gaps], [w for _, gaps in found for _, w in gaps]
 
 
+class _Cut(NamedTuple):
+    """Of each text: the packed ids of its known words, and where (in bytes) which unknown words go (packed integers)."""
+
+    ids: list[bytes]
+    at: list[bytes]
+    which: list[bytes]
+
+
+def cut_block(cutter: _Cutter, texts: pa.Array, irregular: list[bool], dtype: str) -> _Cut:
+    """Cuts the texts of a block.  Regular texts are cut by Arrow, so that each distinct part is looked up once; other ones one by one."""
+    out = _Cut([b""] * len(texts), [b""] * len(texts), [b""] * len(texts))
+    single = [k for k in range(len(texts)) if irregular[k] or not cutter.plain]
+    for k in single:
+        ids, at, which = cutter(texts[k].as_py(), irregular[k])
+        out.ids[k], out.at[k], out.which[k] = ids, np.array(at, "<i4").tobytes(), np.array(which, "<i4").tobytes()
+    regular = np.setdiff1d(np.arange(len(texts)), single)
+    if not len(regular):
+        return out
+    lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.take(pa.array(regular)), ""), "\n", " \n"), " ")
+    stops = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+    parts = lists.flatten().dictionary_encode()
+    names, index = parts.dictionary.to_pylist(), parts.indices.to_numpy().astype(np.int64)
+    found = cutter.units(names)
+    # the first part of a text is as it stands there, so it is looked up by itself
+    found += [cutter.unit(names[k]) for k in index[stops[:-1]].tolist()]
+    index[stops[:-1]] = len(names) + np.arange(len(regular))
+    width = np.dtype(dtype).itemsize
+    pool = np.frombuffer(b"".join([f[0] for f in found]), dtype)
+    sizes, gaps = np.fromiter((len(f[0]) for f in found), np.int64, len(found)) // width, np.fromiter((len(f[1]) for f in found), np.int64, len(found))
+    pairs = np.array([g for f in found for g in f[1]], np.int64).reshape(-1, 2)
+    counts, holes = sizes[index], gaps[index]
+    ends, hole_ends = np.cumsum(counts), np.cumsum(holes)
+    ids = pool[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - counts), counts) + np.arange(counts.sum())].tobytes()
+    pair = np.repeat((np.cumsum(gaps) - gaps)[index] - (hole_ends - holes), holes) + np.arange(holes.sum())
+    text_of = np.repeat(np.arange(len(regular)), np.diff(stops))
+    begin = np.concatenate(([0], ends))[stops]
+    at = (np.repeat((ends - counts) - begin[text_of], holes) * width + pairs[pair, 0]).astype("<i4").tobytes()
+    which = pairs[pair, 1].astype("<i4").tobytes()
+    hole_at = 4 * np.concatenate(([0], hole_ends))[stops]
+    for n, k in enumerate(regular.tolist()):
+        out.ids[k] = ids[begin[n] * width : begin[n + 1] * width]
+        out.at[k], out.which[k] = at[hole_at[n] : hole_at[n + 1]], which[hole_at[n] : hole_at[n + 1]]
+    return out
+
+
 def byte_lists(words: Sequence[bytes], single: np.ndarray) -> pa.Array:
     """Each word as a list of the ids of its single bytes."""
     offsets = np.fromiter(accumulate(map(len, words), initial=0), np.int32, len(words) + 1)
@@ -405,13 +478,12 @@ def encode(
         cutter = _Cutter(pattern, _Known(cache.value))
         for block in blocks(batches, n, block_chars):
             cutter.start()
-            rows = [cutter(x, i) for x, i in zip(block.column(n).to_pylist(), irregular_texts(block.column(n)), strict=True)]
+            rows = cut_block(cutter, block.column(n), irregular_texts(block.column(n)), dtype)
             words = list(cutter.rest)
             short = byte_lists([w if len(w) <= long_word else b"" for w in words], single)
-            first = pa.array([0] + [None] * (len(rows) - 1), pa.int32())  # the block's words travel with its first row
+            first = pa.array([0] + [None] * (block.num_rows - 1), pa.int32())  # the block's words travel with its first row
             columns = [
-                pa.array([r[0] for r in rows], pa.binary()),
-                *(pa.array([np.array(r[k], "<i4").tobytes() for r in rows], pa.binary()) for k in (1, 2)),
+                *(pa.array(r, pa.binary()) for r in rows),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), short).take(first),
                 pa.array([[w for w in words if len(w) > long_word]], pa.list_(pa.binary())).take(first),
             ]
