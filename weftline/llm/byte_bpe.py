@@ -218,13 +218,17 @@ class _Known:
         self.id_stops, self.ids = memoryview(id_stops).cast("I"), ids
 
     @staticmethod
-    def packed(known: dict[bytes, bytes]) -> tuple[bytes, ...]:
-        """The arrays of ``known`` (word: packed ids), to be broadcast."""
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    def packed(words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, ...]:
+        """The arrays of distinct ``words`` (binary) with ``counts`` of the packed ``ids`` each, to be broadcast; no object for each word is held."""
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in words), np.uint64, len(words))
         order = np.argsort(hashes, kind="stable")
-        words, ids = ([x[k] for k in order.tolist()] for x in (list(known), list(known.values())))
-        stops = [np.fromiter(accumulate(map(len, x), initial=0), np.uint32, len(x) + 1).tobytes() for x in (words, ids)]
-        return hashes[order].tobytes(), stops[0], b"".join(words), stops[1], b"".join(ids)
+        taken = words.take(pa.array(order))
+        stops = np.concatenate(([0], np.cumsum(pc.binary_length(taken).to_numpy())))
+        text = b"".join(w.as_py() for w in taken) if len(taken) else b""
+        begins, sizes = (np.cumsum(counts) - counts)[order], counts[order]
+        ends = np.cumsum(sizes)
+        flat = ids[np.repeat(begins - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        return hashes[order].tobytes(), stops.astype(np.uint32).tobytes(), text, (np.concatenate(([0], ends)) * ids.itemsize).astype(np.uint32).tobytes(), flat.tobytes()
 
     def get_all(self, words: list[bytes]) -> list[bytes | None]:
         """As ``get`` for many words at once."""
@@ -437,10 +441,18 @@ def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int],
 
     pieces = top.select("word").repartition(F.xxhash64("word")).mapInArrow(split, "word binary, pieces array<long>")
     found = pieces.select("word", F.get(fold_words(F.array("pieces"), literal), 0).alias("ids")).toArrow()
-    known = {w: i.to_bytes(np.dtype(dtype).itemsize, "little") for w, i in ranks.items()}
-    for batch in found.to_batches():
-        known.update(zip(batch.column("word").to_pylist(), packed_lists(batch.column("ids"), dtype), strict=True))
-    return _Known.packed(known)
+    del counts, top, pieces
+    # a word that is a token has its rank alone, which its fold gives too
+    words = found.column("word").combine_chunks().cast(pa.binary())
+    lists = found.column("ids").combine_chunks()
+    values, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = pa.array(list(ranks), pa.binary())
+    fresh = pc.invert(pc.is_in(tokens, value_set=words)).to_numpy(zero_copy_only=False)
+    own = np.fromiter(ranks.values(), dtype, len(ranks))[fresh]
+    out = _Known.packed(pa.concat_arrays([words, tokens.filter(pa.array(fresh))]), np.concatenate([values, own]), np.concatenate([sizes, np.ones(len(own), np.int64)]))
+    del found, words, lists, tokens
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def encode(
