@@ -187,3 +187,12 @@ def test_matrix_of_too_many_labels(spark, monkeypatch):
     assert aggregate.connectivity_matrix(ends.limit(0)).count() == 0
     with pytest.raises(ValueError, match="connectivity_edges"):
         aggregate.connectivity_matrix(ends.unionByName(spark.createDataFrame([(2, 3, 3)], ends.schema)))
+
+
+def test_equal_spheres_are_tested_once(spark):
+    lines = spark.createDataFrame([(k, [(float(k), 0.0, 0.0), (k + 0.5, 0.0, 0.0)]) for k in range(4)], "sid long, points array<struct<x: double, y: double, z: double>>")
+    balls = [(n, float(n % 2) + 0.1, 0.0, 0.0, 0.3) for n in range(40)] + [(0, 3.0, 0.0, 0.0, 0.3), (0, 0.1, 0.0, 0.0, 0.3), (0, 3.2, 0.0, -0.0, 0.3), (41, None, 0.0, 0.0, 1.0)]
+    spheres = spark.createDataFrame(balls, "roi_id long, cx double, cy double, cz double, r double")
+    assert spatial._classes(spheres.dropna())[0].num_rows == 4
+    got = [(r.roi_id, r.sid) for r in spatial.sphere_hits(lines, spheres).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(n, n % 2) for n in range(40)} | {(0, 3)}
