@@ -196,3 +196,16 @@ def test_equal_spheres_are_tested_once(spark):
     assert spatial._classes(spheres.dropna())[0].num_rows == 4
     got = [(r.roi_id, r.sid) for r in spatial.sphere_hits(lines, spheres).collect()]
     assert len(got) == len(set(got)) and set(got) == {(n, n % 2) for n in range(40)} | {(0, 3)}
+
+
+def test_amplitudes_of_equal_vertices_are_taken_once(spark):
+    voxels = [(0, 0, 0, [1.0, 2.0, 4.0]), (0, 0, 0, [1.0, None]), (0, 1, 0, [3.0]), (0, 2, 0, []), (9, 9, 9, [1.0])]
+    coefficients = spark.createDataFrame(voxels, "i int, j int, k int, coeffs array<double>")
+    mask = spark.createDataFrame([(0, j, 0) for j in range(3)], "i int, j int, k int")
+    rows = [(v, k, float(v % 2 + k)) for v in range(6) for k in (0, 2)] + [(6, 1, 5.0), (7, 0, None)]
+    out = aggregate.masked_odf_amplitudes(coefficients, mask, spark.createDataFrame(rows, "vertex long, idx int, b double"))
+    got = {(r.j, r.vertex): r.amplitude for r in out.collect()}
+    expected = {(0, v): 2.0 * (v % 2) + 4.0 * (v % 2 + 2) for v in range(6)} | {(1, v): 3.0 * (v % 2) for v in range(6)} | {(0, 6): 10.0, (0, 7): None, (1, 7): None}
+    assert got == expected
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" in plan  # classes times voxels, not a grouping of all terms of all vertices

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.affine import AXES, INDEX, Affine, diagonal
+from ..sources.files import materialise
 from .geometry import nearest_voxel
 
 PADDING = 5.0
-#: Most labels of a dense matrix, and most rows of a basis that go to every task.
-BROADCAST_LABELS, BROADCAST_BASIS = 5_000, 200_000
+#: Most labels of a dense matrix, and most vertices, and different rows of a basis, that go to every task.
+BROADCAST_LABELS, BROADCAST_BASIS, BROADCAST_CLASSES = 5_000, 1_000_000, 20_000
 
 
 def density_map(points: DataFrame, affine: Affine, dims: Sequence[int]) -> DataFrame:
@@ -144,10 +145,26 @@ def _harmonic(degree: int, m: int):
 
 
 def masked_odf_amplitudes(coefficients: DataFrame, mask: DataFrame, basis: DataFrame) -> DataFrame:
-    """(i, j, k, vertex, amplitude) at masked voxels, from ``coefficients`` (i, j, k, coeffs) and a ``basis`` (vertex, idx, b) of vertices times coefficients rows."""
-    few = F.broadcast(basis) if basis.limit(BROADCAST_BASIS + 1).count() <= BROADCAST_BASIS else basis
+    """(i, j, k, vertex, amplitude) at masked voxels, from ``coefficients`` (i, j, k, coeffs) and a ``basis`` (vertex, idx, b) of vertices times coefficients rows.
+
+    Coefficients of one voxel are added up first.  Vertices with equal rows of the basis are one class: each voxel
+    is multiplied with each class once, inside a row, and the amplitudes are joined to the vertices of the class.
+    """
+    spark = coefficients.sparkSession
+    few = lambda df, most: F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    in_order = lambda v: F.transform(F.sort_array(F.collect_list(F.struct("idx", v))), lambda t: t[v])
     terms = coefficients.join(mask, list(INDEX), "left_semi").select(*INDEX, F.posexplode("coeffs").alias("idx", "c"))
-    return terms.join(few, "idx").groupBy(*INDEX, "vertex").agg(F.sum(F.col("c") * F.col("b")).alias("amplitude"))
+    voxels = terms.groupBy(*INDEX, "idx").agg(F.sum("c").alias("c")).groupBy(*INDEX).agg(in_order("c").alias("cs"))
+    voxels = voxels.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # few rows here, but many after the join
+    by_idx = basis.where("idx >= 0").groupBy("vertex", "idx").agg(F.sum("b").alias("b")).groupBy("vertex").agg(F.map_from_entries(F.collect_list(F.struct("idx", "b"))).alias("b"))
+    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("b"))), lambda k: F.try_element_at("b", k))
+    vertices = materialise(by_idx.select("vertex", F.array_min(F.map_keys("b")).alias("first"), dense.alias("bs")), "vertices")
+    kinds = vertices.groupBy("first", "bs").agg(F.min("vertex").alias("__class"))
+    members = few(vertices.join(kinds, ["first", "bs"]).select("vertex", "__class"), BROADCAST_BASIS)
+    products = F.filter(F.zip_with("cs", "bs", lambda c, b: c * b), lambda v: v.isNotNull())
+    each = voxels.crossJoin(few(kinds, BROADCAST_CLASSES)).where(F.col("first") < F.size("cs")).select(*INDEX, "__class", products.alias("products"))
+    amplitude = F.when(F.size("products") > 0, F.aggregate("products", F.lit(0.0), lambda x, v: x + v))
+    return each.select(*INDEX, "__class", amplitude.alias("amplitude")).join(members, "__class").select(*INDEX, "vertex", "amplitude")
 
 
 def top_regions(histogram: DataFrame, connected: DataFrame, *, most: int = 20, least_voxels: int = 50) -> DataFrame:
