@@ -209,3 +209,17 @@ def test_amplitudes_of_equal_vertices_are_taken_once(spark):
     assert got == expected
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" in plan  # classes times voxels, not a grouping of all terms of all vertices
+
+
+def test_lines_of_a_full_cell_are_copied_a_few_times(spark):
+    lines = spark.createDataFrame([(k, [0.0] * 6) for k in range(3_000)], "sid long, xyz array<double>").select(F.lit(0).alias("cell"), "*")
+    dealt = stats._dealt(lines)
+    assert dealt.count() <= (stats.BLOCKS + 1) * 3_000
+    assert dealt.where("p > q").isEmpty() and dealt.select("p", "q").distinct().count() == stats.BLOCKS * (stats.BLOCKS + 1) // 2
+
+
+def test_sums_of_distances_keep_their_digits():
+    lines = _bundles(60, 3, 40.0)
+    lines[7], lines[9], lines[11] = lines[8], lines[8, ::-1], lines[8] + 1e-7
+    assert np.allclose(stats._sums(lines, lines[5:40], 16), _mdf(lines)[:, 5:40].sum(axis=0), rtol=1e-12, atol=1e-9)
+    assert (stats._at_least(*(stats._means(lines)[0],) * 2, stats._means(lines)[1]) <= _mdf(lines)).all()
