@@ -223,3 +223,13 @@ def test_sums_of_distances_keep_their_digits():
     lines[7], lines[9], lines[11] = lines[8], lines[8, ::-1], lines[8] + 1e-7
     assert np.allclose(stats._sums(lines, lines[5:40], 16), _mdf(lines)[:, 5:40].sum(axis=0), rtol=1e-12, atol=1e-9)
     assert (stats._at_least(*(stats._means(lines)[0],) * 2, stats._means(lines)[1]) <= _mdf(lines)).all()
+
+
+def test_equal_boxes_are_joined_once_without_a_shuffle_of_lines(spark):
+    lines = spark.createDataFrame([(k, *[float(k)] * 3, *[k + 2.5] * 3) for k in range(50)], LINE_BOX)
+    boxes = [(n, *[float(n % 3)] * 3, *[n % 3 + 1.0] * 3) for n in range(300)]
+    joined = spatial.range_join(lines, spark.createDataFrame([*boxes, (300, None, *[0.0] * 5)], BOX))
+    got = [(r.roi_id, r.sid) for r in joined.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(n, k) for n in range(300) for k in range(50) if k <= n % 3 + 1 and k + 2.5 >= n % 3}
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
