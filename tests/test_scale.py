@@ -233,3 +233,28 @@ def test_equal_boxes_are_joined_once_without_a_shuffle_of_lines(spark):
     assert len(got) == len(set(got)) and set(got) == {(n, k) for n in range(300) for k in range(50) if k <= n % 3 + 1 and k + 2.5 >= n % 3}
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_strokes_stream_through_a_task(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    rng = random.Random(5)
+    rows = [(s, p, *[rng.uniform(-2, 26) for _ in "xyz"]) for s in range(6) for p in range(1 + 4 * s)]
+    rows += [(None, 0, 1.0, 1.0, 1.0), (None, 1, 3.5, 1.0, 1.0), (9, 0, 2.5, 2.5, 3.5), (10, 0, 1.0, None, 1.0), (10, 1, 1.0, 1.0, 1.0), (11, 0, 4.0, 4.0, 4.0), (11, 1, 4.0, 4.0, 4.0), (12, 0, 0.0, 0.0, 0.0), (12, 1, 1e6, 0.0, 0.0)]
+    try:
+        out = raster.rasterise_strokes(spark.createDataFrame(rows, "sid long, pid int, x double, y double, z double"), (25, 25, 25))
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {(9, 2, 2, 4), *[(None, x, 1, 1) for x in (1, 2, 3, 4)]}
+    for s in range(6):
+        line = [r[2:] for r in rows if r[0] == s]
+        for p, q in itertools.pairwise(line):
+            n = math.ceil(math.sqrt(sum((b - a) * (b - a) for a, b in zip(p, q, strict=True))) * 10)
+            for k in range(n + 1):
+                voxel = [round(b if k == n else a + k * ((b - a) / n)) for a, b in zip(p, q, strict=True)]
+                expected |= {(s, *voxel)} if all(0 <= c <= 24 for c in voxel) else set()
+        if len(line) == 1 and all(0 <= round(c) <= 24 for c in line[0]):
+            expected.add((s, *[round(c) for c in line[0]]))
+    assert len(got) == len(set(got)) and set(got) == expected
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan  # no task gathers a line or its voxels

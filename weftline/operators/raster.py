@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.affine import AXES, INDEX, Affine, inverse, transformed
 
 LEAST_RADIUS, MOST_STEPS, SLAB = 0.5, 100_000, 0.5
 FLAT = {"axial": 2, "coronal": 1, "sagittal": 0}
 PALETTE_SIZE = 10
+#: Samples of strokes that a task holds at a time.
+SAMPLES = 262_144
 
 
 def _grid(df: DataFrame, low: Sequence[Column], high: Sequence[Column], dims: Sequence[int]) -> DataFrame:
@@ -65,19 +72,68 @@ def rasterise_boxes(boxes: DataFrame, dims: Sequence[int], view: str) -> DataFra
     return _grid(boxes, list(low.values()), list(high.values()), dims).select("roi_id", *INDEX)
 
 
+def _stroke_voxels(sid: np.ndarray, xyz: np.ndarray, alone: np.ndarray, dims: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Different (line number, voxel number) along the segments between neighbouring rows of one line and at rows that are ``alone``."""
+    same = sid[1:] == sid[:-1]
+    p, q, line = xyz[:-1][same], xyz[1:][same], sid[:-1][same]
+    with np.errstate(invalid="ignore", over="ignore"):
+        d = q - p
+        n = np.ceil(np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) * 10)
+        good = (n > 0) & (n <= MOST_STEPS)
+    p, q, d, line, n = (np.concatenate([v[good], w]) for v, w in ((p, xyz[alone]), (q, xyz[alone]), (d, 0 * xyz[alone]), (line, sid[alone]), (n, np.zeros(alone.sum()))))
+    n, codes = n.astype(np.int64), []
+    ends = np.cumsum(n + 1)
+    begin = 0
+    while begin < len(n):  # SAMPLES at a time, one segment at least
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SAMPLES, side="right")))
+        steps = n[begin:stop]
+        row = np.repeat(np.arange(begin, stop), steps + 1)
+        s = np.arange(len(row)) - np.repeat(np.cumsum(steps + 1) - steps - 1, steps + 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            at = np.rint(np.where((s == n[row])[:, None], q[row], p[row] + s[:, None] * (d / np.maximum(n, 1)[:, None])[row]))
+            inside = ((at >= 0) & (at <= np.array(dims) - 1)).all(axis=1)
+        i, j, k = at[inside].astype(np.int64).T
+        codes.append(np.unique(line[row[inside]] * np.int64(math.prod(dims)) + (i * dims[1] + j) * dims[2] + k))
+        begin = stop
+    return np.divmod(np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64), math.prod(dims))
+
+
 def rasterise_strokes(strokes: DataFrame, dims: Sequence[int]) -> DataFrame:
     """(sid, i, j, k) along each polyline (sid, pid, x, y, z in voxels): ten samples a voxel, rounded half to even.
 
-    Segments of more than MOST_STEPS samples are left out, as are those of no length.
+    Segments of more than MOST_STEPS samples are left out, as are those of no length.  A line's rows
+    come in order, as a stream: a task holds the samples of some segments, and which voxels its current line has.
     """
-    along = Window.partitionBy("sid").orderBy("pid")
-    rows = strokes.withColumns({f"{a}2": F.lead(a).over(along) for a in AXES} | {"alone": F.count("*").over(Window.partitionBy("sid")) == 1})
-    length = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"{a}2") - F.col(a)) * (F.col(f"{a}2") - F.col(a)) for a in AXES]))
-    steps = rows.withColumn("n", F.when(F.col("alone"), 0).otherwise(F.ceil(length * 10).cast("int")))
-    steps = steps.where((F.col("alone")) | ((F.col("n") > 0) & (F.col("n") <= MOST_STEPS))).withColumn("s", F.explode(F.sequence(F.lit(0), "n")))
-    at = [F.when(F.col("s") == F.col("n"), F.coalesce(f"{a}2", a)).otherwise(F.col(a) + F.col("s") * ((F.col(f"{a}2") - F.col(a)) / F.col("n"))) for a in AXES]
-    index = steps.select("sid", *[F.rint(c).cast("int").alias(v) for c, v in zip(at, INDEX, strict=True)])
-    return index.where(reduce(lambda a, b: a & b, [F.col(c).between(0, n - 1) for c, n in zip(INDEX, dims, strict=True)])).distinct()
+    kind = strokes.schema["sid"].dataType
+    schema = T.StructType([T.StructField("sid", kind), *[T.StructField(c, T.IntegerType()) for c in INDEX]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.RecordBatch | None = None  # the last row: what follows may be of its line
+        first, seen = True, np.zeros(math.prod(dims), bool)  # whether the kept row begins its line, and the voxels of that line
+        for batch in itertools.chain(batches, [None]):
+            last = batch is None
+            if last and kept is None or not last and not batch.num_rows:
+                continue
+            rows = kept if last else batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+            sids = rows.column("sid").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            line = np.concatenate([[0], np.cumsum(sids[1:] != sids[:-1])])
+            xyz = np.stack([pc.fill_null(rows.column(a), math.nan).to_numpy() for a in AXES], axis=1).astype(float).reshape(-1, 3)
+            begins = np.concatenate([[first], line[1:] != line[:-1]])
+            ends = np.concatenate([line[1:] != line[:-1], [last]])
+            number, code = _stroke_voxels(line, xyz, begins & ends, dims)
+            fresh = (number > 0) | ~seen[code]
+            number, code = number[fresh], code[fresh]
+            if line[-1] > 0:
+                seen[:] = False
+            seen[code[number == line[-1]]] = True
+            first, kept = bool(begins[-1]), rows.slice(rows.num_rows - 1)
+            where = np.searchsorted(line, number)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("sid").take(pa.array(where)), *[pa.array(v.astype(np.int32)) for v in (code // (dims[1] * dims[2]), code // dims[2] % dims[1], code % dims[2])]], ["sid", *INDEX]
+            )
+
+    rows = strokes.select("sid", "pid", *[F.col(a).cast("double").alias(a) for a in AXES])
+    return rows.repartition("sid").sortWithinPartitions("sid", "pid").select("sid", *AXES).mapInArrow(run, schema)
 
 
 def expand_brush(voxels: DataFrame, dims: Sequence[int], view: str, size: int) -> DataFrame:
