@@ -258,3 +258,29 @@ def test_strokes_stream_through_a_task(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == expected
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan  # no task gathers a line or its voxels
+
+
+def test_edits_of_a_batch_touch_an_entry_of_the_state_once():
+    class Counted(dict):
+        calls = 0
+
+        def __getattr__(self, name):
+            Counted.calls += 1
+            return {"containsKey": self.__contains__, "getValue": self.__getitem__, "updateValue": self.__setitem__, "removeKey": self.pop}[name]
+
+        def keys(self):
+            Counted.calls += 1
+            return iter(list(dict.keys(self)))
+
+    state = Counted({(7,): (True,), (8,): (True,)})
+    held = jobs._Held(state, False)
+    for _ in range(50):
+        held.updateValue((1,), (True,))
+        held.removeKey((7,))
+        assert held.containsKey((8,)) and not held.containsKey((7,))
+    assert sorted(held.keys()) == [(1,), (8,)]
+    held.write(False)
+    assert dict(state.items()) == {(1,): (True,), (8,): (True,)} and Counted.calls <= 6
+    held.clear()
+    held.updateValue((3,), (True,))
+    assert list(held.keys()) == [(3,)]

@@ -77,13 +77,58 @@ CHANGES = "session long, step long, kind string, flag boolean, sid long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class _Held:
+    """A map state of which a call reads each entry once, and writes in the end what changed."""
+
+    def __init__(self, state, empty: bool):
+        self.state, self.whole, self.emptied = state, empty, False
+        self.known: dict[tuple, tuple | None] = {}
+        self.changed: set[tuple] = set()
+
+    def getValue(self, key: tuple) -> tuple | None:
+        if key not in self.known and not self.whole:
+            self.known[key] = self.state.getValue(key) if self.state.containsKey(key) else None
+        return self.known.get(key)
+
+    def containsKey(self, key: tuple) -> bool:
+        return self.getValue(key) is not None
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.known[key] = value
+        self.changed.add(key)
+
+    def removeKey(self, key: tuple) -> None:
+        self.known[key] = None
+        self.changed.add(key)
+
+    def keys(self) -> Iterator[tuple]:
+        """Of a map of ids to true."""
+        if not self.whole:
+            self.known = {tuple(k): (True,) for k in self.state.keys()} | self.known
+            self.whole = True
+        return iter([k for k, v in self.known.items() if v is not None])
+
+    def clear(self) -> None:
+        self.known, self.changed, self.whole, self.emptied = {}, set(), True, True
+
+    def write(self, new: bool) -> None:
+        if self.emptied and not new:
+            self.state.clear()
+        for key in sorted(self.changed):
+            if self.known[key] is not None:
+                self.state.updateValue(key, self.known[key])
+            elif not new and not self.emptied and self.state.containsKey(key):
+                self.state.removeKey(key)
+
+
 class EditProcessor(StatefulProcessor):
     """Undo and redo of one session in map and value states.
 
     ``selected`` and ``deleted`` map ids to true, beside a flag that turns the set round ("all but"); each
     deletion on the undo or redo stack is a map entry (its number, its ids), and ``head`` keeps the flags, the
     last seq and the numbers on the two stacks (20 at most).  So an edit reads and writes the entries of the ids that it
-    names, and adding or removing an id writes one entry and ``head``, however many ids the session holds.
+    names, and adding or removing an id writes one entry and ``head``, however many ids the session holds; the edits of one
+    micro-batch read an entry once and write it once.
 
     Rows come out for what changed: (step, kind, flag, sid) with kind "turned" (flag: whether the deletions are now all but the
     ids listed), "deleted" (flag: whether sid is listed now), and the errors "gap" and "late" (sid: the seq that came, step: where).
@@ -96,10 +141,8 @@ class EditProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         head = "seq long, step long, turned boolean, inverted boolean, keeper boolean, next long, undo array<long>, redo array<long>"
         self.head = handle.getValueState("head", head)
-        self.selected = handle.getMapState("selected", "sid long", "listed boolean")
-        self.kept = handle.getMapState("kept", "sid long", "listed boolean")
-        self.deleted = handle.getMapState("deleted", "sid long", "listed boolean")
-        self.stack = handle.getMapState("stack", "number long", "flag boolean, ids array<long>")
+        ids = {name: handle.getMapState(name, "sid long", "listed boolean") for name in ("selected", "kept", "deleted")}
+        self.states = ids | {"stack": handle.getMapState("stack", "number long", "flag boolean, ids array<long>")}
 
     @staticmethod
     def _ids(state) -> set[int]:
@@ -114,7 +157,10 @@ class EditProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         log = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        seq, step, turned, inverted, keeper, number, undo, redo = self.head.get() if self.head.exists() else (None, 0, False, False, None, 0, [], [])
+        new = not self.head.exists()
+        seq, step, turned, inverted, keeper, number, undo, redo = (None, 0, False, False, None, 0, [], []) if new else self.head.get()
+        held = {name: _Held(state, new) for name, state in self.states.items()}
+        self.selected, self.kept, self.deleted, self.stack = (held[name] for name in ("selected", "kept", "deleted", "stack"))
         undo, redo, out = list(undo), list(redo), []
         self.turned = turned
         for op, sid, at in zip(log.op, log.sid, log.seq, strict=True):
@@ -152,6 +198,8 @@ class EditProcessor(StatefulProcessor):
                 last = redo.pop()
                 undo = self._pushed(undo, last)
                 self._change(self._item(last), union, step, out)
+        for entries in held.values():
+            entries.write(new)
         self.head.update((seq, step, self.turned, inverted, keeper, number, undo, redo))
         yield pd.DataFrame(
             {"session": pd.Series([key[0]] * len(out), dtype="int64"), "step": pd.Series([o[0] for o in out], dtype="int64"), "kind": pd.Series([o[1] for o in out], dtype="object"), "flag": pd.Series([o[2] for o in out], dtype="boolean"), "sid": pd.Series([o[3] for o in out], dtype="Int64")}
