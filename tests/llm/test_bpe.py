@@ -98,3 +98,10 @@ def test_every_merge_by_rank(spark):
     words = [list(w) for w in (b"", b"a", b"ab", b"abcab", b"cabc")]
     got = spark.createDataFrame([(words,)], "w array<array<long>>").select(B.fold_words(F.col("w"), literal).alias("w")).first().w
     assert got == [[], [97], [256], [257, 256], [99, 257]]
+
+
+def test_fold_computes_a_key_once_and_takes_no_slices(spark):
+    literal = B.rank_literal({bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257})
+    words = spark.createDataFrame([([[97, 98]],)], "w array<array<long>>").select(B.fold_words(F.col("w"), literal).alias("w"))
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and plan.count(" % ") <= 4
