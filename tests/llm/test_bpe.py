@@ -105,3 +105,11 @@ def test_fold_computes_a_key_once_and_takes_no_slices(spark):
     words = spark.createDataFrame([([[97, 98]],)], "w array<array<long>>").select(B.fold_words(F.col("w"), literal).alias("w"))
     plan = words._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" not in plan and plan.count(" % ") <= 4
+
+
+def test_no_shuffle_beside_the_ranks(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Hello there, hello there")], "doc_id long, text string").repartition(3)
+    plans, collect = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1])
+    assert B.digests(df, PATH, P.PATTERN).count() == 1
+    assert len(plans) == 1 and "MapInArrow" in plans[0] and "Exchange" not in plans[0]

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, let, replaced
+from .common import blocks, let, materialise, replaced
 
 #: Ids are below 2 ** BITS; the rank of a pair that doesn't merge; the id beside a word's ends.
 BITS, NONE, END = 17, 1 << 17, (1 << 17) - 1
@@ -444,9 +444,11 @@ def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int],
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), byte_lists(batch.column(0).to_pylist(), single)], ["word", "pieces"])
 
-    pieces = top.select("word").repartition(F.xxhash64("word")).mapInArrow(split, "word binary, pieces array<long>")
+    # written first, so that the plan with the ranks has no shuffle: each new plan of an adaptive query is a text of all ranks on the driver
+    chosen = materialise(top.select("word").repartition(df.sparkSession.sparkContext.defaultParallelism, "word"))
+    pieces = chosen.mapInArrow(split, "word binary, pieces array<long>")
     found = pieces.select("word", F.get(fold_words(F.array("pieces"), literal), 0).alias("ids")).toArrow()
-    del counts, top, pieces
+    del counts, top, chosen, pieces
     # a word that is a token has its rank alone, which its fold gives too
     words = found.column("word").combine_chunks().cast(pa.binary())
     lists = found.column("ids").combine_chunks()
