@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -113,3 +114,34 @@ def test_no_shuffle_beside_the_ranks(spark, monkeypatch):
     monkeypatch.setattr(type(df), "toArrow", lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1])
     assert B.digests(df, PATH, P.PATTERN).count() == 1
     assert len(plans) == 1 and "MapInArrow" in plans[0] and "Exchange" not in plans[0]
+
+
+def test_only_odd_parts_meet_the_pattern_in_python():
+    known = B._Known(B._Known.packed(pa.array([b" the", b"."], pa.binary()), np.array([7, 8, 9], "<u2"), np.array([2, 1])))
+    cutter, seen = B._Cutter(P.PATTERN, known), []
+    find, cutter.find = cutter.find, lambda unit: (seen.append(unit), find(unit))[1]
+    texts = pa.array(["a the cat, naïve. the. x×y it's", None, "the the!"])
+    cut = B.cut_block(cutter, texts, B.irregular_texts(texts), "<u2")
+    assert sorted(seen) == ["", " ", " it's", " x×y", "a", "the"]
+    words = list(cutter.rest)
+    for text, ids, at, which in zip(texts.to_pylist(), *cut, strict=True):
+        some = [(i // 2, words[k]) for i, k in zip(np.frombuffer(at, "<i4").tolist(), np.frombuffer(which, "<i4").tolist(), strict=True)]
+        ids, got = np.frombuffer(ids, "<u2").tolist(), []
+        for w in find(text or ""):
+            if w == " the" or w == ".":
+                n = 2 if w == " the" else 1
+                assert ids[len(got) : len(got) + n] == ([7, 8] if n == 2 else [9])
+                got += [0] * n
+            else:
+                assert some.pop(0) == (len(got), w.encode())
+        assert len(got) == len(ids) and not some
+
+
+def test_ids_are_put_in_place_for_many_rows_at_once():
+    new = B._New.of(pa.array([[5], [], [6, 7]], pa.list_(pa.int64())), [b"long"], {b"long": 9, **{bytes([b]): 0 for b in range(256)}} | {b"lo": 1, b"ng": 2}, "<u2")
+    packed = lambda rows, kind: pa.array([np.array(r, kind).tobytes() for r in rows], pa.binary())
+    ids = packed([[99], [1, 2], [], [3], []], "<u2")[1:]
+    at, which = packed([[0], [0, 2, 4], [0, 0], [], []], "<i4")[1:], packed([[0], [2, 0, 1], [0, 2], [], []], "<i4")[1:]
+    got, stops = B.put_in(ids, at, which, new, "<u2")
+    rows = [got[a:b].tolist() for a, b in zip(stops[:-1], stops[1:], strict=True)]
+    assert rows == [[6, 7, 1, 5, 2, 9], [5, 6, 7], [3], []]

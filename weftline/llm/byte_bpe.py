@@ -37,7 +37,6 @@ import base64
 import heapq
 import json
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import accumulate, chain
 from typing import NamedTuple
@@ -60,6 +59,11 @@ BITS, NONE, END = 17, 1 << 17, (1 << 17) - 1
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Texts in which a run of white space may hold a word of several separators.
 IRREGULAR = f"[{WHITE}]{{3}}|[{WHITE}]{{2}}$"
+#: Parts that stand for one word of letters, with the space before it, and at most one sign that is a word by itself.
+MARKS = ".,;:!?"
+SIMPLE = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]?$"
+#: Bytes of packed ids that are put in place at once.
+PLACED = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -221,6 +225,7 @@ class _Known:
         self.hashes, self.order = memoryview(hashes).cast("Q"), np.frombuffer(hashes, np.uint64)
         self.stops, self.words = memoryview(stops).cast("I"), words
         self.id_stops, self.ids = memoryview(id_stops).cast("I"), ids
+        self.table = pa.Array.from_buffers(pa.binary(), len(self.hashes), [None, pa.py_buffer(stops), pa.py_buffer(words)])
 
     @staticmethod
     def packed(words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, ...]:
@@ -235,100 +240,53 @@ class _Known:
         flat = ids[np.repeat(begins - (ends - sizes), sizes) + np.arange(sizes.sum())]
         return hashes[order].tobytes(), stops.astype(np.uint32).tobytes(), text, (np.concatenate(([0], ends)) * ids.itemsize).astype(np.uint32).tobytes(), flat.tobytes()
 
-    def get_all(self, words: list[bytes]) -> list[bytes | None]:
-        """As ``get`` for many words at once."""
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        places = np.minimum(np.searchsorted(self.order, hashes), max(0, len(self.order) - 1))
-        there = (self.order[places] == hashes).tolist() if len(self.order) else [False] * len(words)
-        stops, text, id_stops, ids = self.stops, self.words, self.id_stops, self.ids
-        out: list[bytes | None] = [None] * len(words)
-        for k, (i, hit) in enumerate(zip(places.tolist(), there, strict=True)):
-            if hit:
-                out[k] = ids[id_stops[i] : id_stops[i + 1]] if text[stops[i] : stops[i + 1]] == words[k] else self.get(words[k])
-        return out
-
-    def get(self, word: bytes) -> bytes | None:
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of ``words`` (binary) stands among the known ones; -1 for unknown ones."""
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words))
+        if not len(self.order) or not len(words):
+            return np.full(len(words), -1)
+        places = np.minimum(np.searchsorted(self.order, hashes), len(self.order) - 1)
+        same = pc.equal(self.table.take(pa.array(places)), words).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(~same & (self.order[places] == hashes)).tolist():  # different words of one hash
+            places[k] = self.place(words[k].as_py())
+            same[k] = places[k] >= 0
+        return np.where(same, places, -1)
+
+    def place(self, word: bytes) -> int:
+        """As ``places`` for one word."""
         h = xxhash.xxh3_64_intdigest(word)
         i = bisect_left(self.hashes, h)
         while i < len(self.hashes) and self.hashes[i] == h:
             if self.words[self.stops[i] : self.stops[i + 1]] == word:
-                return self.ids[self.id_stops[i] : self.id_stops[i + 1]]
+                return i
             i += 1
-        return None
+        return -1
+
+    def get(self, word: bytes) -> bytes | None:
+        i = self.place(word)
+        return self.ids[self.id_stops[i] : self.id_stops[i + 1]] if i >= 0 else None
 
 
 class _Cutter:
     """Cuts texts into words and resolves those whose ids are known."""
 
-    def __init__(self, pattern: str, known: _Known, memo_size: int = 150_000):
-        self.find, self.plain = regex.compile(pattern).findall, pattern == PATTERN
-        self.known, self.memo, self.memo_size = known, {}, memo_size
+    def __init__(self, pattern: str, known: _Known | None):
+        self.find, self.plain, self.known = regex.compile(pattern).findall, pattern == PATTERN, known
         self.start()
 
     def start(self) -> None:
         """A new block: no unknown words so far."""
         self.rest: dict[bytes, int] = {}
-        self.partial: dict[str, tuple[bytes, list[tuple[int, int]]]] = {}
-
-    def units(self, parts: list[str]) -> list[tuple[bytes, Sequence[tuple[int, int]]]]:
-        """As ``unit`` for distinct ``parts`` behind the first of a text, looked up together; those of known words alone are remembered."""
-        out: list[tuple[bytes, Sequence[tuple[int, int]]]] = [(x, ()) for x in map(self.memo.get, parts)]
-        new = [k for k, (x, _) in enumerate(out) if x is None]
-        words = [[w.encode("utf-8", "surrogatepass") for w in self.find(parts[k] if parts[k][:1] == "\n" else " " + parts[k])] for k in new]
-        known = iter(self.known.get_all([w for some in words for w in some]))
-        for k, some in zip(new, words, strict=True):
-            found = out[k] = self._placed(some, [next(known) for _ in some])
-            if not found[1] and len(self.memo) < self.memo_size and len(parts[k]) <= 64:
-                self.memo[parts[k]] = found[0]
-        return out
-
-    def unit(self, unit: str) -> tuple[bytes, list[tuple[int, int]]]:
-        """Packed ids of the known words of ``unit``, and where (in bytes) which unknown words go."""
-        words = [w.encode("utf-8", "surrogatepass") for w in self.find(unit)]
-        return self._placed(words, list(map(self.known.get, words)))
-
-    def _placed(self, words: list[bytes], ids: list[bytes | None]) -> tuple[bytes, list[tuple[int, int]]]:
-        gaps, size = [], 0
-        if None in ids:
-            for w, x in zip(words, ids, strict=True):
-                if x is None:
-                    gaps.append((size, self.rest.setdefault(w, len(self.rest))))
-                else:
-                    size += len(x)
-            ids = filter(None, ids)
-        return b"".join(ids), gaps
-
-    def __call__(self, text: str, irregular: bool) -> tuple[bytes, list[int], list[int]]:
-        if not text:
-            return b"", [], []
+
+    def words(self, unit: str) -> list[bytes]:
+        return [w.encode("utf-8", "surrogatepass") for w in self.find(unit)]
+
+    def text_words(self, text: str, irregular: bool) -> list[bytes]:
+        """The words of a text that isn't cut by Arrow."""
         if not self.plain:
-            got, gaps = self.unit(text)
-            return got, [at for at, _ in gaps], [w for _, w in gaps]
-        memo, parts = self.memo, parts_of(text, irregular)
-        got = list(map(memo.get, parts))
-        got[0], gaps = self.unit(parts[0])
-        found = [(0, gaps)] if gaps else []
-        if None in got:
-            i, partial = 0, self.partial
-            try:
-                while True:
-                    i = got.index(None, i + 1)
-                    part = parts[i]
-                    if (known := partial.get(part)) is None:
-                        known = self.unit(part if part[:1] == "\n" else " " + part)
-                        if known[1]:
-                            partial[part] = known
-                        elif len(memo) < self.memo_size and len(part) <= 64:
-                            memo[part] = known[0]
-                    got[i] = known[0]
-                    if known[1]:
-                        found.append((i, known[1]))
-            except ValueError:
-                pass
-        if not found:
-            return b"".join(got), [], []
-        starts = list(accumulate(map(len, got), initial=0))
-        return b"".join(got), [starts[i] + at for i, gaps in found for at, _ in gaps], [w for _, gaps in found for _, w in gaps]
+            return self.words(text)
+        first, *others = parts_of(text, irregular)
+        return self.words(first) + [w for part in others for w in self.words(part if part[:1] == "\n" else " " + part)]
 
 
 class _Cut(NamedTuple):
@@ -339,40 +297,94 @@ class _Cut(NamedTuple):
     which: list[bytes]
 
 
-def cut_block(cutter: _Cutter, texts: pa.Array, irregular: list[bool], dtype: str) -> _Cut:
-    """Cuts the texts of a block.  Regular texts are cut by Arrow, so that each distinct part is looked up once; other ones one by one."""
-    out = _Cut([b""] * len(texts), [b""] * len(texts), [b""] * len(texts))
-    single = [k for k in range(len(texts)) if irregular[k] or not cutter.plain]
-    for k in single:
-        ids, at, which = cutter(texts[k].as_py(), irregular[k])
-        out.ids[k], out.at[k], out.which[k] = ids, np.array(at, "<i4").tobytes(), np.array(which, "<i4").tobytes()
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each run of ``counts`` numbers from ``starts`` on, one behind the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _part_words(cutter: _Cutter, names: pa.Array, firsts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of parts behind the first of a text (``names``) and of the ``firsts``: the words, the number of each part's words, and which they are.
+
+    Letters with at most one mark behind them, which most parts are, are cut by Arrow; others by the pattern.
+    """
+    simple = pc.match_substring_regex(names, SIMPLE).to_numpy(zero_copy_only=False)
+    plain = names.filter(pa.array(simple))
+    stems = pc.utf8_rtrim(plain, MARKS)
+    marked = (pc.binary_length(plain).to_numpy() - pc.binary_length(stems).to_numpy()).astype(bool)
+    marks = pc.utf8_slice_codeunits(plain.filter(pa.array(marked)), -1)
+    others = [cutter.words(x if x[:1] == "\n" else " " + x) for x in names.filter(pa.array(~simple)).to_numpy(zero_copy_only=False)]
+    others += map(cutter.words, firsts)
+    parts = [pc.binary_join_element_wise("", stems, " ").cast(pa.binary()), marks.cast(pa.binary()), pa.array(list(chain.from_iterable(others)), pa.binary())]
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    number = coded.indices.to_numpy()
+    stem, mark, other = np.split(number, np.cumsum([len(x) for x in parts[:2]]))
+    counts = np.ones(len(names) + len(firsts), np.int64)
+    at_simple, at_other = np.flatnonzero(simple), np.concatenate((np.flatnonzero(~simple), np.arange(len(names), len(counts))))
+    counts[at_simple] += marked
+    counts[at_other] = np.fromiter(map(len, others), np.int64, len(others))
+    starts = np.cumsum(counts) - counts
+    which = np.empty(counts.sum(), np.int64)
+    which[starts[at_simple]] = stem
+    which[starts[at_simple[marked]] + 1] = mark
+    which[_runs(starts[at_other], counts[at_other])] = other
+    return coded.dictionary, counts, which
+
+
+class _Words(NamedTuple):
+    """The words of a block: the different ones, which of them stand one behind the other, where each text's begin and end, and the texts' order."""
+
+    names: pa.Array
+    word: np.ndarray
+    stops: np.ndarray
+    order: list[int]
+
+
+def block_words(cutter: _Cutter, texts: pa.Array, irregular: list[bool]) -> _Words:
+    """The words of a block's texts.  Regular texts are cut by Arrow, so that each distinct part is looked at once; other ones, which come last, one by one."""
+    single = np.flatnonzero(irregular) if cutter.plain else np.arange(len(texts))
     regular = np.setdiff1d(np.arange(len(texts)), single)
-    if not len(regular):
-        return out
     lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.take(pa.array(regular)), ""), "\n", " \n"), " ")
     stops = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
     parts = lists.flatten().dictionary_encode()
-    names, index = parts.dictionary.to_pylist(), parts.indices.to_numpy().astype(np.int64)
-    found = cutter.units(names)
-    # the first part of a text is as it stands there, so it is looked up by itself
-    found += [cutter.unit(names[k]) for k in index[stops[:-1]].tolist()]
+    index, names = parts.indices.to_numpy().astype(np.int64), parts.dictionary
+    # the first part of a text is as it stands there, so it is cut by itself
+    words, counts, which = _part_words(cutter, names, names.take(pa.array(index[stops[:-1]])).to_pylist())
     index[stops[:-1]] = len(names) + np.arange(len(regular))
-    width = np.dtype(dtype).itemsize
-    pool = np.frombuffer(b"".join([f[0] for f in found]), dtype)
-    sizes, gaps = np.fromiter((len(f[0]) for f in found), np.int64, len(found)) // width, np.fromiter((len(f[1]) for f in found), np.int64, len(found))
-    pairs = np.array([g for f in found for g in f[1]], np.int64).reshape(-1, 2)
-    counts, holes = sizes[index], gaps[index]
-    ends, hole_ends = np.cumsum(counts), np.cumsum(holes)
-    ids = pool[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - counts), counts) + np.arange(counts.sum())].tobytes()
-    pair = np.repeat((np.cumsum(gaps) - gaps)[index] - (hole_ends - holes), holes) + np.arange(holes.sum())
-    text_of = np.repeat(np.arange(len(regular)), np.diff(stops))
-    begin = np.concatenate(([0], ends))[stops]
-    at = (np.repeat((ends - counts) - begin[text_of], holes) * width + pairs[pair, 0]).astype("<i4").tobytes()
-    which = pairs[pair, 1].astype("<i4").tobytes()
-    hole_at = 4 * np.concatenate(([0], hole_ends))[stops]
-    for n, k in enumerate(regular.tolist()):
+    if len(single):
+        alone = [cutter.text_words(texts[k].as_py() or "", irregular[k]) for k in single.tolist()]
+        coded = pa.concat_arrays([words, pa.array(list(chain.from_iterable(alone)), pa.binary())]).dictionary_encode()
+        number = coded.indices.to_numpy()
+        words, which = coded.dictionary, np.concatenate((number[: len(words)][which], number[len(words) :]))
+        index = np.concatenate((index, len(counts) + np.arange(len(single))))
+        counts = np.concatenate((counts, np.fromiter(map(len, alone), np.int64, len(alone))))
+        stops = np.concatenate((stops, stops[-1] + 1 + np.arange(len(single))))
+    word = which[_runs((np.cumsum(counts) - counts)[index], counts[index])]
+    return _Words(words, word, np.concatenate(([0], np.cumsum(counts[index])))[stops], np.concatenate((regular, single)).tolist())
+
+
+def cut_block(cutter: _Cutter, texts: pa.Array, irregular: list[bool], dtype: str) -> _Cut:
+    """Cuts the texts of a block; each distinct word is looked up once."""
+    known, width = cutter.known, np.dtype(dtype).itemsize
+    names, word, word_stops, order = block_words(cutter, texts, irregular)
+    # of each distinct word: its ids among the known ones, or its number among the unknown ones
+    places = known.places(names)
+    new = np.flatnonzero(places < 0)
+    numbers = np.full(len(names), -1)
+    numbers[new] = [cutter.rest.setdefault(w, len(cutter.rest)) for w in names.take(pa.array(new)).to_numpy(zero_copy_only=False)]
+    id_stops = np.frombuffer(known.id_stops, np.uint32).astype(np.int64) // width
+    sizes = np.where(places < 0, 0, id_stops[places + 1] - id_stops[places])
+    starts = np.concatenate(([0], np.cumsum(sizes[word])))
+    begin = starts[word_stops]
+    ids = np.frombuffer(known.ids, dtype)[_runs(id_stops[places[word]], sizes[word])].tobytes()
+    holes = np.flatnonzero(numbers[word] >= 0)
+    hole_stops = np.searchsorted(holes, word_stops)
+    at = ((starts[holes] - np.repeat(begin[:-1], np.diff(hole_stops))) * width).astype("<i4").tobytes()
+    gaps = numbers[word[holes]].astype("<i4").tobytes()
+    out = _Cut([b""] * len(texts), [b""] * len(texts), [b""] * len(texts))
+    for n, k in enumerate(order):
         out.ids[k] = ids[begin[n] * width : begin[n + 1] * width]
-        out.at[k], out.which[k] = at[hole_at[n] : hole_at[n + 1]], which[hole_at[n] : hole_at[n + 1]]
+        out.at[k], out.which[k] = at[4 * hole_stops[n] : 4 * hole_stops[n + 1]], gaps[4 * hole_stops[n] : 4 * hole_stops[n + 1]]
     return out
 
 
@@ -382,11 +394,50 @@ def byte_lists(words: Sequence[bytes], single: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(single[np.frombuffer(b"".join(words), np.uint8)]))
 
 
-def packed_lists(ids: pa.Array, dtype: str) -> list[bytes]:
-    """Each list of ids as packed integers."""
-    values = ids.flatten().to_numpy(zero_copy_only=False).astype(dtype)
-    packed, stops = values.tobytes(), ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * values.itemsize).tolist()
-    return [packed[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+def _flat(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The packed integers of all rows, and where each row's begin and end."""
+    stops = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data[stops[0] : stops[-1]] if data else b"", dtype), (stops - stops[0]) // np.dtype(dtype).itemsize
+
+
+def _packed(values: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """Rows of bytes out of ``values``, which begin and end at ``stops`` of them."""
+    return pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer((stops * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+class _New(NamedTuple):
+    """Ids of a block's unknown words: all of them, and where each word's begin and end."""
+
+    ids: np.ndarray
+    stops: np.ndarray
+
+    @staticmethod
+    def of(lists: pa.Array, long_words: list[bytes], ranks: dict[bytes, int], dtype: str) -> _New:
+        """Of folded words; the ids of a long one, whose list is empty, are found here."""
+        ids, stops = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype), lists.offsets.to_numpy().astype(np.int64)
+        stops = stops - stops[0]
+        if not long_words:
+            return _New(ids, stops)
+        words, large = np.split(ids, stops[1:-1]), iter(long_words)
+        words = [x if len(x) else np.array(merge_long(next(large), ranks), dtype) for x in words]
+        return _New(np.concatenate(words), np.concatenate(([0], np.cumsum(list(map(len, words))))))
+
+
+def put_in(ids: pa.Array, at: pa.Array, which: pa.Array, new: _New, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of rows, with those of unknown words in place, and where each row's begin and end."""
+    known, stops = _flat(ids, dtype)
+    holes, hole_stops = _flat(at, "<i4")
+    words = _flat(which, "<i4")[0]
+    if not len(words):
+        return known.astype("<u4"), stops
+    holes = holes // np.dtype(dtype).itemsize + np.repeat(stops[:-1], np.diff(hole_stops))
+    counts = np.diff(new.stops)[words]
+    shift = np.concatenate(([0], np.cumsum(counts)))
+    out = np.empty(len(known) + shift[-1], "<u4")
+    out[np.arange(len(known)) + np.repeat(shift, np.diff(holes, prepend=0, append=len(known)))] = known
+    out[_runs(holes + shift[:-1], counts)] = new.ids[_runs(new.stops[words], counts)]
+    return out, stops + shift[hole_stops]
 
 
 class _Pieces:
@@ -401,36 +452,23 @@ class _Pieces:
         self.pool = np.frombuffer(b"".join(pieces), np.uint8)
 
     def __call__(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
-            return b""
+        return self.joined(ids, np.array([0, len(ids)]))[0].tobytes()
+
+    def joined(self, ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of rows of ids, and where each row's begin and end."""
         sizes = self.sizes[ids]
-        stops = np.cumsum(sizes)
-        return self.pool[np.repeat(self.starts[ids] - stops + sizes, sizes) + np.arange(stops[-1])].tobytes()
+        return self.pool[_runs(self.starts[ids], sizes)], np.concatenate(([0], np.cumsum(sizes)))[stops]
 
 
 def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int], literal: tuple[Column, int, int], cache_docs: int, cache_words: int, dtype: str) -> tuple[bytes, ...]:
     """Packed ids of all tokens and of the most frequent words of a bounded sample of documents, as ``_Known`` takes them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, plain = regex.compile(pattern).findall, pattern == PATTERN
-        seen: Counter[str] = Counter()
-
-        def words() -> pa.RecordBatch:
-            found: Counter[bytes] = Counter()
-            for part, n in seen.items():
-                for w in find(part) if len(part) <= 64 else ():
-                    found[w.encode("utf-8", "surrogatepass")] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
-
+        cutter = _Cutter(pattern, None)
         for batch in blocks(batches, 0, 1 << 20):
-            for text, irregular in zip(batch.column(0).to_pylist(), irregular_texts(batch.column(0)), strict=True):
-                first, *others = parts_of(text or "", irregular) if plain else find(text or "") or [""]
-                seen.update([first])
-                seen.update(part if part[:1] == "\n" or not plain else " " + part for part in others)
-            if len(seen) > 100_000:
-                yield words()
-        yield words()
+            names, word, _, _ = block_words(cutter, batch.column(0), irregular_texts(batch.column(0)))
+            found = pa.RecordBatch.from_arrays([names, pa.array(np.bincount(word, minlength=len(names)), pa.int64())], ["word", "n"])
+            yield found.filter(pc.less_equal(pc.binary_length(names), 64))
 
     texts = df.select(F.col(f"`{text_col}`").alias("text"))
     total = texts.count()
@@ -511,23 +549,18 @@ def encode(
         pa.default_memory_pool().release_unused()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join, new = _Pieces(all_ranks.value) if decoded_col else None, []
-        for batch in blocks(batches, n, block_chars):
-            coded, decoded = [], []
-            lists, long_words = batch.column(n + 3), batch.column(n + 4)
-            for i, (x, at, which) in enumerate(zip(*(batch.column(n + k).to_pylist() for k in range(3)), strict=True)):
-                if lists[i].is_valid:
-                    new, large = packed_lists(lists[i].values, dtype), iter(long_words[i].as_py())
-                    new = [ids or np.array(merge_long(next(large), all_ranks.value), dtype).tobytes() for ids in new]
-                if at:
-                    stops = np.frombuffer(at, "<i4").tolist()
-                    known = [x[a:b] for a, b in zip([0, *stops], [*stops, len(x)], strict=True)]
-                    x = b"".join(chain.from_iterable(zip(known, [*map(new.__getitem__, np.frombuffer(which, "<i4").tolist()), b""], strict=True)))
-                ids = np.frombuffer(x, dtype)
-                coded.append(ids.astype("<u4").tobytes())
-                if join:
-                    decoded.append(join(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, pa.binary()) for c in ([coded, decoded] if join else [coded]))], out_schema.names)
+        join, new = _Pieces(all_ranks.value) if decoded_col else None, None
+        for batch in blocks(batches, n, PLACED):
+            # from one row with the words of a block to the next
+            begins = np.flatnonzero(batch.column(n + 3).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            cuts = sorted({0, *begins, batch.num_rows})
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                some = batch.slice(a, b - a)
+                if a in begins:
+                    new = _New.of(some.column(n + 3)[0].values, some.column(n + 4)[0].as_py(), all_ranks.value, dtype)
+                ids, stops = put_in(*(some.column(n + k) for k in range(3)), new, dtype)
+                results = [_packed(ids, stops), *([_packed(*join.joined(ids, stops))] if join else [])]
+                yield pa.RecordBatch.from_arrays([*some.columns[:n], *results], out_schema.names)
         pa.default_memory_pool().release_unused()
 
     columns = [F.col(f"`{f.name}`") for f in kept]
