@@ -145,3 +145,8 @@ def test_ids_are_put_in_place_for_many_rows_at_once():
     got, stops = B.put_in(ids, at, which, new, "<u2")
     rows = [got[a:b].tolist() for a, b in zip(stops[:-1], stops[1:], strict=True)]
     assert rows == [[6, 7, 1, 5, 2, 9], [5, 6, 7], [3], []]
+
+
+def test_no_plan_holds_the_ranks(spark):
+    df = spark.createDataFrame([(1, "Hello there")], "doc_id long, text string")
+    assert len(B.digests(df, PATH, P.PATTERN)._jdf.queryExecution().toString()) < 200_000

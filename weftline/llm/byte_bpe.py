@@ -13,7 +13,8 @@ Plan of ``encode`` (no shuffle of texts):
    that are in the cache.  The distinct others of a block of documents (about
    ``block_chars`` characters) travel with its first row.
 3. A fold of ranked merges, written with Spark's higher-order functions over
-   arrays of bytes and a literal rank map, encodes the distinct words of a block.
+   arrays of bytes and a constant rank map, encodes the distinct words of a block.
+   The map travels with the words (2 MB a block), not in the plan.
 4. An Arrow pass puts the ids in place and joins the pieces of all ids.  Words
    over ``long_word`` bytes, for which the fold's time is quadratic, are merged
    there with a heap.
@@ -47,6 +48,7 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 from public_tokenizers import PATTERN
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,7 @@ MARKS = ".,;:!?"
 SIMPLE = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]?$"
 #: Bytes of packed ids that are put in place at once.
 PLACED = 1 << 18
+RANKS = "struct<d:array<bigint>,e:array<bigint>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -105,8 +108,8 @@ def check_ranks(ranks: dict[bytes, int]) -> None:
             raise ValueError(f"token {rank} doesn't arise by merges of rising rank")
 
 
-def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, int, int]:
-    """The ranks as one constant, a map from a pair of ids to the id of both, and the sizes of its two arrays.
+def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int | None]]:
+    """The ranks as a map from a pair of ids to the id of both, in two arrays, d and e.
 
     A pair's key is left * 2**BITS + right.  Keys fall into groups by key % size(d);
     ``e`` holds key * 2**BITS + rank in slot (key + d[group]) % size(e), where
@@ -134,12 +137,34 @@ def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, int, int]:
         shift[group] = at % n_slots
         for k in keys:
             entries[(k + at) % n_slots] = (k << BITS) + pairs[k]
-    literal = F.from_json(F.lit(json.dumps({"d": shift, "e": entries}, separators=(",", ":"))), "struct<d:array<bigint>,e:array<bigint>>")
-    return literal, n_groups, n_slots
+    return shift, entries
+
+
+def rank_literal(ranks: dict[bytes, int]) -> tuple[Column, int, int]:
+    """``rank_map`` as a literal, and the sizes of its arrays."""
+    shift, entries = rank_map(ranks)
+    literal = F.from_json(F.lit(json.dumps({"d": shift, "e": entries}, separators=(",", ":"))), RANKS)
+    return literal, len(shift), len(entries)
+
+
+class _Ranks:
+    """``rank_map`` for an Arrow pass, which sends it with each block of words.
+
+    As a literal it would be 3 MB of text in each plan, which the driver keeps for every query it has run.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        shift, entries = rank_map(ranks)
+        self.sizes = len(shift), len(entries)
+        self.d, self.e, self.empty = np.array(shift, np.int64), np.array([x or 0 for x in entries], np.int64), np.array([x is None for x in entries])
+
+    def row(self) -> pa.Array:
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.array(self.d), pa.array(self.e, mask=self.empty))]
+        return pa.StructArray.from_arrays(lists, ["d", "e"])
 
 
 def fold_words(words: Column, ranks: tuple[Column, int, int]) -> Column:
-    """Ids of each word of ``words`` by ranked merges.
+    """Ids of each word of ``words`` by ranked merges; ``ranks`` is what ``rank_literal`` returns, or a column of the same.
 
     A word is an array of the ids of its single bytes.  The fold's state is an
     array with one number for each two neighbours (the word's ends are END): the
@@ -149,15 +174,15 @@ def fold_words(words: Column, ranks: tuple[Column, int, int]) -> Column:
     key is a value of its own that is computed once, and ``filter`` by position
     stands for ``slice``, which takes several times as long on short arrays.
     """
-    literal, n_groups, n_slots = ranks
+    table, n_groups, n_slots = ranks
 
-    def encode(table: Column) -> Column:
+    def encode(d: Column, e: Column) -> Column:
         def key(left: Column, right: Column) -> Column:
             return F.shiftleft(left, BITS).bitwiseOR(right)
 
         def number(key: Column) -> Column:
-            slot = (F.get(table["d"], (key % n_groups).cast("int")) + key) % n_slots
-            rank = F.get(table["e"], slot.cast("int")).bitwiseXOR(F.shiftleft(key, BITS))
+            slot = (F.get(d, (key % n_groups).cast("int")) + key) % n_slots
+            rank = F.get(e, slot.cast("int")).bitwiseXOR(F.shiftleft(key, BITS))
             return F.shiftleft(F.least(rank, F.lit(NONE).cast("long")), 2 * BITS).bitwiseOR(key)
 
         def left(x: Column) -> Column:
@@ -182,7 +207,7 @@ def fold_words(words: Column, ranks: tuple[Column, int, int]) -> Column:
 
         return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(word(w)))
 
-    return let(literal, encode)
+    return let(table["d"], lambda d: let(table["e"], lambda e: encode(d, e)))
 
 
 def apart(left: str, right: str) -> bool:
@@ -460,7 +485,7 @@ class _Pieces:
         return self.pool[_runs(self.starts[ids], sizes)], np.concatenate(([0], np.cumsum(sizes)))[stops]
 
 
-def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int], literal: tuple[Column, int, int], cache_docs: int, cache_words: int, dtype: str) -> tuple[bytes, ...]:
+def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int], shared: Broadcast, sizes: tuple[int, int], cache_docs: int, cache_words: int, dtype: str) -> tuple[bytes, ...]:
     """Packed ids of all tokens and of the most frequent words of a bounded sample of documents, as ``_Known`` takes them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,17 +504,21 @@ def _cache(df: DataFrame, text_col: str, pattern: str, ranks: dict[bytes, int],
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.row()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), byte_lists(batch.column(0).to_pylist(), single)], ["word", "pieces"])
+            words = batch.column(0).cast(pa.binary())
+            all_of_it = pa.array([0, len(words)], pa.int32())
+            columns = [pa.ListArray.from_arrays(all_of_it, words), pa.ListArray.from_arrays(all_of_it, byte_lists(words.to_pylist(), single)), table]
+            yield pa.RecordBatch.from_arrays(columns, ["words", "pieces", "ranks"])
 
-    # written first, so that the plan with the ranks has no shuffle: each new plan of an adaptive query is a text of all ranks on the driver
+    # written first, so that the words are ranked once
     chosen = materialise(top.select("word").repartition(df.sparkSession.sparkContext.defaultParallelism, "word"))
-    pieces = chosen.mapInArrow(split, "word binary, pieces array<long>")
-    found = pieces.select("word", F.get(fold_words(F.array("pieces"), literal), 0).alias("ids")).toArrow()
+    pieces = chosen.mapInArrow(split, f"words array<binary>, pieces array<array<long>>, ranks {RANKS}")
+    found = pieces.select("words", fold_words(F.col("pieces"), (F.col("ranks"), *sizes)).alias("ids")).toArrow()
     del counts, top, chosen, pieces
     # a word that is a token has its rank alone, which its fold gives too
-    words = found.column("word").combine_chunks().cast(pa.binary())
-    lists = found.column("ids").combine_chunks()
+    words = found.column("words").combine_chunks().flatten().cast(pa.binary())
+    lists = found.column("ids").combine_chunks().flatten()
     values, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     tokens = pa.array(list(ranks), pa.binary())
     fresh = pc.invert(pc.is_in(tokens, value_set=words)).to_numpy(zero_copy_only=False)
@@ -516,23 +545,25 @@ def encode(
     """The columns ``keep`` of ``df`` (all, if None) and ``ids``: the packed ids of ``text_col``.  See the module's docstring."""
     ranks = read_ranks(vocab_path)
     check_ranks(ranks)
-    literal = rank_literal(ranks)
+    rank_rows = _Ranks(ranks)
     dtype = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
     single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     context = df.sparkSession.sparkContext
-    cache = context.broadcast(_cache(df, text_col, pattern, ranks, literal, cache_docs, cache_words, dtype))
+    sizes, rank_rows = rank_rows.sizes, context.broadcast(rank_rows)
+    cache = context.broadcast(_cache(df, text_col, pattern, ranks, rank_rows, sizes, cache_docs, cache_words, dtype))
     all_ranks = context.broadcast(ranks)
 
     out = {"ids", (decoded_col or "ids").lower()}
     kept = [f for f in df.schema.fields if f.name.lower() not in out and (keep is None or f.name in keep)]
     extra = [T.StructField(c, T.BinaryType()) for c in ("__ids", "__at", "__which")]
     extra += [T.StructField("__rest", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__long", T.ArrayType(T.BinaryType()))]
+    extra += [T.StructField("__ranks", T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in "de"]))]
     cut_schema = T.StructType(kept + extra)
     out_schema = T.StructType(kept + [T.StructField(c, T.BinaryType()) for c in ["ids", *([decoded_col] if decoded_col else [])]])
     n = len(kept)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter(pattern, _Known(cache.value))
+        cutter, table = _Cutter(pattern, _Known(cache.value)), rank_rows.value.row()
         for block in blocks(batches, n, block_chars):
             cutter.start()
             rows = cut_block(cutter, block.column(n), irregular_texts(block.column(n)), dtype)
@@ -543,6 +574,7 @@ def encode(
                 *(pa.array(r, pa.binary()) for r in rows),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), short).take(first),
                 pa.array([[w for w in words if len(w) > long_word]], pa.list_(pa.binary())).take(first),
+                table.take(first),
             ]
             yield pa.RecordBatch.from_arrays([*block.columns[:n], *columns], cut_schema.names)
             del rows, words, short, columns
@@ -565,7 +597,7 @@ def encode(
 
     columns = [F.col(f"`{f.name}`") for f in kept]
     first = df.select(*columns, F.col(f"`{text_col}`").alias("__text")).mapInArrow(cut, cut_schema)
-    return first.select(*columns, "__ids", "__at", "__which", fold_words(F.col("__rest"), literal).alias("__rest"), "__long").mapInArrow(place, out_schema)
+    return first.select(*columns, "__ids", "__at", "__which", fold_words(F.col("__rest"), (F.col("__ranks"), *sizes)).alias("__rest"), "__long").mapInArrow(place, out_schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
