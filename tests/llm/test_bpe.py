@@ -150,3 +150,17 @@ def test_ids_are_put_in_place_for_many_rows_at_once():
 def test_no_plan_holds_the_ranks(spark):
     df = spark.createDataFrame([(1, "Hello there")], "doc_id long, text string")
     assert len(B.digests(df, PATH, P.PATTERN)._jdf.queryExecution().toString()) < 200_000
+
+
+def test_two_arrow_passes_are_of_different_stages(spark):
+    df = spark.createDataFrame([(k, f"some wordz{k}") for k in range(40)], "doc_id long, text string")
+    plan = B.encode(df, PATH, P.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    steps = [x for x in plan.split() if x in ("MapInArrow", "Exchange")]
+    assert steps[:3] == ["MapInArrow", "Exchange", "MapInArrow"]  # in one stage an executor would hold two Python workers a core
+
+
+def test_long_words_and_kept_columns_of_blocks_of_one_row(spark, encoding):
+    rows = [(k, {"a": [k, None]} if k % 2 else None, " x" * k + "é" * 200 + f" q{k}z") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, more map<string, array<int>>, text string")
+    for r in B.encode(df, PATH, P.PATTERN, block_chars=1, cache_words=10).collect():
+        assert (r.more, np.frombuffer(bytes(r.ids), "<u4").tolist()) == (rows[r.doc_id][1], encoding.encode_ordinary(r.text))

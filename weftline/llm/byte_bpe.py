@@ -10,16 +10,18 @@ Plan of ``encode`` (no shuffle of texts):
    words.  Each is folded once; the at most ``cache_words`` results of at most
    64 bytes each are broadcast.  The cache only saves work.
 2. An Arrow pass cuts each text into words by the pattern and resolves those
-   that are in the cache.  The distinct others of a block of documents (about
-   ``block_chars`` characters) travel with its first row.
+   that are in the cache.  A block of documents (about ``block_chars``
+   characters) becomes one row, with the distinct other words beside it.
 3. A fold of ranked merges, written with Spark's higher-order functions over
    arrays of bytes and a constant rank map, encodes the distinct words of a block.
    The map travels with the words (2 MB a block), not in the plan.
-4. An Arrow pass puts the ids in place and joins the pieces of all ids.  Words
+4. A shuffle deals out the blocks, so the two Arrow passes are of different
+   stages: an executor holds one Python worker a core, not two.
+5. An Arrow pass puts the ids in place and joins the pieces of all ids.  Words
    over ``long_word`` bytes, for which the fold's time is quadratic, are merged
    there with a heap.
 
-The texts enter only the first pass, unless ``keep`` names their column.
+The texts enter only the first pass and no shuffle, unless ``keep`` names their column.
 
 Ranks must be those of trained merges: each token of several bytes arises from
 its bytes by merges of rising rank (``check_ranks``; ValueError otherwise).
@@ -555,10 +557,15 @@ def encode(
 
     out = {"ids", (decoded_col or "ids").lower()}
     kept = [f for f in df.schema.fields if f.name.lower() not in out and (keep is None or f.name in keep)]
-    extra = [T.StructField(c, T.BinaryType()) for c in ("__ids", "__at", "__which")]
-    extra += [T.StructField("__rest", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__long", T.ArrayType(T.BinaryType()))]
-    extra += [T.StructField("__ranks", T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in "de"]))]
-    cut_schema = T.StructType(kept + extra)
+    parts = [T.StructField(f"c{k}", t) for k, t in enumerate([*(f.dataType for f in kept), *[T.BinaryType()] * 3])]  # kept columns, ids, at, which
+    cut_schema = T.StructType(
+        [
+            T.StructField("__docs", T.ArrayType(T.StructType(parts))),
+            T.StructField("__rest", T.ArrayType(T.ArrayType(T.LongType()))),
+            T.StructField("__long", T.ArrayType(T.BinaryType())),
+            T.StructField("__ranks", T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in "de"])),
+        ]
+    )
     out_schema = T.StructType(kept + [T.StructField(c, T.BinaryType()) for c in ["ids", *([decoded_col] if decoded_col else [])]])
     n = len(kept)
 
@@ -569,35 +576,28 @@ def encode(
             rows = cut_block(cutter, block.column(n), irregular_texts(block.column(n)), dtype)
             words = list(cutter.rest)
             short = byte_lists([w if len(w) <= long_word else b"" for w in words], single)
-            first = pa.array([0] + [None] * (block.num_rows - 1), pa.int32())  # the block's words travel with its first row
-            columns = [
-                *(pa.array(r, pa.binary()) for r in rows),
-                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), short).take(first),
-                pa.array([[w for w in words if len(w) > long_word]], pa.list_(pa.binary())).take(first),
-                table.take(first),
-            ]
-            yield pa.RecordBatch.from_arrays([*block.columns[:n], *columns], cut_schema.names)
-            del rows, words, short, columns
+            docs = pa.StructArray.from_arrays([*block.columns[:n], *(pa.array(r, pa.binary()) for r in rows)], [f.name for f in parts])
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, short, pa.array([w for w in words if len(w) > long_word], pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*columns, table], cut_schema.names)
+            del rows, words, short, docs, columns
         pa.default_memory_pool().release_unused()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join, new = _Pieces(all_ranks.value) if decoded_col else None, None
-        for batch in blocks(batches, n, PLACED):
-            # from one row with the words of a block to the next
-            begins = np.flatnonzero(batch.column(n + 3).is_valid().to_numpy(zero_copy_only=False)).tolist()
-            cuts = sorted({0, *begins, batch.num_rows})
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                some = batch.slice(a, b - a)
-                if a in begins:
-                    new = _New.of(some.column(n + 3)[0].values, some.column(n + 4)[0].as_py(), all_ranks.value, dtype)
-                ids, stops = put_in(*(some.column(n + k) for k in range(3)), new, dtype)
-                results = [_packed(ids, stops), *([_packed(*join.joined(ids, stops))] if join else [])]
-                yield pa.RecordBatch.from_arrays([*some.columns[:n], *results], out_schema.names)
+        join = _Pieces(all_ranks.value) if decoded_col else None
+        for batch in batches:
+            for docs, rest, long_words in zip(*batch.columns, strict=True):
+                new = _New.of(rest.values, long_words.as_py(), all_ranks.value, dtype)
+                block = pa.RecordBatch.from_arrays(docs.values.flatten(), [f.name for f in parts])
+                for some in blocks(iter([block]), n, PLACED):
+                    ids, stops = put_in(*some.columns[n:], new, dtype)
+                    results = [_packed(ids, stops), *([_packed(*join.joined(ids, stops))] if join else [])]
+                    yield pa.RecordBatch.from_arrays([*some.columns[:n], *results], out_schema.names)
         pa.default_memory_pool().release_unused()
 
     columns = [F.col(f"`{f.name}`") for f in kept]
     first = df.select(*columns, F.col(f"`{text_col}`").alias("__text")).mapInArrow(cut, cut_schema)
-    return first.select(*columns, "__ids", "__at", "__which", fold_words(F.col("__rest"), (F.col("__ranks"), *sizes)).alias("__rest"), "__long").mapInArrow(place, out_schema)
+    folded = first.select("__docs", fold_words(F.col("__rest"), (F.col("__ranks"), *sizes)).alias("__rest"), "__long", F.monotonically_increasing_id().alias("__block"))
+    return folded.repartition("__block").drop("__block").mapInArrow(place, out_schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
