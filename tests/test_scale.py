@@ -83,6 +83,21 @@ def test_pairs_within_a_limit_compare_few(spark, monkeypatch, block):
     assert every == set(itertools.combinations(range(30), 2))
 
 
+def test_no_pair_is_lost_at_a_border_or_beside_a_line_of_no_numbers(spark):
+    e = 2.0**-49
+    a = np.array([14 - 3 * e, 14 - 4 * e, 14, 14 - 2 * e, 14 - e, 14 - 2 * e, 14, 14 - 4 * e, 14, 14 - e, 14 - e, 14])
+    b = np.array([28 - 2 * e, 28 - 4 * e, 28 - 2 * e, 28 - 4 * e, 28 - 4 * e, 28 - 2 * e, 28 - 4 * e, 28 - 4 * e, 28 - 2 * e, 28, 28 - 2 * e, 28 - 2 * e])
+    border = np.zeros((2, 12, 3))
+    border[0, :, 0], border[1, :, 0] = a, b  # nearer than 14, yet their means fall in the first and the third cell of 14
+    assert np.cumsum(a)[-1] / 12 < 14 and np.cumsum(b)[-1] / 12 == 28 and np.abs(a - b).mean() < 14
+    assert [(r.a, r.b) for r in stats.mdf_pairs(_frame(spark, border), 14.0).collect()] == [(0, 1)]
+    odd = np.concatenate([_bundles(40, 1, 0.0), np.full((3, 12, 3), 1.0)])
+    odd[40, 5, 1], odd[41, 2, 0], odd[42, 1, 2] = np.nan, np.inf, 1e200
+    d = _mdf(odd[:40])
+    want = {(i, j) for i, j in itertools.combinations(range(40), 2) if d[i, j] < 4.0}
+    assert {(r.a, r.b) for r in stats.mdf_pairs(_frame(spark, odd), 4.0).collect()} == want and len(want) > 100
+
+
 def test_medoid_sums_few_lines(spark):
     lines = np.concatenate([_bundles(200, 1, 0.0, seed=2), _bundles(100, 5, 80.0, seed=3)])
     total = _mdf(lines).sum(axis=1)
