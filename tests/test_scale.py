@@ -98,6 +98,20 @@ def test_no_pair_is_lost_at_a_border_or_beside_a_line_of_no_numbers(spark):
     assert {(r.a, r.b) for r in stats.mdf_pairs(_frame(spark, odd), 4.0).collect()} == want and len(want) > 100
 
 
+def test_bounds_in_single_precision_keep_every_near_pair():
+    lines = _bundles(600, 2, 8.0)
+    lines[300:] += 1e4  # two groups far from each other, and one line far from both
+    lines[599], lines[7], lines[9], lines[11] = 1e9, lines[8], lines[8, ::-1], lines[8] + 1e-7
+    d, ids = _mdf(lines), np.arange(600)
+    for limit in (1e-6, 4.0, 11.5):
+        found = list(stats._near(lines, ids, lines, ids, limit, True))
+        want = {(a, b) for a, b in zip(*np.nonzero(np.triu(d < limit, 1)), strict=True)}
+        assert {(a, b) for one, two, _, _ in found for a, b in zip(one, two, strict=True)} == want
+        assert sum(len(one) for one, *_ in found) == len(want)
+    bounds = stats._at_least(lines[:300], lines[:300], np.full(12, 1 / 12))
+    assert bounds.dtype == np.float32 and (bounds <= d[:300, :300]).all() and (bounds >= d[:300, :300] * (1 - 1e-3) - 0.1).all()
+
+
 def test_medoid_sums_few_lines(spark):
     lines = np.concatenate([_bundles(200, 1, 0.0, seed=2), _bundles(100, 5, 80.0, seed=3)])
     total = _mdf(lines).sum(axis=1)
