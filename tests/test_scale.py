@@ -122,6 +122,18 @@ def test_medoid_sums_few_lines(spark):
     assert stats.medoid_exact(_frame(spark, lines[:0])).count() == 0
 
 
+def test_medoid_without_prunable_lines_sums_few(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 100)
+    lines = np.random.default_rng(4).normal(0, 10, (700, 12, 3))  # distances lie so close together that no pivot bounds one
+    lines[650] = lines[600, ::-1]
+    total = _mdf(lines).sum(axis=1)
+    least = {r.sid: r.least for r in stats._least_totals(_frame(spark, lines)).collect()}
+    assert len(least) == 700 and all(total[k] * (1 - 1e-3) <= v <= total[k] for k, v in least.items())
+    best, summed = stats.medoid_search(_frame(spark, lines), pivots=8, first=16)
+    assert [(r.sid, round(r.total, 4)) for r in best.collect()] == [(int(total.argmin()), round(float(total.min()), 4))]
+    assert summed < 40
+
+
 def test_ranks_of_one_far_id_are_dealt_evenly(spark):
     ids = spark.range(40_000).select((F.col("id") * 3).alias("sid")).unionAll(spark.range(1).select(F.lit(10**15).alias("sid"))).repartition(8)
     ranked = sampling.global_rank(ids)
