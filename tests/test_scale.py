@@ -276,6 +276,20 @@ def test_equal_boxes_are_joined_once_without_a_shuffle_of_lines(spark):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
 
 
+def test_hits_of_equal_spheres_stand_in_runs_and_take_little_space(spark, monkeypatch, tmp_path):
+    rng = random.Random(6)
+    lines = [(k * 7919, [(rng.uniform(0, 20), rng.uniform(0, 20), rng.uniform(0, 20)) for _ in range(3)]) for k in range(600)]
+    spheres = [(n * 31, 5.0 * (n % 4), 10.0, 10.0, 6.0) for n in range(2_000)]
+    frame = spark.createDataFrame(lines, "sid long, points array<struct<x: double, y: double, z: double>>")
+    shapes = spark.createDataFrame([*spheres, spheres[0]], "roi_id long, cx double, cy double, cz double, r double")
+    hits = spatial.sphere_hits(frame, shapes)
+    hits.write.parquet(f"{tmp_path}/runs")
+    monkeypatch.setattr(spatial, "BROADCAST_MEMBERS", 10)
+    joined = spatial.sphere_hits(frame, shapes)
+    assert hits.count() == hits.distinct().count() == joined.count() and hits.exceptAll(joined).isEmpty()
+    assert hits.count() > 400_000 and sum(f.stat().st_size for f in (tmp_path / "runs").glob("*.parquet")) < 0.6 * hits.count()
+
+
 def test_strokes_stream_through_a_task(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     rng = random.Random(5)
