@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import aggregate, labels, raster, sampling, spatial, stats, volume
+from weftline.plans import registry
 from weftline.streaming import jobs
 
 BOX = "roi_id long, " + ", ".join(f"{e}{a} double" for e in ("low", "high") for a in "xyz")
@@ -291,6 +292,22 @@ def test_hits_of_equal_spheres_stand_in_runs_and_take_little_space(spark, monkey
     assert len(hits) == len(set(hits)) == len(joined) > 10_000 and set(hits) == set(joined)
 
 
+def test_pairs_of_equal_boxes_stand_in_runs_and_take_little_space(spark, monkeypatch, tmp_path):
+    given = "/root/testdata/sf0.001"
+    supplier = spark.read.parquet(f"{given}/supplier.parquet").limit(1).drop("s_suppkey").crossJoin(spark.range(20_000).withColumnRenamed("id", "s_suppkey"))
+    supplier.write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{given}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    registry.queries()["bbox_range_join"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/runs")
+    rows = spark.read.parquet(f"{tmp_path}/runs").count()
+    assert rows > 10_000_000 and sum(f.stat().st_size for f in (tmp_path / "runs").glob("*.parquet")) < 0.8 * rows
+    found = registry.queries()["bbox_range_join"](spark, given).collect()
+    monkeypatch.setattr(spatial, "BROADCAST_MEMBERS", 1)
+    joined = registry.queries()["bbox_range_join"](spark, given).collect()
+    monkeypatch.setattr(spatial, "BROADCAST_BOXES", 1)
+    grid = registry.queries()["bbox_range_join"](spark, given).collect()
+    assert len(found) == len(set(found)) == len(joined) == len(grid) > 1_000 and set(found) == set(joined) == set(grid)
+
+
 def test_strokes_stream_through_a_task(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     rng = random.Random(5)
